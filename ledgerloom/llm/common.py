@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch handed to Python. Texts may be 100 KB long, so Spark's default of 10,000 rows is too many.
 BATCH_ROWS = 2000
@@ -25,6 +26,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def plus(schema: StructType, ddl: str) -> StructType:
+    """A schema with the columns of `ddl` behind its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the column's text modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
