@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op3_language_id
 from .mixing import op7_source_mixing
 from .quality import op1_quality_classifier
 from .toxicity import op2_toxicity
@@ -14,6 +15,7 @@ from .url_filter import OP10_SQL, op10_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op7_source_mixing": op7_source_mixing,
     "op10_url_filter": op10_url_filter,
 }
