@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language import op3_language_id
 from .mixing import op7_source_mixing
+from .packing import op9_packing
 from .quality import op1_quality_classifier
 from .toxicity import op2_toxicity
 from .url_filter import OP10_SQL, op10_url_filter
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op7_source_mixing": op7_source_mixing,
+    "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
 }
 
