@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprint import op6_order_minhash
 from .language import op3_language_id
 from .mixing import op7_source_mixing
 from .packing import op9_packing
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op6_order_minhash": op6_order_minhash,
     "op7_source_mixing": op7_source_mixing,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
