@@ -192,6 +192,21 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) ->
     return docs.mapInPandas(run, plus(docs.select(*names).schema, "lang_pred string, score double"))
 
 
+def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of `docs` whose language has a posterior of at least `least`, with their own columns. Texts without a
+    letter go; so does everything if the model knows no language."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    held = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in in_pieces(batches):
+            _, score = held.value.predict(texts_of(batch))
+            yield batch[score >= least]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.filter(remainder("doc_id", 3) != 1))

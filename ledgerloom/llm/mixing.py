@@ -157,6 +157,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     )
 
 
+def keep_mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+    """The rows of phase 0, in which every source still has blocks and so has its target share, in order of their slots.
+    Rows keep their own columns."""
+    mixed = mix(docs, weights, temperature, block_chars, period).filter("in_mix")
+    return mixed.repartitionByRange("slot", "source_start").sortWithinPartitions("slot", "source_start").select(*docs.columns)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).drop("text")

@@ -271,6 +271,10 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def pack_documents(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
+    """All pieces of `docs` (doc_id, text) with their places."""
+    return pack(written(cut(docs, window, path), "pieces"), window)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = written(cut(read_table(spark, sf_dir, "documents")), "pieces")
-    return pack(pieces)
+    return pack_documents(read_table(spark, sf_dir, "documents"))

@@ -24,6 +24,8 @@ NGRAMS = (3, 4)
 #: Labelled documents of each class that the model is fitted on, at most.
 FIT_PER_CLASS = 2500
 EPOCHS, RATE = 5, 0.5
+#: Small samples are gone through more often, until so many steps are made.
+LEAST_STEPS = 25_000
 #: Scores from here on are taken as good.
 THRESHOLD = 0.7
 
@@ -110,6 +112,7 @@ def train(texts: Sequence[str], labels: Sequence[int], epochs: int = EPOCHS, rat
     for t in texts:
         ids, n = np.unique(features(words_of(t))[0], return_counts=True)
         bags.append((ids, (n / max(1, n.sum())).astype(np.float32)))
+    epochs = max(epochs, min(100, -(-LEAST_STEPS // len(bags))))
     step, steps = 0, epochs * len(bags)
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -168,6 +171,19 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
     return docs.withColumn("_text", F.col(text_column)).mapInPandas(run, schema)
 
 
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs` that score THRESHOLD or more, with their own columns, whatever these are called."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    held = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in in_pieces(batches):
+            yield batch[held.value.scores(texts_of(batch)) >= THRESHOLD]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").filter(remainder("doc_id", 4) != 2)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprint import op6_order_minhash
+from .jaccard import op8_jaccard_join
 from .language import op3_language_id
 from .mixing import op7_source_mixing
 from .packing import op9_packing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op6_order_minhash": op6_order_minhash,
     "op7_source_mixing": op7_source_mixing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
 }
