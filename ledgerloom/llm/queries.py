@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ctw import op5_context_tree_weighting
 from .fingerprint import op6_order_minhash
 from .jaccard import op8_jaccard_join
 from .language import op3_language_id
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op5_context_tree_weighting": op5_context_tree_weighting,
     "op6_order_minhash": op6_order_minhash,
     "op7_source_mixing": op7_source_mixing,
     "op8_jaccard_join": op8_jaccard_join,
