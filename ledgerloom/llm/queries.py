@@ -11,6 +11,7 @@ from .fingerprint import op6_order_minhash
 from .jaccard import op8_jaccard_join
 from .language import op3_language_id
 from .mixing import op7_source_mixing
+from .nearest import op4_multi_index_hashing
 from .packing import op9_packing
 from .quality import op1_quality_classifier
 from .toxicity import op2_toxicity
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_context_tree_weighting": op5_context_tree_weighting,
     "op6_order_minhash": op6_order_minhash,
     "op7_source_mixing": op7_source_mixing,
