@@ -56,8 +56,8 @@ def shingles(texts: Sequence[str], words: int = WORDS) -> tuple[np.ndarray, np.n
     m = memo("words", _word_hashes)
     rows, counts = m.rows([t.lower().split() for t in texts])
     h = m.values[rows, 0].view(np.uint64) if len(rows) else np.zeros(0, np.uint64)
-    # Every text gets `words` - 1 places behind its words, so that windows can run over all texts at once.
-    padded = counts + words - 1
+    # Every text gets `words` - 1 places behind its words (behind one, if it has none): windows run over all texts at once.
+    padded = np.maximum(counts, 1) + words - 1
     ends = np.cumsum(padded)
     starts = ends - padded
     line = np.zeros(int(padded.sum()) + words, np.uint64)
