@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.dates import Period, fiscal_year, month_key, months_in
 from ..functions.money import money
 
-AMOUNT, PAYMENTS = F.sum("signed"), F.sum("n")
-
 
 def _figures() -> list[Column]:
     return [money(F.sum("signed")).alias("amount"), F.sum("n").alias("payments")]

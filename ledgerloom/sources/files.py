@@ -81,7 +81,7 @@ ACTIVITY_FIELDS = {
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
     """Text statements of payments as records; the order of lines is that of the file."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     return records(text.withColumn("text", F.trim("text")), ACTIVITY_START, ACTIVITY_FIELDS)
 
 
