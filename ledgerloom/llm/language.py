@@ -34,6 +34,8 @@ NO_LANGUAGE = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 #: Longer words are cut here: the vocabulary has no piece as long, and a lattice stays small.
 LONGEST_WORD = 64
+#: Words of one lattice: its arrays take about 10 MB.
+LATTICE_WORDS = 5_000
 
 
 def words_of(text: str) -> list[str]:
@@ -77,7 +79,7 @@ class Lattice:
         self.lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
         end_ = np.array(end, np.int64)
         order = np.argsort(end_, kind="stable")
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int64)[order] for x in (word, start, end, piece))
+        self.word, self.start, self.end, self.piece = (np.array(x, np.int32)[order] for x in (word, start, end, piece))
         self.cuts = np.searchsorted(self.end, np.arange(1, int(self.lengths.max(initial=0)) + 2))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
@@ -111,7 +113,7 @@ class Lattice:
                 w, i, piece = self.word[a:b], self.start[a:b], self.piece[a:b]
                 flow = beta[:, w, self.end[a:b]] * p[:, piece]
                 use = flow * alpha[:, w, i]
-                at = w * beta.shape[2] + i
+                at = w.astype(np.int64) * beta.shape[2] + i
                 for k in range(p.shape[0]):
                     beta[k] += np.bincount(at, flow[k], beta[k].size).reshape(beta[k].shape)
                     out[k] += np.bincount(piece, use[k], p.shape[1])
@@ -126,7 +128,7 @@ class Model:
     def word_values(self, words: Sequence[str]) -> np.ndarray:
         pieces = vocabulary(self.path)
         longest = max(map(len, pieces))
-        parts = [Lattice(words[i : i + 20_000], pieces, longest).likelihoods(self.p) for i in range(0, len(words), 20_000)]
+        parts = [Lattice(words[i : i + LATTICE_WORDS], pieces, longest).likelihoods(self.p) for i in range(0, len(words), LATTICE_WORDS)]
         return np.concatenate([np.zeros((0, len(self.languages))), *parts])
 
     def predict(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +158,7 @@ def train(texts: Sequence[str], languages: Sequence[str], path: str | None = Non
     counts = np.array([[seen[n][w] for w in words] for n in names], np.float64)
     p = np.full((len(names), len(pieces) + 1), 1 / (len(pieces) + 1))
     longest = max(map(len, pieces))
-    lattices = [(Lattice(words[i : i + 20_000], pieces, longest), counts[:, i : i + 20_000]) for i in range(0, len(words), 20_000)]
+    lattices = [(Lattice(words[i : i + LATTICE_WORDS], pieces, longest), counts[:, i : i + LATTICE_WORDS]) for i in range(0, len(words), LATTICE_WORDS)]
     for _ in range(rounds):
         use = sum((lattice.expected(p, part) for lattice, part in lattices), np.zeros_like(p)) + SMOOTHING
         p = use / use.sum(axis=1, keepdims=True)
