@@ -15,7 +15,7 @@ from .functions import dates, money, text
 from .functions.dates import Period
 from .operators import counted as c
 from .operators import intervals, matching, rules
-from .plans import ask, views
+from .plans import ask, bills, views
 from .sources import movements as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,3 +295,47 @@ query("masked_accounts", "SELECT c_custkey, right(regexp_replace(c_name, '[^0-9]
     lambda s, d: src.table(s, d, "customer").select("c_custkey", text.last_digits("c_name").alias("last4"), text.masked("c_name").alias("masked")))
 query("content_hash_dedup", "SELECT sha256(coalesce(text, '')) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")(
     lambda s, d: src.table(s, d, "documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
+
+# Bills, stays and selections.
+query("bills_by_card_month", f"{_BILLS} SELECT card, strftime(paid, '%Y-%m') AS month, CAST(sum(cents) AS BIGINT) / 100.0::DOUBLE AS amount, count(*) AS bills FROM bills WHERE paid BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY 1, 2")(
+    lambda s, d: bills.paid_by_month(src.bills(src.movements(s, d)), Y1998))
+query("ask_bills", f"{_BILLS} SELECT CAST(coalesce(sum(cents), 0) AS BIGINT) / 100.0::DOUBLE AS amount, count(*) AS bills, max(paid) AS last FROM bills WHERE paid BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'")(
+    lambda s, d: bills.bills_answer(src.bills(src.movements(s, d)), Y1998))
+
+
+def _cycle_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.cycles_of(src.bills(src.movements(spark, sf_dir))).select("card", "cycle_first", "cycle_last", F.col("cents").alias("estimate"))
+
+
+query("estimates_by_month", f"""{_BILLS}{_CYCLES}, x AS (SELECT card, cycle_first, cycle_last, cents AS estimate, CAST(t AS DATE) AS ms FROM c2, generate_series(date_trunc('month', cycle_first), CAST(cycle_last AS TIMESTAMP), INTERVAL 1 MONTH) AS g(t) WHERE cents > 0),
+y AS (SELECT card, strftime(ms, '%Y-%m') AS month, CAST(round(CAST(estimate * (date_diff('day', greatest(ms, cycle_first), least(last_day(ms), cycle_last)) + 1) * 1000 AS DOUBLE) / (date_diff('day', cycle_first, cycle_last) + 1)) AS BIGINT) AS v FROM x)
+SELECT card, month, CAST(floor(CAST(sum(v) AS DOUBLE) / 1000 + 0.5) AS BIGINT) AS cents FROM y WHERE month BETWEEN '1998-01' AND '1998-12' GROUP BY 1, 2 HAVING CAST(floor(CAST(sum(v) AS DOUBLE) / 1000 + 0.5) AS BIGINT) > 50""")(
+    lambda s, d: bills.estimates_by_month(_cycle_amounts(s, d), Y1998))
+query("statement_coverage_share", f"""WITH {src.MOVEMENTS_SQL}, st AS (SELECT card, min(day) AS first, max(day) AS last FROM m GROUP BY card, year(day), (month(day) - 1) // 6),
+d AS (SELECT DISTINCT card, CAST(t AS DATE) AS day FROM st, generate_series(CAST(first AS TIMESTAMP), CAST(last AS TIMESTAMP), INTERVAL 1 DAY) AS g(t))
+SELECT card, strftime(day, '%Y-%m') AS month, CAST(count(*) AS DOUBLE) / max(day(last_day(day))) AS share FROM d GROUP BY 1, 2""")(lambda s, d: bills.covered_share(_statements(src.movements(s, d))))
+_96 = Period(dt.date(1996, 2, 10), dt.date(1996, 8, 20))
+query("ask_where", f"""{COUNTED}, {src.STAYS_SQL}{_OWNED}, s AS (SELECT eff_day AS day, sum(signed) AS s, sum(n) AS n FROM counted WHERE bucket = 'spent' GROUP BY 1)
+SELECT stay, place, min(day) AS first, max(day) AS last, count(*) AS days, CAST(coalesce(sum(s), 0) AS BIGINT) / 100.0::DOUBLE AS amount, CAST(coalesce(sum(n), 0) AS BIGINT) AS payments
+FROM owned LEFT JOIN s USING (day) WHERE day BETWEEN DATE '1996-02-10' AND DATE '1996-08-20' GROUP BY 1, 2""")(lambda s, d: bills.where_answer(src.stays(s, d), rows_of(s, d), _96))
+query("stay_preview", f"""{COUNTED}, {src.STAYS_SQL}{_OWNED}, a AS (SELECT CAST(coalesce(sum(signed), 0) AS BIGINT) / 100.0::DOUBLE AS amount, CAST(coalesce(sum(n), 0) AS BIGINT) AS payments FROM counted WHERE bucket = 'spent' AND eff_day BETWEEN DATE '1996-02-10' AND DATE '1996-08-20'),
+b AS (SELECT count(*) AS days_taken, count(DISTINCT stay) AS stays FROM owned WHERE day BETWEEN DATE '1996-02-10' AND DATE '1996-08-20') SELECT * FROM a, b""")(lambda s, d: bills.stay_preview(src.stays(s, d), rows_of(s, d), _96))
+_view("ticked_total", "SELECT CAST(coalesce(sum(CASE WHEN direction = 'credit' THEN -cents ELSE cents END), 0) AS BIGINT) / 100.0::DOUBLE AS amount, count(*) AS rows FROM counted WHERE bucket <> 'card_bill' AND id % 97 = 3",
+      lambda s, r: bills.ticked_total(r, r.filter("id % 97 = 3").select("id")))
+_view("row_tags", """SELECT CASE WHEN refund_of IS NOT NULL THEN 'refund' WHEN bucket = 'card_bill' THEN 'card bill' WHEN bucket = 'ignored' THEN 'not counted' WHEN bucket = 'people' THEN 'person' WHEN bucket IN ('in', 'cashback') THEN 'money in' ELSE 'payment' END AS tag,
+CASE WHEN owner_channel = 'card' THEN 'Card ' || owner_card ELSE upper(owner_channel) END AS paid, count(*) AS rows FROM counted GROUP BY 1, 2""", lambda s, r: r.groupBy(bills.tag().alias("tag"), bills.how_paid().alias("paid")).agg(F.count(F.lit(1)).alias("rows")))
+_view("list_search", "SELECT id, payee, cents FROM counted WHERE contains(lower(payee || ' ' || shop || ' ' || category), 'urgent.mach')", lambda s, r: bills.search(r, "Urgent.Mach").select("id", "payee", "cents"))
+_view("one_row_per_bill", """, k AS (SELECT id, card, row_number() OVER (PARTITION BY card, day ORDER BY ts, id) AS k, count(*) OVER (PARTITION BY card, day) AS sides FROM counted WHERE bucket = 'card_bill') SELECT id, card, sides FROM k WHERE k = 1""",
+      lambda s, r: bills.one_row_per_bill(r.filter("bucket = 'card_bill'").withColumn("_side", F.concat_ws("/", "card", "day")), "_side").select("id", "card", "sides"))
+query("grouped_digits", """WITH n AS (SELECT o_orderkey, CAST(floor(o_totalprice * 37) AS BIGINT) AS v FROM orders), t AS (SELECT *, CAST(v AS VARCHAR) AS n FROM n)
+SELECT o_orderkey, CASE WHEN length(n) <= 3 THEN n WHEN length(n) <= 5 THEN left(n, length(n) - 3) || ',' || right(n, 3) WHEN length(n) <= 7 THEN left(n, length(n) - 5) || ',' || substr(n, length(n) - 4, 2) || ',' || right(n, 3)
+ELSE left(n, length(n) - 7) || ',' || substr(n, length(n) - 6, 2) || ',' || substr(n, length(n) - 4, 2) || ',' || right(n, 3) END AS amount FROM t""")(
+    lambda s, d: src.table(s, d, "orders").select("o_orderkey", bills.grouped_digits(F.floor(F.col("o_totalprice") * 37)).alias("amount")))
+
+
+def _aliases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("part a", "wrong", 9), ("Supplier#000000001", "first", 1), ("supplier", "any", 5)], "alias string, person string, place int")
+
+
+query("payee_aliases", "SELECT s_suppkey, 'first' AS person FROM supplier")(
+    lambda s, d: bills.matched_payees(src.table(s, d, "supplier").select("s_suppkey", F.col("s_name").alias("payee")), _aliases(s)).select("s_suppkey", "person"))
