@@ -8,8 +8,10 @@ import uuid
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch handed to Python. Texts may be 100 KB long, so Spark's default of 10,000 rows is too many.
@@ -26,11 +28,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def plus(schema: StructType, ddl: str) -> StructType:
-    """A schema with the columns of `ddl` behind its own."""
-    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
-
-
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the column's text modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -130,3 +127,42 @@ def in_pieces(batches: Iterable, characters: int = 4_000_000, column: str = "tex
         for a, b in itertools.pairwise(cuts):
             if b > a:
                 yield batch.iloc[a:b]
+
+
+def _text_pieces(batches: Iterable[pa.RecordBatch], column: str, characters: int = 4_000_000):
+    """(rows, their texts) of Arrow batches, cut again so that a piece has about `characters` of text."""
+    for batch in batches:
+        texts = [t if t is not None else "" for t in batch.column(column).to_pylist()]
+        piece = np.cumsum([len(t) for t in texts]) // characters if texts else np.zeros(0)
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(texts)]
+        for a, b in itertools.pairwise(cuts):
+            if b > a:
+                yield batch.slice(a, b - a), texts[a:b]
+
+
+def map_texts(docs: DataFrame, keep: Sequence[str], text: str, ddl: str, compute: Callable[[list[str]], dict]) -> DataFrame:
+    """The `keep` columns of every row, untouched whatever their types and nulls, beside the columns of `ddl`, which
+    `compute` works out from lists of texts (null becomes the empty text). Clashing columns of `keep` are replaced."""
+    small_batches(docs.sparkSession)
+    added = StructType.fromDDL(ddl)
+    names = [c for c in keep if c not in added.names]
+    kinds = {f.name: to_arrow_type(f.dataType) for f in added.fields}
+    narrow = docs.select(*names, F.col(text).alias("_text_"))
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch, texts in _text_pieces(batches, "_text_"):
+            new = compute(texts)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(new[n], kind) for n, kind in kinds.items())], [*names, *kinds])
+
+    return narrow.mapInArrow(run, StructType([*docs.select(*names).schema.fields, *added.fields]))
+
+
+def filter_texts(docs: DataFrame, text: str, keep: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """The rows whose text `keep` marks as true, with all their columns as they are."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch, texts in _text_pieces(batches, text):
+            yield batch.filter(pa.array(np.asarray(keep(texts), bool)))
+
+    return docs.mapInArrow(run, docs.schema)

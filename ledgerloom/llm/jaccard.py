@@ -13,7 +13,7 @@ group of copies nor one of near copies is ever expanded into pairs.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_pieces, memo, read_table, small_batches, texts_of, written
+from .common import map_texts, memo, read_table, written
 from .graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -94,14 +94,12 @@ def labels_of(texts: Sequence[str], depth: int, words: int = WORDS, trees: int =
 
 def digests(docs: DataFrame, depth: int, words: int = WORDS, trees: int = TREES) -> DataFrame:
     """(doc_id, h1, h2, n, labels): two hashes of the text, its number of shingles, and a prefix label for each tree."""
-    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in in_pieces(batches):
-            labels, n = labels_of(texts_of(batch), depth, words, trees)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "h1": batch["h1"].array, "h2": batch["h2"].array, "n": n, "labels": list(labels)})
+    def compute(texts: list[str]) -> dict:
+        labels, n = labels_of(texts, depth, words, trees)
+        return {"n": n, "labels": list(labels)}
 
-    return hashed(docs).mapInPandas(run, "doc_id bigint, h1 bigint, h2 bigint, n bigint, labels array<bigint>")
+    return map_texts(hashed(docs), ("doc_id", "h1", "h2"), "text", "n bigint, labels array<bigint>", compute)
 
 
 def hashed(docs: DataFrame) -> DataFrame:

@@ -11,15 +11,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, in_pieces, memo, plus, read_table, remainder, small_batches, sums, texts_of
+from .common import bounded_sample, filter_texts, map_texts, memo, read_table, remainder, sums
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents of each language that the probabilities are fitted on, at most.
@@ -179,34 +178,16 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) ->
     Empty tables stay empty, repeated rows are predicted alike, texts are taken whole; columns that are not in `keep`
     never reach the prediction.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = spark.sparkContext.broadcast(model)
-    names = [c for c in keep if c not in ("lang_pred", "score")]
-    docs = docs.select(*names, F.col("text").alias("_text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in in_pieces(batches, column="_text"):
-            out = batch[names].copy()
-            out["lang_pred"], out["score"] = held.value.predict(texts_of(batch, "_text"))
-            yield out
-
-    return docs.mapInPandas(run, plus(docs.select(*names).schema, "lang_pred string, score double"))
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    compute = lambda texts: dict(zip(("lang_pred", "score"), held.value.predict(texts), strict=True))
+    return map_texts(docs, keep, "text", "lang_pred string, score double", compute)
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of `docs` whose language has a posterior of at least `least`, with their own columns. Texts without a
     letter go; so does everything if the model knows no language."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in in_pieces(batches):
-            _, score = held.value.predict(texts_of(batch))
-            yield batch[score >= least]
-
-    return docs.mapInPandas(run, docs.schema)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_texts(docs, "text", lambda texts: held.value.predict(texts)[1] >= least)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

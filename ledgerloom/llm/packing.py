@@ -13,15 +13,13 @@ import re
 import unicodedata
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_pieces, read_table, small_batches, texts_of, written
+from .common import map_texts, read_table, written
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
@@ -113,28 +111,24 @@ def ids_of(path: str | None = None) -> Ids:
     return Ids(path)
 
 
-_PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+_PIECE = "start: bigint, length: bigint, ids_crc32: bigint, doc_tokens: bigint"
 
 
 def cut(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
     """The pieces of all documents: full windows from the front, then the rest. Every document has a last id of its own,
     so null and empty texts have one piece of length 1."""
-    small_batches(docs.sparkSession)
     end = np.array([END_ID], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = ids_of(path)
-        for batch in in_pieces(batches):
-            doc, start, length, crc, total = [], [], [], [], []
-            for doc_id, text in zip(batch["doc_id"], texts_of(batch), strict=True):
-                data = memoryview(ids.of(text) + end)
-                n = len(data) // 4
-                for a in range(0, n, window):
-                    part = data[4 * a : 4 * (a + window)]
-                    doc.append(doc_id), start.append(a), length.append(len(part) // 4), crc.append(zlib.crc32(part)), total.append(n)
-            yield pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": total})
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, _PIECES)
+    def compute(texts: list[str]) -> dict:
+        ids, out = ids_of(path), []
+        for text in texts:
+            data = memoryview(ids.of(text) + end)
+            parts = [data[4 * a : 4 * (a + window)] for a in range(0, len(data) // 4, window)]
+            out.append([{"start": k * window, "length": len(part) // 4, "ids_crc32": zlib.crc32(part), "doc_tokens": len(data) // 4} for k, part in enumerate(parts)])
+        return {"_pieces": out}
+
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return map_texts(narrow, ("doc_id",), "text", f"_pieces array<struct<{_PIECE}>>", compute).select("doc_id", F.inline("_pieces"))
 
 
 class Capacities:

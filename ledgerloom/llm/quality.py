@@ -9,14 +9,14 @@ so scoring looks up each distinct word once per worker and sums.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, in_pieces, memo, plus, read_table, remainder, small_batches, sums, texts_of
+from .common import bounded_sample, filter_texts, map_texts, memo, read_table, remainder, sums
 
 #: Rows of the hashed table and length of a vector: the model is 8 MB whatever the data.
 BUCKETS, DIM = 1 << 17, 16
@@ -147,41 +147,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     return train(sample["text"].tolist(), sample["label"].tolist())
 
 
-def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 from THRESHOLD on) to every document; columns of those names are replaced.
+def score(docs: DataFrame, model: Model, text_column: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """The `keep` columns (all, if not given) of every document with score (0 to 1) and predicted (1 from THRESHOLD on);
+    columns of those names are replaced.
 
     Null and empty texts get the score of the bias. Empty tables stay empty, repeated rows each get the same score, and
     texts of any length are scored whole.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.drop("score", "predicted")
-    held = spark.sparkContext.broadcast(model)
-    names = docs.columns
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in in_pieces(batches, column="_text"):
-            value = held.value.scores(texts_of(batch, "_text"))
-            out = batch[names].copy()
-            out["score"] = value
-            out["predicted"] = (value >= THRESHOLD).astype(np.int32)
-            yield out
+    def compute(texts: list[str]) -> dict:
+        value = held.value.scores(texts)
+        return {"score": value, "predicted": (value >= THRESHOLD).astype(np.int32)}
 
-    schema = plus(docs.schema, "score double, predicted int")
-    return docs.withColumn("_text", F.col(text_column)).mapInPandas(run, schema)
+    return map_texts(docs, docs.columns if keep is None else keep, text_column, "score double, predicted int", compute)
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` that score THRESHOLD or more, with their own columns, whatever these are called."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in in_pieces(batches):
-            yield batch[held.value.scores(texts_of(batch)) >= THRESHOLD]
-
-    return docs.mapInPandas(run, docs.schema)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_texts(docs, "text", lambda texts: held.value.scores(texts) >= THRESHOLD)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,18 +174,4 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").filter(remainder("doc_id", 4) != 2)
     model = fit(docs, labels)
     held = docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "text")
-    return score_narrow(held, model)
-
-
-def score_narrow(docs: DataFrame, model: Model) -> DataFrame:
-    """As score(), but the text is not given back, so it crosses to Python only once."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in in_pieces(batches):
-            value = held.value.scores(texts_of(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": value, "predicted": (value >= THRESHOLD).astype(np.int32)})
-
-    return docs.mapInPandas(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return score(held, model, keep=("doc_id", "held_out"))

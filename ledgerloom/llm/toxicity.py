@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_pieces, memo, plus, read_table, remainder, small_batches, sums, texts_of
+from .common import in_pieces, map_texts, memo, read_table, remainder, small_batches, sums, texts_of
 from .quality import labelled_sample
 
 #: Labelled documents of each class that the model is fitted on, at most.
@@ -153,22 +153,13 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> D
     Null and empty texts have one empty sentence and so the score of the bias. Ties for the worst sentence go to the
     first. Empty tables stay empty, repeated rows score alike, texts are taken whole.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = spark.sparkContext.broadcast(model)
-    names = list(keep)
-    docs = docs.select(*names, F.col("text").alias("_text"))
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in in_pieces(batches, column="_text"):
-            texts = texts_of(batch, "_text")
-            value, worst = held.value.scores(texts)
-            out = batch[names].copy()
-            out["score"], out["predicted"], out["worst_sentence"] = value, (value >= THRESHOLD).astype(np.int32), worst
-            yield out
-
-    schema = plus(docs.select(*names).schema, "score double, predicted int, worst_sentence bigint")
-    return docs.mapInPandas(run, schema)
+    def compute(texts: list[str]) -> dict:
+        value, worst = held.value.scores(texts)
+        return {"score": value, "predicted": (value >= THRESHOLD).astype(np.int32), "worst_sentence": worst}
+
+    return map_texts(docs, keep, "text", "score double, predicted int, worst_sentence bigint", compute)
 
 
 #: One sentence with its closing marks, as tokens_of() and Model.sentences() divide a text.
