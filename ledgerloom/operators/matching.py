@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import compact, long_words
@@ -90,13 +90,24 @@ def _by_component(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.withColumn("_v", F.xxhash64(F.lit("l"), left)).join(roots.withColumnRenamed("v", "_v"), "_v").drop("_v").withColumnRenamed("root", "component")
 
 
+def _by_group(pairs: DataFrame, left: str, group: Column) -> DataFrame:
+    """Candidate pairs with a component made of whole groups: two groups are one where a `left` has candidates in both.
+
+    Most have candidates in one group alone, so the graph between groups is small whatever the number of pairs.
+    """
+    own = pairs.withColumn("_g", group)
+    links = own.groupBy(left).agg(F.min("_g").alias("a"), F.collect_set("_g").alias("_all")).filter(F.size("_all") > 1).select("a", F.explode("_all").alias("b")).filter("a <> b").distinct()
+    roots = components(links).select(F.col("v").alias("_g"), "root")
+    return own.join(roots, "_g", "left").withColumn("component", F.coalesce("root", "_g")).drop("_g", "root")
+
+
 def refund_candidates(payments: DataFrame, refunds: DataFrame, days: int = REFUND_DAYS) -> DataFrame:
     """(refund, payment, tier, ...): payments that a refund may belong to, by reference (1), shop (2), or card and exact
     amount (3), not later than the refund and at most `days` before it."""
     p = payments.select(F.col("id").alias("payment"), F.col("ts").alias("paid_at"), F.col("cents").alias("budget"), F.col("shop").alias("_shop"), F.col("card").alias("_card"), F.col("ref").alias("_ref"))
     r = refunds.select(F.col("id").alias("refund"), F.col("ts").alias("back_at"), F.col("cents"), "shop", "card", "ref")
     in_time = (F.col("paid_at") <= F.col("back_at")) & (F.col("paid_at") >= F.col("back_at") - F.expr(f"interval {days} days")) & (F.col("budget") >= F.col("cents"))
-    keep = ["refund", "payment", "back_at", "paid_at", "cents", "budget"]
+    keep = ["refund", "payment", "back_at", "paid_at", "cents", "budget", F.col("_shop").alias("owner_shop")]
     tiers = [
         r.join(p, F.col("ref") == F.col("_ref")).filter("budget >= cents").select(*keep, F.lit(1).alias("tier")),
         r.join(p, F.col("shop") == F.col("_shop")).filter(in_time).select(*keep, F.lit(2).alias("tier")),
@@ -111,7 +122,7 @@ def assign_refunds(payments: DataFrame, refunds: DataFrame, days: int = REFUND_D
 
     A payment is used up as refunds take from it, whichever way they found it, so all three ways are decided together.
     """
-    pairs = _by_component(refund_candidates(payments, refunds, days), "refund", "payment")
+    pairs = _by_group(refund_candidates(payments, refunds, days), "refund", F.xxhash64("owner_shop"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         left = dict(zip(part["payment"], part["budget"], strict=True))
