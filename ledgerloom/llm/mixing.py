@@ -158,10 +158,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 
 
 def keep_mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
-    """The rows of phase 0, in which every source still has blocks and so has its target share, in order of their slots.
-    Rows keep their own columns."""
-    mixed = mix(docs, weights, temperature, block_chars, period).filter("in_mix")
-    return mixed.repartitionByRange("slot", "source_start").sortWithinPartitions("slot", "source_start").select(*docs.columns)
+    """Every row of `docs` in order of the slots, those without a slot last. Rows keep their own columns.
+
+    When a source runs out the others go on at their weights, scaled up, so nothing of them is dropped."""
+    mixed = mix(docs, weights, temperature, block_chars, period)
+    order = [F.col("slot").asc_nulls_last(), F.col("source_start")]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

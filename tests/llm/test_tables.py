@@ -122,6 +122,15 @@ def test_mix_keeps_all_rows_and_the_target_shares(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_the_kept_mix_has_every_document_of_hot_and_tiny_sources(spark):
+    sources = ["hot"] * 300 + ["b"] * 40 + ["c"] * 40 + ["one"] + [None] * 3
+    docs = docs_of(spark, ["w" * 100] * len(sources), sources)
+    got = [r["doc_id"] for r in mixing.keep_mixed(docs, block_chars=500, period=16).collect()]
+    assert sorted(got) == list(range(len(sources)))
+    slot = {r["doc_id"]: r["slot"] for r in mixing.mix(docs, block_chars=500, period=16).collect()}
+    assert [slot[i] for i in got] == sorted(slot.values())
+
+
 # Near duplicates.
 def brute_links(texts, similarity=0.8):
     sets = []
