@@ -131,20 +131,27 @@ def train(texts: Sequence[str], labels: Sequence[int], epochs: int = EPOCHS, rat
     return Model(vectors @ (layer[1] - layer[0]), bias[1] - bias[0])
 
 
+def _labelled(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label): a null label or id takes no part; where an id is labelled twice, its largest label holds."""
+    return labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> pd.DataFrame:
-    """(text, label) of at most `per_class` documents of each class. A null label or id takes no part; where an id is
-    labelled twice, its largest label holds."""
-    keys = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    picked = bounded_sample(keys, "label", per_class)
+    """(text, label) of at most `per_class` documents of each class."""
+    picked = bounded_sample(_labelled(labels, label), "label", per_class)
     # At most 2 * per_class ids.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label", "doc_id")
     return rows.toPandas().sort_values(["doc_id", "text"], ignore_index=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = FIT_PER_CLASS) -> Model:
-    """Train on at most `per_class` labelled documents of each class; the bias starts from the sample's shares."""
+    """Train on at most `per_class` labelled documents of each class. The log-odds of the classes among all labels take the
+    place of those that the bound leaves in the sample, so the size of the input does not move the scores."""
     sample = labelled_sample(docs, labels, label, per_class)
-    return train(sample["text"].tolist(), sample["label"].tolist())
+    model = train(sample["text"].tolist(), sample["label"].tolist())
+    counted = dict(_labelled(labels, label).groupBy("label").count().collect())  # at most two rows
+    odds = lambda most: np.log((min(counted.get(1, 0), most) + 0.5) / (min(counted.get(0, 0), most) + 0.5))
+    return Model(model.share, model.bias + odds(max(counted.values(), default=0)) - odds(per_class))
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", keep: Sequence[str] | None = None) -> DataFrame:

@@ -219,3 +219,10 @@ def test_ctw_without_training_rows_or_rows(spark):
     bits = {r["doc_id"]: -r["score"] / math.log10(2) for r in got}
     assert bits[1] - bits[2] == pytest.approx(8 * 3)
     assert ctw.score(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_the_bound_of_the_quality_sample_does_not_move_scores(spark):
+    docs, labels = many(spark)
+    labels = labels.withColumn("quality", (F.col("doc_id") % 10 != 0).cast("int"))
+    empty = [quality.fit(docs, labels, per_class=n).scores([""])[0] for n in (1000, 20)]
+    assert abs(empty[0] - empty[1]) < 0.05 and min(empty) > 0.8
