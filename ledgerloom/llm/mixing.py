@@ -15,14 +15,15 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, written
 
 BLOCK_CHARS = 16_384
 PERIOD = 1024
 #: A part of a source that one task orders; the hot source is dealt over as many tasks as the others together.
 SHARDS = 256
-#: The mix names its sources, so their number is a configured size, not one that grows with documents.
+#: Sources that the driver schedules by name. Beyond, the lightest are one source to it, whose blocks Spark orders.
 MOST_SOURCES = 512
+REST = "\u0000rest"
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -115,44 +116,75 @@ def blocks_of(docs: DataFrame, block_chars: int = BLOCK_CHARS, shards: int = SHA
     return docs.withColumn("_start", start).withColumn("block", F.floor(F.col("_start") / block_chars).cast("bigint")).drop("_h", "_t", "_size", "_shard", "_in_shard", "_before")
 
 
-def default_weights(sizes: dict[str, int], temperature: float = 0.5) -> dict[str, float]:
-    """Sizes raised to `temperature` and scaled to one: 1 keeps the natural shares, 0 gives every source the same."""
-    raised = {s: max(1, n) ** temperature for s, n in sizes.items()}
-    total = sum(raised.values())
-    return {s: x / total for s, x in raised.items()} if raised else {}
+def ranked_blocks(sources: DataFrame) -> DataFrame:
+    """(source_key, block, _at): the blocks of sources (s, n blocks, w) in order of deadline (block + 1) / w, from 0.
+
+    At most t blocks are due by any slot t, so each has run by its deadline: a source is never a block behind. It may be
+    ahead by its weight among them times their number, and one more. Ranks are places in a range of deadlines, shifted
+    by the ranges before, so no task orders all blocks.
+    """
+    order = ["_due", "source_key", "block"]
+    blocks = sources.select(F.col("s").alias("source_key"), "w", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("block"))
+    blocks = blocks.select("source_key", "block", ((F.col("block") + 1) / F.col("w")).alias("_due")).repartitionByRange(SHARDS, *order)
+    blocks = written(blocks.withColumn("_range", F.spark_partition_id()), "blocks")
+    before = blocks.groupBy("_range").count().withColumn("_before", F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))  # SHARDS rows
+    blocks = blocks.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).join(F.broadcast(before), "_range")
+    return blocks.select("source_key", "block", (F.coalesce("_before", F.lit(0)) + F.col("_n") - 1).alias("_at"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_chars: int = BLOCK_CHARS, period: int = PERIOD, most_sources: int = MOST_SOURCES) -> DataFrame:
     """Every document with its place in the mix; no row is dropped.
 
     Adds block (of its source, from 0), slot (from 0, null for a source without a weight), phase and in_mix (phase 0:
     all sources still have blocks, and the share of each is its target to less than a block at every slot), release
     and deadline (within the phase, in slots). `weights` is by source; null sources are called "\\0null". Without it,
-    sizes to the power `temperature` are taken. Empty tables give empty results; clashing extra columns are replaced.
+    sizes to the power `temperature` are taken: 1 keeps the natural shares, 0 gives every source the same. Empty tables give empty results; clashing extra columns are replaced.
+
+    Beyond `most_sources` sources the lightest are scheduled as one, with their weights and blocks together, and inside
+    it by ranked_blocks(); phase, release and deadline are then those of the whole, and the blocks of a light source
+    that runs out go to the other light ones.
     """
     spark = docs.sparkSession
     added = ["block", "slot", "phase", "in_mix", "release", "deadline", "source_key"]
     docs = docs.drop(*added)
     sizes = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("\u0000null")).alias("s")).agg(F.sum(F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint") + 1).alias("n"))
-    found = {r[0]: r[1] for r in sizes.limit(MOST_SOURCES + 1).collect()}
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: map them to fewer first")
-    weights = default_weights(found, temperature) if weights is None else weights
-    plan = phases({s: -(-n // block_chars) for s, n in found.items()}, weights, period)
-    rows = [
-        (s, ph, part["from"][s], part["from"][s] + part["used"][s], part["share"][s], len(part["order"]), part["start"], [i for i, x in enumerate(part["order"]) if x == s])
-        for ph, part in enumerate(plan) for s in part["share"]
-    ]
-    table = spark.createDataFrame(rows, "source_key string, phase int, _from bigint, _to bigint, _share bigint, _period bigint, _first bigint, _offsets array<int>")
+    if weights is None:
+        sizes = sizes.withColumn("w", F.pow(F.col("n"), F.lit(temperature)))
+    else:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "s string, w double") if weights else sizes.select("s", F.lit(None).cast("double").alias("w")).limit(0)
+        sizes = sizes.join(given, "s").filter("w > 0")
+    sizes = written(sizes.withColumn("n", F.expr(f"(n + {block_chars - 1}) div {block_chars}")), "sizes")
+    heaviest = sizes.orderBy(F.desc("w"), "s")
+    found = heaviest.limit(most_sources + 1).collect()
+    rest = None
+    if len(found) > most_sources:
+        found = found[: most_sources - 1]
+        names = spark.createDataFrame([(r["s"],) for r in found], "s string")
+        rest = sizes.join(F.broadcast(names), "s", "left_anti")
+        found.append(rest.agg(F.lit(REST).alias("s"), F.sum("n").alias("n"), F.sum("w").alias("w")).first())
+    plan = phases({r["s"]: r["n"] for r in found}, {r["s"]: r["w"] for r in found}, period)
+    rows = []
+    for ph, part in enumerate(plan):
+        places: dict[str, list[int]] = {s: [] for s in part["share"]}
+        for i, s in enumerate(part["order"]):
+            places[s].append(i)
+        rows += [(s, ph, part["from"][s], part["from"][s] + part["used"][s], part["share"][s], len(part["order"]), part["start"], places[s]) for s in part["share"]]
+    table = spark.createDataFrame(rows, "_unit string, phase int, _from bigint, _to bigint, _share bigint, _period bigint, _first bigint, _offsets array<int>")
     # Names of sources and of one period's slots: at most MOST_SOURCES phases of `period` slots.
-    placed = blocks_of(docs, block_chars).alias("d")
-    on = (F.col("d.source_key") == F.col("p.source_key")) & (F.col("d.block") >= F.col("p._from")) & (F.col("d.block") < F.col("p._to"))
-    placed = placed.join(F.broadcast(table.alias("p")), on, "left")
-    k = F.col("block") - F.col("_from")
-    in_period = F.expr("cast((block - _from) % _share as int)")
+    placed = blocks_of(docs, block_chars)
+    if rest is None:
+        placed = placed.withColumns({"_unit": F.col("source_key"), "_at": F.col("block")})
+    else:
+        # A document of a scheduled source has no rank; a block of the rest is placed by its own.
+        placed = placed.join(ranked_blocks(rest), ["source_key", "block"], "left")
+        placed = placed.withColumns({"_unit": F.when(F.col("_at").isNull(), F.col("source_key")).otherwise(F.lit(REST)), "_at": F.coalesce("_at", "block")})
+    on = (F.col("d._unit") == F.col("p._unit")) & (F.col("d._at") >= F.col("p._from")) & (F.col("d._at") < F.col("p._to"))
+    placed = placed.alias("d").join(F.broadcast(table.alias("p")), on, "left")
+    k = F.col("_at") - F.col("_from")
+    in_period = F.expr("cast((_at - _from) % _share as int)")
     return placed.select(
         *[F.col(f"d.{c}") for c in docs.columns], F.col("d.block"),
-        (F.col("_first") + F.expr("(block - _from) div _share") * F.col("_period") + F.get("_offsets", in_period)).alias("slot"), "phase", F.coalesce(F.col("phase") == 0, F.lit(False)).alias("in_mix"),
+        (F.col("_first") + F.expr("(_at - _from) div _share") * F.col("_period") + F.get("_offsets", in_period)).alias("slot"), "phase", F.coalesce(F.col("phase") == 0, F.lit(False)).alias("in_mix"),
         F.floor(k * F.col("_period") / F.col("_share")).alias("release"), F.ceil((k + 1) * F.col("_period") / F.col("_share")).alias("deadline"), F.col("d._start").alias("source_start"),
     )
 

@@ -77,7 +77,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_column: str = "url", default:
     )
     listed = listed.groupBy("rule", "rule_host", "rule_path").agg(F.max("blocks").alias("blocks"))
     n_rules = listed.count()
-    lengths = [r[0] for r in listed.select("rule_path").distinct().orderBy("rule_path").limit(4096).collect()]
+    # Every length: k distinct ones take rules of k^2 / 2 characters together, so the list stays short.
+    lengths = [r[0] for r in listed.select("rule_path").distinct().orderBy("rule_path").collect()]
 
     base = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url_column)), "path": path_of(F.col(url_column))})
     if n_rules == 0 or not lengths:
@@ -85,7 +86,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_column: str = "url", default:
 
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
+    listed_lengths = F.array(*[F.lit(n) for n in lengths]) if len(lengths) <= 64 else F.from_json(F.lit(str(lengths)), "array<int>")
+    prefixes = F.filter(listed_lengths, lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda n: F.struct(F.concat(s, F.substring(F.col("path"), F.lit(1), n)).alias("rule"), F.length(s).alias("rule_host")))))
     words = 1
     while words < n_rules * WORDS_PER_RULE:
@@ -99,7 +101,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_column: str = "url", default:
     hits = base.select("_row", F.inline("_hits"))
     exact = F.broadcast(listed) if n_rules <= MOST_BROADCAST_RULES else listed.hint("shuffle_hash")
     # One number orders the hits of a url: total length, then host length. Both give the rule back from the url itself.
-    code = (F.length("rule") * 65536 + F.col("rule_host")).cast("bigint") * 2 + F.col("blocks")
+    code = (F.length("rule").cast("bigint") * 65536 + F.col("rule_host")) * 2 + F.col("blocks")
     winners = hits.join(exact, ["rule", "rule_host"]).groupBy("_row").agg(F.max(code).alias("_code"))
     judged = base.drop("_hits").join(winners, "_row", "left")
     host_length = F.expr("cast(shiftright(_code, 1) % 65536 as int)")

@@ -131,6 +131,17 @@ def test_the_kept_mix_has_every_document_of_hot_and_tiny_sources(spark):
     assert [slot[i] for i in got] == sorted(slot.values())
 
 
+def test_more_sources_than_the_driver_schedules(spark):
+    sources = [f"s{i % 20}" for i in range(400)] + ["big"] * 300 + [None] * 100
+    docs = docs_of(spark, ["w" * 99] * len(sources), sources)
+    few, all_of_them = (mixing.mix(docs, block_chars=500, period=32, most_sources=n).toPandas() for n in (8, 512))
+    for out in (few, all_of_them):
+        assert sorted(out["doc_id"]) == list(range(len(sources)))
+        assert len(out.groupby("slot")["source"].nunique(dropna=False)) == 60 + 20 + 4 * 20 and (out.groupby("slot")["source"].nunique(dropna=False) == 1).all()
+        assert out["slot"].max() == 159
+    assert mixing.mix(docs_of(spark, ["x"] * 600, [f"site{i}" for i in range(600)])).filter("slot is not null").select("slot").distinct().count() == 600
+
+
 # Near duplicates.
 def brute_links(texts, similarity=0.8):
     sets = []
@@ -257,3 +268,10 @@ def test_urls_against_plain_rules(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, rule, verdict)
     assert url_filter.judge(pages, rules.limit(0)).filter("verdict <> 'allow'").count() == 0
     assert url_filter.judge(pages.limit(0), rules).count() == 0
+
+
+def test_urls_with_more_rule_lengths_than_a_short_list(spark):
+    rules = spark.createDataFrame([("a.b", "/" + "x" * i, "allow") for i in range(4100)] + [("a.b", "/" + "y" * 40_000, "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.b/" + "x" * 4098), (2, "http://a.b/" + "y" * 40_001), (3, "http://a.b/" + "x" * 9)], "page_id bigint, url string")
+    got = {r["page_id"]: (len(r["rule"]), r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {1: (3 + 4099, "allow"), 2: (3 + 40_001, "block"), 3: (3 + 10, "allow")}
