@@ -1,20 +1,20 @@
 """Links between records: exact keys, nearness, mutual uniqueness, and assignments that use up what they take.
 
 Candidates come from joins on an equal key with the range conditions beside it. Where each choice takes something that
-later choices could have had (a payment's remaining amount, a bill), the choices are made one after the other, but only
-within a connected component of the candidates: those share nothing with any other, so components run in parallel.
+later choices could have had (a payment's remaining amount, a bill), the result is that of choices made one after the
+other, but they are made in rounds: each takes all choices that no earlier open one can change, and what they use up
+goes. Rounds are joins, so a component of candidates of any size needs no task of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import compact, long_words
-from .components import components
+from .components import cut
 
 #: Windows of the rules (fixed values): minutes, days, and shares in percent.
 LOOSE_MINUTES, CARD_DAYS, UPI_DAYS, FILE_DAYS, REFUND_DAYS = 10, 3, 1, 3, 180
@@ -83,24 +83,6 @@ def mutually_unique(payments: DataFrame, bills: DataFrame, tolerance: int = 100,
     return pairs.withColumns({"_p": alone("payment"), "_b": alone("bill")}).filter("_p and _b").select("payment", "bill")
 
 
-def _by_component(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Candidate pairs with the number of their component."""
-    edges = pairs.select(F.xxhash64(F.lit("l"), left).alias("a"), F.xxhash64(F.lit("r"), right).alias("b"))
-    roots = components(edges)
-    return pairs.withColumn("_v", F.xxhash64(F.lit("l"), left)).join(roots.withColumnRenamed("v", "_v"), "_v").drop("_v").withColumnRenamed("root", "component")
-
-
-def _by_group(pairs: DataFrame, left: str, group: Column) -> DataFrame:
-    """Candidate pairs with a component made of whole groups: two groups are one where a `left` has candidates in both.
-
-    Most have candidates in one group alone, so the graph between groups is small whatever the number of pairs.
-    """
-    own = pairs.withColumn("_g", group)
-    links = own.groupBy(left).agg(F.min("_g").alias("a"), F.collect_set("_g").alias("_all")).filter(F.size("_all") > 1).select("a", F.explode("_all").alias("b")).filter("a <> b").distinct()
-    roots = components(links).select(F.col("v").alias("_g"), "root")
-    return own.join(roots, "_g", "left").withColumn("component", F.coalesce("root", "_g")).drop("_g", "root")
-
-
 def refund_candidates(payments: DataFrame, refunds: DataFrame, days: int = REFUND_DAYS) -> DataFrame:
     """(refund, payment, tier, ...): payments that a refund may belong to, by reference (1), shop (2), or card and exact
     amount (3), not later than the refund and at most `days` before it."""
@@ -122,38 +104,36 @@ def assign_refunds(payments: DataFrame, refunds: DataFrame, days: int = REFUND_D
 
     A payment is used up as refunds take from it, whichever way they found it, so all three ways are decided together.
     """
-    pairs = _by_group(refund_candidates(payments, refunds, days), "refund", F.xxhash64("owner_shop"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        left = dict(zip(part["payment"], part["budget"], strict=True))
-        out = []
-        part = part.assign(_exact=part["cents"] != part["budget"])
-        ordered = part.sort_values(["back_at", "refund", "tier", "_exact", "paid_at", "payment"], ascending=[True, True, True, True, False, True])
-        done = None
-        for refund, payment, cents, tier in ordered[["refund", "payment", "cents", "tier"]].itertuples(index=False):
-            if refund != done and left[payment] >= cents:
-                left[payment] -= cents
-                out.append((refund, payment, tier))
-                done = refund
-        return pd.DataFrame(out, columns=["refund", "payment", "tier"])
-
-    return pairs.groupBy("component").applyInPandas(run, "refund bigint, payment bigint, tier int")
+    same = ["refund", "payment", "back_at", "paid_at", "cents", F.col("budget").alias("left"), (F.col("cents") != F.col("budget")).alias("inexact")]
+    pairs = refund_candidates(payments, refunds, days).groupBy(*same).agg(F.min("tier").alias("tier"))
+    own = Window.partitionBy("refund").orderBy("tier", "inexact", F.desc("paid_at"), "payment")
+    # A refund's first payment that can cover it is its own for sure if it can cover all earlier ones besides.
+    earlier = Window.partitionBy("payment").orderBy(F.asc_nulls_last("back_at"), "refund").rowsBetween(Window.unboundedPreceding, 0)
+    out = None
+    while True:
+        pairs = cut(pairs.withColumns({"_n": F.row_number().over(own), "_taken": F.sum("cents").over(earlier)}))
+        accepted = pairs.filter("_n = 1 and _taken <= left")
+        taken = accepted.select("refund", "payment", "tier")
+        out = taken if out is None else out.unionByName(taken)
+        if pairs.isEmpty():
+            return out
+        debits = accepted.groupBy("payment").agg(F.sum("cents").alias("_debit"))
+        pairs = pairs.drop("_n", "_taken").join(accepted.select("refund"), "refund", "left_anti").join(debits, "payment", "left")
+        pairs = pairs.withColumn("left", F.col("left") - F.coalesce("_debit", F.lit(0))).drop("_debit").filter("left >= cents")
 
 
 def one_to_one(pairs: DataFrame, left: str, right: str, order: Iterable[str]) -> DataFrame:
     """Pairs taken in order of `order`, then of the two numbers; each left and each right is used once."""
     columns = [*order, left, right]
-    placed = _by_component(pairs.select(*dict.fromkeys(columns)), left, right)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        used_left, used_right, out = set(), set(), []
-        for a, b in part.sort_values(columns)[[left, right]].itertuples(index=False):
-            if a not in used_left and b not in used_right:
-                used_left.add(a), used_right.add(b)
-                out.append((a, b))
-        return pd.DataFrame(out, columns=[left, right])
-
-    return placed.groupBy("component").applyInPandas(run, f"{left} bigint, {right} bigint")
+    pairs, out = cut(pairs.select(F.struct(*dict.fromkeys(columns)).alias("_o"), left, right)), None
+    while True:
+        # The first pair of both its sides is taken whatever becomes of the others.
+        first = lambda side: pairs.groupBy(side).agg(F.min("_o").alias("_o"))  # noqa: B023, E731
+        taken = cut(first(left).join(first(right), "_o").select(left, right))
+        out = taken if out is None else out.unionByName(taken)
+        if taken.isEmpty():
+            return out
+        pairs = cut(pairs.join(taken.select(left), left, "left_anti").join(taken.select(right), right, "left_anti"))
 
 
 def link_bills(payments: DataFrame, bills: DataFrame, minutes: int = BILL_MINUTES, percent: int = BILL_PERCENT) -> DataFrame:

@@ -117,6 +117,28 @@ def test_bills_are_linked_once(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 11), (2, 12)]
 
 
+def test_bills_of_one_large_component_equal_a_fold(spark):
+    rng = random.Random(6)
+    pairs = list({(rng.randint(1, 60), rng.randint(1, 60)): rng.randint(0, 9) for _ in range(600)}.items())
+    want, lefts, rights = set(), set(), set()
+    for (a, b), _ in sorted(pairs, key=lambda p: (p[1], *p[0])):
+        if a not in lefts and b not in rights:
+            want.add((a, b)), lefts.add(a), rights.add(b)
+    got = matching.one_to_one(spark.createDataFrame([(a, b, n) for (a, b), n in pairs], "l bigint, r bigint, apart int"), "l", "r", ["apart"])
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+
+
+def test_refunds_of_one_shop_are_not_one_group(spark):
+    t = dt.datetime(2024, 1, 1)
+    payments = [(1, t, 1000, "p", "x", None), (2, t + dt.timedelta(hours=1), 250, "p", "x", None)]
+    refunds = [(10 + i, t + dt.timedelta(hours=2 + i), 100, "p", "x", None) for i in range(14)]
+    schema = "id bigint, ts timestamp_ntz, cents bigint, shop string, card string, ref string"
+    got = matching.assign_refunds(spark.createDataFrame(payments, schema), spark.createDataFrame(refunds, schema), days=30)
+    assert {r["refund"]: r["payment"] for r in got.collect()} == {10: 2, 11: 2} | {10 + i: 1 for i in range(2, 12)}
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+
+
 def test_components_of_links(spark):
     links = [(i, i + 1) for i in range(12)] + [(20, 5), (30, 31)]
     got = {r["v"]: r["root"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
