@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import in_pieces, map_texts, read_table, remainder, small_batches, sums, texts_of, written
 
 DEPTH = 5
-#: Profiles of texts, and the training texts (those of the smallest hashes) and words that they are fitted on, at most.
-PROFILES, PROFILE_TEXTS, PROFILE_WORDS = 8, 1000, 256
+#: Profiles of texts, the frequent words that they tell apart, and the rounds in which they are fitted, at most.
+PROFILES, PROFILE_WORDS, PROFILE_ROUNDS = 8, 256, 10
 SPACE, END = 0x20, 0xFF  # END is in no UTF-8 text
 #: Words that the scan of the documents looks up itself, at most; those beyond go through a join.
 HEAD = 300_000
@@ -46,32 +46,11 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Profiles:
-    """A mixture of word distributions over frequent words, fitted by hard assignment; any text gets the likeliest."""
-
-    def __init__(self, texts: Sequence[str], rounds: int = 10):
-        bags = [Counter(words_of(t)) for t in texts]
-        seen = Counter(w for bag in bags for w in bag)
-        self.index = {w: i for i, (w, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:PROFILE_WORDS])}
-        x = np.zeros((len(bags), len(self.index)))
-        for i, bag in enumerate(bags):
-            for w, n in bag.items():
-                if w in self.index:
-                    x[i, self.index[w]] = n
-        self.logs = np.zeros((PROFILES, len(self.index)))
-        if not x.any():
-            return
-        # Each further start is the text that the ones so far explain worst, word for word.
-        share = (x + 0.1) / (x + 0.1).sum(1, keepdims=True)
-        size = np.maximum(1, x.sum(1))
-        picked = [int(x.sum(1).argmax())]
-        for _ in range(PROFILES - 1):
-            fit = (x @ np.log(share[picked]).T).max(1) / size
-            picked.append(int(np.where(x.sum(1) >= np.median(x.sum(1)), fit, np.inf).argmin()))
-        self.logs = np.log(share[picked])
-        for _ in range(rounds):
-            own = self.of(x)
-            total = np.stack([x[own == k].sum(0) for k in range(PROFILES)]) + 0.1
-            self.logs = np.log(total / total.sum(1, keepdims=True))
+    """A mixture of word distributions over frequent words (`logs`, a row for each profile); any text gets the likeliest."""
+
+    def __init__(self, words: Sequence[bytes], logs: np.ndarray | None = None):
+        self.index = {w: i for i, w in enumerate(words)}
+        self.logs = np.zeros((PROFILES, len(words))) if logs is None else logs
 
     def of(self, counts: np.ndarray) -> np.ndarray:
         """The profile for each row of counts of the frequent words; a tie goes to the first."""
@@ -84,9 +63,92 @@ class Profiles:
         return int(self.of(x)[0])
 
 
-def fit_profiles(docs: DataFrame, train: Column) -> Profiles:
-    sample = docs.filter(train).select(F.coalesce("text", F.lit("")).alias("text")).orderBy(F.xxhash64("text"), "text").limit(PROFILE_TEXTS)
-    return Profiles([r[0] for r in sample.collect()])
+def frequent_words(texts: DataFrame, most: int = PROFILE_WORDS) -> list[bytes]:
+    """The `most` words that `texts` has most often."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for batch in in_pieces(batches):
+            for text in texts_of(batch):
+                seen.update(words_of(text))
+            if len(seen) > FLUSH:
+                yield pd.DataFrame({"token": list(seen), "n": list(seen.values())})
+                seen.clear()
+        yield pd.DataFrame({"token": list(seen), "n": list(seen.values())})
+
+    counted = texts.mapInPandas(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return [bytes(r[0]) for r in counted.orderBy(F.desc("n"), "token").limit(most).collect()]
+
+
+def _dense(batch: pd.DataFrame, width: int) -> np.ndarray:
+    """The rows of counts that fit_profiles() packs."""
+    x = np.zeros((len(batch), width))
+    x[np.repeat(np.arange(len(batch)), batch["at"].map(len)), np.frombuffer(b"".join(batch["at"]), np.uint8)] = np.frombuffer(b"".join(batch["n"]), np.int32)
+    return x
+
+
+def _start(vectors: DataFrame, logs: np.ndarray, width: int) -> np.ndarray:
+    """The log shares of one text, drawn by hash with chances in proportion to what the profiles so far leave unexplained."""
+    k = len(logs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = _dense(batch, width)
+                share = (x + 0.1) / (x + 0.1).sum(1, keepdims=True)
+                short = (x * np.log(share)).sum(1) - (x @ logs.T).max(1) if k else x.sum(1)
+                drawn = np.array([(int(h[2 * k : 2 * k + 13], 16) + 1) / (16**13 + 1) for h in batch["h"]])
+                least = batch.assign(rank=-np.log(drawn) / np.maximum(short, 1e-9)).sort_values(["rank", "h"])
+                yield least[["rank", "h", "at", "n"]].head(1)
+
+    found = vectors.mapInPandas(run, "rank double, h string, at binary, n binary").orderBy("rank", "h").limit(1).toPandas()
+    x = _dense(found, width) + 0.1
+    return np.log(x / x.sum(1, keepdims=True))
+
+
+def fit_profiles(docs: DataFrame, train: Column, rounds: int = PROFILE_ROUNDS) -> Profiles:
+    """Profiles fitted by hard assignment to all distinct training texts. Only the frequent words, one text a start and the
+    sums of a round (PROFILES rows of PROFILE_WORDS counts) come to the driver."""
+    small_batches(docs.sparkSession)
+    texts = docs.filter(train).select(F.coalesce("text", F.lit("")).alias("text"))
+    words = frequent_words(texts.distinct())
+    index, width = {w: i for i, w in enumerate(words)}, len(words)
+    if not words:
+        return Profiles(words)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in in_pieces(batches):
+            at, n = [], []
+            for text in texts_of(batch):
+                bag = Counter(filter(index.__contains__, words_of(text)))
+                at.append(np.fromiter(map(index.__getitem__, bag), np.uint8, len(bag)).tobytes())
+                n.append(np.fromiter(bag.values(), np.int32, len(bag)).tobytes())
+            yield pd.DataFrame({"h": batch["h"].tolist(), "at": at, "n": n})
+
+    vectors = texts.withColumn("h", F.md5("text")).mapInPandas(pack, "h string, at binary, n binary")
+    vectors = written(vectors.filter(F.length("at") > 0).dropDuplicates(["h"]), "vectors")
+    logs = np.zeros((0, width))
+    for _ in range(PROFILES):
+        logs = np.concatenate([logs, _start(vectors, logs, width)])
+    before = None
+    for _ in range(rounds):
+        profiles = Profiles(words, logs)
+
+        def assign(batches: Iterator[pd.DataFrame], profiles: Profiles = profiles) -> Iterator[pd.DataFrame]:
+            total = np.zeros((PROFILES, width))
+            for batch in batches:
+                x = _dense(batch, width)
+                np.add.at(total, profiles.of(x), x)
+            k, w = np.nonzero(total)
+            yield pd.DataFrame({"k": k, "w": w, "n": total[k, w].astype(np.int64)})
+
+        sums_of = vectors.mapInPandas(assign, "k bigint, w bigint, n bigint").groupBy("k", "w").agg(F.sum("n").alias("n")).toPandas()
+        total = np.full((PROFILES, width), 0.1)
+        total[sums_of["k"], sums_of["w"]] += sums_of["n"]
+        if before is not None and (total == before).all():
+            break
+        before, logs = total, np.log(total / total.sum(1, keepdims=True))
+    return Profiles(words, logs)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:

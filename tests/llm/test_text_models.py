@@ -226,3 +226,16 @@ def test_the_bound_of_the_quality_sample_does_not_move_scores(spark):
     labels = labels.withColumn("quality", (F.col("doc_id") % 10 != 0).cast("int"))
     empty = [quality.fit(docs, labels, per_class=n).scores([""])[0] for n in (1000, 20)]
     assert abs(empty[0] - empty[1]) < 0.05 and min(empty) > 0.8
+
+
+def test_ctw_profiles_are_fitted_on_all_texts_whatever_is_repeated(spark):
+    words = {"de": "der hund und die katze sind heute im garten bei uns".split(), "en": "the dog and a cat were in my garden with us".split()}
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(words[lang], 12)) for lang in words for _ in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    hot = docs.orderBy(F.xxhash64("text"), "text").first()[0]
+    docs = docs.unionByName(spark.createDataFrame([(hot,)] * 1100, "text string"))
+    profiles = ctw.fit_profiles(docs, F.lit(True))
+    assert {w.encode() for lang in words for w in words[lang]} <= profiles.index.keys()
+    own = [{profiles.of_words(ctw.words_of(t)) for t in part} for part in (texts[:40], texts[40:])]
+    assert not own[0] & own[1]
