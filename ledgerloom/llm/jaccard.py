@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, their whole shingle sets decide.
+"""N-gram Jaccard join: MinHash banding finds candidates, their whole shingle sets decide.
 
-A text is the set of its runs of `WORDS` words (lower-cased, between white space). Each tree of the forest orders texts by
-a label of MinHash values; texts that share a prefix of a label meet in one node of its trie. A pair of similarity s
-shares a prefix of k values with probability s^k in each tree, so prefixes are shortened, from whole labels on, until
-1 - (1 - s^k)^trees reaches the target recall at the least similarity asked for.
+A text is the set of its runs of `WORDS` words (lower-cased, between white space). In each of the trees it has one key of k
+MinHash values; texts with equal keys meet in one node. A pair of similarity s does so with probability s^k in each tree,
+and k is the largest with which 1 - (1 - s^k)^trees reaches the target recall at the least similarity asked for. This fixed
+depth stands in for the adaptive prefixes of an LSH forest.
 
 Nodes only say which texts may be connected: their components are cut into cells of bounded size, and within a cell
 every pair is compared exactly. Equal texts are folded to one before all this and unfolded at the end, so neither a large
