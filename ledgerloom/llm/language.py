@@ -31,17 +31,14 @@ LEAST_SCORE = 0.5
 NO_LANGUAGE = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Longer words are cut here: the vocabulary has no piece as long, and a lattice stays small.
-LONGEST_WORD = 64
+#: Longer words are gone through one by one, and take no part in the fit; a lattice of the others stays small.
+LATTICE_LETTERS = 64
 #: Words of one lattice: its arrays take about 10 MB.
 LATTICE_WORDS = 5_000
 
 
 def words_of(text: str) -> list[str]:
-    words = _WORD.findall(text.lower())
-    if any(len(w) > LONGEST_WORD for w in words):
-        return [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
-    return words
+    return _WORD.findall(text.lower())
 
 
 @lru_cache(maxsize=2)
@@ -119,6 +116,27 @@ class Lattice:
         return out
 
 
+def long_likelihood(word: str, p: np.ndarray, pieces: dict[str, int], longest: int) -> np.ndarray:
+    """The log likelihood of one word of any length in each language: the same sum as Lattice.forward(), with the last
+    `longest` positions alone in memory, scaled so that none underflows."""
+    text = "▁" + word
+    alpha, scale = [np.ones(p.shape[0])], np.zeros(p.shape[0])
+    for j in range(1, len(text) + 1):
+        single = pieces.get(text[j - 1 : j], 0)
+        total = alpha[-1] * p[:, single]
+        for n in range(2, len(alpha) + 1):
+            k = pieces.get(text[j - n : j])
+            if k is not None:
+                total = total + alpha[-n] * p[:, k]
+        alpha.append(total)
+        if len(alpha) > longest:
+            del alpha[0]
+        if j % 32 == 0:
+            top = np.maximum(np.max(alpha, axis=0), 1e-300)
+            alpha, scale = [a / top for a in alpha], scale + np.log(top)
+    return np.log(np.maximum(alpha[-1], 1e-300)) + scale
+
+
 class Model:
     def __init__(self, languages: Sequence[str], p: np.ndarray, path: str | None = None):
         self.languages, self.p, self.path = list(languages), p.astype(np.float64), path
@@ -127,8 +145,15 @@ class Model:
     def word_values(self, words: Sequence[str]) -> np.ndarray:
         pieces = vocabulary(self.path)
         longest = max(map(len, pieces))
-        parts = [Lattice(words[i : i + LATTICE_WORDS], pieces, longest).likelihoods(self.p) for i in range(0, len(words), LATTICE_WORDS)]
-        return np.concatenate([np.zeros((0, len(self.languages))), *parts])
+        out = np.zeros((len(words), len(self.languages)))
+        short = [i for i, w in enumerate(words) if len(w) <= LATTICE_LETTERS]
+        for a in range(0, len(short), LATTICE_WORDS):
+            at = short[a : a + LATTICE_WORDS]
+            out[at] = Lattice([words[i] for i in at], pieces, longest).likelihoods(self.p)
+        for i, w in enumerate(words):
+            if len(w) > LATTICE_LETTERS:
+                out[i] = long_likelihood(w, self.p, pieces, longest)
+        return out
 
     def predict(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(language, posterior under equal priors); NO_LANGUAGE and 0 for a text without letters or an empty model."""
@@ -153,7 +178,7 @@ def train(texts: Sequence[str], languages: Sequence[str], path: str | None = Non
     seen = {n: Counter() for n in names}
     for t, lang in zip(texts, languages, strict=True):
         seen[lang].update(words_of(t))
-    words = sorted(set().union(*seen.values()))
+    words = sorted(w for w in set().union(*seen.values()) if len(w) <= LATTICE_LETTERS)
     counts = np.array([[seen[n][w] for w in words] for n in names], np.float64)
     p = np.full((len(names), len(pieces) + 1), 1 / (len(pieces) + 1))
     longest = max(map(len, pieces))
