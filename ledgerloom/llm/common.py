@@ -34,9 +34,12 @@ def remainder(column: str, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (a local test) a temporary one is set for the session."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one is set for a session on one machine; on a
+    cluster, whose machines would each have their own, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -8,15 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import read_table, written
+
 #: One block is one 64-bit word: a probe touches one word, whatever the number of bits set in it.
 BITS_PER_KEY_SET = 4
 #: Words of filter for each rule (64 bits for four set bits: under one false hit in a thousand).
 WORDS_PER_RULE = 1
-#: Rules beyond this number are not filtered but joined directly by hash: the filter travels with every task,
-#: so its size has this bound (8 bytes a word).
+#: The filter travels with every task, so it has at most so many words (8 MB). A longer list of rules fills the words
+#: more, and more false hits go on to the exact join; the results stay.
 MOST_WORDS = 1 << 20
-#: Rules are broadcast to the exact join up to this many rows, else both sides are shuffled.
-MOST_BROADCAST_RULES = 100_000
+#: A side of a join is broadcast up to so many rows and bytes of text, else both sides are shuffled.
+MOST_BROADCAST_ROWS, MOST_BROADCAST_BYTES = 200_000, 32 << 20
+#: Parts that a url which very many pages share is dealt over, where verdicts come back by a shuffle.
+SALTS = 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,31 +61,39 @@ def blocked_bloom(rules: DataFrame, words: int) -> Column:
     return F.array(*[F.lit(b).cast("bigint") for b in table]) if words <= 64 else F.from_json(F.lit(str(table)), "array<bigint>")
 
 
-def judge(pages: DataFrame, rules: DataFrame, url_column: str = "url", default: str = "allow") -> DataFrame:
+def _small(rows: DataFrame, *texts: str) -> bool:
+    """Whether the rows, with these columns of text, are small enough to be broadcast."""
+    size = F.coalesce(F.sum(sum((F.octet_length(c) for c in texts), F.lit(0)).cast("bigint")), F.lit(0))
+    n, length = rows.agg(F.count(F.lit(1)), size).first()
+    return n <= MOST_BROADCAST_ROWS and length <= MOST_BROADCAST_BYTES
+
+
+def judge(pages: DataFrame, rules: DataFrame, url_column: str = "url", default: str = "allow", most_words: int = MOST_WORDS, broadcast: bool | None = None) -> DataFrame:
     """Adds host, path, rule and verdict to every page.
 
     `rules` holds (host, path, verdict). A rule fits its host and all its subdomains if the url's path starts with
     the rule's path; the longest host and path together wins, a tie goes to the longer host, and a rule listed with both
-    verdicts blocks. A page without a fitting
-    rule gets a null rule and the `default` verdict. Null urls, urls without a scheme and empty tables are no special
-    case: their host and path are empty, which no rule fits. Repeated pages each keep their row; columns of `pages`
-    named like the four results are replaced, all others stay.
+    verdicts blocks. A page without a fitting rule gets a null rule and the `default` verdict. Null urls, urls without a
+    scheme and empty tables are no special case: their host and path are empty, which no rule fits. Rules without a host
+    fit nothing, a null path is the empty one. Repeated pages each keep their row; columns of `pages` named like the four
+    results are replaced, all others stay.
 
     Candidate keys of a url are its host suffixes times the prefixes of its path of lengths that some rule has. They are
-    tested against the blocked Bloom filter inside the row; only possible hits are exploded and joined exactly.
+    tested against the blocked Bloom filter inside the row. Only urls with a possible hit go on, each distinct one once:
+    they are exploded, joined exactly with the rules, and their verdicts are joined back by the url. Pages without a
+    possible hit never leave their task. `broadcast` forces the joins one way; by itself it depends on checked sizes.
     """
-    spark = pages.sparkSession
     path = F.coalesce("path", F.lit(""))
     listed = rules.filter(F.col("host") != "").select(
-        F.concat("host", path).alias("rule"), F.length("host").alias("rule_host"), F.length(path).alias("rule_path"), (F.col("verdict") == "block").cast("bigint").alias("blocks")
+        F.concat("host", path).alias("rule"), F.length("host").alias("rule_host"), F.length(path).alias("rule_path"), (F.col("verdict") == "block").cast("int").alias("blocks")
     )
-    listed = listed.groupBy("rule", "rule_host", "rule_path").agg(F.max("blocks").alias("blocks"))
+    listed = written(listed.groupBy("rule", "rule_host", "rule_path").agg(F.max("blocks").alias("blocks")), "rules")
     n_rules = listed.count()
     # Every length: k distinct ones take rules of k^2 / 2 characters together, so the list stays short.
     lengths = [r[0] for r in listed.select("rule_path").distinct().orderBy("rule_path").collect()]
 
-    base = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url_column)), "path": path_of(F.col(url_column))})
-    if n_rules == 0 or not lengths:
+    base = pages.withColumns({"host": host_of(F.col(url_column)), "path": path_of(F.col(url_column))}).drop("rule", "verdict")
+    if not n_rules:
         return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
 
     labels = F.split("host", r"\.")
@@ -90,25 +102,27 @@ def judge(pages: DataFrame, rules: DataFrame, url_column: str = "url", default:
     prefixes = F.filter(listed_lengths, lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda n: F.struct(F.concat(s, F.substring(F.col("path"), F.lit(1), n)).alias("rule"), F.length(s).alias("rule_host")))))
     words = 1
-    while words < n_rules * WORDS_PER_RULE:
+    while words < min(n_rules * WORDS_PER_RULE, most_words):
         words *= 2
-    if words <= MOST_WORDS:
-        table = blocked_bloom(listed, words)
-        keys = F.filter(keys, lambda k: (F.element_at(table, _word(k["rule"], words) + 1).bitwiseAND(_mask(k["rule"])) == _mask(k["rule"])))
-
-    # The row number is only a handle to bring a page's hits together again; it is fixed by the scan's splits.
-    base = base.withColumns({"_row": F.monotonically_increasing_id(), "_hits": F.when(F.col("host") != "", keys)})
-    hits = base.select("_row", F.inline("_hits"))
-    exact = F.broadcast(listed) if n_rules <= MOST_BROADCAST_RULES else listed.hint("shuffle_hash")
-    # One number orders the hits of a url: total length, then host length. Both give the rule back from the url itself.
-    code = (F.length("rule").cast("bigint") * 65536 + F.col("rule_host")) * 2 + F.col("blocks")
-    winners = hits.join(exact, ["rule", "rule_host"]).groupBy("_row").agg(F.max(code).alias("_code"))
-    judged = base.drop("_hits").join(winners, "_row", "left")
-    host_length = F.expr("cast(shiftright(_code, 1) % 65536 as int)")
-    path_length = F.expr("cast(shiftright(_code, 1) div 65536 as int)") - host_length
-    rule = F.when(F.col("_code").isNotNull(), F.concat(F.right("host", host_length), F.left("path", path_length)))
-    verdict = F.when(F.col("_code") % 2 == 1, "block").when(F.col("_code").isNotNull(), "allow").otherwise(default)
-    return judged.withColumns({"rule": rule, "verdict": verdict}).drop("_row", "_code")
+    table = blocked_bloom(listed, words)
+    keys = F.filter(keys, lambda k: F.element_at(table, _word(k["rule"], words) + 1).bitwiseAND(_mask(k["rule"])) == _mask(k["rule"]))
+    possible = F.coalesce(F.when(F.col("host") != "", F.size(keys) > 0), F.lit(False))
+
+    urls = base.filter(possible).select("host", "path").distinct()
+    hits = urls.select("host", "path", F.inline(keys))
+    few = _small(listed, "rule") if broadcast is None else broadcast
+    best = F.max(F.struct(F.length("rule").alias("length"), "rule_host", "blocks", "rule")).alias("_best")
+    winners = written(hits.join(F.broadcast(listed) if few else listed.hint("shuffle_hash"), ["rule", "rule_host"]).groupBy("host", "path").agg(best), "winners")
+    verdict = F.when(F.col("_best.blocks") == 1, "block").when(F.col("_best").isNotNull(), "allow").otherwise(default)
+    found = {"rule": F.col("_best.rule"), "verdict": verdict}
+    if _small(winners, "host", "path", "_best.rule") if broadcast is None else broadcast:
+        return base.join(F.broadcast(winners), ["host", "path"], "left").select(*base.columns, "_best").withColumns(found).drop("_best")
+    spread = [F.col(c) for c, kind in base.dtypes if "map<" not in kind and "variant" not in kind]
+    salted = base.filter(possible).withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    winners = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = salted.join(winners, ["host", "path", "_salt"], "left").select(*base.columns, "_best")
+    rest = base.filter(~possible).select(*base.columns, F.lit(None).cast(winners.schema["_best"].dataType).alias("_best"))
+    return judged.unionByName(rest).withColumns(found).drop("_best")
 
 
 #: The rules of the contract (fixed values).
@@ -116,8 +130,7 @@ CONTRACT_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import read_table
-
+    """Every page with the host and path of its url, and the longest of CONTRACT_RULES that fits it."""
     values = ", ".join(str(r) for r in CONTRACT_RULES)
     rules = spark.sql(f"SELECT * FROM VALUES {values} AS r(host, path, verdict)")
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")

@@ -248,13 +248,25 @@ def test_pack_round_trip(spark):
     assert packing.pack_documents(docs_of(spark, texts).limit(0)).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x17F), max_size=20), st.text(st.sampled_from("aÉ1_' \x01\x1f\xad\u0301。<|>\u3000'st"), max_size=12))
+def test_ids_are_those_of_the_tokenizer(a, b):
+    ids = packing.ids_of()
+    assert ids.known
+    for text in (a, b, a + b):
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == ids.whole.encode(text, add_special_tokens=False).ids
+
+
 # URLs.
-def test_urls_against_plain_rules(spark):
+@pytest.mark.parametrize(("broadcast", "most_words"), [(None, 1 << 20), (False, 1), (True, 2)])
+def test_urls_against_plain_rules(spark, broadcast, most_words):
     hosts = ["example.com", "www.example.com", "a.www.EXAMPLE.com", "site.net", "net", "com", "examplecom", "x.org", "com.evil.org"]
     urls = [f"https://{h}{p}" for h in hosts for p in ("", "/", "/en/", "/en/x?y", "/es/1#a", "/fr", "/fr/")] + [None, "", "no scheme", "://", "http://example.com?en/", "a://b://example.com/en/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("rule", F.lit("clash"))
     rules = spark.createDataFrame(url_filter.CONTRACT_RULES, "host string, path string, verdict string")
-    got = {r["page_id"]: r for r in url_filter.judge(pages, rules).collect()}
+    twice = url_filter.judge(pages.unionAll(pages), rules, most_words=most_words, broadcast=broadcast).collect()
+    got = {r["page_id"]: r for r in twice}
+    assert len(twice) == 2 * len(urls) and all(r == got[r["page_id"]] for r in twice)
     upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for i, u in enumerate(urls):
         host = path = ""

@@ -106,6 +106,18 @@ def test_language_forward_sums_all_segmentations():
     assert got == pytest.approx(math.log(total("▁abc")))
 
 
+def test_language_long_words_are_summed_whole():
+    pieces = language.vocabulary()
+    longest = max(map(len, pieces))
+    p = np.random.default_rng(0).dirichlet(np.ones(len(pieces) + 1), 3)
+    words = ["a", "hello", "zażółć", "x" * 60, "antidisestablishmentarianism" * 2]
+    alone = np.array([language.long_likelihood(w, p, pieces, longest) for w in words])
+    assert alone == pytest.approx(language.Lattice(words, pieces, longest).likelihoods(p))
+    model = language.Model(["a", "b", "c"], p)
+    assert model.word_values([*words, "ab" * 3000])[:-1] == pytest.approx(alone)
+    assert np.isfinite(model.word_values(["ab" * 3000])).all()
+
+
 def test_language_predicts_and_keeps(spark):
     text = {"en": "the house and the garden were with this", "de": "das haus und der garten waren nicht schön", "fr": "la maison et le jardin étaient très beaux"}
     rows = [(i, text[k] + " " + text[k][: i % 9], k, "s", 1) for i, k in enumerate(["en", "de", "fr"] * 20)]
