@@ -12,8 +12,8 @@ OPERATORS = {
     "packing": (lambda d: packing.pack_documents(d), {"sequence_id", "offset", "length", "start"}),
     "near": (lambda d: jaccard.near_duplicates(d), {"class_id", "n_links", "h1", "h2"}),
     "keep": (lambda d: jaccard.keep_one(d), set()),
-    "mix": (lambda d: mixing.mix(d), {"block", "slot", "phase", "in_mix", "release", "deadline", "source_start"}),
-    "kept mix": (lambda d: mixing.keep_mixed(d), set()),
+    "mix": (lambda d: mixing.mix(d), {"block", "slot", "in_mix", "release", "deadline", "source_start"}),
+    "kept mix": (lambda d: mixing.keep_mixed(d), {"block", "slot"}),
     "edits": (lambda d: fingerprint.compare_edits(d), {"fingerprint", "value", "next_text"}),
     "fingerprint": (lambda d: fingerprint.fingerprint(d), {"fingerprint"}),
     "lm": (lambda d: ctw.score(d, F.lit(True), ("doc_id", "source")), {"score", "base_score", "n_tokens"}),

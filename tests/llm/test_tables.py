@@ -83,58 +83,77 @@ def test_fingerprint_falls_with_edits_and_sees_order(spark):
 
 
 # Mixing.
-def test_pfair_keeps_within_a_block():
-    share = {"a": 5, "b": 2, "c": 1}
-    order = mixing.one_period(share)
-    period = sum(share.values())
-    for t in range(1, period + 1):
-        for s, n in share.items():
-            assert abs(order[:t].count(s) - n / period * t) < 1
-
-
-@settings(max_examples=40, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcdef"), st.integers(1, 40), min_size=1), st.integers(0, 9))
-def test_phases_use_every_block_once(blocks, seed):
-    weights = {s: random.Random(seed + ord(s)).random() + 0.05 for s in blocks}
-    slots = {s: 0 for s in blocks}
-    at = 0
-    for phase in mixing.phases(blocks, weights, 16):
-        assert phase["start"] == at
-        at += phase["slots"]
-        for s, n in phase["used"].items():
-            slots[s] += n
-    assert slots == blocks and at == sum(blocks.values())
+def deviation(fluid, out):
+    """The largest distance of a source from its target at any slot, by the weights as they are."""
+    worst = 0.0
+    slots = np.arange(fluid.slots + 1)
+    times = np.array([fluid.time_at(t) for t in slots]) if fluid.slots < 5000 else np.interp(slots, fluid._end_slots, fluid._ends) if len(set(fluid.end)) == 1 else None
+    for s in range(len(fluid.n)):
+        ran = np.concatenate([[0], np.cumsum(out["unit"].to_numpy() == s)])
+        had = np.minimum(fluid.n[s], fluid.w[s] * (times if times is not None else slots / fluid.w.sum()))
+        worst = max(worst, float(np.abs(ran - had).max()))
+    return worst
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 60), st.floats(0.01, 5)), min_size=1, max_size=12), st.integers(1, 200))
+def test_pfair_windows_hold_and_chunks_are_one_schedule(sources, chunk):
+    fluid = mixing.Fluid([n for n, _ in sources], [w for _, w in sources])
+    out = mixing.scheduled(fluid, 0, fluid.slots)
+    assert list(out["slot"]) == list(range(sum(n for n, _ in sources)))
+    assert sorted(zip(out["unit"], out["block"])) == [(s, k) for s, (n, _) in enumerate(sources) for k in range(n)]
+    assert ((out["release"] <= out["slot"]) & (out["slot"] < out["deadline"])).all()
+    assert deviation(fluid, out) < 1 + 1e-5
+    parts = [mixing.scheduled(fluid, a, min(a + chunk, fluid.slots)) for a in range(0, fluid.slots, chunk)]
+    assert np.concatenate(parts).tolist() == out.to_numpy().tolist()
+
+
+def test_pfair_does_not_drift_from_real_weights():
+    w = np.array([1.0, 2.0, 3.3, 0.71, 0.004]) ** 0.5
+    fluid = mixing.Fluid(np.full(5, 10**7), w)
+    out = mixing.scheduled(fluid, 0, 10**6)
+    for s in range(5):
+        assert np.abs(np.cumsum(out["unit"].to_numpy() == s) - np.arange(1, 10**6 + 1) * w[s] / w.sum()).max() < 1
+    assert mixing.scheduled(fluid, 900_000, 900_500).to_numpy().tolist() == out.iloc[900_000:900_500].to_numpy().tolist()
 
 
 def test_mix_keeps_all_rows_and_the_target_shares(spark):
     rng = random.Random(4)
     sources = [rng.choice(["a", "a", "a", "b", "c", None]) for _ in range(600)]
     docs = docs_of(spark, ["w" * rng.randint(0, 400) for _ in sources], sources).withColumn("slot", F.lit(-1))
-    out = mixing.mix(docs, {"a": 1, "b": 1, "c": 1, "\0null": 1}, block_chars=500, period=8).toPandas()
+    out = mixing.mix(docs, {"a": 1, "b": 2.5, "c": 1.7, "\0null": 0.6}, block_chars=500, chunk_slots=16).toPandas()
     assert len(out) == 600 and out["doc_id"].is_unique and out["slot"].notna().all()
-    blocks = out.drop_duplicates(["source_key" if "source_key" in out else "source", "block"])
-    proper = blocks[blocks["in_mix"]].sort_values("slot")
-    last = int(proper["slot"].max()) + 1
-    for t in range(1, last + 1):
-        for n in proper[proper["slot"] < t]["source"].fillna("").value_counts():
-            assert abs(n - t / 4) <= 2  # a block in which no document starts has no row here
-    assert mixing.keep_mixed(docs.drop("slot"), block_chars=500).columns == docs.drop("slot").columns
+    # The same by one pass over the documents of each source, in order of (part, id hash, id).
+    hashes = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64("doc_id")).collect()}
+    names = ["b", "c", "a", "\0null"]  # by weight
+    at, starts = dict.fromkeys(names, 0), {}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for i in sorted(hashes, key=lambda i: (hashes[i] % mixing.SHARDS, hashes[i])):
+        starts[i] = at[sources[i] or "\0null"]
+        at[sources[i] or "\0null"] += len(texts[i]) + 1
+    fluid = mixing.Fluid([-(-at[s] // 500) for s in names], [{"a": 1, "b": 2.5, "c": 1.7, "\0null": 0.6}[s] for s in names])
+    want = {(names[u], b): t for u, b, t in mixing.scheduled(fluid, 0, fluid.slots)[["unit", "block", "slot"]].itertuples(index=False)}
+    for r in out.itertuples():
+        assert (r.source_start, r.block) == (starts[r.doc_id], starts[r.doc_id] // 500) and r.slot == want[sources[r.doc_id] or "\0null", r.block]
+    assert deviation(fluid, mixing.scheduled(fluid, 0, fluid.slots)) < 1 + 1e-5
+    assert mixing.mix(docs, {"a": 1}).filter("slot is null and source = 'a'").count() == 0 and mixing.mix(docs, {"a": 1}).count() == 600
+    assert mixing.keep_mixed(docs, block_chars=500).columns == docs.columns
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
 def test_the_kept_mix_has_every_document_of_hot_and_tiny_sources(spark):
     sources = ["hot"] * 300 + ["b"] * 40 + ["c"] * 40 + ["one"] + [None] * 3
     docs = docs_of(spark, ["w" * 100] * len(sources), sources)
-    got = [r["doc_id"] for r in mixing.keep_mixed(docs, block_chars=500, period=16).collect()]
+    got = [r["doc_id"] for r in mixing.keep_mixed(docs, block_chars=500).collect()]
     assert sorted(got) == list(range(len(sources)))
-    slot = {r["doc_id"]: r["slot"] for r in mixing.mix(docs, block_chars=500, period=16).collect()}
+    slot = {r["doc_id"]: r["slot"] for r in mixing.mix(docs, block_chars=500).collect()}
     assert [slot[i] for i in got] == sorted(slot.values())
 
 
-def test_more_sources_than_the_driver_schedules(spark):
+def test_more_sources_than_are_scheduled_alone(spark):
     sources = [f"s{i % 20}" for i in range(400)] + ["big"] * 300 + [None] * 100
     docs = docs_of(spark, ["w" * 99] * len(sources), sources)
-    few, all_of_them = (mixing.mix(docs, block_chars=500, period=32, most_sources=n).toPandas() for n in (8, 512))
+    few, all_of_them = (mixing.mix(docs, block_chars=500, chunk_slots=32, most_sources=n).toPandas() for n in (8, 512))
     for out in (few, all_of_them):
         assert sorted(out["doc_id"]) == list(range(len(sources)))
         assert len(out.groupby("slot")["source"].nunique(dropna=False)) == 60 + 20 + 4 * 20 and (out.groupby("slot")["source"].nunique(dropna=False) == 1).all()
