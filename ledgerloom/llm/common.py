@@ -143,9 +143,9 @@ def _text_pieces(batches: Iterable[pa.RecordBatch], column: str, characters: int
                 yield batch.slice(a, b - a), texts[a:b]
 
 
-def map_texts(docs: DataFrame, keep: Sequence[str], text: str, ddl: str, compute: Callable[[list[str]], dict]) -> DataFrame:
+def map_texts(docs: DataFrame, keep: Sequence[str], text: str, ddl: str, compute: Callable[[list[str]], dict], characters: int = 4_000_000) -> DataFrame:
     """The `keep` columns of every row, untouched whatever their types and nulls, beside the columns of `ddl`, which
-    `compute` works out from lists of texts (null becomes the empty text). Clashing columns of `keep` are replaced."""
+    `compute` works out from lists of texts (null becomes the empty text) of about so many `characters`. Clashing columns of `keep` are replaced."""
     small_batches(docs.sparkSession)
     added = StructType.fromDDL(ddl)
     names = [c for c in keep if c not in added.names]
@@ -153,9 +153,9 @@ def map_texts(docs: DataFrame, keep: Sequence[str], text: str, ddl: str, compute
     narrow = docs.select(*names, F.col(text).alias("_text_"))
 
     def run(batches: Iterable[pa.RecordBatch]):
-        for batch, texts in _text_pieces(batches, "_text_"):
+        for batch, texts in _text_pieces(batches, "_text_", characters):
             new = compute(texts)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(new[n], kind) for n, kind in kinds.items())], [*names, *kinds])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(new[n] if isinstance(new[n], pa.Array) else pa.array(new[n], kind) for n, kind in kinds.items())], [*names, *kinds])
 
     return narrow.mapInArrow(run, StructType([*docs.select(*names).schema.fields, *added.fields]))
 

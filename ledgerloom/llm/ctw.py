@@ -1,154 +1,45 @@
 """LM scoring by context-tree weighting over bytes.
 
-A text is its words (between ASCII white space, A-Z lower-cased), each followed by a space, and then one end. The model
-predicts the next byte bit by bit, from the up to `DEPTH` bytes before it back to the space in front of the word and, as
-the farthest symbol of every context, the profile of the text: one of `PROFILES` classes by its frequent words, which is
-sent ahead of the text at its cost. Each context of each depth, at each of the 255 nodes of the binary decomposition of a byte, has a Krichevsky-Trofimov estimate;
-the weighted probability of a context is half its own block probability and half the product of those of its children.
+A text is its words (between ASCII white space, A-Z lower-cased) with a space between two, and then one end. The model
+predicts each byte of that line and its end, bit by bit, from the `DEPTH` bytes before it, across words; before the first
+byte of a text lies the end of another. Each context of each depth, at each of the 255 nodes of the binary decomposition of
+a byte, has a Krichevsky-Trofimov estimate; the weighted probability of a context is half its own block probability and
+half the product of those of its children.
 
 Block probabilities depend on counts alone, so the tree is built from the table of (longest context, next byte, count)
-that Spark aggregates over the whole corpus. It is worked out in groups that share the two bytes next to the predicted
-one: below them a subtree is complete in itself, and above them are at most 256 contexts, which the driver mixes.
-Words are independent given the model, so each distinct word is scored once; frequent ones are looked up inside the scan
-of the documents, the others through a join.
+that Spark aggregates over the whole corpus. Below its three nearest bytes a subtree is complete in itself, so tasks go
+through pairs in order of these; what is above them has at most 65,536 contexts, and those of one byte or none, at most
+257, are mixed on the driver. The result is a table of the log probability of every pair of context and byte that any text
+has. Frequent pairs are looked up inside the scan of the documents, the others through a join.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_pieces, map_texts, read_table, remainder, small_batches, sums, texts_of, written
-
-DEPTH = 5
-#: Profiles of texts, the frequent words that they tell apart, and the rounds in which they are fitted, at most.
-PROFILES, PROFILE_WORDS, PROFILE_ROUNDS = 8, 256, 10
-SPACE, END = 0x20, 0xFF  # END is in no UTF-8 text
-#: Words that the scan of the documents looks up itself, at most; those beyond go through a join.
-HEAD = 300_000
-#: (context, byte) pairs that are broadcast to score words, at most (16 bytes each); beyond, words are scored by a join.
-MOST_PAIRS = 3_000_000
-#: Distinct words that a task counts before it hands the counts on.
-FLUSH = 250_000
-_DEPTH_BIT, _PROFILE_BIT = 48, 52
-_COUNTS = ", ".join(f"c{k} bigint" for k in range(PROFILES))
+from .common import in_pieces, map_texts, read_table, remainder, small_batches, texts_of, written
+
+#: Bytes of the longest context: 3 to 6, as a pair of context and byte is one 64-bit number.
+DEPTH = 6
+END = 0xFF  # in no UTF-8 text
+#: Words and pairs that the scan of the documents looks up itself, at most; those beyond go through joins.
+HEAD, MOST_PAIRS = 300_000, 1 << 21
+#: Distinct words and pairs that a task counts before it hands the counts on, and positions between two counts of pairs.
+FLUSH, FLUSH_PAIRS, POSITIONS = 250_000, 3_000_000, 6_000_000
+#: Pairs that are gone through at once, and parts of the pairs that end in the same two bytes.
+CHUNK, PARTS = 300_000, 16
 _LN2, _LN10 = np.log(2), np.log(10)
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-class Profiles:
-    """A mixture of word distributions over frequent words (`logs`, a row for each profile); any text gets the likeliest."""
-
-    def __init__(self, words: Sequence[bytes], logs: np.ndarray | None = None):
-        self.index = {w: i for i, w in enumerate(words)}
-        self.logs = np.zeros((PROFILES, len(words))) if logs is None else logs
-
-    def of(self, counts: np.ndarray) -> np.ndarray:
-        """The profile for each row of counts of the frequent words; a tie goes to the first."""
-        return (counts @ self.logs.T).argmax(1)
-
-    def of_words(self, bag: Sequence[bytes]) -> int:
-        seen, x = Counter(bag), np.zeros((1, len(self.index)))
-        for w in self.index.keys() & seen.keys():
-            x[0, self.index[w]] = seen[w]
-        return int(self.of(x)[0])
-
-
-def frequent_words(texts: DataFrame, most: int = PROFILE_WORDS) -> list[bytes]:
-    """The `most` words that `texts` has most often."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for batch in in_pieces(batches):
-            for text in texts_of(batch):
-                seen.update(words_of(text))
-            if len(seen) > FLUSH:
-                yield pd.DataFrame({"token": list(seen), "n": list(seen.values())})
-                seen.clear()
-        yield pd.DataFrame({"token": list(seen), "n": list(seen.values())})
-
-    counted = texts.mapInPandas(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    return [bytes(r[0]) for r in counted.orderBy(F.desc("n"), "token").limit(most).collect()]
-
-
-def _dense(batch: pd.DataFrame, width: int) -> np.ndarray:
-    """The rows of counts that fit_profiles() packs."""
-    x = np.zeros((len(batch), width))
-    x[np.repeat(np.arange(len(batch)), batch["at"].map(len)), np.frombuffer(b"".join(batch["at"]), np.uint8)] = np.frombuffer(b"".join(batch["n"]), np.int32)
-    return x
-
-
-def _start(vectors: DataFrame, logs: np.ndarray, width: int) -> np.ndarray:
-    """The log shares of one text, drawn by hash with chances in proportion to what the profiles so far leave unexplained."""
-    k = len(logs)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = _dense(batch, width)
-                share = (x + 0.1) / (x + 0.1).sum(1, keepdims=True)
-                short = (x * np.log(share)).sum(1) - (x @ logs.T).max(1) if k else x.sum(1)
-                drawn = np.array([(int(h[2 * k : 2 * k + 13], 16) + 1) / (16**13 + 1) for h in batch["h"]])
-                least = batch.assign(rank=-np.log(drawn) / np.maximum(short, 1e-9)).sort_values(["rank", "h"])
-                yield least[["rank", "h", "at", "n"]].head(1)
-
-    found = vectors.mapInPandas(run, "rank double, h string, at binary, n binary").orderBy("rank", "h").limit(1).toPandas()
-    x = _dense(found, width) + 0.1
-    return np.log(x / x.sum(1, keepdims=True))
-
-
-def fit_profiles(docs: DataFrame, train: Column, rounds: int = PROFILE_ROUNDS) -> Profiles:
-    """Profiles fitted by hard assignment to all distinct training texts. Only the frequent words, one text a start and the
-    sums of a round (PROFILES rows of PROFILE_WORDS counts) come to the driver."""
-    small_batches(docs.sparkSession)
-    texts = docs.filter(train).select(F.coalesce("text", F.lit("")).alias("text"))
-    words = frequent_words(texts.distinct())
-    index, width = {w: i for i, w in enumerate(words)}, len(words)
-    if not words:
-        return Profiles(words)
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in in_pieces(batches):
-            at, n = [], []
-            for text in texts_of(batch):
-                bag = Counter(filter(index.__contains__, words_of(text)))
-                at.append(np.fromiter(map(index.__getitem__, bag), np.uint8, len(bag)).tobytes())
-                n.append(np.fromiter(bag.values(), np.int32, len(bag)).tobytes())
-            yield pd.DataFrame({"h": batch["h"].tolist(), "at": at, "n": n})
-
-    vectors = texts.withColumn("h", F.md5("text")).mapInPandas(pack, "h string, at binary, n binary")
-    vectors = written(vectors.filter(F.length("at") > 0).dropDuplicates(["h"]), "vectors")
-    logs = np.zeros((0, width))
-    for _ in range(PROFILES):
-        logs = np.concatenate([logs, _start(vectors, logs, width)])
-    before = None
-    for _ in range(rounds):
-        profiles = Profiles(words, logs)
-
-        def assign(batches: Iterator[pd.DataFrame], profiles: Profiles = profiles) -> Iterator[pd.DataFrame]:
-            total = np.zeros((PROFILES, width))
-            for batch in batches:
-                x = _dense(batch, width)
-                np.add.at(total, profiles.of(x), x)
-            k, w = np.nonzero(total)
-            yield pd.DataFrame({"k": k, "w": w, "n": total[k, w].astype(np.int64)})
-
-        sums_of = vectors.mapInPandas(assign, "k bigint, w bigint, n bigint").groupBy("k", "w").agg(F.sum("n").alias("n")).toPandas()
-        total = np.full((PROFILES, width), 0.1)
-        total[sums_of["k"], sums_of["w"]] += sums_of["n"]
-        if before is not None and (total == before).all():
-            break
-        before, logs = total, np.log(total / total.sum(1, keepdims=True))
-    return Profiles(words, logs)
+def line_of(text: str) -> bytes:
+    return b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -169,93 +60,80 @@ def log_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
 
 
-def positions(words: Sequence[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """(pair of context and next byte for every predicted byte, number of them per word). The empty word is the end.
+def pairs_in(lines: Sequence[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(pair of context and next byte for every byte and end, number of them per line).
 
-    A pair is one number: the next byte, then the context with the nearest byte lowest, then the context's length.
+    A pair is one number: the next byte in the low 8 bits, above it the context with the nearest byte lowest.
     """
-    line = np.frombuffer(b"".join([b" " + w + (b" " if w else b"\xff") for w in words]), np.uint8).astype(np.int64)
-    n = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    at = np.arange(int(n.sum())) + np.repeat(np.arange(len(words)), n) + 1  # a word takes one place more than it predicts
-    before = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + 1
-    length = np.minimum(before, depth)
-    context = length << _DEPTH_BIT
+    gap = bytes([END]) * depth
+    line = np.frombuffer(gap + b"".join([x + gap for x in lines]), np.uint8).astype(np.int64)
+    size = max(0, len(line) - depth)
+    pair = line[depth:].copy()
     for j in range(depth):
-        context |= np.where(j < length, line[at - 1 - np.minimum(j, before - 1)], 0) << (8 * j)
-    return (context << 8) | line[at], n
+        pair |= line[depth - 1 - j : depth - 1 - j + size] << (8 * j + 8)
+    n = np.fromiter((len(x) + 1 for x in lines), np.int64, len(lines))
+    first = np.cumsum(n + depth - 1) - (n + depth - 1)
+    return pair[np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)], n
 
 
-def vocabulary(docs: DataFrame, train: Column, profiles: Profiles) -> DataFrame:
-    """(token, c0, c1, ..., m, seen): each distinct word and the end (an empty token), its count in the training documents
-    of each profile, in all documents, and the profiles of all documents that have it, as bits."""
+def vocabulary(docs: DataFrame, train: Column) -> DataFrame:
+    """(token, c, m): each distinct word and the end (an empty token), its count in the training documents and in all."""
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        learnt, rest = Counter(), Counter()
+
         def rows() -> pd.DataFrame:
-            index = dict.fromkeys(itertools.chain(*learnt, *rest))
-            for i, t in enumerate(index):
-                index[t] = i
-            columns = {name: np.zeros(len(index), np.int64) for name in (*(f"c{k}" for k in range(PROFILES)), "m", "seen")}
-            for k, part in (*enumerate(learnt), *enumerate(rest)):
-                at = np.fromiter(map(index.__getitem__, part), np.int64, len(part))
-                n = np.fromiter(part.values(), np.int64, len(part))
-                if part is learnt[k]:
-                    columns[f"c{k}"][at] = n
-                columns["m"][at] += n
-                columns["seen"][at] |= 1 << k
-            out = pd.DataFrame({"token": list(index)} | columns)
-            for part in (*learnt, *rest):
-                part.clear()
+            both = learnt + rest
+            out = pd.DataFrame({"token": list(both), "c": [learnt[t] for t in both], "m": list(both.values())})
+            learnt.clear(), rest.clear()
             return out
 
-        learnt, rest = [Counter() for _ in range(PROFILES)], [Counter() for _ in range(PROFILES)]
         for batch in in_pieces(batches):
             for text, learn in zip(texts_of(batch), batch["_train"], strict=True):
-                bag = words_of(text)
-                into = (learnt if learn else rest)[held.value.of_words(bag)]
-                into.update(bag)
+                into = learnt if learn else rest
+                into.update(line_of(text).split())
                 into[b""] += 1
-            if sum(map(len, learnt)) + sum(map(len, rest)) > FLUSH:
+            if len(learnt) + len(rest) > FLUSH:
                 yield rows()
         yield rows()
 
-    parts = docs.select("text", train.alias("_train")).mapInPandas(run, f"token binary, {_COUNTS}, m bigint, seen bigint")
-    return parts.groupBy("token").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(PROFILES)], F.sum("m").alias("m"), F.bit_or("seen").alias("seen"))
+    parts = docs.select("text", F.coalesce(train, F.lit(False)).alias("_train")).mapInPandas(run, "token binary, c bigint, m bigint")
+    return parts.groupBy("token").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
 
 
-def pairs_of(words: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(context, byte, n) for all words in all profiles that have them; n counts training text alone, and is 0 where only
-    other text has the pair."""
+def pairs_of(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame:
+    """(pair, n) for every pair that any text has; n counts training texts alone, and is 0 where only other texts have it."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pair, n = positions(batch["token"].tolist(), depth)
-            seen = batch["seen"].to_numpy()
-            keys, counts = [], []
-            for k in range(PROFILES):
-                has = np.repeat((seen >> k) & 1 == 1, n)
-                keys.append(pair[has] | (k << (_PROFILE_BIT + 8)))
-                counts.append(np.repeat(batch[f"c{k}"].to_numpy(np.float64), n)[has])
-            key, total = _summed(np.concatenate(keys), np.concatenate(counts))
-            yield pd.DataFrame({"context": key >> 8, "byte": (key & 255).astype(np.int16), "n": total.astype(np.int64)})
-
-    return words.mapInPandas(run, "context bigint, byte smallint, n bigint").groupBy("context", "byte").agg(F.sum("n").alias("n"))
-
-
-def _length(context: np.ndarray) -> np.ndarray:
-    return (context >> _DEPTH_BIT) & 7
-
+        pair, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new: list[list[np.ndarray]] = [[], []]
+        waiting = 0
 
-def _plain(key: np.ndarray) -> np.ndarray:
-    """The (context, node) key without the profile."""
-    return key & ((np.int64(1) << (_PROFILE_BIT + 8)) - 1)
+        def counted() -> tuple[np.ndarray, np.ndarray]:
+            keys, counts = np.unique(np.concatenate([pair[:0], *new[1]]), return_counts=True)
+            others = np.unique(np.concatenate([pair[:0], *new[0]]))
+            new[0].clear(), new[1].clear()
+            key, total = _summed(np.concatenate([pair, keys, others]), np.concatenate([n, counts, np.zeros(len(others), np.int64)]))
+            return key, total.astype(np.int64)
 
-
-def _parent(context: np.ndarray) -> np.ndarray:
-    """The context without its farthest byte."""
-    length = _length(context) - 1
-    return (context & ((np.int64(1) << (8 * length)) - 1)) | (length << _DEPTH_BIT)
+        for batch in in_pieces(batches):
+            lines, learn = [line_of(t) for t in texts_of(batch)], batch["_train"].to_numpy(bool)
+            for kind in (0, 1):
+                found = pairs_in([x for x, flag in zip(lines, learn, strict=True) if flag == kind], depth)[0]
+                new[kind].append(found)
+                waiting += len(found)
+            if waiting > POSITIONS:
+                (pair, n), waiting = counted(), 0
+                if len(pair) > FLUSH_PAIRS:
+                    yield pd.DataFrame({"pair": pair, "n": n})
+                    pair, n = pair[:0], n[:0]
+        pair, n = counted()
+        yield pd.DataFrame({"pair": pair, "n": n})
+
+    parts = docs.select("text", F.coalesce(train, F.lit(False)).alias("_train")).mapInPandas(run, "pair bigint, n bigint")
+    return parts.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def _nodes(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,42 +148,35 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return key, *(np.bincount(at, v, len(key)) for v in values)
 
 
+def _parent(key: np.ndarray, depth: int) -> np.ndarray:
+    """The (context, node) key with the context cut to its `depth` nearest bytes."""
+    return (((key >> 8) & ((np.int64(1) << (8 * depth)) - 1)) << 8) | (key & 255)
+
+
 class Subtree:
-    """All contexts that end in the same bytes, from length 2 to the longest: counts and weighted probabilities by
-    (context, node). Contexts that have the full depth or begin with the space before the word are split once more, by
-    profile; those are the leaves."""
-
-    def __init__(self, context: np.ndarray, byte: np.ndarray, n: np.ndarray):
-        node, bit = _nodes(byte)
-        key, a, b = _summed(((context[:, None] << 8) | node).ravel(), ((1 - bit) * n[:, None]).ravel(), (bit * n[:, None]).ravel())
-        self.leaves = {"key": key, "a": a, "b": b, "share": np.ones(len(key))}
-        self.levels: dict[int, dict[str, np.ndarray]] = {}
-        #: What the leaves add to the contexts without a profile, then what each level adds to the one above.
-        self.rest = _summed(_plain(key), a, b, log_block(a, b))
-        for d in range(int(_length(context).max()), 1, -1):
-            own = _length(self.rest[0] >> 8) == d
-            level = weighed(*(x[own] for x in self.rest))
-            self.levels[d] = level
-            up = (_parent(level["key"] >> 8) << 8) | (level["key"] & 255)
-            both = (np.concatenate([x[~own], y]) for x, y in zip(self.rest, (up, level["a"], level["b"], level["weighted"]), strict=True))
-            self.rest = _summed(*both)
-
-    def descend(self, crown: dict[str, np.ndarray]) -> None:
-        """Fill in the final prediction `one` (of a set bit) of every context, given those of the contexts of one byte."""
-        above = crown
+    """All contexts that end in the same bytes, from length 3 to the longest: counts, weighted probabilities and predictions
+    by (context, node). Any number of whole subtrees can be gone through together."""
+
+    def __init__(self, pair: np.ndarray, n: np.ndarray, depth: int):
+        node, bit = _nodes(pair & 255)
+        key, a, b = _summed((((pair >> 8)[:, None] << 8) | node).ravel(), ((1 - bit) * n[:, None]).ravel(), (bit * n[:, None]).ravel())
+        #: A longest context has no children: its estimate is all there is.
+        self.levels = {depth: {"key": key, "a": a, "b": b, "weighted": log_block(a, b), "share": np.ones(len(key))}}
+        for d in range(depth - 1, 1, -1):
+            level = self.levels[d + 1]
+            parts = _summed(_parent(level["key"], d), level["a"], level["b"], level["weighted"])
+            if d == 2:
+                self.rest = parts  # what the contexts of two bytes get from here
+            else:
+                self.levels[d] = weighed(*parts)
+
+    def descend(self, above: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The longest contexts with their final prediction `one` (of a set bit), given those of two bytes."""
         for d in sorted(self.levels):
             level = self.levels[d]
-            level |= below(level, (_parent(level["key"] >> 8) << 8) | (level["key"] & 255), above)
+            level |= below(level, _parent(level["key"], d - 1), above)
             above = level
-        key = _plain(self.leaves["key"])
-        length = _length(key >> 8)
-        one = np.zeros(len(key))
-        for d, level in {1: crown, **self.levels}.items():
-            rows = np.flatnonzero(length == d)
-            if len(rows):
-                part = {name: self.leaves[name][rows] for name in ("a", "b", "share")}
-                one[rows] = below(part, key[rows], level)["one"]
-        self.leaves["one"] = one
+        return above
 
 
 def weighed(key: np.ndarray, a: np.ndarray, b: np.ndarray, children: np.ndarray) -> dict[str, np.ndarray]:
@@ -335,11 +206,6 @@ def mixed(level: dict[str, np.ndarray], fixed: np.ndarray, times: np.ndarray, on
     }
 
 
-def _group_key() -> Column:
-    """The two nearest bytes of a context (one, if it has no more)."""
-    return F.expr(f"(context & 65535) | shiftleft(least(shiftright(context, {_DEPTH_BIT}) & 7L, 2L), {_DEPTH_BIT})")
-
-
 def crown_of(rows: pd.DataFrame) -> dict[str, np.ndarray]:
     """The contexts of one byte, mixed with the one of none, on the driver: at most 256 contexts of 255 nodes."""
     rows = rows.sort_values("key")
@@ -350,27 +216,115 @@ def crown_of(rows: pd.DataFrame) -> dict[str, np.ndarray]:
     return one | below(one, one["key"] & 255, none)
 
 
-def predicted(pairs: DataFrame) -> DataFrame:
-    """(pair, lp): the natural log probability of each next byte in its longest context. `pairs` is read twice; give it
+def _in_order(pairs: DataFrame, *more: DataFrame) -> DataFrame:
+    """Pairs, and rows that go before the pairs of the same two bytes, in order of the three nearest bytes; pairs with the same
+    three are in one task, and those with the same two in `PARTS` at most."""
+    three = F.expr("shiftright(pair, 8) & 16777215")
+    rows = pairs.withColumns({"_two": F.expr("shiftright(pair, 8) & 65535"), "_part": F.pmod(F.xxhash64(three), F.lit(PARTS)).cast("int"), "_three": three})
+    for d in more:
+        every = d.withColumns({"_two": F.expr("shiftright(pair, 8) & 65535"), "_part": F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))), "_three": F.lit(-1).cast("bigint")})
+        rows = rows.unionByName(every, allowMissingColumns=True)
+    return rows.repartition("_two", "_part").sortWithinPartitions("_two", "_three", "pair").drop("_part")
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a task in pieces of about CHUNK that never part rows of the same three bytes."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= CHUNK:
+            rows = pd.concat(held, ignore_index=True)
+            cut = int(np.searchsorted((rows["_two"] * (1 << 25) + rows["_three"] + 1).to_numpy(), int(rows["_two"].iloc[-1]) * (1 << 25) + int(rows["_three"].iloc[-1]) + 1))
+            if cut:
+                yield rows.iloc[:cut]
+            held, size = [rows.iloc[cut:]], len(rows) - cut
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
+def predicted(pairs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(pair, n, lp): the natural log probability of each next byte in its longest context. `pairs` is read twice; give it
     written."""
-    groups = pairs.withColumn("_group", _group_key()).groupBy("_group")
 
-    def up(group: pd.DataFrame) -> pd.DataFrame:
-        key, a, b, children = Subtree(*(group[c].to_numpy(np.int64) for c in ("context", "byte", "n"))).rest
-        return pd.DataFrame({"key": key, "a": a, "b": b, "children": children})
+    def up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_groups(batches):
+            key, a, b, children = Subtree(rows["pair"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), depth).rest
+            yield pd.DataFrame({"key": key, "a": a, "b": b, "children": children})
+
+    sums_of = [F.sum(c).alias(c) for c in ("a", "b", "children")]
+    kind = "key bigint, a double, b double, children double"
+    two = written(_in_order(pairs).mapInPandas(up, kind).groupBy("key").agg(*sums_of).withColumn("_one", F.expr("shiftright(key, 8) & 255")), "two")
 
-    tops = groups.applyInPandas(up, "key bigint, a double, b double, children double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("a", "b", "children")])
-    crown = pairs.sparkSession.sparkContext.broadcast(crown_of(tops.toPandas()))  # at most 256 * 255 rows
+    def level_of(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+        rows = rows.sort_values("key")
+        return weighed(rows["key"].to_numpy(np.int64), *(rows[c].to_numpy(np.float64) for c in ("a", "b", "children")))
 
-    def down(group: pd.DataFrame) -> pd.DataFrame:
-        context, byte, n = (group[c].to_numpy(np.int64) for c in ("context", "byte", "n"))
-        tree = Subtree(context, byte, n)
-        tree.descend(crown.value)
-        node, bit = _nodes(byte)
-        one = tree.leaves["one"][np.searchsorted(tree.leaves["key"], (context[:, None] << 8) | node)]
-        return pd.DataFrame({"pair": (context << 8) | byte, "lp": np.log(np.where(bit == 1, one, 1 - one)).sum(1)})
+    def to_one(rows: pd.DataFrame) -> pd.DataFrame:  # at most 256 * 255 rows
+        level = level_of(rows)
+        key, a, b, children = _summed(_parent(level["key"], 1), level["a"], level["b"], level["weighted"])
+        return pd.DataFrame({"key": key, "a": a, "b": b, "children": children})
 
-    return groups.applyInPandas(down, "pair bigint, lp double")
+    # At most 256 * 255 rows.
+    crown = pairs.sparkSession.sparkContext.broadcast(crown_of(two.groupBy("_one").applyInPandas(to_one, kind).toPandas()))
+
+    def from_one(rows: pd.DataFrame) -> pd.DataFrame:
+        level = level_of(rows)
+        level |= below(level, _parent(level["key"], 1), crown.value)
+        return pd.DataFrame({"pair": level["key"], **{c: level[c] for c in ("next_fixed", "next_times", "one")}})
+
+    above = two.groupBy("_one").applyInPandas(from_one, "pair bigint, next_fixed double, next_times double, one double")
+
+    def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for rows in _whole_groups(batches):
+            upper = rows["_three"] < 0
+            known = pd.concat([last, rows[upper]]).drop_duplicates("pair").sort_values("pair")
+            last = known[known["_two"] == rows["_two"].iloc[-1]]
+            rows = rows[~upper]
+            if not len(rows):
+                continue
+            pair, n = rows["pair"].to_numpy(np.int64), rows["n"].to_numpy().astype(np.int64)
+            tree = Subtree(pair, n, depth)
+            leaf = tree.descend({"key": known["pair"].to_numpy(np.int64)} | {c: known[c].to_numpy(np.float64) for c in ("next_fixed", "next_times", "one")})
+            node, bit = _nodes(pair & 255)
+            one = leaf["one"][np.searchsorted(leaf["key"], ((pair >> 8)[:, None] << 8) | node)]
+            yield pd.DataFrame({"pair": pair, "n": n, "lp": np.log(np.where(bit == 1, one, 1 - one)).sum(1)})
+
+    return _in_order(pairs, above).mapInPandas(down, "pair bigint, n bigint, lp double")
+
+
+class Lookup:
+    """Numbers by key in one open table of arrays, twice as large as the keys at least."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        bits = max(4, max(0, 2 * len(key) - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+        left, at = np.arange(len(key)), self._slot(key)
+        while len(left):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = key[left[free]]
+            mine = self.keys[at] == key[left]
+            self.values[at[mine]] = value[left[mine]]
+            left, at = left[~mine], (at[~mine] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """The value of each key, nan where there is none."""
+        out = np.full(len(key), np.nan, np.float32)
+        left, at = None, self._slot(key)
+        while len(at):
+            found = self.keys[at]
+            hit = found == (key if left is None else key[left])
+            out[hit if left is None else left[hit]] = self.values[at[hit]]
+            on = np.flatnonzero(~hit & (found != -1))
+            left, at = on if left is None else left[on], (at[on] + 1) & self.mask
+        return out
 
 
 def _arrays(rows: DataFrame, *columns: str) -> list[np.ndarray]:
@@ -385,66 +339,34 @@ def _arrays(rows: DataFrame, *columns: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(bytes(p[i]) for p in parts), kind) for i, kind in enumerate(kinds)]
 
 
-def scored_words(words: DataFrame, table: DataFrame, depth: int = DEPTH, most_pairs: int = MOST_PAIRS) -> DataFrame:
-    """(token, m, base, known, lps): `lps` has the natural log probability of the whole word in each profile that has it."""
-    spark = words.sparkSession
-    words = words.select("token", "m", "seen", "base", "known")
-    if table.count() <= most_pairs:
-        pair, lp = _arrays(table, "pair", "lp")
-        order = np.argsort(pair)
-        held = spark.sparkContext.broadcast((pair[order], lp[order]))
-        del pair, lp, order
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            key, lp = held.value
-            for batch in batches:
-                pair, n = positions(batch["token"].tolist(), depth)
-                seen = batch["seen"].to_numpy()
-                lps = np.zeros((len(batch), PROFILES))
-                for k in range(PROFILES):
-                    rows = (seen >> k) & 1 == 1
-                    has = np.repeat(rows, n)
-                    lps[rows, k] = sums(lp[np.searchsorted(key, pair[has] | (k << (_PROFILE_BIT + 8)))], n[rows])
-                yield batch[["token", "m", "base", "known"]].assign(lps=list(lps))
-
-        return words.mapInPandas(run, "token binary, m bigint, base double, known bigint, lps array<double>")
-
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pair, n = positions(batch["token"].tolist(), depth)
-            seen, token = np.repeat(batch["seen"].to_numpy(), n), np.repeat(batch["token"].to_numpy(), n)
-            for k in range(PROFILES):
-                has = (seen >> k) & 1 == 1
-                yield pd.DataFrame({"token": token[has], "k": k, "pair": pair[has] | (k << (_PROFILE_BIT + 8))})
+def _grade(column: str) -> Column:
+    return F.floor(F.log2(F.col(column)) * 16).cast("int")
 
-    each = words.mapInPandas(explode, "token binary, k int, pair bigint").join(table, "pair")
-    lps = each.groupBy("token").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("lp"))), F.lit(0.0)) for k in range(PROFILES)]).alias("lps"))
-    return words.join(lps, "token").select("token", "m", "base", "known", "lps")
 
-
-def head_of(words: DataFrame, most: int = HEAD) -> tuple[list[bytes], np.ndarray, int]:
-    """(the most frequent words, a row of base, known and lps for each, the grade of count from which on a word is one of
-    them): at most `most` words, however many there are."""
-    graded = sorted(words.groupBy(_grade().alias("g")).count().collect(), reverse=True)  # at most 16 * 63 rows
+def _least(rows: DataFrame, column: str, most: int) -> int:
+    """The grade of `column` from which on there are at most `most` rows."""
+    graded = sorted(((g, n) for g, n in rows.filter(F.col(column) > 0).groupBy(_grade(column).alias("g")).count().collect()), reverse=True)  # at most 16 * 63 rows
     least, total = 1 << 30, 0
     for g, n in graded:
         if total + n > most:
             break
         least, total = g, total + n
+    return least
+
+
+def head_of(words: DataFrame, most: int = HEAD) -> tuple[list[bytes], np.ndarray, int]:
+    """(the most frequent words, a row of base and known for each, the grade of count from which on a word is one of
+    them): at most `most` words, however many there are."""
+    least = _least(words, "m", most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                values = np.column_stack([batch["base"], batch["known"], np.stack(batch["lps"].to_numpy())])
-                yield pd.DataFrame({"tokens": [b" ".join(batch["token"])], "data": [values.astype(np.float64).tobytes()]})
+                yield pd.DataFrame({"tokens": [b" ".join(batch["token"])], "data": [batch[["base", "known"]].to_numpy(np.float64).tobytes()]})
 
-    parts = words.filter(_grade() >= least).mapInPandas(run, "tokens binary, data binary").collect()
+    parts = words.filter(_grade("m") >= least).mapInPandas(run, "tokens binary, data binary").collect()
     tokens = [w for p in parts for w in bytes(p["tokens"]).split(b" ")]
-    return tokens, np.frombuffer(b"".join(bytes(p["data"]) for p in parts)).reshape(-1, 2 + PROFILES), least
-
-
-def _grade() -> Column:
-    return F.floor(F.log2("m") * 16).cast("int")
+    return tokens, np.frombuffer(b"".join(bytes(p["data"]) for p in parts)).reshape(-1, 2), least
 
 
 def score(docs: DataFrame, train: Column, keep: Sequence[str] = ("doc_id",), depth: int = DEPTH, head: int = HEAD, most_pairs: int = MOST_PAIRS) -> DataFrame:
@@ -452,61 +374,56 @@ def score(docs: DataFrame, train: Column, keep: Sequence[str] = ("doc_id",), dep
     with a model of the rows where `train` holds.
 
     Null texts count as empty: their one token is the end. Repeated rows each learn and are each scored; with no
-    training row every bit has probability one half; an empty table gives an empty result; texts are taken whole.
+    training row every bit has probability one half; an empty table gives an empty result; texts are taken whole. `head`
+    and `most_pairs` bound what the scan looks up itself, and change no result beyond rounding.
     """
     spark = docs.sparkSession
-    profiles = fit_profiles(docs, train)
-    c = sum((F.col(f"c{k}") for k in range(1, PROFILES)), F.col("c0"))
-    words = written(vocabulary(docs, train, profiles).withColumn("known", (c > 0).cast("bigint")), "words")
-    total, distinct = words.agg(F.sum(c), F.sum("known")).first()
+    words = written(vocabulary(docs, train).withColumn("known", (F.col("c") > 0).cast("bigint")), "words")
+    total, distinct = words.agg(F.sum("c"), F.sum("known")).first()
     total, distinct = total or 0, distinct or 0
-    table = written(predicted(written(pairs_of(words, depth), "pairs")), "bytes")
-    words = words.withColumn("base", F.log10((c + 1) / F.lit(float(total + distinct + 1))))
-    words = written(scored_words(words, table, depth, most_pairs), "scored")
-    top, values, least = head_of(words, head)
-    index = {w: i for i, w in enumerate(top)}
-    values = np.concatenate([values, np.zeros((1, 2 + PROFILES))])  # a last row stands for every other word
-    # The profile's words among the looked-up ones: their counts then need no look of their own.
-    none = len(profiles.index)
-    frequent = np.full(len(values), none)
-    for w, i in profiles.index.items():
-        frequent[index.get(w, -1)] = i if w in index else none
-    held = spark.sparkContext.broadcast((index, values, profiles, frequent if profiles.index.keys() <= index.keys() else None))
+    words = words.withColumn("base", F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1))))
+    table = written(predicted(written(pairs_of(docs, train, depth), "pairs"), depth), "bytes")
+    top, values, least_m = head_of(words, head)
+    values = np.concatenate([values, np.zeros((1, 2))])  # a last row stands for every other word
+    least_n = _least(table, "n", most_pairs)
+    held = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top)}, values, Lookup(*_arrays(table.filter(_grade("n") >= least_n), "pair", "lp"))))
+    del top, values
     names = list(keep)
 
     def compute(texts: list[str]) -> dict:
-        index, values, profiles, frequent = held.value
+        index, values, lookup = held.value
         find, none = index.get, len(index)
-        bags = [words_of(t) for t in texts]
-        own = np.array([profiles.of_words(bag) for bag in bags]) if frequent is None else None
-        for bag in bags:
-            bag.append(b"")
+        lines = [line_of(t) for t in texts]
+        bags = [[*x.split(), b""] for x in lines]
         counts = np.fromiter(map(len, bags), np.int64, len(bags))
         rows = np.fromiter((find(w, none) for bag in bags for w in bag), np.int64, int(counts.sum()))
-        if own is None:
-            width = len(profiles.index) + 1
-            cell = np.repeat(np.arange(len(bags)) * width, counts) + frequent[rows]
-            own = profiles.of(np.bincount(cell, minlength=width * len(bags)).reshape(-1, width)[:, :-1].astype(np.float64))
-        total = np.stack([np.bincount(np.repeat(np.arange(len(bags)), counts), values[rows, j], len(bags)) for j in (0, 1)], axis=1)
-        lp = np.bincount(np.repeat(np.arange(len(bags)), counts), values[rows, 2 + np.repeat(own, counts)], len(bags)) - np.log(PROFILES)
+        owner = np.repeat(np.arange(len(bags)), counts)
+        base, known = (np.bincount(owner, values[rows, j], len(bags)) for j in (0, 1))
         rare = np.flatnonzero(rows == none)
-        owner = np.searchsorted(np.cumsum(counts), rare, "right")
         starts = np.cumsum(counts) - counts
         rest: list[list[bytes]] = [[] for _ in bags]
-        for d, p in zip(owner.tolist(), (rare - starts[owner]).tolist(), strict=True):
+        for d, p in zip(owner[rare].tolist(), (rare - starts[owner[rare]]).tolist(), strict=True):
             rest[d].append(bags[d][p])
+        del bags, rows, owner
+        pair, n = pairs_in(lines, depth)
+        lp = lookup.of(pair)
+        cold = np.isnan(lp)
+        ends = np.cumsum(n)
+        offsets = np.concatenate([[0], np.cumsum(cold)])[np.concatenate([[0], ends])]
+        total = np.concatenate([[0.0], np.cumsum(np.where(cold, 0, lp), dtype=np.float64)])
         return {
-            "n_tokens": counts, "_base": total[:, 0], "_known": total[:, 1].astype(np.int64), "_profile": own.astype(np.int32), "_lp": lp,
-            "_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "_rest": rest,
+            "n_tokens": counts, "_base": base, "_known": known.astype(np.int64), "_lp": total[ends] - total[ends - n],
+            "_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "_rest": rest, "_cold": pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(pair[cold])).cast(pa.list_(pa.int64())),
         }
 
-    parts = map_texts(docs, names, "text", "n_tokens bigint, _base double, _known bigint, _profile int, _lp double, _bytes bigint, _rest array<binary>", compute)
-    # The number is fixed by the written file; it brings a row's rare words together again.
+    parts = map_texts(docs, names, "text", "n_tokens bigint, _base double, _known bigint, _lp double, _bytes bigint, _rest array<binary>, _cold array<bigint>", compute, 2_000_000)
+    # The number is fixed by the written file; it brings a row's rare words and pairs together again.
     parts = written(parts.withColumn("_row", F.monotonically_increasing_id()), "parts")
-    rare = parts.select("_row", "_profile", F.explode("_rest").alias("token"))
-    rest = words.filter(_grade() < least).select("token", "base", "known", "lps")
-    rare = rare.join(rest, "token").groupBy("_row").agg(F.sum("base").alias("_base2"), F.sum(F.get("lps", F.col("_profile"))).alias("_lp2"), F.sum("known").alias("_known2"))
-    both = parts.drop("_rest").join(rare, "_row", "left")
+    rest = words.filter(_grade("m") < least_m).select("token", "base", "known")
+    rare = parts.select("_row", F.explode("_rest").alias("token")).join(rest, "token").groupBy("_row").agg(F.sum("base").alias("_base2"), F.sum("known").alias("_known2"))
+    others = table.filter((F.col("n") == 0) | (_grade("n") < least_n)).select("pair", "lp")
+    cold = parts.select("_row", F.explode("_cold").alias("pair")).join(others, "pair").groupBy("_row").agg(F.sum(F.col("lp").cast("float").cast("double")).alias("_lp2"))
+    both = parts.drop("_rest", "_cold").join(rare, "_row", "left").join(cold, "_row", "left")
     lp = F.col("_lp") + F.coalesce("_lp2", F.lit(0.0))
     return both.select(
         *names, "n_tokens", (F.col("_known") + F.coalesce("_known2", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
@@ -515,6 +432,7 @@ def score(docs: DataFrame, train: Column, keep: Sequence[str] = ("doc_id",), dep
 
 
 def op5_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of those whose crc32(doc_id as text) mod 7 is not 2."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held = remainder("doc_id", 7) == 2
     return score(docs.withColumn("held_out", held), ~held, ("doc_id", "held_out"))

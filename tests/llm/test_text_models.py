@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,50 +136,48 @@ def test_language_predicts_and_keeps(spark):
     assert {r["lang_pred"] for r in language.predict(docs, empty).collect()} == {"und"}
 
 
-def brute_ctw(counts, depth):
-    """counts: {(profile, word): n}. Returns a function giving the natural log probability of a word in a profile."""
+def brute_ctw(lines, depth):
+    """Returns a function giving the natural log probability of a line, after learning from all lines together."""
+    gap = b"\xff" * depth
     tree = {}
-    for (k, w), n in counts.items():
-        for i, byte in enumerate(w + b" " if w else b"\xff"):
-            past = (b" " + w)[: i + 1]
-            longest = min(depth, len(past))
-            contexts = [past[len(past) - d :] for d in range(longest + 1)]
-            for context in [*contexts, (contexts[-1], k)]:
+    for line in lines:
+        for i, byte in enumerate(line + b"\xff"):
+            past = (gap + line)[: depth + i]
+            for d in range(depth + 1):
                 node = 1
                 for bit in map(int, f"{byte:08b}"):
-                    tree.setdefault(context, {}).setdefault(node, [0, 0])[bit] += n
+                    tree.setdefault(past[len(past) - d :], {}).setdefault(node, [0, 0])[bit] += 1
                     node = 2 * node + bit
     children = {}
     for context in tree:
-        if isinstance(context, tuple):
-            children.setdefault(context[0], []).append(context)
-        elif context:
+        if context:
             children.setdefault(context[1:], []).append(context)
     block = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
     weighted, odds = {}, {}
-    for context in sorted(tree, key=lambda c: 99 if isinstance(c, tuple) else len(c), reverse=True):
+    for context in sorted(tree, key=len, reverse=True):
         for node, (a, b) in tree[context].items():
             own = block(a, b)
-            if isinstance(context, tuple):
+            if len(context) == depth:
                 weighted[context, node] = own
                 continue
             below = sum(weighted.get((c, node), 0.0) for c in children[context])
             weighted[context, node] = np.logaddexp(own, below) - math.log(2)
             odds[context, node] = own - below
 
-    def log_probability(k, w):
+    def log_probability(line):
         total = 0.0
-        for i, byte in enumerate(w + b" " if w else b"\xff"):
-            past, node = (b" " + w)[: i + 1], 1
-            contexts = [past[len(past) - d :] for d in range(min(depth, len(past)) + 1)]
+        for i, byte in enumerate(line + b"\xff"):
+            past, node = (gap + line)[: depth + i], 1
             for bit in map(int, f"{byte:08b}"):
-                path = [c for c in [*contexts, (contexts[-1], k)] if sum(tree.get(c, {}).get(node, [0, 0]))]
+                path = [c for c in (past[len(past) - d :] for d in range(depth + 1)) if node in tree.get(c, {})]
                 p = 0.5
-                for j, context in enumerate(reversed(path)):
+                for context in reversed(path):
                     n = tree[context][node]
                     estimate = (n[bit] + 0.5) / (sum(n) + 1)
-                    if j == 0:
+                    if len(context) == depth:
                         p = estimate
+                    elif context is path[-1]:
+                        p = estimate  # no longer context has seen the node
                     else:
                         beta = math.exp(odds[context, node])
                         p = (beta * estimate + p) / (beta + 1)
@@ -189,39 +188,52 @@ def brute_ctw(counts, depth):
     return log_probability
 
 
-@pytest.mark.parametrize("most_pairs", [10**6, 0])
-@pytest.mark.parametrize("head", [10**5, 2])
-def test_ctw_equals_brute_force(spark, most_pairs, head):
-    """Through the broadcast table and through the join; frequent words in the scan and words from the join."""
+@pytest.mark.parametrize(("most_pairs", "head", "depth"), [(10**6, 10**5, 6), (0, 2, 6), (40, 2, 4), (10**6, 10**5, 3)])
+def test_ctw_equals_brute_force(spark, most_pairs, head, depth):
+    """Frequent words and pairs in the scan, the others from the joins."""
     from collections import Counter
 
     texts = ["the cat sat on the mat", "The Cat ate", None, "", "der hund und die katze und der hund", "zzz   the\ttheß\n", "der hund"] * 2
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    train = F.col("doc_id") % 5 != 2
-    got = {r["doc_id"]: r for r in ctw.score(docs, train, head=head, most_pairs=most_pairs).collect()}
-    profiles = ctw.fit_profiles(docs, train)
-    counts, plain = Counter(), Counter()
-    for i, t in enumerate(texts):
+    got = {r["doc_id"]: r for r in ctw.score(docs, F.col("doc_id") % 5 != 2, depth=depth, head=head, most_pairs=most_pairs).collect()}
+    plain = Counter()
+    lines = [ctw.line_of(t or "") for t in texts]
+    for i, line in enumerate(lines):
         if i % 5 != 2:
-            bag = [*ctw.words_of(t or ""), b""]
-            counts.update((profiles.of_words(ctw.words_of(t or "")), w) for w in bag)
-            plain.update(bag)
-    lp = brute_ctw(counts, ctw.DEPTH)
+            plain.update([*line.split(), b""])
+    lp = brute_ctw([x for i, x in enumerate(lines) if i % 5 != 2], depth)
     total, distinct = sum(plain.values()), len(plain)
-    for i, t in enumerate(texts):
-        words = ctw.words_of(t or "")
-        k = profiles.of_words(words)
-        want = (sum(lp(k, w) for w in [*words, b""]) - math.log(ctw.PROFILES)) / math.log(10)
-        base = sum(math.log10((plain[w] + 1) / (total + distinct + 1)) for w in [*words, b""])
-        assert got[i]["score"] == pytest.approx(want, rel=1e-9) and got[i]["base_score"] == pytest.approx(base, rel=1e-9)
-        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(words) + 1, sum(plain[w] > 0 for w in [*words, b""]), total)
-
-
-def test_ctw_bits_of_a_node_sum_to_one():
-    context = np.array([1 << 48 | 0x20] * 3, np.int64)
-    tree = ctw.Subtree(context, np.array([97, 98, 0xFF]), np.array([5, 1, 2]))
-    assert tree.leaves["a"].sum() + tree.leaves["b"].sum() == 8 * 8
+    for i, line in enumerate(lines):
+        words = [*line.split(), b""]
+        base = sum(math.log10((plain[w] + 1) / (total + distinct + 1)) for w in words)
+        assert got[i]["score"] == pytest.approx(lp(line) / math.log(10), rel=1e-5) and got[i]["base_score"] == pytest.approx(base, rel=1e-9)
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(words), sum(plain[w] > 0 for w in words), total)
+
+
+def test_ctw_sees_the_order_of_words(spark):
+    rng = np.random.default_rng(3)
+    train = [" ".join(["red", "fox", "saw", "one", "big", "dog", "now"][i % 7] for i in range(rng.integers(5, 40))) for _ in range(50)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*train, "red fox saw one big dog now", "now dog big one saw fox red"])], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in ctw.score(docs, F.col("doc_id") < 50).collect()}
+    assert got[50]["score"] > got[51]["score"] + 3 and got[50]["base_score"] == pytest.approx(got[51]["base_score"])
+
+
+def test_ctw_parts_and_lookups():
+    pair, n = ctw.pairs_in([b"ab", b"", b"abc"], 3)
+    assert list(n) == [3, 1, 4] and list(pair & 255) == [97, 98, 255, 255, 97, 98, 99, 255]
+    assert pair[1] >> 8 == 97 | 0xFFFF00 and pair[3] >> 8 == 0xFFFFFF == pair[0] >> 8
+    tree = ctw.Subtree(pair, np.ones(len(pair), np.int64), 3)
+    assert tree.rest[1].sum() + tree.rest[2].sum() == 8 * 8
     assert ctw.log_gamma(np.array([0.5, 3.5, 100.0])) == pytest.approx([math.lgamma(x) for x in (0.5, 3.5, 100.0)])
+    key = np.unique(np.random.default_rng(0).integers(0, 1 << 56, 5000))
+    found = ctw.Lookup(key, np.arange(len(key)) / 7).of(np.concatenate([key, key + 1]))
+    assert found[: len(key)] == pytest.approx(np.arange(len(key)) / 7) and np.isnan(found[len(key) :]).mean() > 0.99
+    rows = pd.DataFrame({"_two": [1] * 5 + [2] * 7, "_three": [-1, 3, 3, 4, 4, -1, 2, 2, 2, 2, 5, 5], "pair": range(12)})
+    before, ctw.CHUNK = ctw.CHUNK, 3
+    pieces = list(ctw._whole_groups(iter([rows.iloc[i : i + 2] for i in range(0, 12, 2)])))
+    ctw.CHUNK = before
+    assert pd.concat(pieces)["pair"].tolist() == list(range(12)) and len(pieces) > 2
+    assert all(not set(zip(a["_two"], a["_three"])) & set(zip(b["_two"], b["_three"])) for a, b in zip(pieces, pieces[1:]))
 
 
 def test_ctw_without_training_rows_or_rows(spark):
@@ -229,7 +241,7 @@ def test_ctw_without_training_rows_or_rows(spark):
     got = ctw.score(docs, F.lit(False)).collect()
     assert {r["n_known"] for r in got} == {0}
     bits = {r["doc_id"]: -r["score"] / math.log10(2) for r in got}
-    assert bits[1] - bits[2] == pytest.approx(8 * 3)
+    assert bits[1] - bits[2] == pytest.approx(8 * 2) and bits[2] == pytest.approx(8)
     assert ctw.score(docs.limit(0), F.lit(True)).count() == 0
 
 
@@ -238,16 +250,3 @@ def test_the_bound_of_the_quality_sample_does_not_move_scores(spark):
     labels = labels.withColumn("quality", (F.col("doc_id") % 10 != 0).cast("int"))
     empty = [quality.fit(docs, labels, per_class=n).scores([""])[0] for n in (1000, 20)]
     assert abs(empty[0] - empty[1]) < 0.05 and min(empty) > 0.8
-
-
-def test_ctw_profiles_are_fitted_on_all_texts_whatever_is_repeated(spark):
-    words = {"de": "der hund und die katze sind heute im garten bei uns".split(), "en": "the dog and a cat were in my garden with us".split()}
-    rng = np.random.default_rng(3)
-    texts = [" ".join(rng.choice(words[lang], 12)) for lang in words for _ in range(40)]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    hot = docs.orderBy(F.xxhash64("text"), "text").first()[0]
-    docs = docs.unionByName(spark.createDataFrame([(hot,)] * 1100, "text string"))
-    profiles = ctw.fit_profiles(docs, F.lit(True))
-    assert {w.encode() for lang in words for w in words[lang]} <= profiles.index.keys()
-    own = [{profiles.of_words(ctw.words_of(t)) for t in part} for part in (texts[:40], texts[40:])]
-    assert not own[0] & own[1]
