@@ -199,6 +199,19 @@ def test_near_duplicates_against_brute_force(spark, block):
     assert [got[i]["n_copies"] for i in range(len(texts))] == [sum((a or "") == (b or "") for b in texts) for a in texts]
 
 
+def test_the_forest_leaves_out_texts_that_only_share_a_passage(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    passage = [word() for _ in range(60)]
+    texts = [" ".join([word() for _ in range(60)] + passage + [word() for _ in range(30)]) for _ in range(60)]
+    texts += [" ".join([*texts[0].split()[:-1], word()]), " ".join([*texts[1].split()[:-3], word(), word(), word()])]
+    rows = jaccard.digests(docs_of(spark, texts)).selectExpr("doc_id as v", "labels", "depth").cache()
+    edges = {tuple(sorted(r)) for r in jaccard.forest(rows, block_texts=7).collect()}
+    assert edges == {(0, 60), (1, 61)}
+    # More of the text is needed of short ones, so fewer of them meet.
+    assert [jaccard.depth_for(jaccard.least_similarity(n)) for n in (1, 3, 4, 7, 16)] == [8, 8, 4, 6, 4]
+
+
 def test_keep_one_of_each_class(spark):
     texts = near_texts(6)
     docs = docs_of(spark, texts)
