@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import numbered, read_table, written
 
 BLOCK_CHARS = 16_384
 #: Slots that one task schedules, at least; more, where the lightest source waits longer for a block.
@@ -170,12 +170,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     with their weights and blocks together, and inside it by ranked_blocks(); release and deadline are those of the whole.
     """
     spark = docs.sparkSession
-    docs = docs.drop("block", "slot", "release", "deadline", "in_mix", "source_start")
+    docs, own = numbered(docs.drop("block", "slot", "release", "deadline", "in_mix", "source_start"))
     shards = max(SHARDS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    part, order = ["_source", "_shard"], ["_h", "doc_id", "_t"]
+    part, order = ["_source", "_shard"], ["_h", own["doc_id"], "_t"]
     keyed = docs.withColumns({
-        "_source": F.coalesce(F.col("source").cast("string"), F.lit(NULL)), "_h": F.xxhash64("doc_id"), "_t": F.xxhash64("text"),
-        "_size": F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint") + 1,
+        "_source": F.coalesce(F.col(own["source"]).cast("string"), F.lit(NULL)), "_h": F.xxhash64(own["doc_id"]), "_t": F.xxhash64(own["text"]),
+        "_size": F.coalesce(F.char_length(own["text"]), F.lit(0)).cast("bigint") + 1,
     })
     keyed = keyed.withColumn("_shard", F.pmod(F.col("_h"), F.lit(shards)).cast("int"))
     parts = keyed.groupBy(*part).agg(F.sum("_size").alias("_total"))
@@ -221,7 +221,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     found = found.withColumn("source_start", F.col("_before") + F.col("_in")).withColumn("block", F.expr(f"source_start div {block_chars}"))
     found = found.withColumn("_slot", F.get("_slots", (F.col("block") - F.expr(f"_before div {block_chars}")).cast("int")))
     return found.select(
-        *[F.col(c) for c in docs.columns], "block", F.col("_slot.slot").alias("slot"), F.col("_slot.release").alias("release"), F.col("_slot.deadline").alias("deadline"),
+        *[F.col(n).alias(c) for c, n in own.items()], "block", F.col("_slot.slot").alias("slot"), F.col("_slot.release").alias("release"), F.col("_slot.deadline").alias("deadline"),
         F.coalesce(F.col("_slot.slot") < full, F.lit(False)).alias("in_mix"), "source_start",
     )
 
@@ -231,10 +231,11 @@ def keep_mixed(docs: DataFrame, weights: dict[str, float] | None = None, tempera
 
     When a source runs out the others go on at their weights, scaled up, so nothing of them is dropped. Nulls, empty and long
     texts, repeated rows and empty tables are as in mix()."""
-    own = {c: f"_own{i}" for i, c in enumerate(docs.columns) if c in ("block", "slot", "release", "deadline", "in_mix", "source_start")}
-    mixed = mix(docs.withColumnsRenamed(own), weights, temperature, block_chars)
+    named, own = numbered(docs)
+    mixed = mix(named.withColumnsRenamed({own[c]: c for c in ("doc_id", "source", "text")}), weights, temperature, block_chars)
     order = [F.col("slot").asc_nulls_last(), F.col("source_start")]
-    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+    back = own | {c: c for c in ("doc_id", "source", "text")}
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(n).alias(c) for c, n in back.items()])
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
