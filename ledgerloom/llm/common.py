@@ -45,6 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with columns called c0, c1, ..., and the new name of each: names of one's own then clash with none."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written once as Parquet in the shared folder and read back.
 
@@ -69,6 +75,14 @@ def bounded_sample(keys: DataFrame, stratum: str, per_stratum: int, id_column: s
     return first.withColumn("_rank", F.row_number().over(by_stratum)).filter(F.col("_rank") <= per_stratum).drop("_rank")
 
 
+def bounded_texts(rows: DataFrame, stratum: str, characters: int, id_column: str = "doc_id") -> DataFrame:
+    """Of rows with a text, in each stratum the first in order of id hash whose texts have at most so many characters
+    together, whatever their number; at least one."""
+    line = Window.partitionBy(stratum).orderBy(F.xxhash64(id_column), F.col(id_column), F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("text")).over(line), F.lit(0))
+    return rows.withColumn("_before", before).filter((F.col("_before") == 0) | (F.col("_before") + F.length("text") <= characters)).drop("_before")
+
+
 class WordMemo:
     """Values of distinct words, computed once per Python worker instead of once per occurrence.
 
@@ -88,9 +102,13 @@ class WordMemo:
         new = [w for w in set().union(*documents) if w not in self.index]
         if new or self.values is None:
             fresh = np.asarray(self.compute(new))
-            start = len(self.index)
-            self.index.update(zip(new, range(start, start + len(new)), strict=True))
-            self.values = fresh if self.values is None else np.concatenate([self.values, fresh])
+            start, end = len(self.index), len(self.index) + len(new)
+            self.index.update(zip(new, range(start, end), strict=True))
+            if self.values is None or end > len(self.values):  # room for twice as many, so rows are copied once on average
+                larger = np.zeros((max(1, 2 * end), *fresh.shape[1:]), fresh.dtype)
+                larger[:start] = 0 if self.values is None else self.values[:start]
+                self.values = larger
+            self.values[start:end] = fresh
         counts = np.fromiter(map(len, documents), np.int64, len(documents))
         rows = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(documents)), np.int32, int(counts.sum()))
         return rows, counts

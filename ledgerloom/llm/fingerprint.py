@@ -22,8 +22,9 @@ from .common import read_table
 #: Tokens: up to four characters that are not white space, with the white space before them.
 TOKEN = r"(?s)\s*\S{1,4}|\s+\z"
 K, TUPLE, SIZE = 3, 2, 64
-#: The low bits of a number hold the k-mer's place in the text, the 40 bits above them its hash.
-PLACE_BITS = 24
+#: The low bits of a number hold the k-mer's place in the text, the 36 bits above them its hash. An array of more places
+#: than that (2 GB of numbers) is more than a row of Spark can hold.
+PLACE_BITS = 28
 PLACES = (1 << PLACE_BITS) - 1
 #: Ranges of ids that the order of documents is cut into, for each shuffle partition.
 RANGES_PER_PARTITION = 8
@@ -157,4 +158,5 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document beside that of its edited text."""
     return compare_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

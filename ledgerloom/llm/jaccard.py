@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, memo, read_table, written
+from .common import map_texts, memo, numbered, read_table, written
 from .graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -318,14 +318,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One row of `docs` for each class of near_duplicates(): that of the smallest doc_id (of the smallest text hash, if
-    rows share that id). All columns are kept. Equal rows count as one."""
+    rows share that id). All columns are kept. Rows of equal id and text count as one: the first by a hash of their other
+    columns. Null texts are one class with empty ones, an empty table stays empty."""
     found = near_duplicates(docs, **options)
     chosen = found.filter("doc_id <=> class_id").groupBy("class_id").agg(F.min(F.struct("h1", "h2")).alias("_h"))
     chosen = chosen.select(F.col("class_id").alias("_id"), F.col("_h.h1").alias("_h1"), F.col("_h.h2").alias("_h2"))
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(7), text)})
-    kept = keyed.join(chosen, F.expr("cast(doc_id as bigint) <=> _id and _k1 = _h1 and _k2 = _h2"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_k1", "_k2"]).select(*docs.columns)
+    named, own = numbered(docs)
+    text = F.coalesce(own["text"], F.lit(""))
+    keyed = named.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(7), text)})
+    kept = keyed.join(chosen, F.expr(f"cast({own['doc_id']} as bigint) <=> _id and _k1 = _h1 and _k2 = _h2"), "left_semi")
+    others = F.struct(*[n for c, n in own.items() if c != "text"])
+    one = F.min_by(F.struct(*own.values()), F.xxhash64(F.to_json(others, {"ignoreNullFields": "false"})))
+    kept = kept.groupBy(own["doc_id"], "_k1", "_k2").agg(one.alias("_r"))
+    return kept.select(*[F.col(f"_r.{n}").alias(c) for c, n in own.items()])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,11 +18,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, filter_texts, map_texts, memo, read_table, remainder, sums
+from .common import bounded_sample, bounded_texts, filter_texts, map_texts, memo, read_table, remainder, sums
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents of each language that the probabilities are fitted on, at most.
 FIT_PER_LANGUAGE = 600
+#: Characters of theirs, at most.
+FIT_CHARACTERS = 5_000_000
 ROUNDS = 4
 #: Added to the expected count of each piece, and of the piece that stands for one character outside the vocabulary.
 SMOOTHING = 0.05
@@ -190,10 +192,14 @@ def train(texts: Sequence[str], languages: Sequence[str], path: str | None = Non
 
 
 def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, path: str | None = None) -> Model:
-    """Fit on at most `per_language` documents of each language in the column lang (nulls take no part)."""
+    """Fit on at most `per_language` documents, and FIT_CHARACTERS of them, of each language in the column lang.
+
+    Null languages and ids take no part, an id with two languages has the first by name, null texts are empty; an empty
+    table gives a model that knows no language."""
     keys = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("lang").alias("_lang"))
     picked = bounded_sample(keys, "_lang", per_language)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = bounded_texts(rows, "_lang", FIT_CHARACTERS).toPandas().sort_values(["doc_id", "text"])
     return train(rows["text"].tolist(), rows["_lang"].tolist(), path)
 
 
@@ -209,13 +215,18 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) ->
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of `docs` whose language has a posterior of at least `least`, with their own columns. Texts without a
-    letter go; so does everything if the model knows no language."""
+    """The rows of `docs` whose language has a posterior of at least `least`, with their own columns, whatever these are called.
+
+    Null texts and texts without a letter go; a model that knows no language keeps all others. Repeated rows stay or go
+    together, an empty table stays empty, texts are taken whole."""
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     held = docs.sparkSession.sparkContext.broadcast(model)
     return filter_texts(docs, "text", lambda texts: held.value.predict(texts)[1] >= least)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those whose crc32 of the id mod 3 is not 1."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.filter(remainder("doc_id", 3) != 1))
     return predict(docs.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "text"), model, ("doc_id", "held_out"))

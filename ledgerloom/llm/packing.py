@@ -268,9 +268,14 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
-    """All pieces of `docs` (doc_id, text) with their places."""
+    """All pieces of `docs` (doc_id, text) with their places in sequences of `window` ids.
+
+    Null and empty texts have one piece, of the last id alone; longer texts than a window are cut, none is shortened.
+    Repeated rows are packed each; a null id stays null; other columns are left out; an empty table gives an empty result.
+    """
     return pack(written(cut(docs, window, path), "pieces"), window)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all documents with their places."""
     return pack_documents(read_table(spark, sf_dir, "documents"))

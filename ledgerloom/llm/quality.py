@@ -16,13 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, filter_texts, map_texts, memo, read_table, remainder, sums
+from .common import bounded_sample, bounded_texts, filter_texts, map_texts, memo, read_table, remainder, sums
 
 #: Rows of the hashed table and length of a vector: the model is 8 MB whatever the data.
 BUCKETS, DIM = 1 << 17, 16
 NGRAMS = (3, 4)
 #: Labelled documents of each class that the model is fitted on, at most.
 FIT_PER_CLASS = 2500
+#: Characters of theirs, at most: a sample of very long texts has fewer of them.
+FIT_CHARACTERS = 15_000_000
 EPOCHS, RATE = 5, 0.5
 #: Small samples are gone through more often, until so many steps are made.
 LEAST_STEPS = 25_000
@@ -137,16 +139,19 @@ def _labelled(labels: DataFrame, label: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> pd.DataFrame:
-    """(text, label) of at most `per_class` documents of each class."""
+    """(text, label) of at most `per_class` documents of each class, of at most FIT_CHARACTERS together."""
     picked = bounded_sample(_labelled(labels, label), "label", per_class)
     # At most 2 * per_class ids.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label", "doc_id")
-    return rows.toPandas().sort_values(["doc_id", "text"], ignore_index=True)
+    return bounded_texts(rows, "label", FIT_CHARACTERS).toPandas().sort_values(["doc_id", "text"], ignore_index=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = FIT_PER_CLASS) -> Model:
-    """Train on at most `per_class` labelled documents of each class. The log-odds of the classes among all labels take the
-    place of those that the bound leaves in the sample, so the size of the input does not move the scores."""
+    """Train on at most `per_class` labelled documents of each class, and FIT_CHARACTERS of their text. The log-odds of the classes among all labels take the
+    place of those that the bound leaves in the sample, so the size of the input does not move the scores.
+
+    Labels that are null, neither 0 nor 1, or without a document take no part; an id that is labelled twice has its larger
+    label; null texts are empty. Labels of one class alone, or none, teach nothing: every score is that of their number."""
     sample = labelled_sample(docs, labels, label, per_class)
     model = train(sample["text"].tolist(), sample["label"].tolist())
     counted = dict(_labelled(labels, label).groupBy("label").count().collect())  # at most two rows
@@ -171,12 +176,18 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", keep: Sequen
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs` that score THRESHOLD or more, with their own columns, whatever these are called."""
+    """The rows of `docs` that score THRESHOLD or more, with their own columns, whatever these are called.
+
+    A model that learnt nothing, for want of labels of both classes, rejects no row. Null and empty texts have the score of
+    the bias, repeated rows stay or go together, an empty table stays empty, texts are taken whole."""
+    if not model.share.any():
+        return docs
     held = docs.sparkSession.sparkContext.broadcast(model)
     return filter_texts(docs, "text", lambda texts: held.value.scores(texts) >= THRESHOLD)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learnt from labels of ids whose crc32 mod 4 is not 2."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").filter(remainder("doc_id", 4) != 2)
     model = fit(docs, labels)

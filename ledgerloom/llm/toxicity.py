@@ -142,6 +142,7 @@ def train(texts: Sequence[str], labels: Sequence[int], prior: float | None = Non
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = FIT_PER_CLASS) -> Model:
+    """Train on a bounded sample as in quality.labelled_sample(), at the share of toxic labels among all."""
     sample = labelled_sample(docs, labels, label, per_class)
     whole = labels.filter(F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
     return train(sample["text"].tolist(), sample["label"].tolist(), whole)
@@ -167,7 +168,12 @@ _SENTENCE = re.compile(r"[^.!?\n\r\u2028\u2029。！？]*[.!?\n\r\u2028\u2029。
 
 
 def locate(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
-    """One row for each offending sentence (probability of at least `least`): doc_id, sentence, start, end, text, probability."""
+    """One row for each offending sentence (probability of at least `least`): doc_id, sentence, start, end, text, probability.
+
+    Sentences are numbered and placed (in characters) within the whole text. Null and empty texts have none, a document
+    without an offending one has no row, repeated rows give their sentences again, an empty table none; other columns are
+    left out. A null id stays null.
+    """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -176,10 +182,11 @@ def locate(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame
             texts = texts_of(batch)
             p, owner, n = held.value.sentences(texts)
             first = np.cumsum(n) - n
-            rows = []
+            rows, of, spans = [], -1, []
             for i in np.flatnonzero(p >= least):
                 d = int(owner[i])
-                spans = [m.span() for m in _SENTENCE.finditer(texts[d])]
+                if d != of:  # sentences come in order of their documents
+                    of, spans = d, [m.span() for m in _SENTENCE.finditer(texts[d])]
                 k = int(i - first[d])
                 if k < len(spans):
                     a, b = spans[k]
@@ -190,6 +197,7 @@ def locate(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from labels of ids whose crc32 mod 5 is not 0."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
     model = fit(docs, labels)

@@ -2,6 +2,9 @@
 
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerloom.llm import jaccard
 from ledgerloom.llm.common import read_table, written
@@ -34,6 +37,43 @@ def test_clean_documents_stay(spark, sf_dir):
     assert docs.filter("lang is not null").join(known, "doc_id", "left_anti").count() <= 0.02 * docs.count()
 
 
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "a", 0), (3, "lorem ipsum dolor sit amet " * 8000, "en", None, 1), (3, "lorem ipsum dolor sit amet " * 8000, "en", None, 1),
+    (None, "no id here at all", "de", "b", 5), (None, None, None, None, None), (2**60 + 1, "big id", "fr", "a", 6), (7, "123 456", None, "c", 7), (8, "x" * 5000, None, "c", 7),
+]
+CLASH = ("score", "predicted", "label", "slot", "block", "release", "_h", "h1", "class_id", "labels", "depth", "start", "length", "_row", "text2")
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_stages_on_odd_rows(spark, tmp_path, labelled):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names, no labels, no languages, empty tables."""
+    labels = [(1, 1, 0), (2, 0, 0), (3, 1, 1), (None, 1, 1), (7, None, None), (2, 1, 0), (999, 0, 0)] if labelled else []
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(ODD, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    if not labelled:
+        docs = docs.withColumn("lang", F.lit(None).cast("string"))
+    for name in CLASH:
+        docs = docs.withColumn(name, F.lit("own"))
+    rows = lambda d: sorted(map(str, d.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        if name == "packing":
+            assert {r["doc_id"] for r in out.collect()} == {r[0] for r in ODD} and out.groupBy("doc_id", "start").count().filter("count > 1 and doc_id is not null").select("doc_id").distinct().count() == 1
+            continue
+        assert out.columns == empty.columns == docs.columns
+        got, all_of_them = rows(out), rows(docs)
+        assert set(got) <= set(all_of_them)
+        if name == "mixing" or (name == "quality" and not labelled):
+            assert got == all_of_them
+        if name == "language":
+            ids = {r["doc_id"] for r in out.collect()}
+            assert not {1, 2, 7} & ids and (labelled or {3, 8, None, 2**60 + 1} == ids)
+        if name == "near_duplicates":
+            assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == [(False, 1), (False, 3), (False, 7), (False, 8), (False, 2**60 + 1), (True, 0)]
+
+
 def test_held_out_rows_and_keys(spark, sf_dir):
     ids = [r["doc_id"] for r in read_table(spark, sf_dir, "documents").select("doc_id").collect()]
     for name, modulus, rest in (("op1_quality_classifier", 4, 2), ("op2_toxicity", 5, 0), ("op3_language_id", 3, 1)):
@@ -42,5 +82,35 @@ def test_held_out_rows_and_keys(spark, sf_dir):
         assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % modulus == rest) and 0 <= got[i]["score"] <= 1 for i in ids)
 
 
+#: The columns that the contract names, in order, with their types.
+CONTRACT = {
+    1: "doc_id bigint, held_out boolean, score double, predicted int",
+    2: "doc_id bigint, held_out boolean, score double, predicted int",
+    3: "doc_id bigint, held_out boolean, lang_pred string, score double",
+    4: "query_id bigint, rank int, vec_id bigint, score double",
+    5: "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    6: "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    7: "doc_id bigint, slot bigint",
+    8: "doc_id bigint, class_id bigint, n_links bigint",
+    9: "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    10: "page_id bigint, host string, path string, rule string, verdict string",
+}
+
+
+@pytest.mark.parametrize("number", [n for n in CONTRACT if n > 3])
+def test_queries_give_their_columns_for_every_row(spark, sf_dir, number):
+    name = next(n for n in QUERIES if n.startswith(f"op{number}_"))
+    out = QUERIES[name](spark, sf_dir)
+    kinds = dict(out.dtypes)
+    assert all(kinds[c.split()[0]] == c.split()[1] for c in CONTRACT[number].split(", "))
+    rows = out.collect()
+    table, key = {4: ("embeddings", "vec_id"), 10: ("pages", "page_id")}.get(number, ("documents", "doc_id"))
+    ids = {r[0] for r in read_table(spark, sf_dir, table).select(key).collect()}
+    if number == 4:
+        assert {r["query_id"] for r in rows} == {i for i in ids if i % 100 == 0} and len(rows) == 10 * len({r["query_id"] for r in rows})
+    else:
+        assert {r[key] for r in rows} == ids and (number == 9 or len(rows) == len(ids))
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
