@@ -7,7 +7,8 @@ is checked for R and ranked by exact distance.
 
 R is learned too: exact neighbours of a few queries, over all rows, tell within how many bits most neighbours lie.
 Rows are dealt over shards by a hash of their id and queries come in blocks; each pair of a shard and a block is a group
-of its own with the index of its shard, and hands on no more than k rows for each query.
+of its own with the index of its shard, and hands on no more than k rows for each query. A shard is copied once for each
+block of queries and a query once for each shard, so both are as large as a task's memory allows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SAMPLE, ROUNDS = 10_000, 30
 #: Queries whose exact neighbours set the radius, at most, and the share of neighbours that must lie within it.
 PROBES, TARGET = 64, 0.97
 #: Rows of a shard and queries of a block, at most; a shard is smaller where that gives every task one.
-SHARD_ROWS, LEAST_SHARD_ROWS, BLOCK_QUERIES = 65_536, 1024, 1024
+SHARD_ROWS, LEAST_SHARD_ROWS, BLOCK_QUERIES = 65_536, 1024, 16_384
 
 
 class Codes:
@@ -123,7 +124,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, t
 
     Take both from usable(): null, zero and non-finite vectors take no part. Vectors of another length than most have
     (of the longest such length, if several are as common) take no part either. Rows that repeat an id are rows of their
-    own. Without queries or rows the result is empty.
+    own, found each, and queries that repeat one are each answered in full. Fewer than k other rows give all of them.
+    Without queries or rows the result is empty.
     """
     spark = rows.sparkSession
     small_batches(spark)
@@ -142,6 +144,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, t
         return spark.createDataFrame([], out)
     codes.radius = _radius(rows, probes, codes, k, target)
 
+    # The number is fixed by the written file; it only tells queries of equal id apart.
+    queries = written(queries.select("id", "x", F.monotonically_increasing_id().alias("query")), "queries")
     asked = max(1, queries.count())
     blocks = -(-asked // block_queries)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -149,7 +153,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, t
     held = spark.sparkContext.broadcast(codes)
     # A shard goes to every block, a query to every shard.
     index = rows.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_q"))
-    probing = queries.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_q"))
+    probing = queries.select("id", "x", "query", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"), F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("_q"))
 
     def search(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -157,7 +161,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, t
             ids, x = shard["id"].to_numpy(np.int64), _matrix(shard["x"])
             tables = Tables(held.value.of(x))
             q = _matrix(block["x"])
-            for own, vector, code in zip(block["id"].to_numpy(np.int64), q, held.value.of(q), strict=True):
+            for own, query, vector, code in zip(block["id"].to_numpy(np.int64), block["query"].to_numpy(np.int64), q, held.value.of(q), strict=True):
                 radius = held.value.radius
                 while True:
                     near = tables.within(code, radius)
@@ -167,11 +171,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, t
                     radius = min(bits, radius + 4)
                 score = distances(x[near], vector)
                 best = np.lexsort((ids[near], score))[:k]
-                parts.append(pd.DataFrame({"query_id": own, "vec_id": ids[near][best], "score": score[best]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                parts.append(pd.DataFrame({"query": query, "query_id": own, "vec_id": ids[near][best], "score": score[best]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []})
 
-    found = index.groupBy("_s", "_q").cogroup(probing.groupBy("_s", "_q")).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = index.groupBy("_s", "_q").cogroup(probing.groupBy("_s", "_q")).applyInPandas(search, "query bigint, query_id bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -205,5 +209,6 @@ def _radius(rows: DataFrame, probes: pd.DataFrame, codes: Codes, k: int, target:
 
 
 def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all other vectors for each vector whose id is divisible by 100."""
     rows = written(usable(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
     return nearest(rows, rows.filter(F.col("id") % 100 == 0))

@@ -56,6 +56,22 @@ def test_nearest_of_few_and_none(spark):
     assert nearest.nearest(table.limit(0), table).count() == 0 and nearest.nearest(table, table.limit(0)).count() == 0
 
 
+def test_nearest_of_repeated_rows_ties_and_more_columns(spark):
+    """A repeated query is answered twice in full; rows as near as the last place go by their ids."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 8))
+    x[20:30] = x[3]
+    rows = [(i, v.tolist(), "e", i) for i, v in enumerate(x)] + [(0, x[0].tolist(), "e", 0), (3, x[3].tolist(), "e", 3)]
+    table = nearest.usable(spark.createDataFrame(rows, "vec_id bigint, x array<double>, query string, score int"), "vec_id", "x")
+    got = nearest.nearest(table, table.filter("id in (0, 3)"), k=5, shard_rows=16, block_queries=1).toPandas()
+    assert len(got) == 20 and (got.groupby(["query_id", "rank"]).size() == 2).all()
+    assert sorted(got[got["query_id"] == 3]["vec_id"]) == sorted([20, 21, 22, 23, 24] * 2) and (got[got["query_id"] == 3]["score"] == 0).all()
+    d = {i: nearest.distances(x[[i]], x[0])[0] for i in range(1, 40)}
+    d |= {40: d[3]}  # the second row of id 3
+    want = sorted((v, 3 if i == 40 else i) for i, v in d.items())[:5]
+    assert sorted(got[got["query_id"] == 0]["vec_id"]) == sorted([i for _, i in want] * 2)
+
+
 # Fingerprints.
 def test_edits_and_fingerprints(spark):
     texts = ["alpha beta gamma delta " * 5, None, "x", "", "für Ärger 😀 sorgen " * 4, "alpha beta gamma delta " * 5]
@@ -82,6 +98,46 @@ def test_fingerprint_falls_with_edits_and_sees_order(spark):
     assert like(0, 1) > 0.8 and like(0, 3) == 0 and like(0, 2) < 0.9
 
 
+def brute_signature(text):
+    """The signature by its definition: each order looks at all numbered k-mers of the text."""
+    import re
+
+    import xxhash
+
+    seed = lambda h: h % 2**64
+    of_text = lambda t, h: xxhash.xxh64_intdigest(t.encode(), seed(h))
+    of_long = lambda n, h: xxhash.xxh64_intdigest((n % 2**64).to_bytes(8, "little"), seed(h))
+    of_int = lambda n, h: xxhash.xxh64_intdigest(n.to_bytes(4, "little"), seed(h))
+    tokens = re.findall(r"(?s)\s*\S{1,4}|\s+\Z", text, re.ASCII)
+    seen, mers = {}, []
+    for place in range(max(1, len(tokens) - fingerprint.K + 1)):
+        h = 42
+        for t in tokens[place : place + fingerprint.K]:
+            h = of_text(t, h)
+        h >>= fingerprint.PLACE_BITS
+        again = seen.get(h, 0)
+        seen[h] = again + 1
+        mers.append((of_int(again, of_long(h, 42)) >> fingerprint.PLACE_BITS if again else h, place))
+    out = []
+    for j in range(fingerprint.SIZE):
+        mark = (j * 2**64 // fingerprint.SIZE + 2**63) % 2**64
+        # Signed order of 64-bit numbers: the hash follows the mark on the ring.
+        after = sorted(((((h << fingerprint.PLACE_BITS) | p) - mark - fingerprint.PLACES) % 2**64, h, p) for h, p in mers)
+        first, second = after[0], after[1 % len(after)]
+        if first[2] > second[2]:
+            first, second = second, first
+        out.append(of_long(second[1], of_long(first[1], 42)) & 0xFFFFFF)
+    return "".join(f"{e:06x}" for e in out)
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(3)
+    texts = ["", "a", "ab cd", "abc " * 40, "one two three four five six seven", "x" * 500, "trail  \n\n", "é ü ß 漢字 " * 7]
+    texts += [" ".join(rng.choice(["red", "fox", "saw", "a", "very", "large"]) for _ in range(rng.randint(1, 80))) for _ in range(30)]
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprint(docs_of(spark, [*texts, None])).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute_signature(t) for t in texts] and got[len(texts)] == got[0]
+
+
 # Mixing.
 def deviation(fluid, out):
     """The largest distance of a source from its target at any slot, by the weights as they are."""
