@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What a refund takes from its payment.
+OWNED = ("payee", "shop", "channel", "card")
+
+
 def top_of(category: Column | str) -> Column:
     c = F.col(category) if isinstance(category, str) else category
     return F.split_part(c, F.lit("."), F.lit(1))
@@ -30,16 +34,18 @@ def counted(moves: DataFrame) -> DataFrame:
 
     A linked refund counts with a minus, as no payment, on its payment's day and under its payment's names; its category
     is its own. A refund whose payment is not there stands for itself.
+
+    Only refunds look for an owner; all other rows pass as they are, without a shuffle, their effective day the day that
+    the scan reads, so a filter on it reaches the scan.
     """
     owner = moves.select(
-        F.col("id").alias("_id"), F.col("day").alias("_day"), *[F.col(c).alias(f"_{c}") for c in ("payee", "shop", "channel", "card")])
-    # Only refunds look for an owner: the others keep a null key, and a null never meets anything.
-    joined = moves.withColumn("_ref", F.when(is_linked_refund(), F.col("refund_of"))).join(owner, F.col("_ref") == F.col("_id"), "left")
-    return joined.select(
-        *moves.columns, F.coalesce("_day", "day").alias("eff_day"), F.when(is_linked_refund(), -F.col("cents")).otherwise(F.col("cents")).alias("signed"),
-        F.when(is_linked_refund(), 0).otherwise(1).cast("bigint").alias("n"), bucket().alias("bucket"), top_of("category").alias("top"),
-        *[F.coalesce(f"_{c}", c).alias(f"owner_{c}") for c in ("payee", "shop", "channel", "card")],
-    )
+        F.col("id").alias("_id"), F.col("day").alias("_day"), *[F.col(c).alias(f"_{c}") for c in OWNED])
+    refund = F.coalesce(is_linked_refund(), F.lit(False))
+    own = {"bucket": bucket(), "top": top_of("category")}
+    rest = moves.filter(~refund).withColumns({"eff_day": F.col("day"), "signed": F.col("cents"), "n": F.lit(1).cast("bigint"), **own, **{f"owner_{c}": F.col(c) for c in OWNED}})
+    back = moves.filter(refund).join(owner, F.col("refund_of") == F.col("_id"), "left")
+    back = back.withColumns({"eff_day": F.coalesce("_day", "day"), "signed": -F.col("cents"), "n": F.lit(0).cast("bigint"), **own, **{f"owner_{c}": F.coalesce(f"_{c}", c) for c in OWNED}})
+    return rest.unionByName(back.select(*rest.columns))
 
 
 COUNTED_SQL = """

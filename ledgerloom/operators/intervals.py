@@ -64,9 +64,11 @@ def estimates(bills: DataFrame, rows: DataFrame) -> DataFrame:
     per_cycle = bills.groupBy("card", "cycle_first", "cycle_last").agg(F.sum("cents").alias("paid_cents"))
     charge = F.when((F.col("direction") == "debit") & (F.col("category") != "transfers.card_bill"), F.col("cents")).when((F.col("refund_of").isNotNull()) & (F.col("direction") == "credit"), -F.col("cents")).otherwise(0)
     charges = rows.filter("channel = 'card'").withColumn("_c", charge).groupBy("card", "day").agg(F.sum("_c").alias("_c"))
-    # Cycles of a card do not overlap: equal cards, then a range inside the card.
-    own = per_cycle.join(charges, (per_cycle.card == charges.card) & F.col("day").between(F.col("cycle_first"), F.col("cycle_last")), "left")
-    own = own.groupBy(per_cycle.card, "cycle_first", "cycle_last", "paid_cents").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("charges"))
+    # A cycle stands once for each month it touches, so the join is on card and month.
+    months = per_cycle.withColumn("_m", F.explode(F.sequence(F.trunc("cycle_first", "MM"), F.trunc("cycle_last", "MM"), F.expr("interval 1 month"))))
+    inside = months.join(charges.withColumn("_m", F.trunc("day", "MM")), ["card", "_m"]).filter("day between cycle_first and cycle_last")
+    cycle = ["card", "cycle_first", "cycle_last"]
+    own = per_cycle.join(inside.groupBy(*cycle).agg(F.sum("_c").alias("charges")), cycle, "left").withColumn("charges", F.coalesce("charges", F.lit(0)))
     line = Window.partitionBy("card").orderBy("cycle_first", "cycle_last")
     new = F.coalesce((F.date_add(F.lag("cycle_last").over(line), 1) != F.col("cycle_first")).cast("int"), F.lit(1))
     own = own.withColumn("_run", F.sum(new).over(line))  # a cycle that does not follow the last starts a run
@@ -82,10 +84,12 @@ def estimates(bills: DataFrame, rows: DataFrame) -> DataFrame:
 def covered_by(bills: DataFrame, statements: DataFrame) -> DataFrame:
     """Adds covered_by to bills with a cycle: the first statement of the card (by its start, then its name) that contains
     the whole cycle, null if none does."""
-    s = statements.select(F.col("card").alias("_card"), "statement", "first", "last")
-    pairs = bills.join(s, (bills.card == F.col("_card")) & (F.col("first") <= F.col("cycle_first")) & (F.col("last") >= F.col("cycle_last")), "left")
-    first = F.min_by("statement", F.struct("first", "statement"))
-    return pairs.groupBy(*bills.columns).agg(first.alias("covered_by"))
+    # A statement stands once for each month it touches; a cycle that it contains begins in one of them.
+    s = statements.select("card", "statement", "first", "last", F.explode(F.sequence(F.trunc("first", "MM"), F.trunc("last", "MM"), F.expr("interval 1 month"))).alias("_m"))
+    cycles = bills.select("card", "cycle_first", "cycle_last").distinct().withColumn("_m", F.trunc("cycle_first", "MM"))
+    hits = cycles.join(s, ["card", "_m"]).filter("first <= cycle_first and last >= cycle_last")
+    best = hits.groupBy("card", "cycle_first", "cycle_last").agg(F.min_by("statement", F.struct("first", "statement")).alias("covered_by"))
+    return bills.join(best, ["card", "cycle_first", "cycle_last"], "left").select(*bills.columns, "covered_by")
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, within: str) -> DataFrame:

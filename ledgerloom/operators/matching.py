@@ -8,6 +8,7 @@ goes. Rounds are joins, so a component of candidates of any size needs no task o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,7 +64,10 @@ def file_overlaps(old: DataFrame, new: DataFrame, days: int = FILE_DAYS) -> Data
     """(new_id, old_id): the same purchase in two files: equal card, direction and cents, within days, a payee inside the
     other or a long word in common; the nearest day, then the smallest id."""
     side = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), "card", "direction", "cents", F.to_date("ts").alias(f"{p}_day"), F.col("file").alias(f"{p}_file"), compact("payee").alias(f"{p}_key"), long_words("payee").alias(f"{p}_words"))
-    pairs = side(new, "new").join(side(old, "old"), ["card", "direction", "cents"])
+    # Days are cut into spans of the window: a pair lies in the same span or in neighbouring ones.
+    span = lambda p: F.floor(F.unix_date(f"{p}_day") / days)
+    near = side(old, "old").withColumn("_span", F.explode(F.array(*[span("old") + k for k in (-1, 0, 1)])))
+    pairs = side(new, "new").withColumn("_span", span("new")).join(near, ["card", "direction", "cents", "_span"])
     apart = F.abs(F.datediff("new_day", "old_day"))
     same = F.col("new_key").contains(F.col("old_key")) | F.col("old_key").contains(F.col("new_key")) | F.arrays_overlap("new_words", "old_words")
     pairs = pairs.withColumn("_a", apart).filter((F.col("_a") <= days) & (F.col("new_file") != F.col("old_file")) & same)
@@ -73,12 +77,13 @@ def file_overlaps(old: DataFrame, new: DataFrame, days: int = FILE_DAYS) -> Data
 def mutually_unique(payments: DataFrame, bills: DataFrame, tolerance: int = 100, days: int = POSTING_DAYS) -> DataFrame:
     """(payment, bill): within `tolerance` cents and 0 to `days` days after the bill, if neither has any other candidate.
 
-    Amounts are cut into bands of the tolerance and the join is on the band (or its neighbours), not on ranges alone.
+    Amounts are cut into bands of the tolerance and days into spans of the window; the join is on both (or the neighbours
+    that a pair may lie in), not on ranges.
     """
-    band = F.floor(F.col("cents") / tolerance)
-    a = payments.select(F.col("id").alias("payment"), F.col("cents").alias("_pc"), F.col("day").alias("_pd"), band.alias("_band"))
-    b = bills.select(F.col("id").alias("bill"), F.col("cents").alias("_bc"), F.col("day").alias("_bd"), F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
-    pairs = a.join(b, "_band").filter((F.abs(F.col("_pc") - F.col("_bc")) <= tolerance) & F.datediff("_pd", "_bd").between(0, days)).select("payment", "bill")
+    band, span = F.floor(F.col("cents") / tolerance), F.floor(F.unix_date("day") / (days + 1))
+    a = payments.select(F.col("id").alias("payment"), F.col("cents").alias("_pc"), F.col("day").alias("_pd"), band.alias("_band"), span.alias("_span"))
+    b = bills.select(F.col("id").alias("bill"), F.col("cents").alias("_bc"), F.col("day").alias("_bd"), F.explode(F.array(*[F.struct((band + i).alias("_band"), (span + j).alias("_span")) for i in (-1, 0, 1) for j in (0, 1)])).alias("_at"))
+    pairs = a.join(b.select("bill", "_bc", "_bd", "_at.*"), ["_band", "_span"]).filter((F.abs(F.col("_pc") - F.col("_bc")) <= tolerance) & F.datediff("_pd", "_bd").between(0, days)).select("payment", "bill")
     alone = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) == 1
     return pairs.withColumns({"_p": alone("payment"), "_b": alone("bill")}).filter("_p and _b").select("payment", "bill")
 
@@ -89,10 +94,13 @@ def refund_candidates(payments: DataFrame, refunds: DataFrame, days: int = REFUN
     p = payments.select(F.col("id").alias("payment"), F.col("ts").alias("paid_at"), F.col("cents").alias("budget"), F.col("shop").alias("_shop"), F.col("card").alias("_card"), F.col("ref").alias("_ref"))
     r = refunds.select(F.col("id").alias("refund"), F.col("ts").alias("back_at"), F.col("cents"), "shop", "card", "ref")
     in_time = (F.col("paid_at") <= F.col("back_at")) & (F.col("paid_at") >= F.col("back_at") - F.expr(f"interval {days} days")) & (F.col("budget") >= F.col("cents"))
+    # Time is cut into spans of the window: a refund lies in its payment's span or in the next.
+    span = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (days * 86400))
+    later = p.withColumn("_span", F.explode(F.array(span("paid_at"), span("paid_at") + 1)))
     keep = ["refund", "payment", "back_at", "paid_at", "cents", "budget", F.col("_shop").alias("owner_shop")]
     tiers = [
         r.join(p, F.col("ref") == F.col("_ref")).filter("budget >= cents").select(*keep, F.lit(1).alias("tier")),
-        r.join(p, F.col("shop") == F.col("_shop")).filter(in_time).select(*keep, F.lit(2).alias("tier")),
+        r.withColumns({"_span": span("back_at"), "_shop": F.col("shop")}).join(later, ["_shop", "_span"]).filter(in_time).select(*keep, F.lit(2).alias("tier")),
         r.join(p, (F.col("card") == F.col("_card")) & (F.col("cents") == F.col("budget"))).filter(in_time).select(*keep, F.lit(3).alias("tier")),
     ]
     return tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
@@ -140,10 +148,13 @@ def link_bills(payments: DataFrame, bills: DataFrame, minutes: int = BILL_MINUTE
     """(payment, bill): one to one, within minutes and within percent of the bill; exact amounts first, then the nearest in
     time."""
     span = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (minutes * 60))
-    a = payments.select(F.col("id").alias("payment"), F.col("cents").alias("_pc"), F.col("ts").alias("_pa"), span.alias("_span"))
-    b = bills.select(F.col("id").alias("bill"), F.col("cents").alias("_bc"), F.col("ts").alias("_ba"), F.explode(F.array(span - 1, span, span + 1)).alias("_span"))
+    # Amounts within percent of one another lie in the same band of their logarithm, or in neighbouring ones.
+    band = F.floor(F.log(F.greatest(F.col("cents"), F.lit(1)).cast("double")) / F.lit(math.log(1 + percent / 100) * 1.1))
+    a = payments.select(F.col("id").alias("payment"), F.col("cents").alias("_pc"), F.col("ts").alias("_pa"), span.alias("_span"), band.alias("_band"))
+    near = F.explode(F.array(*[F.struct((span + i).alias("_span"), (band + j).alias("_band")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    b = bills.select(F.col("id").alias("bill"), F.col("cents").alias("_bc"), F.col("ts").alias("_ba"), near.alias("_at")).select("bill", "_bc", "_ba", "_at.*")
     apart = F.abs(F.unix_seconds(F.col("_pa").cast("timestamp")) - F.unix_seconds(F.col("_ba").cast("timestamp")))
-    pairs = a.join(b, "_span").withColumns({"apart": apart, "inexact": (F.col("_pc") != F.col("_bc")).cast("int")})
+    pairs = a.join(b, ["_span", "_band"]).withColumns({"apart": apart, "inexact": (F.col("_pc") != F.col("_bc")).cast("int")})
     pairs = pairs.filter((F.col("apart") <= minutes * 60) & (F.abs(F.col("_pc") - F.col("_bc")) * 100 <= F.col("_bc") * percent))
     return one_to_one(pairs.select("payment", "bill", "inexact", "apart"), "payment", "bill", ["inexact", "apart"])
 

@@ -123,9 +123,9 @@ def month_matrix(spark: SparkSession, rows: DataFrame, period: Period) -> DataFr
 
 def month_table(rows: DataFrame, period: Period) -> DataFrame:
     """One row for each top category, one column for each month of the period (m01 to m12), and the sum."""
-    spent = rows.filter((F.col("bucket") == "spent") & period.has("eff_day")).withColumn("_m", F.date_format("eff_day", "'m'MM"))
-    wide = spent.groupBy("top").pivot("_m", [f"m{i:02}" for i in range(1, 13)]).agg(money(F.sum("signed")))
-    return wide.join(spent.groupBy("top").agg(money(F.sum("signed")).alias("together")), "top")
+    spent = rows.filter((F.col("bucket") == "spent") & period.has("eff_day"))
+    months = [money(F.sum(F.when(F.month("eff_day") == i, F.col("signed")))).alias(f"m{i:02}") for i in range(1, 13)]
+    return spent.groupBy("top").agg(*months, money(F.sum("signed")).alias("together"))
 
 
 def coverage(rows: DataFrame) -> DataFrame:

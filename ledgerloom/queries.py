@@ -263,9 +263,9 @@ def _payments_and_bills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
 
 
 query("mutually_unique_links", """WITH e AS (SELECT event_id AS id, CAST(ts AS DATE) AS day, event_type, CAST(floor(value * 100 + 0.5) AS BIGINT) AS cents FROM events),
-p AS (SELECT a.id AS payment, b.id AS bill FROM e a JOIN e b ON a.event_type = 'purchase' AND b.event_type = 'error' AND abs(a.cents - b.cents) <= 5 AND date_diff('day', b.day, a.day) BETWEEN 0 AND 5),
+p AS (SELECT a.id AS payment, b.id AS bill FROM e a JOIN e b ON a.event_type = 'purchase' AND b.event_type = 'error' AND abs(a.cents - b.cents) <= 100 AND date_diff('day', b.day, a.day) BETWEEN 0 AND 5),
 u AS (SELECT *, count(*) OVER (PARTITION BY payment) AS x, count(*) OVER (PARTITION BY bill) AS y FROM p) SELECT payment, bill FROM u WHERE x = 1 AND y = 1""")(
-    lambda s, d: matching.mutually_unique(*_payments_and_bills(s, d), tolerance=5))
+    lambda s, d: matching.mutually_unique(*_payments_and_bills(s, d)))
 
 
 def _refund_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -275,7 +275,7 @@ def _refund_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return side(e.filter("event_type = 'purchase'"), F.col("cents")), side(e.filter("event_type = 'error'"), F.expr("(cents + 2) div 3"))
 
 
-query("refund_assignment_greedy")(lambda s, d: matching.assign_refunds(*_refund_sides(s, d), days=7))
+query("refund_assignment_greedy")(lambda s, d: matching.assign_refunds(*_refund_sides(s, d)))
 query("bill_link_greedy")(lambda s, d: matching.link_bills(*_payments_and_bills(s, d)))
 query("row_multiset_equality", """WITH a AS (SELECT l_orderkey, l_linenumber FROM lineitem), b AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 10 <> 0),
 x AS (SELECT count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)), y AS (SELECT count(*) AS n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
