@@ -9,17 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows with their lineage cut: written once to the folder that spark.checkpoint.dir names and read back. Where it is
-    unset, a temporary folder is set for a session on one machine; on a cluster that is an error."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one is set for a session on one machine; on a
+    cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         folder = tempfile.mkdtemp(prefix="links-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/links-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows with their lineage cut: written once to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/links-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

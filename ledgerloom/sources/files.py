@@ -33,11 +33,29 @@ def meaning(header: list[str]) -> dict[str, str]:
     return out
 
 
+def separator(head: str) -> str:
+    """The separator that lines agree on; a comma where they have none, as in a file of one column.
+
+    >>> separator("a;b\\n1;2"), separator("a\\n1")
+    (';', ',')
+    """
+    try:
+        return csv.Sniffer().sniff(head, delimiters=",;\t|").delimiter
+    except csv.Error:
+        return ","
+
+
+def decoded(content: Column) -> Column:
+    """Bytes of a file as text: by its mark of order, else as UTF-8 where they are that, else as Western letters."""
+    wide = F.hex(F.substring(content, 1, 2))
+    text = F.when(wide.isin("FFFE", "FEFF"), F.decode(content, "UTF-16")).when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
 def read_delimited(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """A delimited file as text columns; the separator is the one that the first lines agree on."""
     head = [r[0] for r in spark.read.option("encoding", encoding).text(path).limit(60).collect()]
-    dialect = csv.Sniffer().sniff("\n".join(head), delimiters=",;\t|")
-    return spark.read.csv(path, sep=dialect.delimiter, header=True, encoding=encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
+    return spark.read.csv(path, sep=separator("\n".join(head)), header=True, encoding=encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
 
 
 def card_rows(table: DataFrame) -> DataFrame:
@@ -123,6 +141,22 @@ def file_kind(text: Column, least: int = 2) -> Column:
     return F.when(best >= least, F.coalesce(*[F.when(n == best, F.lit(k)) for k, n in counts]))
 
 
+def kind_confidence(text: Column) -> Column:
+    """How sure file_kind() is: the share of the kind's marks that a text has, 0 to 1."""
+    low = F.lower(text)
+    return F.greatest(*[sum((low.contains(w).cast("int") for w in words[1:]), low.contains(words[0]).cast("int")) / F.lit(float(len(words))) for words in FILE_MARKS.values()])
+
+
+def redacted_tokens(rows: DataFrame, column: str, salt: str) -> DataFrame:
+    """Numbers of six digits or more, but for their last two, and names before an @ become tokens of their own: the same value
+    the same token in every text, so that rows can still be told apart and joined."""
+    t, parts = F.col(column), r"([0-9]{6,}|[A-Za-z0-9._%+-]+@|[^0-9A-Za-z._%+-]+|[0-9A-Za-z._%+-]+)"
+    token = lambda x, n: F.left(F.sha2(F.concat(F.lit(salt), x), 256), n)
+    number = lambda x: F.concat(token(x, F.length(x) - 2), F.right(x, F.lit(2)))
+    hidden = lambda x: F.when(x.rlike("^[0-9]{6,}$"), number(x)).when(x.endswith("@"), F.concat(token(F.rtrim(F.translate(x, "@", "")), F.lit(9)), F.lit("@"))).otherwise(x)
+    return rows.withColumn(column, F.array_join(F.transform(F.regexp_extract_all(t, F.lit(parts), F.lit(1)), hidden), ""))
+
+
 def redacted(text: Column) -> Column:
     """Digits of numbers of six or more become X but for the last two, addresses before the @ go."""
     t = F.regexp_replace(text, r"[0-9](?=[0-9]{2,}[0-9]{2}\b)(?<=[0-9])", "X")
