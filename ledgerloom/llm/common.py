@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import itertools
 import tempfile
 import uuid
@@ -83,6 +85,16 @@ def bounded_texts(rows: DataFrame, stratum: str, characters: int, id_column: str
     return rows.withColumn("_before", before).filter((F.col("_before") == 0) | (F.col("_before") + F.length("text") <= characters)).drop("_before")
 
 
+def give_back() -> None:
+    """Hand the memory of a finished fit back to the system, where the C library can: the driver keeps it otherwise, while later
+    stages need room beside it."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class WordMemo:
     """Values of distinct words, computed once per Python worker instead of once per occurrence.
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, bounded_texts, filter_texts, map_texts, memo, read_table, remainder, sums
+from .common import bounded_sample, bounded_texts, filter_texts, give_back, map_texts, memo, read_table, remainder, sums
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents of each language that the probabilities are fitted on, at most.
@@ -200,7 +200,10 @@ def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, path: str | None
     picked = bounded_sample(keys, "_lang", per_language)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     rows = bounded_texts(rows, "_lang", FIT_CHARACTERS).toPandas().sort_values(["doc_id", "text"])
-    return train(rows["text"].tolist(), rows["_lang"].tolist(), path)
+    model = train(rows["text"].tolist(), rows["_lang"].tolist(), path)
+    del rows
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, bounded_texts, filter_texts, map_texts, memo, read_table, remainder, sums
+from .common import bounded_sample, bounded_texts, filter_texts, give_back, map_texts, memo, read_table, remainder, sums
 
 #: Rows of the hashed table and length of a vector: the model is 8 MB whatever the data.
 BUCKETS, DIM = 1 << 17, 16
@@ -154,6 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     label; null texts are empty. Labels of one class alone, or none, teach nothing: every score is that of their number."""
     sample = labelled_sample(docs, labels, label, per_class)
     model = train(sample["text"].tolist(), sample["label"].tolist())
+    del sample
+    give_back()
     counted = dict(_labelled(labels, label).groupBy("label").count().collect())  # at most two rows
     odds = lambda most: np.log((min(counted.get(1, 0), most) + 0.5) / (min(counted.get(0, 0), most) + 0.5))
     return Model(model.share, model.bias + odds(max(counted.values(), default=0)) - odds(per_class))

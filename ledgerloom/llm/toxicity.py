@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_pieces, map_texts, memo, read_table, remainder, small_batches, sums, texts_of
+from .common import give_back, in_pieces, map_texts, memo, read_table, remainder, small_batches, sums, texts_of
 from .quality import labelled_sample
 
 #: Labelled documents of each class that the model is fitted on, at most.
@@ -145,7 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     """Train on a bounded sample as in quality.labelled_sample(), at the share of toxic labels among all."""
     sample = labelled_sample(docs, labels, label, per_class)
     whole = labels.filter(F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
-    return train(sample["text"].tolist(), sample["label"].tolist(), whole)
+    model = train(sample["text"].tolist(), sample["label"].tolist(), whole)
+    del sample
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
