@@ -2,6 +2,7 @@
 
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,5 +113,37 @@ def test_queries_give_their_columns_for_every_row(spark, sf_dir, number):
         assert {r[key] for r in rows} == ids and (number == 9 or len(rows) == len(ids))
 
 
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    con = duckdb.connect()
+    con.create_function("crc32", lambda t: zlib.crc32(t.encode()), ["VARCHAR"], "BIGINT")
+    for name in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def test_base_columns_of_the_language_model_equal_sql(spark, sf_dir, duck):
+    want = duck.execute("""WITH d AS (SELECT doc_id, crc32(CAST(doc_id AS VARCHAR)) % 7 = 2 AS held, list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), '') AS bag FROM documents),
+    t AS (SELECT doc_id, held, unnest(bag) AS w FROM d), c AS (SELECT w, count(*) AS c FROM t WHERE NOT held GROUP BY 1), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+    SELECT doc_id, held, count(*), count(c), any_value(n), sum(log10((coalesce(c, 0) + 1) / CAST(n + v + 1 AS DOUBLE))) FROM t LEFT JOIN c USING (w), n GROUP BY doc_id, held ORDER BY doc_id""").fetchall()
+    got = QUERIES["op5_context_tree_weighting"](spark, sf_dir).orderBy("doc_id").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()
+    assert [tuple(r)[:5] for r in got] == [tuple(map(int, (r[0], r[1], r[2], r[3], r[4]))) for r in want]
+    assert [r["base_score"] for r in got] == pytest.approx([r[5] for r in want], rel=1e-9)
+
+
+def test_edits_equal_sql(spark, sf_dir, duck):
+    want = duck.execute("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nx, length(t) AS n FROM d WINDOW w AS (ORDER BY doc_id, t))
+    SELECT doc_id, n, sha256(left(t, n - n // 2) || left(nx, n // 2)) FROM x ORDER BY doc_id""").fetchall()
+    got = QUERIES["op6_order_minhash"](spark, sf_dir).orderBy("doc_id").select("doc_id", "n_chars", "edited_sha256").collect()
+    assert list(map(tuple, got)) == want
+
+
+def test_neighbours_against_sql(spark, sf_dir, duck):
+    want = set(duck.execute("""SELECT q, v FROM (SELECT a.vec_id AS q, b.vec_id AS v, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS k
+    FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) WHERE k <= 10""").fetchall())
+    got = {(r["query_id"], r["vec_id"]) for r in QUERIES["op4_multi_index_hashing"](spark, sf_dir).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
