@@ -317,6 +317,14 @@ def test_runs_are_best_fit_decreasing(lengths):
     assert sorted(20 - sum(n for _, n in parts) for parts in used.values()) == naive_best_fit(lengths, 20)
 
 
+def test_runs_do_not_grow_with_the_pieces():
+    rng = random.Random(1)
+    base = {n: rng.randint(1, 50) for n in range(1, 2048)}
+    runs = [len(packing.best_fit_decreasing({n: k * times for n, k in base.items()})) for times in (10, 10**3, 10**6)]
+    steep = len(packing.best_fit_decreasing({n: max(1, int(10**8 / n**1.5)) for n in range(1, 2048)}))
+    assert len(set(runs)) == 1 and max(*runs, steep) < 50_000
+
+
 def test_pack_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
