@@ -94,8 +94,8 @@ query("export_entries", f"WITH {_ACT}, {_ENT} SELECT id, ts, cents, direction, k
 query("export_folders_merged", f"""WITH {_ACT}, {_ENT}, h AS (SELECT e.id AS other, a.id AS entry, row_number() OVER (PARTITION BY e.id ORDER BY abs(epoch(a.ts)::BIGINT - epoch(e.ts)::BIGINT), a.id) AS n FROM e JOIN a ON a.direction = e.direction AND a.cents = e.cents AND abs(epoch(a.ts)::BIGINT - epoch(e.ts)::BIGINT) <= CASE WHEN source = 'rewards' THEN 172800 ELSE 300 END
 AND (source = 'rewards' OR contains(regexp_replace(lower(a.payee), '[^a-z0-9]', '', 'g'), regexp_replace(lower(e.payee), '[^a-z0-9]', '', 'g')) OR contains(regexp_replace(lower(e.payee), '[^a-z0-9]', '', 'g'), regexp_replace(lower(a.payee), '[^a-z0-9]', '', 'g'))))
 SELECT e.id AS other, h.entry FROM e LEFT JOIN h ON h.other = e.id AND n = 1""")(lambda s, d: exports.merged(exports.activity(_items(s, d)), _sends(s, d)))
-query("split_bill_items", f"WITH o AS ({_O}) SELECT cu AS \"group\", 'item ' || k AS item, p AS payer, c AS cents FROM o")(
-    lambda s, d: exports.split_bills(_orders(s, d).groupBy(F.col("cu").alias("group")).agg(F.collect_list(F.struct(F.concat(F.lit("item "), F.col("k").cast("string")).alias("title"), F.col("p").alias("payer"), _printed("c").alias("amount"))).alias("items"))))
+query("split_bill_items", f"WITH o AS ({_O}) SELECT cu AS file, 'item ' || k AS item, p AS payer, c AS cents FROM o")(
+    lambda s, d: exports.split_bills(_orders(s, d).groupBy(F.col("cu").alias("group")).agg(F.collect_list(F.struct(F.concat(F.lit("item "), F.col("k").cast("string")).alias("title"), F.col("p").alias("payer"), _printed("c").alias("amount"))).alias("items"))).withColumnRenamed("group", "file"))
 _KINDS = "CASE o_orderkey % 5 WHEN 0 THEN 'Transaction ID 1 UTR 2 paid to x DEBIT' WHEN 1 THEN 'Total Due, minimum due' WHEN 2 THEN 'hello' WHEN 3 THEN 'withdrawal deposit narration' ELSE 'bill payment paid with card ending 9' END"
 query("file_kinds", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'upi' WHEN 1 THEN 'card' WHEN 3 THEN 'export' WHEN 4 THEN 'bills' END AS kind, CASE o_orderkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 WHEN 3 THEN 0.75 ELSE 1.0 END::DOUBLE AS confidence FROM orders")(
     lambda s, d: src.table(s, d, "orders").select("o_orderkey", F.expr(_KINDS).alias("t")).select("o_orderkey", files.file_kind(F.col("t")).alias("kind"), files.kind_confidence(F.col("t")).alias("confidence")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money, text
 from ledgerloom.functions.dates import Period
-from ledgerloom.operators import components, counted, intervals, matching, proof, rules
+from ledgerloom.operators import cards, cascade, components, counted, intervals, matching, proof, rules
 from ledgerloom.plans.ask import Query, answer
 from ledgerloom.sources import files
 from ledgerloom.streaming import imports
@@ -249,3 +249,34 @@ def test_streams(spark, tmp_path):
     assert [(r["cents"], r["rows"]) for r in days] == [(250, 3)]
     linked = run("linked", imports.refunds_of(source().filter("refund_of is null"), source().filter("refund_of is not null")))
     assert {(r["refund"], r["payment"]) for r in linked} == {(3, 1)}
+
+
+def test_choices_in_turn_equal_a_fold(spark):
+    rng = random.Random(9)
+    pairs = {(rng.randint(1, 40), rng.randint(100, 130)): rng.randint(0, 9) for _ in range(300)}
+    at = {i: rng.randint(0, 20) for i in range(1, 41)}
+    want, used = {}, set()
+    for left in sorted(at, key=lambda i: (at[i], i)):
+        for apart, right in sorted((n, r) for (a, r), n in pairs.items() if a == left):
+            if right not in used:
+                want[left] = right
+                used.add(right)
+                break
+    frame = spark.createDataFrame([(a, b, at[a], n) for (a, b), n in pairs.items()], "l bigint, r bigint, at int, apart int")
+    got = cards.in_turn(frame, "l", "r", ["at"], ["apart"])
+    assert {r["l"]: r["r"] for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_imports_join_what_their_match_has_joined(spark):
+    """Four records of one payment: the second finds the first by its time, the third the second by its number, the fourth the
+    card's row; a fifth of another number stays."""
+    t = dt.datetime(2024, 1, 5, 10)
+    schema = "id bigint, ts timestamp_ntz, cents bigint, direction string, payee string, channel string, card string, paid_from string, file string, refs map<string,string>, arrived bigint"
+    rows = [
+        (1, t, 500, "debit", "Acme", "upi", None, "XXXX34", "a", {}, 1), (2, t + dt.timedelta(minutes=5), 500, "debit", "Acme Ltd", "upi", None, None, "a", {"txnId": "T"}, 2),
+        (3, t + dt.timedelta(hours=8), 500, "debit", "zz", "upi", None, None, "b", {"txnId": "T"}, 3), (4, t + dt.timedelta(days=1), 500, "debit", "POS", "card", "c", "XX1234", "s", {"cardRow": "r"}, 4),
+        (5, t + dt.timedelta(minutes=6), 500, "debit", "Acme", "upi", None, None, "b", {"txnId": "U"}, 5), (6, t, 501, "debit", "Acme", "upi", None, None, "a", {}, 6),
+    ]
+    new = spark.createDataFrame(rows, schema)
+    got = {r["id"]: (r["root"], r["tier"]) for r in cascade.linked(new.limit(0).drop("arrived"), new).collect()}
+    assert got == {1: (1, None), 2: (1, 2), 3: (1, 1), 4: (1, 3), 5: (1, 2), 6: (6, None)}
