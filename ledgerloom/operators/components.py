@@ -9,15 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The temporary folder of this process, for sessions on one machine that name none.
+_OWN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one is set for a session on one machine; on a
-    cluster that is an error."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a session on one machine takes a temporary one; on a
+    cluster, whose machines would each have their own, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-        folder = tempfile.mkdtemp(prefix="links-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="links-"))
+        folder = _OWN[0]
     return folder.rstrip("/")
 
 

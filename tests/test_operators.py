@@ -280,3 +280,18 @@ def test_imports_join_what_their_match_has_joined(spark):
     new = spark.createDataFrame(rows, schema)
     got = {r["id"]: (r["root"], r["tier"]) for r in cascade.linked(new.limit(0).drop("arrived"), new).collect()}
     assert got == {1: (1, None), 2: (1, 2), 3: (1, 1), 4: (1, 3), 5: (1, 2), 6: (6, None)}
+
+
+def test_a_folder_is_shared_only_where_machines_share_it():
+    class Session:
+        def __init__(self, **settings):
+            self.conf, self.settings = self, settings
+
+        def get(self, name, default):
+            return self.settings.get(name.split(".")[1], default)
+
+    assert components.shared_folder(Session(checkpoint="/shared/")) == "/shared"
+    own = components.shared_folder(Session(master="local[2]"))
+    assert own and own == components.shared_folder(Session(master="local[2]"))
+    with pytest.raises(ValueError):
+        components.shared_folder(Session(master="yarn"))
