@@ -35,15 +35,20 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: The temporary folder of this process, for sessions on one machine that name none.
+_OWN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one is set for a session on one machine; on a
-    cluster, whose machines would each have their own, that is an error."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a session on one machine takes a temporary one; on a cluster,
+    whose machines would each have their own, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-        found = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="shared-"))
+        found = _OWN[0]
     return found.rstrip("/")
 
 
