@@ -32,7 +32,7 @@ END = 0xFF  # in no UTF-8 text
 #: Words and pairs that the scan of the documents looks up itself, at most; those beyond go through joins.
 HEAD, MOST_PAIRS = 300_000, 1 << 21
 #: Distinct words and pairs that a task counts before it hands the counts on, and positions between two counts of pairs.
-FLUSH, FLUSH_PAIRS, POSITIONS = 250_000, 3_000_000, 6_000_000
+FLUSH, FLUSH_PAIRS, POSITIONS = 250_000, 3_000_000, 3_000_000
 #: Pairs that are gone through at once, and parts of the pairs that end in the same two bytes.
 CHUNK, PARTS = 300_000, 16
 _LN2, _LN10 = np.log(2), np.log(10)
@@ -115,8 +115,7 @@ def pairs_of(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame:
             keys, counts = np.unique(np.concatenate([pair[:0], *new[1]]), return_counts=True)
             others = np.unique(np.concatenate([pair[:0], *new[0]]))
             new[0].clear(), new[1].clear()
-            key, total = _summed(np.concatenate([pair, keys, others]), np.concatenate([n, counts, np.zeros(len(others), np.int64)]))
-            return key, total.astype(np.int64)
+            return _merged([pair, keys, others], [n, counts, np.zeros(len(others), np.int64)])
 
         for batch in in_pieces(batches):
             lines, learn = [line_of(t) for t in texts_of(batch)], batch["_train"].to_numpy(bool)
@@ -153,6 +152,15 @@ def _parent(key: np.ndarray, depth: int) -> np.ndarray:
     return (((key >> 8) & ((np.int64(1) << (8 * depth)) - 1)) << 8) | (key & 255)
 
 
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted arrays of distinct keys as one, with the sums of their counts; a stable sort only merges what is sorted."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+    return key[first], np.add.reduceat(n, first) if len(key) else n
+
+
 class Subtree:
     """All contexts that end in the same bytes, from length 3 to the longest: counts, weighted probabilities and predictions
     by (context, node). Any number of whole subtrees can be gone through together."""
