@@ -131,15 +131,23 @@ class WordMemo:
         return rows, counts
 
 
-#: Memos of this Python worker by model; workers serve many tasks, so a memo outlives the task that began it.
-_MEMOS: dict[str, WordMemo] = {}
+#: What this Python worker has learnt for the stage at hand, by model; workers serve many tasks, so it outlives the task that
+#: began it.
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]):
+    """The object of a key, made once per worker; one of another key goes, and its memory with it."""
+    if key not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            give_back()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def memo(key: str, compute: Callable[[Sequence[str]], np.ndarray]) -> WordMemo:
-    if key not in _MEMOS:
-        _MEMOS.clear()
-        _MEMOS[key] = WordMemo(compute)
-    return _MEMOS[key]
+    return held(key, lambda: WordMemo(compute))
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

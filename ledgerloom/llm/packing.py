@@ -13,13 +13,12 @@ import re
 import unicodedata
 import zlib
 from collections import defaultdict
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, read_table, written
+from .common import held, map_texts, read_table, written
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
@@ -107,10 +106,9 @@ class Ids:
         return b"".join([known[c] for c in chunks])
 
 
-@lru_cache(maxsize=1)
 def ids_of(path: str | None = None) -> Ids:
-    """One per Python worker; it serves many tasks."""
-    return Ids(path)
+    """One per Python worker; it serves many tasks of the stage."""
+    return held(f"ids {path}", lambda: Ids(path))
 
 
 _PIECE = "start: bigint, length: bigint, ids_crc32: bigint, doc_tokens: bigint"
