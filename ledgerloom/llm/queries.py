@@ -10,10 +10,13 @@ from .ctw import op5_context_tree_weighting
 from .fingerprint import op6_order_minhash
 from .jaccard import op8_jaccard_join
 from .language import op3_language_id
+from .manifest import op13_merkle_manifest
 from .mixing import op7_source_mixing
 from .nearest import op4_multi_index_hashing
+from .outliers import op12_quality_rules
 from .packing import op9_packing
 from .quality import op1_quality_classifier
+from .spelling import op11_anagram_hashing
 from .toxicity import op2_toxicity
 from .url_filter import OP10_SQL, op10_url_filter
 
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
+    "op11_anagram_hashing": op11_anagram_hashing,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL}
