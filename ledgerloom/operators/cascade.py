@@ -1,17 +1,33 @@
-"""Imports: each new record finds the record of the same movement by ordered tiers, and what is found becomes one record."""
+"""Imports: each new record finds the record of the same movement by ordered tiers, and what is found becomes one record.
+
+An import is a fold: each row is held against the records as they have become, with the references, statement rows, files,
+time and payee they have taken over from the rows before it. Rows that could ever meet are linked first (joins on equal
+keys), chains of links are the components of that graph, and each component is folded by itself, in order of arrival. What
+records have become may reach rows outside: their states are joined against all rows again, and components that would
+meet are folded anew as one, until none do. The result is that of one fold over all rows.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.labels import statement_rows
 from ..functions.text import compact, long_words
-from .components import components
+from .components import components, cut
 from .matching import CARD_DAYS, FILE_DAYS, LOOSE_MINUTES, UPI_DAYS, match_keys
 
 #: The columns of a record that the tiers look at.
 FIELDS = ["id", "ts", "cents", "direction", "payee", "channel", "card", "paid_from", "file", "refs"]
+#: What else a record is made of; those that a table lacks are null.
+MORE = {"kind": "string", "payee_handle": "string", "app": "string", "category": "string", "merchant_category": "string", "note": "string", "sources": "array<string>"}
+#: Words that say nothing about which shop it was (fixed values).
+NO_NAMES = (
+    "payment", "purchase", "india", "private", "limited", "store", "stores", "online", "services", "retail", "bangalore", "bengaluru", "mumbai", "delhi", "pune", "chennai", "hyderabad", "kolkata", "gurgaon", "noida",
+)
 
 
 def _side(rows: DataFrame, p: str) -> DataFrame:
@@ -73,41 +89,250 @@ def matches(old: DataFrame, new: DataFrame) -> DataFrame:
     return candidates(old, new).groupBy("new_id").agg(best).select("new_id", "_b.old_id", "_b.tier")
 
 
+def prepared(old: DataFrame, new: DataFrame) -> DataFrame:
+    """All records with their place in the order of the fold (`_seq`: negative for old ones), every column of a record, and the
+    normal forms that tiers compare: written once."""
+    every = old.withColumn("arrived", F.lit(None).cast("bigint")).unionByName(new, allowMissingColumns=True)
+    have = {c.lower() for c in every.columns}
+    every = every.withColumns({c: F.lit(None).cast(kind) for c, kind in MORE.items() if c not in have})
+    files = F.coalesce("sources", F.when(F.col("file").isNotNull(), F.array("file")), F.array().cast("array<string>"))
+    refs = F.coalesce(F.map_filter("refs", lambda k, v: v.isNotNull()), F.create_map().cast("map<string,string>"))
+    ref = lambda name, prefix: F.concat(F.lit(prefix), refs[name])
+    prints = F.concat_ws(":", F.lit("print"), F.date_format("ts", "yyyyMMddHHmm"), "cents", "direction", F.coalesce(compact("payee"), F.lit("")))
+    keys = F.array_compact(F.concat(F.array(ref("utr", "utr:"), ref("txnId", "txn:")), F.transform(statement_rows(refs), lambda r: F.concat(F.lit("row:"), r)), F.array(prints)))
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    words = lambda c: F.coalesce(long_words(c, NO_NAMES), F.array().cast("array<string>"))
+    return cut(every.select(*FIELDS[:-2], F.col("file"), *[c for c in MORE if c != "sources"], refs.alias("refs"), files.alias("sources"), F.coalesce("arrived", F.lit(-1)).alias("_seq"), seconds.alias("_at"), F.unix_date(F.to_date("ts")).alias("_day"),
+                            F.coalesce(compact("payee"), F.lit("")).alias("_key"), words("payee").alias("_words"), words("note").alias("_noted"), keys.alias("_keys")))
+
+
+def _reaches(states: DataFrame, rows: DataFrame, keys: bool) -> DataFrame:
+    """(a, b): rows that a state of a record could take, by the tiers' conditions on times, cards, names and references."""
+    side = lambda d, p: d.select(
+        F.col("id").alias(f"{p}_id"), "direction", "cents", F.col("_seq").alias(f"{p}_seq"), F.col("_at").alias(f"{p}_at"), F.col("_day").alias(f"{p}_day"), F.col("_key").alias(f"{p}_key"), F.array_union("_words", "_noted").alias(f"{p}_words"), F.col("channel").alias(f"{p}_channel"),
+        F.col("card").alias(f"{p}_card"), F.col("paid_from").alias(f"{p}_from"), F.col("sources").alias(f"{p}_files"), F.col("refs").alias(f"{p}_refs"), F.col("refs")["utr"].alias(f"{p}_utr"), F.col("refs")["txnId"].alias(f"{p}_txn"), statement_rows("refs").alias(f"{p}_rows"),
+    )
+    a, b = side(states, "old"), side(rows.filter("_seq >= 0"), "new")
+    differs = lambda c: F.coalesce(F.col(f"old_{c}") != F.col(f"new_{c}"), F.lit(False))
+    other = F.exists(F.map_entries("old_refs"), lambda e: ~e["key"].startswith("cardRow") & F.coalesce(F.col("new_refs")[e["key"]] != e["value"], F.lit(False)))
+    listed = lambda p: F.size(f"{p}_rows") > 0
+    shared = F.arrays_overlap("old_rows", "new_rows")
+    fits = F.coalesce(F.col("old_utr") == F.col("new_utr"), F.lit(False)) | ~(other | (listed("old") & listed("new") & ~shared))
+    alike = (F.col("old_key") != "") & (F.col("new_key") != "") & (F.col("old_key").contains(F.col("new_key")) | F.col("new_key").contains(F.col("old_key")))
+    digits = lambda p: F.when(listed(p), F.right(f"{p}_from", F.lit(2))).otherwise(F.regexp_extract(f"{p}_from", "^X{4}([0-9]{2})$", 1))
+    later = F.col("old_seq") < F.col("new_seq")
+    loose = _near(a, b, ["direction", "cents"], "at", LOOSE_MINUTES * 60).filter(alike & fits & later)
+    on_card = _near(a.withColumn("_digits", digits("old")), b.withColumn("_digits", digits("new")), ["direction", "cents", "_digits"], "day", CARD_DAYS).filter((F.col("_digits") != "") & (listed("old") != listed("new")) & fits & later)
+    files = _near(a.filter(listed("old")), b.filter(listed("new")).withColumn("old_card", F.col("new_card")), ["direction", "cents", "old_card"], "day", FILE_DAYS)
+    files = files.filter(~shared & ~F.arrays_overlap("old_files", "new_files") & (alike | F.arrays_overlap("old_words", "new_words")) & ~differs("utr") & ~differs("txn") & later)
+    out = [x.select(F.col("old_id").alias("a"), F.col("new_id").alias("b")) for x in (loose, on_card, files)]
+    if keys:
+        # Rows of one key are linked to the smallest of them: the fold looks at all of a component anyway.
+        keyed = rows.select("id", "_seq", "direction", "cents", F.explode("_keys").alias("_k"))
+        first = keyed.groupBy("_k", "direction", "cents").agg(F.min("id").alias("a"), F.max("_seq").alias("_last")).filter("_last >= 0")
+        out.append(keyed.join(first, ["_k", "direction", "cents"]).filter("id <> a").select("a", F.col("id").alias("b")))
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every
+
+
+#: What a record takes over together with another's reading: when it was and how it was paid, with the forms of these.
+_READING = ("ts", "_at", "_day", "channel", "paid_from")
+_NAMED = ("payee", "_key", "_words")
+
+
+def _listed(refs: dict) -> set:
+    return {v for k, v in refs.items() if k.startswith("cardRow") and v}
+
+
+def _fits(a: dict, b: dict) -> bool:
+    """No reference tells two rows of one direction and amount apart."""
+    x, y = a["refs"], b["refs"]
+    if x.get("utr") and x.get("utr") == y.get("utr"):
+        return True
+    if (p := _listed(x)) and (q := _listed(y)) and not p & q:
+        return False
+    return all(y.get(k, v) == v for k, v in x.items() if not k.startswith("cardRow"))
+
+
+def _alike(a: dict, b: dict) -> bool:
+    return bool(a["_key"] and b["_key"]) and (a["_key"] in b["_key"] or b["_key"] in a["_key"])
+
+
+def _loose(a: dict, b: dict) -> bool:
+    return abs(a["_at"] - b["_at"]) <= LOOSE_MINUTES * 60 and _alike(a, b) and _fits(a, b)
+
+
+def _on_card(a: dict, b: dict) -> bool:
+    on = [r for r in (a, b) if "cardRow" in r["refs"]]
+    if len(on) != 1:
+        return False
+    card, app = (a, b) if on[0] is a else (b, a)
+    mask, paid = app["paid_from"] or "", card["paid_from"] or ""
+    masked = len(mask) == 6 and mask.startswith("XXXX") and mask[4:].isdigit() and paid.endswith(mask[4:])
+    return masked and abs(a["_day"] - b["_day"]) <= (UPI_DAYS if app["channel"] == "upi" else CARD_DAYS) and _fits(a, b)
+
+
+def _in_two_files(a: dict, b: dict) -> bool:
+    p, q = _listed(a["refs"]), _listed(b["refs"])
+    if not p or not q or p & q or not a["card"] or a["card"] != b["card"] or set(a["sources"]) & set(b["sources"]) or abs(a["_day"] - b["_day"]) > FILE_DAYS:
+        return False
+    if any(a["refs"].get(k) and b["refs"].get(k) and a["refs"][k] != b["refs"][k] for k in ("utr", "txnId")):
+        return False
+    return bool(a["_key"] and b["_key"]) and (_alike(a, b) or bool({*a["_words"], *a["_noted"]} & {*b["_words"], *b["_noted"]}))
+
+
+def absorbed(into: dict, row: dict) -> dict:
+    """What a record becomes when it takes a row in."""
+    out, refs = dict(into), dict(into["refs"])
+    take = lambda source, *names: out.update({c: source[c] for c in names})
+    prefer = lambda source, rest, *names: out.update({c: source[c] or rest[c] for c in names})
+    if refs.get("cardRow") and refs["cardRow"] == row["refs"].get("cardRow"):  # the row again: what its file says is read anew
+        take(row, "kind", "note", "_noted")
+        prefer(row, into, "card", "merchant_category")
+        if not into["app"] and not set(refs) - {"cardRow"}:  # but an app's own reading stays
+            take(row, *_READING, *_NAMED)
+    elif ("cardRow" in refs) != ("cardRow" in row["refs"]):  # a statement's row and an app's record: each for what it knows
+        app = row if "cardRow" in refs else into
+        take(app, *_READING, *_NAMED)
+        prefer(app, into, "payee_handle", "app")
+        prefer(into, row, "card", "merchant_category")
+    for value in sorted(_listed(row["refs"]) - _listed(refs)):
+        names = ["cardRow", *(f"cardRow{n}" for n in range(2, len(refs) + 3))]
+        refs[next(k for k in names if k not in refs)] = value
+    if out["kind"] == "income" and row["kind"] in ("refund", "cashback"):  # says more, and has its payment's number
+        take(row, "kind", "category", *_NAMED)
+        refs |= {"txnId": row["refs"]["txnId"]} if row["refs"].get("txnId") else {}
+    out["sources"] = [*into["sources"], *(s for s in dict.fromkeys(row["sources"]) if s not in into["sources"])]
+    out["refs"] = {k: v for k, v in row["refs"].items() if not k.startswith("cardRow")} | refs
+    prefer(out, row, "payee_handle", "paid_from")
+    return out
+
+
+def fold(rows: list[dict]) -> tuple[list[tuple], list[tuple[int, dict]]]:
+    """Rows of one component, in order, as ((id, root, tier) of each, (seq, state) of each record that has changed, by step).
+
+    Tiers: a key of a record as it was first (the surest key, the last record that has it); the first record in order that is
+    loosely the same; the nearest in time on the other side of a card; the nearest among other files' rows. Only records of
+    the row's direction and amount are looked at.
+    """
+    links, steps = [], []
+    keyed: dict[tuple, int] = {}
+    on_day: dict[tuple, set[int]] = {}
+    states: list[dict] = []
+
+    def put(i: int, state: dict) -> None:
+        on_day.setdefault((state["direction"], state["cents"], state["_day"]), set()).add(i)
+
+    for row in rows:
+        group = (row["direction"], row["cents"])
+        found, tier = None, None
+        if row["_seq"] >= 0:
+            reach = max(CARD_DAYS, FILE_DAYS)
+            near = sorted(set().union(*(on_day.get((*group, row["_day"] + k), ()) for k in range(-reach, reach + 1))))
+            apart = lambda i, row=row: abs(states[i]["_at"] - row["_at"])
+            tries = (
+                lambda: next((i for k in row["_keys"] if (i := keyed.get((*group, k))) is not None and _fits(states[i], row)), None),
+                lambda: next((i for i in near if _loose(states[i], row)), None),
+                lambda: min((i for i in near if _on_card(states[i], row)), key=apart, default=None),
+                lambda: min((i for i in near if _in_two_files(states[i], row)), key=apart, default=None),
+            )
+            for tier, look in enumerate(tries, 1):  # noqa: B007
+                found = look()
+                if found is not None:
+                    break
+        if found is None:
+            states.append(row)
+            put(len(states) - 1, row)
+            keyed |= {(*group, k): len(states) - 1 for k in row["_keys"]}
+            links.append((row["id"], row["id"], None))
+        else:
+            on_day[*group, states[found]["_day"]].discard(found)
+            states[found] = absorbed(states[found], row)
+            put(found, states[found])
+            links.append((row["id"], states[found]["id"], tier))
+            steps.append((row["_seq"], states[found]))
+    return links, steps
+
+
+def _folded(every: DataFrame, group: DataFrame) -> DataFrame:
+    """Rows (part 0: id, root, tier) and states (part 1: the record as it is from _seq on) of all components."""
+    schema = StructType([*every.drop("_keys", "file").schema.fields, *StructType.fromDDL("_part int, _c " + group.schema["root"].dataType.simpleString() + ", root " + every.schema["id"].dataType.simpleString() + ", tier int").fields])
+    for f in schema.fields:
+        f.nullable = True
+    arrow = to_arrow_schema(schema)
+
+    def run(key, table):
+        rows = table.to_pylist()
+        for r in rows:
+            r["refs"] = dict(r["refs"])
+        # Old ones in order of time, then new ones as they arrived.
+        rows.sort(key=lambda r: (r["_seq"] >= 0, r["_seq"], r["ts"], r["id"]) if r["ts"] is not None else (r["_seq"] >= 0, r["_seq"]))
+        links, steps = fold(rows)
+        at = {r["id"]: r["_seq"] for r in rows}
+        out = [{"id": i, "root": root, "tier": tier, "_part": 0, "_c": key[0].as_py(), "_seq": at[i]} for i, root, tier in links]
+        out += [{**{k: v for k, v in state.items() if k in arrow.names}, "_seq": seq, "_part": 1, "_c": key[0].as_py(), "refs": list(state["refs"].items())} for seq, state in steps]
+        return pa.Table.from_pylist(out, arrow)
+
+    grouped = every.drop("file").join(group.select(F.col("v").alias("id"), F.col("root").alias("_c")), "id")
+    return grouped.groupBy("_c").applyInArrow(run, schema)
+
+
+def imported(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, records) of an import of `new` (with `arrived`, their order) into `old`; ids are distinct over both.
+
+    links: (id, root, tier) for every row of both; root is the record that a row has become part of, tier how it was found.
+    records: every record as it is after the import. Null texts match nothing; a row without a time or amount is a record
+    of its own; columns of MORE that a table lacks are null; empty tables are fine. A component is folded in one task: it
+    holds rows of one direction and amount that are chained by possible matches, each of which is close to the next in
+    time or has a key in common with it.
+    """
+    every = prepared(old, new)
+    whole = every.filter("ts IS NOT NULL AND cents IS NOT NULL AND direction IS NOT NULL")
+    edges = cut(_reaches(whole, whole, keys=True).distinct())
+    while True:
+        group = components(edges)
+        told = cut(_folded(whole, group))
+        # Only states that a record has come to count here: what it was at first is in the links already.
+        later = _reaches(told.filter("_part = 1"), whole, keys=False).distinct()
+        of = lambda c: group.select(F.col("v").alias(c), F.col("root").alias(f"_{c}"))
+        later = later.join(of("a"), "a").join(of("b"), "b", "left").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("a", "b")
+        later = cut(later)
+        if later.isEmpty():
+            break
+        edges = cut(edges.unionByName(later))
+    met = told.filter("_part = 0").select("id", "root", "tier")
+    alone = every.select("id").join(met, "id", "left_anti").select("id", F.col("id").alias("root"), F.lit(None).cast("int").alias("tier"))
+    columns = [c for c in every.columns if not c.startswith("_") and c != "file"]
+    last = told.filter("_part = 1").groupBy("id").agg(F.max_by(F.struct(*columns[1:]), "_seq").alias("_s")).select("id", "_s.*")
+    gone = met.filter("root <> id").select("id").unionByName(last.select("id"))
+    records = every.select(*columns).join(gone, "id", "left_anti").unionByName(last.select(*columns))
+    return met.unionByName(alone), records
+
+
 def linked(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(id, root, tier) for every record of both, `new` ones with `arrived` (their order) and ids of their own: each new one
-    is looked for among the old and among the new ones before it, and joins what its match has joined."""
-    order = lambda d, n: d.select(*FIELDS, n.alias("_seq"))
-    every = order(old, F.lit(-1).cast("bigint")).unionByName(order(new, F.col("arrived").cast("bigint")))
-    found = candidates(every, new)
-    seq = every.select("id", "_seq")
-    found = found.join(seq.withColumnsRenamed({"id": "new_id", "_seq": "_new"}), "new_id").join(seq.withColumnsRenamed({"id": "old_id", "_seq": "_old"}), "old_id").filter("_old < _new")
-    best = found.groupBy("new_id").agg(F.min(F.struct("tier", "rank", "apart", "old_id")).alias("_b")).select(F.col("new_id").alias("a"), F.col("_b.old_id").alias("b"), "_b.tier")
-    group = components(best.select("a", "b"))
-    # The one record of a group that joined none is its root.
-    whole = every.select("id").join(group, F.col("id") == F.col("v"), "left").join(best.select(F.col("a").alias("id"), "tier"), "id", "left").withColumn("_g", F.coalesce("root", "id"))
-    roots = whole.filter("tier is null").groupBy("_g").agg(F.min("id").alias("root"))
-    return whole.select("id", "_g", "tier").join(roots, "_g").select("id", "root", "tier")
+    """(id, root, tier) for every record of both, after the import."""
+    return imported(old, new)[0]
 
 
 def folded(rows: DataFrame) -> DataFrame:
-    """Records with a root (id, root, ts, cents, direction, kind, payee, channel, paid_from, card, category, refs, sources) as one
-    for each root.
+    """Records with a root (and id, ts, cents, direction, kind, payee, channel, paid_from, card, category, refs, sources) as one for
+    each root, which takes the others in one after the other by their ids."""
+    have = set(rows.columns)
+    more = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in MORE.items() if c not in have})
+    names = ["id", "ts", "cents", "direction", "kind", "payee", "channel", "paid_from", "card", "category", "refs", "sources"]
+    schema = StructType([*more.select(*names).schema.fields, *StructType.fromDDL("records bigint").fields])
+    for f in schema.fields:
+        f.nullable = True
+    arrow = to_arrow_schema(schema)
 
-    An app's record has the time, payee and way of payment; a statement's row has the card; a refund's or cashback's wording
-    goes before that of income; sources are kept once, and of references the first of each name, by the order of ids.
-    """
-    listed = F.size(statement_rows("refs")) > 0
-    own = F.struct((F.col("id") != F.col("root")).alias("o"), "id")
-    app = F.struct(listed.alias("l"), (F.col("id") != F.col("root")).alias("o"), "id")
-    first = lambda c, order: F.min_by(c, F.when(F.col(c).isNotNull(), order))
-    said = F.struct(F.when(F.col("kind").isin("refund", "cashback"), 0).otherwise(1).alias("k"), (F.col("id") != F.col("root")).alias("o"), "id")
-    entries = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", F.map_entries("refs").alias("e")))), lambda r: r["e"]))
-    out = rows.groupBy("root").agg(
-        *[first(c, app).alias(c) for c in ("ts", "payee", "channel", "paid_from")], first("card", F.struct((~listed).alias("l"), "id")).alias("card"),
-        F.min_by("kind", own).alias("_kind"), F.min_by("kind", said).alias("_said"), F.min_by("category", said).alias("_category"), F.min_by("category", own).alias("category"),
-        F.first("cents").alias("cents"), F.first("direction").alias("direction"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), entries.alias("_refs"), F.count(F.lit(1)).alias("records"),
-    )
-    told = (F.col("_kind") == "income") & F.col("_said").isin("refund", "cashback")
-    once = F.filter("_refs", lambda e, i: F.array_position(F.transform("_refs", lambda x: x["key"]), e["key"]) == i + 1)
-    out = out.withColumns({"kind": F.when(told, F.col("_said")).otherwise(F.col("_kind")), "category": F.when(told, F.col("_category")).otherwise(F.col("category")), "refs": F.map_from_entries(once)})
-    return out.withColumnRenamed("root", "id").drop("_kind", "_said", "_category", "_refs")
+    def run(key, table):
+        todo = [r | {"refs": {k: v for k, v in r["refs"] or () if v is not None}, "sources": r["sources"] or [], **dict.fromkeys(("_at", "_day", "_key", "_words", "_noted"))} for r in table.to_pylist()]
+        todo.sort(key=lambda r: (r["id"] != r["root"], r["id"]))
+        state = todo[0]
+        for row in todo[1:]:
+            state = absorbed(state, row)
+        return pa.Table.from_pylist([{c: state[c] for c in names} | {"id": key[0].as_py(), "refs": list(state["refs"].items()), "records": len(todo)}], arrow)
+
+    return more.groupBy("root").applyInArrow(run, schema)

@@ -37,7 +37,25 @@ h AS (SELECT new_id, old_id, 1 AS tier, CASE WHEN ntx = otx THEN 2 ELSE 4 END AS
 UNION ALL SELECT new_id, old_id, 2, 0, apart FROM p WHERE fits AND alike AND apart <= 600
 UNION ALL SELECT new_id, old_id, 3, 0, apart FROM p WHERE fits AND (nc IS NULL) <> (oc IS NULL) AND right(np, 2) = right(op, 2) AND regexp_matches(CASE WHEN nc IS NULL THEN np ELSE op END, '^X{{4}}[0-9]{{2}}$') AND days <= CASE WHEN (CASE WHEN oc IS NOT NULL THEN nch ELSE och END) = 'upi' THEN 1 ELSE 3 END
 UNION ALL SELECT new_id, old_id, 4, 0, apart FROM p WHERE nc IS NOT NULL AND oc IS NOT NULL AND nc <> oc AND ncard = ocard AND days <= 3 AND NOT coalesce(ntx <> otx, false))"""
-query("import_cascade", f"{_IMPORTED} SELECT new_id, old_id, CAST(tier AS INT) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY tier, rank, apart, old_id) AS k FROM h) WHERE k = 1")(lambda s, d: cascade.matches(*_imports(s, d)))
+# A second row for each movement, of the same batch and file, that wants the same record: by the number again (joins it), within
+# minutes under another number, as another row of the statement, as another row of the second file (all three are too late:
+# the record has a number, a row or the file by then), and the new movement again (joins the first of the batch).
+def _rivals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old, new = _imports(spark, sf_dir)
+    k, number = F.col("id") % 5, F.col("id").cast("string")
+    put = lambda name, value: F.map_concat(F.map_filter("refs", lambda key, _: key != name), F.create_map(F.lit(name), value))
+    first = new.withColumn("refs", F.when(k == 1, put("txnId", F.concat(F.lit("A"), number))).otherwise(F.col("refs")))
+    second = new.withColumns({"id": F.col("id") + 10**9, "refs": F.when(k == 1, put("txnId", F.concat(F.lit("B"), number))).when(k.isin(2, 3), put("cardRow", F.concat(F.lit("t"), number))).otherwise(F.col("refs"))})
+    return old, first.unionByName(second.withColumn("ts", F.col("ts") + F.when(k == 1, F.expr("interval 2 minutes")).otherwise(F.expr("interval 0 minutes")))).withColumn("arrived", F.col("id"))
+
+
+_RIVALS = f"WITH {src.MOVEMENTS_SQL}, b AS (SELECT *, id % 5 AS k, lpad(CAST(id % 89 + 10 AS VARCHAR), 2, '0') AS two FROM m WHERE refund_of IS NULL)"
+query("import_cascade", f"""{_RIVALS} SELECT id + 5000000000 AS id, CASE k WHEN 4 THEN id + 5000000000 ELSE id END AS root, CASE WHEN k < 4 THEN CAST(k + 1 AS INT) END AS tier FROM b
+UNION ALL SELECT id + 6000000000, CASE k WHEN 0 THEN id WHEN 4 THEN id + 5000000000 ELSE id + 6000000000 END, CASE WHEN k IN (0, 4) THEN 1 END FROM b""")(lambda s, d: cascade.linked(*_rivals(s, d)).filter("id >= 5000000000"))
+query("records_after_import", f"""{_RIVALS} SELECT id, payee, channel, card, CASE k WHEN 3 THEN 'XX12' ELSE 'XXXX' END || two AS paid_from, 'a,b' AS files, CASE k WHEN 0 THEN 'txnId=T' || id WHEN 1 THEN 'txnId=A' || (id + 5000000000) WHEN 2 THEN 'cardRow=s' || id WHEN 3 THEN 'cardRow2=s' || id || ' cardRow=r' || id ELSE '' END AS refs FROM b WHERE k < 4
+UNION ALL SELECT id, payee, channel, card, 'XXXX' || two, 'a', '' FROM b WHERE k = 4 UNION ALL SELECT id + 5000000000, payee, channel, card, NULL, 'b', '' FROM b WHERE k = 4
+UNION ALL SELECT id + 6000000000, CASE k WHEN 1 THEN payee || ' Ltd' WHEN 2 THEN 'POS' ELSE payee END, CASE k WHEN 2 THEN 'card' ELSE channel END, card, CASE WHEN k IN (2, 3) THEN 'XX12' || two END, 'b', CASE k WHEN 1 THEN 'txnId=B' ELSE 'cardRow=t' END || (id + 5000000000) FROM b WHERE k IN (1, 2, 3)""")(
+    lambda s, d: cascade.imported(*_rivals(s, d))[1].select("id", "payee", "channel", "card", "paid_from", F.concat_ws(",", F.array_sort("sources")).alias("files"), F.concat_ws(" ", F.array_sort(F.transform(F.map_entries("refs"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))).alias("refs")))
 query("import_counts", f"{_IMPORTED}, b1 AS (SELECT new_id, min(tier) AS tier FROM h GROUP BY 1) SELECT CAST(coalesce(tier, 0) AS INT) AS tier, count(*) AS records FROM n LEFT JOIN b1 ON n.id = new_id GROUP BY 1")(
     lambda s, d: _import_counts(*_imports(s, d)))
 
@@ -59,9 +77,9 @@ def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
-query("records_folded", f"""WITH {src.MOVEMENTS_SQL} SELECT id * 3 AS id, ts + INTERVAL 1 HOUR AS ts, payee, 'upi' AS channel, 'XXXX2' AS paid_from, card, CASE direction WHEN 'credit' THEN 'refund' ELSE 'spend' END AS kind, category || CASE direction WHEN 'credit' THEN '/2' ELSE '/0' END AS category,
-cents, direction, 'f,p,s' AS sources, CAST(id AS VARCHAR) || '/T' || id || '/' || id AS refs, CAST(3 AS BIGINT) AS records FROM m WHERE refund_of IS NULL""")(
-    lambda s, d: cascade.folded(_roots(s, d)).withColumns({"sources": F.concat_ws(",", "sources"), "refs": F.concat_ws("/", F.col("refs")["cardRow"], F.col("refs")["txnId"], F.col("refs")["utr"])}))
+query("records_folded", f"""WITH {src.MOVEMENTS_SQL} SELECT id * 3 AS id, ts + INTERVAL 2 HOUR AS ts, 'Refund' AS payee, 'upi' AS channel, 'X' AS paid_from, card, CASE direction WHEN 'credit' THEN 'refund' ELSE 'spend' END AS kind, category || CASE direction WHEN 'credit' THEN '/2' ELSE '/0' END AS category,
+cents, direction, 'f,p,s' AS sources, CAST(id AS VARCHAR) || CASE direction WHEN 'credit' THEN '/later/' ELSE '/T' || id || '/' END || id AS refs, CAST(3 AS BIGINT) AS records FROM m WHERE refund_of IS NULL""")(
+    lambda s, d: cascade.folded(_roots(s, d)).withColumns({"sources": F.concat_ws(",", F.array_sort("sources")), "refs": F.concat_ws("/", F.col("refs")["cardRow"], F.col("refs")["txnId"], F.col("refs")["utr"])}))
 
 
 # Cards: customers as cards seen in files.
