@@ -421,7 +421,7 @@ def score(docs: DataFrame, train: Column, keep: Sequence[str] = ("doc_id",), dep
         total = np.concatenate([[0.0], np.cumsum(np.where(cold, 0, lp), dtype=np.float64)])
         return {
             "n_tokens": counts, "_base": base, "_known": known.astype(np.int64), "_lp": total[ends] - total[ends - n],
-            "_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "_rest": rest, "_cold": pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(pair[cold])).cast(pa.list_(pa.int64())),
+            "_bytes": [len(x) + 1 for x in lines], "_rest": rest, "_cold": pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(pair[cold])).cast(pa.list_(pa.int64())),
         }
 
     parts = map_texts(docs, names, "text", "n_tokens bigint, _base double, _known bigint, _lp double, _bytes bigint, _rest array<binary>, _cold array<bigint>", compute, 2_000_000)
