@@ -23,8 +23,9 @@ from .common import held, map_texts, read_table, written
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
 END_ID = 1
-#: Parts of one length that are ranked by separate tasks: copies may give one length to a third of all pieces.
-SALTS = 64
+#: Pieces of one length that one task ranks, about: copies may give one length to a third of all pieces, and most pieces of a
+#: corpus of long texts are full windows.
+RANKED = 50_000
 
 #: How the vocabulary's own splitter cuts a chunk without white space, for text that is already lower case.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -51,7 +52,8 @@ class Ids:
     Latin, marks that compose, the vocabulary's special tokens) are handed to the tokenizer as they are.
     """
 
-    LIMIT = 400_000
+    #: Bytes that chunks and words with their ids may take, about, before they are forgotten.
+    LIMIT, ENTRY = 32 << 20, 200
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
@@ -62,6 +64,7 @@ class Ids:
         self.names = _byte_names()
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.size = 0
         self.known = True
         self.known = self.of(_PROBE) == self._exact(_PROBE)
 
@@ -73,6 +76,7 @@ class Ids:
         if found is None:
             spelt = word if word.isascii() else "".join([self.names[b] for b in word.encode()])
             found = self.words[word] = np.array([t.id for t in self.merge(spelt)], "<u4").tobytes()
+            self.size += len(word) + len(found) + self.ENTRY
         return found
 
     def _chunk(self, chunk: str) -> bytes:
@@ -97,12 +101,14 @@ class Ids:
             return b"".join([known[c] for c in chunks])
         except KeyError:
             pass
-        if len(known) > self.LIMIT or len(self.words) > self.LIMIT:
+        if self.size > self.LIMIT:
             known.clear()
             self.words.clear()
+            self.size = 0
         for c in chunks:
             if c not in known:
                 known[c] = self._chunk(c)
+                self.size += len(c) + len(known[c]) + self.ENTRY
         return b"".join([known[c] for c in chunks])
 
 
@@ -239,18 +245,18 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     several times; give it written. Rows that are equal in all columns are interchangeable. An empty table stays empty.
     """
     spark = pieces.sparkSession
-    short = pieces.filter(F.col("length") < window)
-    # At most `window` - 1 rows.
-    histogram = {r[0]: r[1] for r in short.groupBy("length").count().collect()}
-    runs = best_fit_decreasing(histogram, window)
+    # At most `window` rows.
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    runs = best_fit_decreasing({length: n for length, n in histogram.items() if length < window}, window)
     windows = max((first + b - a for _, a, b, first, _ in runs), default=0)
-    # Ranks within a length: a count per (length, salt), its running sum over the salts, and a number within each.
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+    # Ranks within a length: a count per (length, salt), its running sum over the salts, and a number within each. A length has
+    # a salt for each RANKED of its pieces, so there are `window` salts and one more for each RANKED pieces at most.
+    salts = spark.createDataFrame([(length, -(-n // RANKED)) for length, n in histogram.items()], "length bigint, _salts bigint")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("_salts")).cast("int")).drop("_salts")
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     number = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")) - 1
-    # At most `window` * SALTS rows.
-    ranked = salted.withColumn("_number", number).join(F.broadcast(before), ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_number")).drop("_salt", "_number", "_before")
+    ranked = salted.withColumn("_number", number).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_number")).drop("_salt", "_number", "_before")
     by_length: dict[int, list] = defaultdict(list)
     for length, a, b, first, offset in runs:
         by_length[length].append((a, b, first, offset))
