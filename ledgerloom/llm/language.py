@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ LEAST_SCORE = 0.5
 NO_LANGUAGE = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: The expression above lets numbers that are no digits through, such as fractions and Roman numerals.
+_LETTERS = regex.compile(r"\p{L}+")
 #: Longer words are gone through one by one, and take no part in the fit; a lattice of the others stays small.
 LATTICE_LETTERS = 64
 #: Words of one lattice: its arrays take about 10 MB.
@@ -40,7 +43,9 @@ LATTICE_WORDS = 5_000
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters (Unicode category L), in lower case."""
+    found = _WORD.findall(text.lower())
+    return found if not found or "".join(found).isalpha() else _LETTERS.findall(" ".join(found))
 
 
 @lru_cache(maxsize=2)
