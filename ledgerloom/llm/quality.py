@@ -147,18 +147,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = FIT_PER_CLASS) -> Model:
-    """Train on at most `per_class` labelled documents of each class, and FIT_CHARACTERS of their text. The log-odds of the classes among all labels take the
-    place of those that the bound leaves in the sample, so the size of the input does not move the scores.
+    """Train on at most `per_class` labelled documents of each class, and FIT_CHARACTERS of their text. The log-odds of the classes
+    among all labelled documents take the place of those among the documents fitted on, so neither bound moves the scores.
 
     Labels that are null, neither 0 nor 1, or without a document take no part; an id that is labelled twice has its larger
     label; null texts are empty. Labels of one class alone, or none, teach nothing: every score is that of their number."""
     sample = labelled_sample(docs, labels, label, per_class)
     model = train(sample["text"].tolist(), sample["label"].tolist())
+    fitted = sample["label"].value_counts().to_dict()
     del sample
     give_back()
-    counted = dict(_labelled(labels, label).groupBy("label").count().collect())  # at most two rows
-    odds = lambda most: np.log((min(counted.get(1, 0), most) + 0.5) / (min(counted.get(0, 0), most) + 0.5))
-    return Model(model.share, model.bias + odds(max(counted.values(), default=0)) - odds(per_class))
+    counted = dict(docs.select("doc_id").join(_labelled(labels, label), "doc_id").groupBy("label").count().collect())  # at most two rows
+    odds = lambda n: np.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 0.5))
+    return Model(model.share, model.bias + odds(counted) - odds(fitted))
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", keep: Sequence[str] | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Quality, toxicity, language and language-model scores."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -250,3 +251,29 @@ def test_the_bound_of_the_quality_sample_does_not_move_scores(spark):
     labels = labels.withColumn("quality", (F.col("doc_id") % 10 != 0).cast("int"))
     empty = [quality.fit(docs, labels, per_class=n).scores([""])[0] for n in (1000, 20)]
     assert abs(empty[0] - empty[1]) < 0.05 and min(empty) > 0.8
+
+
+def test_the_bound_of_characters_does_not_move_scores(spark, monkeypatch):
+    """Long good texts and short bad ones: where the bound on characters bites, it leaves fewer good ones in the sample."""
+    rng = random.Random(5)
+    words = lambda n, of: " ".join(rng.choice(of) for _ in range(n))
+    good, bad, both = ["alpha", "beta", "gamma"], ["zip", "zap", "zop"], ["the", "and", "of", "in"]
+    docs = [(i, words(400, good + both)) for i in range(200)] + [(200 + i, words(20, bad + both)) for i in range(200)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(400)] + [(9000 + i, 0) for i in range(300)], "doc_id bigint, quality int")  # the last have no document
+    whole = quality.fit(docs, labels).scores(["", "alpha beta", "zip zap"])
+    monkeypatch.setattr(quality, "FIT_CHARACTERS", 30_000)
+    part = quality.fit(docs, labels).scores(["", "alpha beta", "zip zap"])
+    assert np.abs(whole - part).max() < 0.1 and abs(whole[0] - 0.5) < 0.1
+
+
+def test_numbers_and_symbols_have_no_language():
+    import sys
+    import unicodedata
+
+    model = language.train(["der die das und", "the of and to"], ["de", "en"])
+    odd = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl", "Nd", "Sm", "Sc", "So", "Sk", "Mn", "Me", "Mc", "Pc")]
+    for texts in (odd[i : i + 5000] for i in range(0, len(odd), 5000)):
+        found, score = model.predict(texts)
+        assert set(found) == {"und"} and not score.any()
+    assert set(model.predict(["½ the", "Ⅷ² und", "١٢٣ of"])[0]) == {"en", "de"} and language.words_of("½abc²de_f Ⅷ") == ["abc", "de", "f"]
