@@ -137,24 +137,6 @@ def median_start(rows: DataFrame, key: str, position: str) -> DataFrame:
     return rows.groupBy(key).agg(F.expr(f"percentile_disc(0.5) within group (order by {position})").alias("start"))
 
 
-def proven_over_cycles(rows: DataFrame, spans: DataFrame, give: int = 3) -> DataFrame:
-    """(statement, reading, convention, first, last) for rows (statement, reading, day, cents, mark, sign) of a file that sums up
-    several statements: spans (statement, first, last, debits, credits) say which days its totals cover. The rows within the
-    span must come to both totals, a few days of give at either end; the window nearest to the span is given, if any fits.
-
-    Rows are summed by day first; each of the windows, (2 give + 1)^2 of a statement, is then a difference of running sums.
-    """
-    days = signed_rows(rows).groupBy("statement", "reading", "convention", "day").agg(
-        F.sum(F.when(F.col("credit"), 0).otherwise(F.col("cents"))).alias("_d"), F.sum(F.when(F.col("credit"), F.col("cents")).otherwise(0)).alias("_c"))
-    shifts = F.explode(F.expr(f"flatten(transform(sequence(-{give}, {give}), a -> transform(sequence(-{give}, {give}), b -> struct(a, b))))"))
-    windows = spans.withColumn("_s", shifts).select("statement", F.date_add("first", F.col("_s.a")).alias("first"), F.date_add("last", F.col("_s.b")).alias("last"), F.abs(F.col("_s.a")).alias("_x"), F.abs(F.col("_s.b")).alias("_y"), "debits", "credits")
-    fits = windows.join(days, "statement").groupBy("statement", "reading", "convention", "first", "last", "_x", "_y", "debits", "credits").agg(
-        F.sum(F.when(F.col("day").between(F.col("first"), F.col("last")), F.col("_d"))).alias("_d"), F.sum(F.when(F.col("day").between(F.col("first"), F.col("last")), F.col("_c"))).alias("_c"))
-    fits = fits.filter((F.coalesce("_d", F.lit(0)) == F.col("debits")) & (F.coalesce("_c", F.lit(0)) == F.col("credits")))
-    best = F.min(F.struct((F.col("_x") + F.col("_y")).alias("o"), "reading", "convention", "first", "last"))
-    return fits.groupBy("statement").agg(best.alias("_b")).select("statement", "_b.reading", "_b.convention", "_b.first", "_b.last")
-
-
 def nearest_reading(rows: DataFrame, statements: DataFrame) -> DataFrame:
     """(statement, reading, convention, off, rows): for statements that nothing proves the reading that comes nearest to the
     balances, or without printed ones that with the most rows; then by name."""

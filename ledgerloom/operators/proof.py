@@ -1,24 +1,40 @@
-"""Statement proof: of several readings of a statement, and several conventions of signs, exactly one must add up."""
+"""Statement proof: of several readings of a statement, and several conventions of signs, exactly one must add up: to the
+statement's balances or totals, over the cycles that it sums up, or row by row along a running balance."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How the sign of a row can be meant (fixed values): a mark says credit; a minus does; a plus does.
-CONVENTIONS = ["marked", "minus", "plus"]
+#: How the sign of a row can be meant, where no mark or column says it (fixed values): not at all; a minus is a credit; a plus
+#: is; a wording of money back is, for rows with details.
+CONVENTIONS = ["marked", "minus", "plus", "words"]
+#: Wordings of payments of a bill and of money back.
+CREDIT_WORDS = r"(?i)\b(?:payment (?:received|thank)|autopay|bill ?pay|cash ?back|reward|payment|refund|reversal|reversed|rev)\b"
+#: The reading of rows under a header is taken before those by shape, where several prove the same.
+TABLE = "table"
+
+
+def _said(rows: DataFrame) -> Column:
+    """Whether a row's details are a wording of money back; false for rows without details."""
+    return F.coalesce(F.col("details").rlike(CREDIT_WORDS), F.lit(False)) if "details" in rows.columns else F.lit(False)
 
 
 def signed_rows(rows: DataFrame) -> DataFrame:
-    """Rows (statement, reading, day, cents, mark, sign) once for each convention, with credit true or false."""
-    each = rows.withColumn("convention", F.explode(F.array(*[F.lit(c) for c in CONVENTIONS])))
-    credit = (
-        F.when(F.col("convention") == "marked", F.lower(F.coalesce("mark", F.lit(""))) == "cr")
-        .when(F.col("convention") == "minus", F.coalesce("sign", F.lit("")) == "-").otherwise(F.coalesce("sign", F.lit("")) == "+")
-    )
+    """Rows (statement, reading, day, cents, mark, sign; details if at hand) once for each convention, with credit true or false. A mark
+    of its own (cr, dr), printed or of its column, goes before any sign."""
+    known = CONVENTIONS if "details" in rows.columns else CONVENTIONS[:-1]
+    each = rows.withColumn("convention", F.explode(F.array(*[F.lit(c) for c in known])))
+    mark, sign, how = F.lower(F.coalesce("mark", F.lit(""))), F.coalesce("sign", F.lit("")), F.col("convention")
+    credit = F.when(mark == "cr", True).when(mark == "dr", False).when(how == "minus", sign == "-").when(how == "plus", sign == "+").when(how == "words", _said(rows)).otherwise(False)
     return each.withColumn("credit", credit)
 
 
+def _order(*more: str) -> Column:
+    """Of several readings that prove the same: the header's, the plain convention, then by name."""
+    return F.struct((F.col("reading") != TABLE).alias("_1"), F.array_position(F.array(*[F.lit(c) for c in CONVENTIONS]), F.col("convention")).alias("_2"), *more, "reading")
+
+
 def prove(rows: DataFrame, statements: DataFrame) -> DataFrame:
     """(statement, status, reading, convention, debits, credits): readings x conventions held against the statement's own
     figures (previous, due, printed_debits, printed_credits, all cents, null where not printed).
@@ -35,12 +51,15 @@ def prove(rows: DataFrame, statements: DataFrame) -> DataFrame:
     )
     held = statements.join(tried, "statement", "left")
     slack = F.when(F.col("due") % 100 == 0, 50).otherwise(0)
-    by_balance = F.abs(F.col("previous") - F.col("credits") + F.col("debits") - F.col("due")) <= slack
+    off = F.abs(F.col("previous") - F.col("credits") + F.col("debits") - F.col("due"))
     by_totals = (F.col("printed_debits") == F.col("debits")) & (F.col("printed_credits") == F.col("credits"))
-    checkable = (F.col("previous").isNotNull() & F.col("due").isNotNull()) | (F.col("printed_debits").isNotNull() & F.col("printed_credits").isNotNull())
-    proven = F.coalesce(by_balance, by_totals, F.lit(False))
-    held = held.withColumns({"_check": checkable, "_ok": proven})
-    best = F.min_by(F.struct("reading", "convention", "debits", "credits"), F.when(F.col("_ok"), F.struct("reading", F.array_position(F.array(*[F.lit(c) for c in CONVENTIONS]), F.col("convention")))))
+    balances = F.col("previous").isNotNull() & F.col("due").isNotNull()
+    checkable = balances | (F.col("printed_debits").isNotNull() & F.col("printed_credits").isNotNull())
+    # To the cent goes before within half a unit: the looser fits count only where none is exact.
+    exact = F.coalesce(F.when(balances, off == 0).otherwise(by_totals), F.lit(False))
+    held = held.withColumns({"_check": checkable, "_exact": exact, "_near": F.coalesce(balances & (off <= slack), F.lit(False))})
+    held = held.withColumn("_ok", F.when(F.max("_exact").over(Window.partitionBy("statement")), F.col("_exact")).otherwise(F.col("_exact") | F.col("_near")))
+    best = F.min_by(F.struct("reading", "convention", "debits", "credits"), F.when(F.col("_ok"), _order()))
     found = held.groupBy("statement").agg(
         F.bool_or("_check").alias("_check"), F.count_distinct(F.when(F.col("_ok"), F.struct("rows", "_print"))).alias("_sets"), best.alias("_b"))
     status = F.when(~F.col("_check"), "nothing to check by").when(F.col("_sets") == 0, "unproven").when(F.col("_sets") == 1, "proven").otherwise("ambiguous")
@@ -48,6 +67,95 @@ def prove(rows: DataFrame, statements: DataFrame) -> DataFrame:
     return found.select("statement", status.alias("status"), *[one[c].alias(c) for c in ("reading", "convention", "debits", "credits")])
 
 
+def running_balances(rows: DataFrame, statements: DataFrame) -> DataFrame:
+    """(statement, reading, line, credit): rows (statement, reading, line, cents, balance, mark, sign; details if at hand) of readings in
+    which every balance moves by exactly its row's amount, with the directions that follow.
+
+    Lines may be printed oldest or newest first, and the balance may be what is owed (debits raise it) or what is left (they
+    lower it): both orders and both meanings are tried for all rows of a reading at once. Of the meanings the one that
+    agrees with more of the rows' own marks, signs and words is taken, what is owed on a tie; oldest first goes before
+    newest first. An opening balance (`previous`) must fit the first row; without one that row's own mark, sign or words
+    decide, and where it has none nothing is proven. A reading of fewer than two rows, or with a balance missing, proves
+    nothing. Rows of one reading of one statement are ordered in one task, no others.
+    """
+    said = _said(rows)
+    mark, sign = F.lower(F.coalesce("mark", F.lit(""))), F.coalesce("sign", F.lit(""))
+    own = F.when(mark == "cr", True).when(mark == "dr", False).when(sign != "", True).when(said, True).otherwise(False)
+    speaks = mark.isin("cr", "dr") | (sign != "") | said
+    option = Window.partitionBy("statement", "reading")
+    line = option.orderBy("line")
+    laid = rows.select("statement", "reading", "line", "cents", "balance", own.alias("_own"), speaks.alias("_speaks"), F.lag("balance").over(line).alias("_above"), F.lead("balance").over(line).alias("_below"), F.row_number().over(line).alias("_k"), F.count(F.lit(1)).over(option).alias("_n"), F.count("balance").over(option).alias("_m"))
+    laid = laid.filter("_n >= 2 and _n = _m").join(statements.select("statement", "previous"), "statement", "left")
+    laid = laid.withColumn("newest", F.explode(F.array(F.lit(False), F.lit(True))))
+    first = F.when(F.col("newest"), F.col("_k") == F.col("_n")).otherwise(F.col("_k") == 1)
+    move = F.col("balance") - F.when(first, F.col("previous")).when(F.col("newest"), F.col("_below")).otherwise(F.col("_above"))
+    laid = laid.withColumns({"_first": first, "_move": move}).withColumn("owed", F.explode(F.array(F.lit(True), F.lit(False))))
+    credit = F.coalesce((F.col("_move") > 0) != F.col("owed"), F.col("_own"))
+    holds = F.when(F.col("_move").isNull(), F.col("_speaks")).otherwise(F.abs("_move") == F.col("cents"))
+    laid = laid.withColumns({"credit": credit, "_holds": holds})
+    tried = laid.groupBy("statement", "reading", "newest", "owed").agg(F.bool_and("_holds").alias("_ok"), F.sum((F.col("_speaks") & (F.col("_own") == F.col("credit"))).cast("int")).alias("_agree")).filter("_ok")
+    best = tried.groupBy("statement", "reading").agg(F.min(F.struct("newest", (-F.col("_agree")).alias("_a"), (~F.col("owed")).alias("_left"))).alias("_b"))
+    chosen = best.select("statement", "reading", F.col("_b.newest").alias("newest"), (~F.col("_b._left")).alias("owed"))
+    return laid.join(chosen, ["statement", "reading", "newest", "owed"]).select("statement", "reading", "line", "credit")
+
+
+def decide(rows: DataFrame, statements: DataFrame) -> DataFrame:
+    """As prove(), with a third proof for statements that no figure proves or that print none: a running balance. Adds `proof`:
+    figures or running balance. Of several readings whose balances run the header's is taken, then the first by name."""
+    told = prove(rows, statements)
+    # `rows` are read twice; statements that figures decide are left out before any ordering.
+    open_ = told.filter(F.col("status").isin("unproven", "nothing to check by")).select("statement")
+    left = rows.join(open_, "statement", "left_semi")
+    run = running_balances(left, statements).join(left.select("statement", "reading", "line", "cents"), ["statement", "reading", "line"])
+    part = lambda c: F.sum(F.when(c, F.col("cents")).otherwise(0))
+    run = run.groupBy("statement", "reading").agg(part(~F.col("credit")).alias("debits"), part(F.col("credit")).alias("credits"))
+    run = run.groupBy("statement").agg(F.min(F.struct((F.col("reading") != TABLE).alias("t"), "reading", "debits", "credits")).alias("_b"))
+    both = told.join(run, "statement", "left")
+    runs, by = F.col("_b").isNotNull(), F.col("status") == "proven"
+    pick = lambda c: F.when(runs, F.col(f"_b.{c}")).otherwise(F.col(c)).alias(c)
+    return both.select("statement", F.when(runs, "proven").otherwise(F.col("status")).alias("status"), F.when(runs, "running balance").when(by, "figures").alias("proof"), pick("reading"), F.when(~runs, F.col("convention")).alias("convention"), pick("debits"), pick("credits"))
+
+
+def over_cycles(rows: DataFrame, spans: DataFrame, give: int = 3) -> DataFrame:
+    """(statement, status, reading, convention, first, last, inside, beyond) for rows (statement, reading, day, cents, mark, sign) of files
+    that sum up several statements: spans (statement, first, last, debits, credits) say which days the totals cover.
+
+    The rows within a window must come to both totals; a window may begin and end up to `give` days from the span. All windows
+    and readings that fit must take the same rows and leave the same ones: then the statement is `proven`, by the header's
+    reading, the plain convention and the nearest window; else it is `ambiguous`. `inside` and `beyond` count the rows. What
+    fits nowhere has no row here.
+
+    Days of an option (statement, reading, convention) are summed once and ordered with its 2 (2 give + 1) probes, so the
+    sums before each start and up to each end are running sums; windows are differences of these inside one row.
+    """
+    signed = signed_rows(rows)
+    option = ["statement", "reading", "convention"]
+    parts = ("_d", "_c", "_n", "_p")
+    print_ = F.xxhash64("day", "cents", "credit").cast("decimal(38,0)")
+    days = signed.groupBy(*option, "day").agg(
+        F.sum(F.when(F.col("credit"), 0).otherwise(F.col("cents"))).alias("_d"), F.sum(F.when(F.col("credit"), F.col("cents")).otherwise(0)).alias("_c"), F.count(F.lit(1)).alias("_n"), F.sum(print_).alias("_p"))
+    # A start asks for what lies before its day, an end for what lies up to it: they stand before and after the day's own row.
+    shifts = F.array(*[F.struct(F.lit(k).alias("shift"), F.lit(e).alias("at")) for k in range(-give, give + 1) for e in (-1, 1)])
+    probes = spans.withColumn("_s", F.explode(shifts)).select("statement", F.date_add(F.when(F.col("_s.at") < 0, F.col("first")).otherwise(F.col("last")), F.col("_s.shift")).alias("day"), F.col("_s.shift").alias("shift"), F.col("_s.at").alias("at"))
+    probes = probes.join(days.select(*option).distinct(), "statement")
+    laid = days.withColumns({"shift": F.lit(None).cast("int"), "at": F.lit(0)}).unionByName(probes, allowMissingColumns=True)
+    before = Window.partitionBy(*option).orderBy("day", "at").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*option)
+    zero = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0)).alias(c)
+    run = laid.select(*option, "day", "shift", "at", *[zero(c, before) for c in parts], *[F.sum(c).over(whole).alias(f"{c}t") for c in ("_n", "_p")]).filter("at <> 0")
+    probe = F.struct("shift", "day", *parts)
+    ends = run.groupBy(*option).agg(*[F.collect_list(F.when(F.col("at") == e, probe)).alias(n) for e, n in ((-1, "_from"), (1, "_to"))], F.first("_nt").alias("_nt"), F.first("_pt").alias("_pt"))
+    # (2 give + 1)^2 windows of an option, beside each other in its row; most fit nothing and are gone at once.
+    ends = ends.join(spans.select("statement", "debits", "credits"), "statement")
+    pairs = F.flatten(F.transform("_from", lambda a: F.transform("_to", lambda b: F.struct(a["day"].alias("first"), b["day"].alias("last"), (F.abs(a["shift"]) + F.abs(b["shift"])).alias("apart"), *[F.when(b["day"] < a["day"], F.lit(0)).otherwise(b[c] - a[c]).alias(c) for c in parts]))))
+    fits = ends.withColumn("_w", F.explode(F.filter(pairs, lambda w: (w["_d"] == F.col("debits")) & (w["_c"] == F.col("credits"))))).select(*option, "_w.*", "_nt", "_pt")
+    sets = F.count_distinct(F.struct("_n", "_p", F.col("_nt") - F.col("_n"), F.col("_pt") - F.col("_p")))
+    chosen = F.struct("reading", "convention", "first", "last", F.col("_n").alias("inside"), (F.col("_nt") - F.col("_n")).alias("beyond"))
+    out = fits.groupBy("statement").agg(sets.alias("_sets"), F.min_by(chosen, _order("apart", "first", "last")).alias("_b"))
+    sure = F.col("_sets") == 1
+    return out.select("statement", F.when(sure, "proven").otherwise("ambiguous").alias("status"), *[F.when(sure, F.col(f"_b.{c}")).alias(c) for c in ("reading", "convention", "first", "last", "inside", "beyond")])
+
+
 def control_totals(rows: DataFrame) -> DataFrame:
     """Debits, credits and rows of each statement."""
     part = lambda c: F.sum(F.when(c, F.col("cents")).otherwise(0))
