@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.money import cents
+from .operators import columns
 from .operators import lines as op
 from .operators import proof
 from .queries import query
@@ -159,3 +160,30 @@ query("statements_decided", f"""{_MARKED}, r AS (SELECT *, row_number() OVER (PA
 t AS (SELECT statement, any_value(n) AS n, CAST(sum(CASE WHEN credit THEN 0 ELSE c END) AS BIGINT) AS d, CAST(sum(CASE WHEN credit THEN c ELSE 0 END) AS BIGINT) AS r FROM r GROUP BY 1), z AS (SELECT *, n >= 2 AND statement % 5 < 3 AS ok FROM t)
 SELECT statement, CASE WHEN ok THEN 'proven' ELSE 'nothing to check by' END AS status, CASE WHEN ok THEN 'running balance' END AS proof, CASE WHEN ok THEN 'shape' END AS reading, CAST(NULL AS VARCHAR) AS convention, CASE WHEN ok THEN d END AS debits, CASE WHEN ok THEN r END AS credits FROM z""")(
     lambda s, d: proof.decide(_running(s, d), _openings(s, d)))
+
+
+# Statements in columns: each customer's orders, debits and credits in columns of their own (the other way round for every third), with
+# blanks; every fifth prints a due that is a unit off, every seventh no figures but a balance behind each row.
+def _columned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("file")
+    o = src.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("line"), F.to_date("o_orderdate").alias("d"), cents("o_totalprice").alias("c"), (F.col("o_orderkey") % 4 == 0).alias("credit"), F.lower("o_orderpriority").alias("p"))
+    own = F.when(F.col("credit"), -F.col("c")).otherwise(F.col("c"))
+    o = o.withColumn("b", 10**9 + F.sum(own).over(Window.partitionBy("file").orderBy("line")))
+    right = F.col("credit") != (s % 3 == 0)
+    start = F.rpad(F.concat(F.date_format("d", "dd/MM/yyyy"), F.lit("  "), "p"), 40, " ")
+    text = F.when(s % 7 == 0, F.concat(start, F.lpad(_amount(F.col("c")), 20, " "), F.lpad(_amount(F.col("b")), 20, " "))).otherwise(F.concat(start, F.lpad(_amount(F.col("c")), F.when(right, 40).otherwise(20), " ")))
+    body = o.select("file", "line", text.alias("text"))
+    net = o.groupBy("file").agg(F.sum(own).alias("n"))
+    heads = F.array(
+        F.struct(F.lit(-1).cast("bigint").alias("line"), F.when(s % 7 == 0, "Opening balance: 10000000.00").otherwise("Previous balance: 5000000.00").alias("text")),
+        F.struct(F.lit(10**12).alias("line"), F.when(s % 7 == 0, "Thank you").otherwise(F.concat(F.lit("Total due: "), _amount(F.lit(5 * 10**8) + F.col("n") + F.when(s % 5 == 0, 1).otherwise(0)))).alias("text")),
+    )
+    return body.unionByName(net.filter("n > -400000000").select("file", F.inline(heads)))
+
+
+query("statements_in_columns", """WITH o AS (SELECT o_custkey AS f, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS c, o_orderkey % 4 = 0 AS cr FROM orders),
+g AS (SELECT f, count(*) AS n, count(*) FILTER (cr) AS k, CAST(coalesce(sum(c) FILTER (NOT cr), 0) AS BIGINT) AS d, CAST(coalesce(sum(c) FILTER (cr), 0) AS BIGINT) AS r FROM o GROUP BY 1),
+h AS (SELECT *, CASE WHEN f % 7 = 0 THEN CASE WHEN n >= 2 THEN 'balance' WHEN k = 0 THEN 'none' ELSE 'none' END WHEN f % 5 = 0 OR k = n THEN 'open' ELSE 'figures' END AS how FROM g)
+SELECT f AS statement, CASE how WHEN 'none' THEN 'nothing to check by' WHEN 'open' THEN 'unproven' ELSE 'proven' END AS status, CASE how WHEN 'balance' THEN 'running balance' WHEN 'figures' THEN 'figures' END AS proof,
+CASE how WHEN 'balance' THEN 'shape:amount@0+balance@1' WHEN 'figures' THEN CASE WHEN k = 0 THEN 'shape:amount@0' WHEN f % 3 = 0 THEN 'shape:credit@0+debit@1' ELSE 'shape:debit@0+credit@1' END END AS reading, CASE WHEN how IN ('balance', 'figures') THEN d END AS debits, CASE WHEN how IN ('balance', 'figures') THEN r END AS credits FROM h""")(
+    lambda s, d: columns.statements_read(_columned(s, d)).drop("convention"))
