@@ -10,31 +10,35 @@ from pyspark.sql import functions as F
 from .dates import read_date
 from .text import _col, normal_name, place_key, place_name
 
-#: What is taken off a purchase as a card statement prints it, in order: (pattern, what stays). Our own list; the patterns
-#: mean the same to every regular-expression engine.
-MERCHANT_CLEANING = [
-    (r"(?i)^\s*upi[-/ ]+(?:p2[mpa][-/ ]+)?(?:[0-9]{6,}[-/ ]+)?", ""),
-    (r"[-/\s][^-/\s]*@\S*$", ""),
-    (r"(?i)^(?:(?:pyu|payu|raz|rzp|razorpay|ccavenue|billdesk|paytm|cashfree|juspay|www)\s*[*.]\s*)+", ""),
-    (r",.*$", ""),
-    (r" - .*$", ""),
-    (r"(?i)\b(?:usd|eur|gbp|sgd|aed|aud|jpy)\s*[0-9,]+\.[0-9]{2}\b", ""),
-    (r"(?i)^\s*(?:refund|reversal|emi)\b[\s:/-]*", ""),
-    (r"(?i)\b(?:www\.)?([a-z0-9-]+)\.(?:com|in|net|org|io)\b", r"\1"),
-    (r"(?i)\s+(?:ref|txn)?\s*[#:]?\s*[0-9]{6,}.*$", ""),
-    (r"(?i)(?:\s+(?:in|ind|india|us|usa|uk|sg|bangalore|bengaluru|mumbai|delhi|pune|chennai|kolkata|hyderabad|gurgaon|noida|goa))+\s*$", ""),
-    (r"\s+", " "),
-    (r"^[ *.-]+|[ *.-]+$", ""),
-]
+#: How a purchase is printed on a card statement: parts with marks between them, of which one is the shop. Samples:
+#: `UPI/P2M/900000000301/SHOP NAME/ref 12`, `UPI-SHOP NAME-shop@bank`, `GATEWAY*Shop Name Pune IN`, `WWW.SHOP.IN`,
+#: `SHOP,MUMBAI`, `SHOP NAME USD 1,204.50`, `Refund: Shop - Branch 9`, `SHOP ref #900000301`.
+PART_MARKS = r"[/*|,:]| - "
+FOREIGN_AMOUNT = r"(?i)\b(?:usd|eur|gbp|sgd|aed|aud|jpy) ?[0-9][0-9,]*\.[0-9]{2}\b"
+#: What is at the ends of a part and not of the shop's name: a site's address around it, a number behind it, places behind it.
+PART_ENDS = [
+    (r"(?i)^www\.", ""), (r"(?i)\.(?:com|net|org|in|io)$", ""), (r"(?i)(?:^| )(?:ref|txn|rrn|utr)?[ .#]*[0-9]{6,}.*$", ""),
+    (r"(?i)(?: (?:in|ind|india|us|usa|uk|sg|bangalore|bengaluru|chennai|delhi|goa|gurgaon|hyderabad|kolkata|mumbai|noida|pune))+$", ""),
+]
+#: Parts that are no name: ways of paying, gateways, what is being done, numbers, addresses of accounts.
+NO_NAME = r"(?i)^(?:|upi|p2[amp]|pos|ecom|www|billdesk|cashfree|ccavenue|juspay|paytm|payu|pyu|raz|razorpay|rzp|refund|reversal|emi|(?:ref|txn|rrn|utr)?[ .#]*[0-9]+|[^ ]*@[^ ]*|in|ind|india)$"
 
 
 def clean_merchant(c: Column | str) -> Column:
-    """A shop's name as a card statement prints it, without gateways, paths, addresses, amounts abroad, numbers and places;
-    the text itself if nothing is left."""
-    t = _col(c)
-    for pattern, stays in MERCHANT_CLEANING:
-        t = F.regexp_replace(t, pattern, stays.replace("\\1", "$1"))
-    return F.when(t != "", t).otherwise(F.trim(_col(c)))
+    """The shop of a purchase as a card statement prints it: the first part that is a name, without an address around it or
+    numbers and places behind it; the text itself if no part is one."""
+    whole = F.trim(F.regexp_replace(_col(c), r"\s+", " "))
+    t = F.trim(F.regexp_replace(whole, FOREIGN_AMOUNT, ""))
+    t = F.when(F.lower(t).rlike("^upi[-/ ]"), F.translate(t, "-", "/")).otherwise(t)
+
+    def bare(part: Column) -> Column:
+        part = F.trim(part)
+        for pattern, stays in PART_ENDS:
+            part = F.trim(F.regexp_replace(part, pattern, stays))
+        return part
+
+    names = F.filter(F.transform(F.split(t, PART_MARKS), bare), lambda p: ~p.rlike(NO_NAME))
+    return F.coalesce(F.get(names, F.lit(0)), whole)
 
 
 def same_shop(c: Column | str, merchants: Sequence[tuple[str, str, bool]]) -> Column:
@@ -130,29 +134,46 @@ def status_of(c: Column | str) -> Column:
     return _first(F.lower(F.coalesce(_col(c), F.lit(""))), STATUS_WORDS, "completed")
 
 
+#: Ways of paying that have a number: (words, digits that it must have, mask, digits shown), the first that fits; and those that
+#: have a name of their own instead.
+NUMBERED_METHODS = [("card|visa|mastercard|rupay|amex|diners", 1, "XXXX", 2), ("bank|account|a/c", 4, "XX", 4)]
+NAMED_METHODS = ["UPI Lite"]
+
+
 def method_mask(c: Column | str) -> Column:
-    """How something was paid: XXXX and two digits for a card, XX and four for an account, else the text, squeezed."""
-    t = _col(c)
-    low, numbers = F.lower(t), F.regexp_extract_all(t, F.lit("([0-9]+)"), F.lit(1))
-    last = F.coalesce(F.try_element_at(numbers, F.lit(-1)), F.lit(""))
-    return (
-        F.when(F.trim(t) == "", None).when(low.contains("upi lite"), "UPI Lite")
-        .when((last != "") & low.rlike("card|visa|mastercard|rupay|amex|diners"), F.concat(F.lit("XXXX"), F.right(last, F.lit(2))))
-        .when((F.length(last) >= 4) & low.rlike("bank|account|a/c"), F.concat(F.lit("XX"), F.right(last, F.lit(4))))
-        .otherwise(F.trim(F.regexp_replace(t, r"\s+", " ")))
-    )
-
-
-#: Fees as card statements name them, and what a bank's own labels stand for (our own lists).
-CARD_FEES = [
-    ("fees.forex", r"foreign currency|forex|currency conversion|mark ?up"), ("fees.tax", r"\b(?:gst|igst|cgst|sgst|service tax)\b"), ("fees.late", r"late (?:payment )?(?:fee|charge)|over ?limit"),
-    ("fees.annual", r"(?:annual|membership|joining|renewal) (?:fee|charge)"), ("fees.interest", r"\binterest\b|finance charge"), ("cash", r"cash (?:withdrawal|advance)|\batm\b"),
-]
+    """How something was paid, by the tables above: a mask and the last digits of the last number, or a name; the text itself,
+    squeezed, where none fits; null for an empty text."""
+    t = F.trim(F.regexp_replace(_col(c), r"\s+", " "))
+    low = F.lower(t)
+    number = F.coalesce(F.try_element_at(F.regexp_extract_all(t, F.lit("([0-9]+)"), F.lit(1)), F.lit(-1)), F.lit(""))
+    named = [F.when(low.contains(name.lower()), F.lit(name)) for name in NAMED_METHODS]
+    numbered = [F.when(low.rlike(words) & (F.length(number) >= least), F.concat(F.lit(mask), F.right(number, F.lit(shown)))) for words, least, mask, shown in NUMBERED_METHODS]
+    return F.coalesce(*named, *numbered, F.nullif(t, F.lit("")))
+
+
+#: What card statements charge besides purchases, by the words they print for it, in order of what is looked for first; and what
+#: a bank's own labels stand for.
+FEE_WORDS = {
+    "fees.forex": ["forex", "foreign currency", "currency conversion", "cross currency", "markup", "mark up", "dcc"],
+    "fees.tax": ["gst", "igst", "cgst", "sgst", "service tax"],
+    "fees.late": ["late fee", "late charge", "late payment fee", "late payment charge", "overdue fee", "overdue charge", "overlimit", "over limit"],
+    "fees.annual": ["annual fee", "annual charge", "membership fee", "joining fee", "renewal fee"],
+    "fees.interest": ["interest", "finance charge", "finance charges"],
+    "cash": ["cash withdrawal", "cash advance", "atm"],
+}
+CARD_FEES = [(category, r"\b(?:" + "|".join(words) + r")\b") for category, words in FEE_WORDS.items()]
+#: Any other fee: looked for when nothing else says what a row is.
+ANY_FEE = r"\b(?:fees?|charges?|surcharge|processing)\b"
 BANK_LABELS = [
     ("food.eating_out", "restaurant|dining|bakery"), ("food.groceries", "grocer|supermarket"), ("travel.fuel", "fuel|petrol"), ("travel.tickets", "airline|railway|taxi|transit"), ("travel.stay", "hotel|lodging"),
     ("home.utilities", "utilit|electric|telecom"), ("health", "pharma|hospital|medical"), ("education", "school|universit"), ("fun", "cinema|entertain"), ("shopping", "retail|apparel|electronic|shop|store"),
 ]
-KIND_WORDS = {"payment": r"payment (?:received|thank)|autopay|bill ?pay", "emi": r"\bemi\b|instal?ment", "cashback": r"cash ?back|reward", "paid": r"\bpayment\b", "back": r"refund|revers", "loan": r"\bloan\b"}
+KIND_WORDS = {"payment": r"payment (?:received|thank)|autopay|bill ?pay", "emi": r"\bemi\b|instal?ment", "cashback": r"cash ?back|reward", "paid": r"\bpayment\b", "back": r"refund|revers", "loan": r"\bloan\b", "interest": "interest"}
+#: What a row is: (credit, its wording, a wording that it must not have, kind), the first that fits; null fits any.
+ROW_KINDS = [
+    (True, "payment", None, "bill_payment"), (True, "emi", None, "refund"), (True, "cashback", None, "cashback"), (True, "paid", "back", "bill_payment"), (True, None, None, "refund"),
+    (False, "loan", "interest", "transfer"), (False, None, None, "spend"),
+]
 
 
 def card_fee(c: Column | str) -> Column:
@@ -169,12 +190,8 @@ def row_kind(description: Column | str, credit: Column) -> Column:
     """What a row of a card statement is: a credit is a bill's payment, cashback or a refund (a purchase turned into
     instalments is credited back as one); a debit is spending, but for the instalments of a loan."""
     t = F.lower(_col(description))
-    k = KIND_WORDS
-    back = (
-        F.when(t.rlike(k["payment"]), "bill_payment").when(t.rlike(k["emi"]), "refund").when(t.rlike(k["cashback"]), "cashback")
-        .when(t.rlike(k["paid"]) & ~t.rlike(k["back"]), "bill_payment").otherwise("refund")
-    )
-    return F.when(credit, back).when(t.rlike(k["loan"]) & ~t.rlike("interest"), "transfer").otherwise("spend")
+    has = lambda word: F.lit(True) if word is None else t.rlike(KIND_WORDS[word])
+    return F.coalesce(*[F.when((credit == side) & has(word) & (F.lit(True) if barred is None else ~has(barred)), F.lit(kind)) for side, word, barred, kind in ROW_KINDS])
 
 
 def pays_last_bill(cents: Column | str, previous: Column | str) -> Column:
@@ -212,22 +229,33 @@ def first_range(c: Column | str) -> Column:
 #: Minutes of named zones before or after universal time, and ways of writing a time (fixed values).
 ZONES = {"ist": 330, "utc": 0, "gmt": 0, "z": 0, "bst": 60, "cet": 60, "cest": 120, "gst": 240, "sgt": 480, "est": -300, "edt": -240, "pst": -480, "pdt": -420}
 LOCAL_MINUTES = 330
-TIME_STYLES = ["MMM d, yyyy, h:mm:ss a", "MMM d, yyyy, h:mm a", "MMM d, yyyy, H:mm:ss", "MMM d, yyyy, H:mm", "d MMM yyyy, H:mm:ss", "d MMM yyyy, H:mm", "d MMM yyyy, h:mm:ss a", "d MMM yyyy, h:mm a", "yyyy-MM-dd H:mm:ss", "yyyy-MM-dd H:mm", "dd/MM/yyyy H:mm:ss", "dd/MM/yyyy H:mm", "yyyy-MM-dd", "MMM d, yyyy", "d MMM yyyy"]
+TIME_STYLES = ["MMM d, yyyy, h:mm:ss a", "MMM d, yyyy, h:mm a", "MMM d, yyyy, H:mm:ss", "MMM d, yyyy, H:mm", "d MMM yyyy, H:mm:ss", "d MMM yyyy, H:mm", "d MMM yyyy, h:mm:ss a", "d MMM yyyy, h:mm a", "yyyy-M-d H:mm:ss", "yyyy-M-d H:mm", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d-M-yyyy H:mm:ss", "yyyy-M-d", "MMM d, yyyy", "d MMM yyyy"]
+ISO_TIME = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2})(:[0-9]{2})?(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
+#: Months may be written whole, or as Sept.
+MONTH_ENDS = r"\b(Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)\b"
 
 
 def read_time(c: Column | str) -> Column:
-    """A local time in any of the known styles, a zone behind it or none (then it is local); seconds or milliseconds since
-    1970 too; null for others."""
+    """A local time in any of the known styles, or as ISO 8601 has it with a T; a zone behind it or none (then it is local, as it is
+    behind a zone of an unknown name); seconds or milliseconds since 1970 too; null for others."""
     t = F.trim(F.regexp_replace(_col(c), r"\s+", " "))
-    sign, hours, minutes = (F.regexp_extract(t, r"(?:GMT|UTC)([+-])([0-9]{1,2}):?([0-9]{2})?$", i) for i in (1, 2, 3))
-    shift = (F.when(sign == "-", -1).otherwise(1)) * (hours.try_cast("int") * 60 + F.coalesce(minutes.try_cast("int"), F.lit(0)))
+    minutes_of = lambda sign, hours, minutes: F.when(sign == "-", -1).otherwise(1) * (hours.try_cast("int") * 60 + F.coalesce(minutes.try_cast("int"), F.lit(0)))
+    shifted = lambda local, zone: local + F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(F.lit(LOCAL_MINUTES) - zone, F.lit(0)))
+    # In words: the zone's offset, a known zone's name, or a name that says nothing, is taken off the end.
+    sign, hours, minutes = (F.regexp_extract(t, r"(?:GMT|UTC) ?([+-])([0-9]{1,2}):?([0-9]{2})?$", i) for i in (1, 2, 3))
     name = F.lower(F.regexp_extract(t, r" ([A-Za-z]{1,5})$", 1))
-    zone = F.coalesce(F.when(sign != "", shift), F.try_element_at(F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair]), name))
-    bare = F.when(sign != "", F.trim(F.regexp_replace(t, r"(?:GMT|UTC)[+-][0-9:]+$", ""))).when(zone.isNotNull(), F.regexp_replace(t, " [A-Za-z]{1,5}$", "")).otherwise(t)
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair]), name)
+    zone = F.coalesce(F.when(sign != "", minutes_of(sign, hours, minutes)), known)
+    bare = F.when(sign != "", F.regexp_replace(t, r" ?(?:GMT|UTC) ?[+-][0-9:]+$", "")).when((name != "") & ~name.isin("am", "pm"), F.regexp_replace(t, " [A-Za-z]{1,5}$", "")).otherwise(t)
+    bare = F.regexp_replace(F.regexp_replace(bare, "[, ]+$", ""), MONTH_ENDS, "$1")
     read = F.coalesce(*[F.try_to_timestamp(bare, F.lit(style)) for style in TIME_STYLES]).cast("timestamp_ntz")
-    moved = read + F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(F.lit(LOCAL_MINUTES) - zone, F.lit(0)))
+    # ISO.
+    day, clock, seconds, part, off = (F.regexp_extract(t, ISO_TIME, i) for i in range(1, 6))
+    iso = F.try_to_timestamp(F.concat(day, F.lit(" "), clock, F.when(seconds == "", ":00").otherwise(seconds)), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    iso = iso + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.coalesce(F.concat(F.lit("0"), F.left(part, F.lit(7))).try_cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)")))
+    behind = F.when(off == "Z", 0).when(off != "", minutes_of(F.left(off, F.lit(1)), F.substring(off, 2, 2), F.right(off, F.lit(2))))
     since = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(LOCAL_MINUTES), F.left(t, F.lit(10)).try_cast("bigint").cast("decimal(18,6)"))
-    return F.when(t.rlike("^[0-9]{10}([0-9]{3})?$"), since).otherwise(moved)
+    return F.when(t.rlike("^[0-9]{10}([0-9]{3})?$"), since).when(t.rlike(ISO_TIME), shifted(iso, behind)).otherwise(shifted(read, zone))
 
 
 def at_clock(day: Column | str, clock: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import cascade, matching, rules
+from .operators import cascade, ladder, matching, rules
 from .queries import ORACLE_SQL, query
 from .queries_text import _NORMAL, _case, _one_of
 from .sources import movements as src
@@ -38,6 +38,36 @@ n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY usr DESC, ts DESC,
     lambda s, d: rules.remember(_moves(s, d).select(F.col("payee").alias("name"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("category"), F.when(F.col("id") % 3 == 0, "user").otherwise("model").alias("by"), (F.col("id") % 17).alias("ts"))).withColumnRenamed("by", "by_whom"))
 
 
+# The ladder: orders as movements that meet one tier each, or several, by remainders of their number; payees by the customer's number.
+_LADDER_PAYEES = _one_of("o_custkey", "Zoe Ltd {n}", "Swift Mart {n}", "Fund my account", "CRED club", "Unknown", "Petrol pump {n}", "Mr. Quux", "Lola", "UPI Lite", "Quux Nine", "Zia")
+
+
+def _ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = src.table(spark, sf_dir, "orders")
+    listed = F.when(k % 5 == 0, F.create_map(F.lit("cardRow"), k.cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    rows = o.select(
+        k.alias("id"), F.expr(_LADDER_PAYEES).alias("payee"), F.when(k % 14 == 3, "ac 44001234").alias("payee_handle"), F.when(k % 4 == 0, "credit").otherwise("debit").alias("direction"),
+        F.expr("CASE WHEN o_orderkey % 29 = 1 THEN 'cashback' WHEN o_orderkey % 31 = 1 THEN 'refund' WHEN o_orderkey % 5 = 0 AND o_orderkey % 7 = 0 THEN 'bill_payment' WHEN o_orderkey % 4 = 0 THEN 'income' WHEN o_orderkey % 9 = 0 THEN 'transfer' ELSE 'spend' END").alias("kind"),
+        F.expr("CASE WHEN o_orderkey % 6 = 0 THEN 'igst' WHEN o_orderkey % 6 = 1 THEN 'convenience charges' END").alias("note"), F.when(k % 5 == 0, "card").otherwise("upi").alias("channel"), F.lit(None).cast("string").alias("card"), F.lit(None).cast("string").alias("paid_from"),
+        F.expr("CASE WHEN o_orderkey % 10 = 7 THEN 'Airline' WHEN o_orderkey % 10 = 9 THEN 'Retail' END").alias("merchant_category"), listed.alias("refs"),
+    )
+    answers = rows.filter("id % 37 = 5").select("id", F.lit("gifts").alias("category"))
+    frame = spark.createDataFrame
+    return ladder.placed(rows, answers, frame([("zoe", "family", 1)], "alias string, category string, place int"), frame([("zia", "friends", "user"), ("lola", "transfers.p2p", "llm")], "name string, category string, by string"),
+                         frame([("1234",)], "digits string"), frame([("swift mart", "food.groceries", 1), ("swif*", "late", 2)], "phrase string, category string, place int"))
+
+
+_LADDER_SQL = f"""WITH o AS (SELECT o_orderkey AS id, o_custkey % 11 AS p, {_LADDER_PAYEES} AS payee, o_orderkey % 5 = 0 AS listed, o_orderkey % 4 = 0 AS cr, CASE WHEN o_orderkey % 29 = 1 THEN 'cashback' WHEN o_orderkey % 31 = 1 THEN 'refund' WHEN o_orderkey % 5 = 0 AND o_orderkey % 7 = 0 THEN 'bill_payment' WHEN o_orderkey % 4 = 0 THEN 'income' WHEN o_orderkey % 9 = 0 THEN 'transfer' ELSE 'spend' END AS kind FROM orders),
+t AS (SELECT *, CASE WHEN id % 37 = 5 THEN 1 WHEN kind = 'cashback' THEN 2 WHEN kind = 'refund' THEN 3 WHEN listed AND kind = 'bill_payment' THEN 4 WHEN p = 0 THEN 5 WHEN cr AND kind = 'income' AND p = 1 THEN 6 WHEN p = 10 THEN 7 WHEN listed AND (kind = 'transfer' OR (NOT cr AND id % 6 = 0)) THEN 8 WHEN id % 14 = 3 THEN 9 WHEN p = 2 THEN 10
+WHEN kind = 'transfer' AND p = 8 THEN 11 WHEN kind = 'income' THEN 12 WHEN p = 3 THEN 13 WHEN p = 1 THEN 14 WHEN p = 7 AND NOT listed THEN 15 WHEN id % 10 IN (7, 9) THEN 16 WHEN p = 5 THEN 17 WHEN listed AND NOT cr AND id % 6 = 1 THEN 18 WHEN p = 6 AND NOT listed THEN 19 WHEN p = 4 THEN 20 END AS tier FROM o)"""
+query("ladder_of_categories", f"""{_LADDER_SQL} SELECT id, CAST(tier AS INT) AS tier, CASE tier WHEN 1 THEN 'gifts' WHEN 2 THEN 'income.cashback' WHEN 3 THEN 'income.refund' WHEN 4 THEN 'transfers.card_bill' WHEN 5 THEN 'family' WHEN 6 THEN 'income.refund' WHEN 7 THEN 'friends' WHEN 8 THEN CASE WHEN kind = 'transfer' THEN 'ignored' ELSE 'fees.tax' END
+WHEN 9 THEN 'ignored' WHEN 10 THEN 'ignored' WHEN 11 THEN 'ignored' WHEN 12 THEN 'income.received' WHEN 13 THEN 'transfers.card_bill' WHEN 14 THEN 'food.groceries' WHEN 15 THEN 'transfers.p2p' WHEN 16 THEN CASE WHEN id % 10 = 7 THEN 'travel.tickets' ELSE 'shopping' END WHEN 17 THEN 'travel.fuel' WHEN 18 THEN 'fees' WHEN 19 THEN 'transfers.p2p'
+WHEN 20 THEN 'uncategorized' ELSE CASE WHEN NOT listed AND p IN (8, 9) THEN 'transfers.p2p' ELSE 'uncategorized' END END AS category, CASE WHEN tier IN (9, 10, 11) THEN 'transfer' WHEN tier = 6 THEN 'refund' WHEN tier = 13 THEN 'bill_payment' ELSE kind END AS kind, coalesce(tier IN (10, 15, 19, 20) OR (tier = 16 AND id % 10 = 9), true) AS needs_review FROM t""")(
+    lambda s, d: _ladder(s, d).select("id", "tier", "category", "kind", "needs_review"))
+query("ladder_counts", f"{_LADDER_SQL} SELECT CAST(tier AS INT) AS tier, count(*) AS rows, count(*) FILTER (coalesce(tier IN (10, 15, 19, 20) OR (tier = 16 AND id % 10 = 9), true)) AS to_review FROM t GROUP BY 1")(lambda s, d: ladder.tier_counts(_ladder(s, d)))
+
+
 # Merges: lines of an order as records of one movement.
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = src.table(spark, sf_dir, "lineitem")

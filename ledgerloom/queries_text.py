@@ -53,9 +53,14 @@ _reads("place_names", "customer", "c_custkey", _one_of("c_custkey", "new  town",
 _SHOPS = [("fresh-?mart", "Fresh Mart", False), ("grocer", "grocers", True), ("cafe", "Joes", False)]
 _reads("same_shop_keys", "customer", "c_custkey", _NAMES, lambda t: {"shop": labels.same_shop(t, _SHOPS)},
        {"shop": f"coalesce(CASE WHEN regexp_matches(lower(trim(t)), 'fresh-?mart') THEN 'Fresh Mart' WHEN regexp_matches(lower(trim(t)), 'grocer') THEN NULL WHEN regexp_matches(lower(trim(t)), 'cafe') THEN 'Joes' END, nullif({_NORMAL}, ''), lower(trim(t)))"})
-_MERCHANTS = _one_of("o_orderkey", "UPI/P2M/900000{n}/SHOP NAME", "PYU*Fake Food Pune IN", "UPI-FAKE MART-fakemart@ybl", "WWW.FAKESHOP.IN", "BOOKS,MUMBAI", "AIR LINE USD 1,204.50", "Refund: Hotel - Branch 9", "STORE ref #{n}", "IN")
-_CLEANED = _chain("t", labels.MERCHANT_CLEANING)
-_reads("merchants_cleaned", "orders", "o_orderkey", _MERCHANTS, lambda t: {"merchant": labels.clean_merchant(t)}, {"merchant": f"CASE WHEN {_CLEANED} <> '' THEN {_CLEANED} ELSE trim(t) END"})
+_MERCHANTS = _one_of("o_orderkey", "UPI/P2M/900000{n}/SHOP NAME", "PYU*Fake Food Pune IN", "UPI-FAKE MART-fakemart@ybl", "WWW.FAKESHOP.IN", "BOOKS,MUMBAI", "AIR LINE USD 1,204.50", "Refund: Hotel - Branch 9", "STORE ref #{n}", "IN", "UPI/P2M/900000000301/TEA  STALL/ref 12", "pos 900123/ 7 Seas India", "www.razorpay.com/x@y")
+_T = r"trim(regexp_replace(t, '\s+', ' ', 'g'))"
+_U = f"trim(regexp_replace({_T}, '{labels.FOREIGN_AMOUNT}', '', 'g'))"
+_PART = "trim(p)"
+for _pattern, _stays in labels.PART_ENDS:
+    _PART = f"trim(regexp_replace({_PART}, '{_pattern}', '{_stays}', 'g'))"
+_reads("merchants_cleaned", "orders", "o_orderkey", _MERCHANTS, lambda t: {"merchant": labels.clean_merchant(t)},
+       {"merchant": f"coalesce(list_filter(list_transform(regexp_split_to_array(CASE WHEN regexp_matches(lower({_U}), '^upi[-/ ]') THEN translate({_U}, '-', '/') ELSE {_U} END, '{labels.PART_MARKS}'), lambda p: {_PART}), lambda q: NOT regexp_matches(q, '{labels.NO_NAME}'))[1], {_T})"})
 _reads("text_drawn_once", "orders", "o_orderkey", _one_of("o_orderkey", "SSTTAATTEE", "1100", "11,,223344..55", "XXXX", "Abc", "aabbc", "TTOOTTAALL  "), lambda t: {"once": labels.undoubled(t)},
        {"once": """CASE WHEN length(t) >= 4 AND length(t) % 2 = 0 AND array_to_string(list_transform(range(1, length(t), 2), lambda i: t[i]), '') = array_to_string(list_transform(range(2, length(t) + 1, 2), lambda i: t[i]), '')
         AND (regexp_matches(array_to_string(list_transform(range(1, length(t), 2), lambda i: t[i]), ''), '^[A-Za-z]+$') OR contains(t, '..') OR contains(t, ',,')) AND len(list_distinct(string_split(t, ''))) > 1
@@ -88,18 +93,21 @@ _reads("file_kind_by_name", "orders", "o_orderkey", _one_of("o_orderkey", "State
        {"kind": _case([("image", r"\.(?:png|jpe?g|heic|webp)$"), ("upi", r"\.(?:zip|json|html?)$|gpay|google.?pay|paytm|upi"), ("card", r"statement|credit.?card"), ("bills", r"bill")], otherwise="'auto'")})
 _reads("first_date_range", "orders", "o_orderkey", _one_of("o_orderkey", "Period 05 Mar 2024 to 04 Apr 2024", "31/12/2024 - 01/12/2024 then 01/01/2024 - 31/01/2024", "none", "32/01/2024 to 05/02/2024"), lambda t: {"first": labels.first_range(t)["first"], "last": labels.first_range(t)["last"]},
        {"first": "CASE o_orderkey % 4 WHEN 0 THEN DATE '2024-03-05' WHEN 1 THEN DATE '2024-01-01' END", "last": "CASE o_orderkey % 4 WHEN 0 THEN DATE '2024-04-04' WHEN 1 THEN DATE '2024-01-31' END"})
-query("times_read", """WITH s AS (SELECT o_orderkey, o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS INT)) AS ts FROM orders) SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN ts WHEN 1 THEN ts WHEN 2 THEN ts + INTERVAL 330 MINUTE WHEN 3 THEN ts + INTERVAL 30 MINUTE WHEN 4 THEN CASE WHEN epoch(ts) >= 1000000000 THEN ts + INTERVAL 330 MINUTE END WHEN 5 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) END AS ts FROM s""")(
+query("times_read", """WITH s AS (SELECT o_orderkey, o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS INT)) AS ts FROM orders) SELECT o_orderkey, CASE o_orderkey % 13 WHEN 0 THEN ts WHEN 1 THEN ts WHEN 2 THEN ts + INTERVAL 330 MINUTE WHEN 3 THEN ts + INTERVAL 30 MINUTE WHEN 4 THEN CASE WHEN epoch(ts) >= 1000000000 THEN ts + INTERVAL 330 MINUTE END WHEN 5 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP)
+WHEN 6 THEN ts + INTERVAL 330 MINUTE WHEN 7 THEN ts WHEN 8 THEN ts - INTERVAL 30 MINUTE WHEN 9 THEN ts WHEN 10 THEN ts WHEN 11 THEN ts + INTERVAL 250 MILLISECOND END AS ts FROM s""")(
     lambda s, d: src.table(s, d, "orders").select("o_orderkey", (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("o_orderkey") % 1440).cast("int"))).alias("ts")).select("o_orderkey", labels.read_time(_printed_time()).alias("ts")))
 
 
 def _printed_time() -> Column:
-    """Seven ways of printing a time: twelve hours, twenty-four, universal, an offset of five hours, seconds since 1970, a day, none."""
+    """Thirteen ways of printing a time: twelve hours, twenty-four, universal, an offset of five hours, seconds since 1970, a day; ISO in
+    universal time, without a zone and with one; a whole month's name, a zone that nobody knows, a part of a second; none."""
     f = lambda style: F.date_format("ts", style)
     seconds = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
-    ways = [f("MMM d, yyyy, h:mm:ss a"), F.concat(f("d MMM yyyy, HH:mm"), F.lit(" IST")), F.concat(f("yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")), F.concat(f("MMM d, yyyy, h:mm a"), F.lit(" GMT+5")), seconds, f("d MMM yyyy"), F.lit("some day")]
+    ways = [f("MMM d, yyyy, h:mm:ss a"), F.concat(f("d MMM yyyy, HH:mm"), F.lit(" IST")), F.concat(f("yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")), F.concat(f("MMM d, yyyy, h:mm a"), F.lit(" GMT+5")), seconds, f("d MMM yyyy"),
+            f("yyyy-MM-dd'T'HH:mm:ss'Z'"), f("yyyy-MM-dd'T'HH:mm:ss"), f("yyyy-MM-dd'T'HH:mm'+06:00'"), f("MMMM d, yyyy, h:mm:ss a"), f("d-M-yyyy H:mm:ss 'AEST'"), f("yyyy-MM-dd'T'HH:mm:ss'.25'"), F.lit("some day")]
     out = F.lit(None).cast("string")
     for i, way in enumerate(ways):
-        out = F.when(F.col("o_orderkey") % 7 == i, way).otherwise(out)
+        out = F.when(F.col("o_orderkey") % 13 == i, way).otherwise(out)
     return out
 
 
