@@ -53,7 +53,7 @@ class Ids:
     """
 
     #: Bytes that chunks and words with their ids may take, about, before they are forgotten.
-    LIMIT, ENTRY = 32 << 20, 200
+    LIMIT, ENTRY = 160 << 20, 200
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
