@@ -8,6 +8,7 @@ goes. Rounds are joins, so a component of candidates of any size needs no task o
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable
 
@@ -90,9 +91,13 @@ def mutually_unique(payments: DataFrame, bills: DataFrame, tolerance: int = 100,
 
 def refund_candidates(payments: DataFrame, refunds: DataFrame, days: int = REFUND_DAYS) -> DataFrame:
     """(refund, payment, tier, ...): payments that a refund may belong to, by reference (1), shop (2), or card and exact
-    amount (3), not later than the refund and at most `days` before it."""
-    p = payments.select(F.col("id").alias("payment"), F.col("ts").alias("paid_at"), F.col("cents").alias("budget"), F.col("shop").alias("_shop"), F.col("card").alias("_card"), F.col("ref").alias("_ref"))
-    r = refunds.select(F.col("id").alias("refund"), F.col("ts").alias("back_at"), F.col("cents"), "shop", "card", "ref")
+    amount (3), not later than the refund and at most `days` before it. A purchase turned into instalments (`emi`, a column
+    that both may have) is credited back whole and without its shop's name: such a credit may only belong to a purchase of
+    exactly its amount on its card that is no instalment itself (4)."""
+    has = lambda d: (F.coalesce("emi", F.lit(False)) if "emi" in d.columns else F.lit(False)).alias("emi")
+    p = payments.select(has(payments).alias("_emi"), F.col("id").alias("payment"), F.col("ts").alias("paid_at"), F.col("cents").alias("budget"), F.col("shop").alias("_shop"), F.col("card").alias("_card"), F.col("ref").alias("_ref"))
+    r = refunds.select(F.col("id").alias("refund"), F.col("ts").alias("back_at"), F.col("cents"), "shop", "card", "ref", has(refunds))
+    r, whole = r.filter("NOT emi"), r.filter("emi")
     in_time = (F.col("paid_at") <= F.col("back_at")) & (F.col("paid_at") >= F.col("back_at") - F.expr(f"interval {days} days")) & (F.col("budget") >= F.col("cents"))
     # Time is cut into spans of the window: a refund lies in its payment's span or in the next.
     span = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (days * 86400))
@@ -102,15 +107,17 @@ def refund_candidates(payments: DataFrame, refunds: DataFrame, days: int = REFUN
         r.join(p, F.col("ref") == F.col("_ref")).filter("budget >= cents").select(*keep, F.lit(1).alias("tier")),
         r.withColumns({"_span": span("back_at"), "_shop": F.col("shop")}).join(later, ["_shop", "_span"]).filter(in_time).select(*keep, F.lit(2).alias("tier")),
         r.join(p, (F.col("card") == F.col("_card")) & (F.col("cents") == F.col("budget"))).filter(in_time).select(*keep, F.lit(3).alias("tier")),
+        whole.join(p.filter("NOT _emi"), (F.col("card") == F.col("_card")) & (F.col("cents") == F.col("budget"))).filter(in_time).select(*keep, F.lit(4).alias("tier")),
     ]
-    return tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
+    return functools.reduce(DataFrame.unionByName, tiers)
 
 
 def assign_refunds(payments: DataFrame, refunds: DataFrame, days: int = REFUND_DAYS) -> DataFrame:
     """(refund, payment, tier): refunds in order of time each take a payment that can still cover them: the one of their
-    reference, else of their shop (the exact amount first, then the latest), else of their card and exact amount.
+    reference, else of their shop (the exact amount first, then the latest), else of their card and exact amount; credits of
+    purchases turned into instalments the latest purchase of exactly their amount on their card.
 
-    A payment is used up as refunds take from it, whichever way they found it, so all three ways are decided together.
+    A payment is used up as refunds take from it, whichever way they found it, so all ways are decided together.
     """
     same = ["refund", "payment", "back_at", "paid_at", "cents", F.col("budget").alias("left"), (F.col("cents") != F.col("budget")).alias("inexact")]
     pairs = refund_candidates(payments, refunds, days).groupBy(*same).agg(F.min("tier").alias("tier"))
@@ -130,6 +137,22 @@ def assign_refunds(payments: DataFrame, refunds: DataFrame, days: int = REFUND_D
         pairs = pairs.withColumn("left", F.col("left") - F.coalesce("_debit", F.lit(0))).drop("_debit").filter("left >= cents")
 
 
+def refunds_placed(payments: DataFrame, refunds: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(id, refund_of, category, decided_by, confidence, needs_review) of refunds (id, category, decided_by, emi if at hand) after
+    assign_refunds(): one with a payment is filed with the payment's category; an instalments' credit without its purchase is
+    left out, as its instalments carry the cost; any other that was filed with a payment before is a plain refund again.
+    What a user said of a refund stays, and of others nothing changes but the payment."""
+    owner = payments.select(F.col("id").alias("payment"), F.col("category").alias("_of"))
+    found = assigned.select(F.col("refund").alias("id"), "payment").join(owner, "payment")
+    rows = refunds.join(found, "id", "left")
+    emi = F.coalesce("emi", F.lit(False)) if "emi" in refunds.columns else F.lit(False)
+    user, has = F.coalesce(F.col("decided_by") == "user", F.lit(False)), F.col("payment").isNotNull()
+    row = lambda category, by, sure: F.struct(category.alias("category"), F.lit(by).alias("decided_by"), F.lit(sure).alias("confidence"), F.lit(False).alias("needs_review"))
+    told = F.when(user, None).when(has, row(F.col("_of"), "refund", 1.0)).when(emi, row(F.lit("ignored"), "rule", 0.9)).when(F.col("decided_by") == "refund", row(F.lit("income.refund"), "heuristic", 0.9))
+    keep = lambda c: F.when(told.isNotNull(), told[c]).otherwise(F.col(c)).alias(c)
+    return rows.select("id", F.col("payment").alias("refund_of"), keep("category"), keep("decided_by"), keep("confidence"), keep("needs_review"))
+
+
 def one_to_one(pairs: DataFrame, left: str, right: str, order: Iterable[str]) -> DataFrame:
     """Pairs taken in order of `order`, then of the two numbers; each left and each right is used once."""
     columns = [*order, left, right]

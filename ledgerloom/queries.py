@@ -269,13 +269,27 @@ u AS (SELECT *, count(*) OVER (PARTITION BY payment) AS x, count(*) OVER (PARTIT
 
 
 def _refund_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Purchases as payments of a user at the user's shop; errors as refunds of a third of their value."""
+    """Purchases as payments of a user at the user's shop, a third of round amounts; errors as refunds of a third of their value, every
+    thirteenth a credit of instalments of a round amount."""
     e = _events(spark, sf_dir)
-    side = lambda d, c: d.select("id", "ts", c.alias("cents"), F.col("user_id").cast("string").alias("shop"), (F.col("user_id") % 50).cast("string").alias("card"), F.when(F.col("id") % 9 == 0, F.col("user_id").cast("string")).alias("ref"))
-    return side(e.filter("event_type = 'purchase'"), F.col("cents")), side(e.filter("event_type = 'error'"), F.expr("(cents + 2) div 3"))
-
-
-query("refund_assignment_greedy")(lambda s, d: matching.assign_refunds(*_refund_sides(s, d)))
+    emi, round_ = F.col("id") % 13 == 0, F.expr("(cents div 2000 + 1) * 2000")
+    side = lambda d, c: d.select("id", "ts", c.alias("cents"), F.col("user_id").cast("string").alias("shop"), (F.col("user_id") % 50).cast("string").alias("card"), F.when(F.col("id") % 9 == 0, F.col("user_id").cast("string")).alias("ref"), emi.alias("emi"))
+    return side(e.filter("event_type = 'purchase'"), F.when(F.col("id") % 3 == 0, round_).otherwise(F.col("cents"))), side(e.filter("event_type = 'error'"), F.when(emi, round_).otherwise(F.expr("(cents + 2) div 3")))
+
+
+#: One refund after the other, as recursive SQL: a step takes the next refund of every card, as no assignment crosses cards here.
+REFUNDS_SQL = """WITH RECURSIVE e AS (SELECT event_id AS id, ts, user_id AS shop, user_id % 50 AS card, event_type, CAST(floor(value * 100 + 0.5) AS BIGINT) AS cents, CASE WHEN event_id % 9 = 0 THEN user_id END AS ref, event_id % 13 = 0 AS emi FROM events),
+pay AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN (cents // 2000 + 1) * 2000 ELSE cents END AS cents) FROM e WHERE event_type = 'purchase'),
+r AS (SELECT * REPLACE (CASE WHEN emi THEN (cents // 2000 + 1) * 2000 ELSE (cents + 2) // 3 END AS cents), row_number() OVER (PARTITION BY card ORDER BY ts, id) AS n FROM e WHERE event_type = 'error'),
+c AS (SELECT r.id AS refund, r.cents, pay.id AS payment, pay.cents AS budget, pay.ts AS paid, CASE WHEN r.emi THEN 4 WHEN r.ref = pay.ref THEN 1 WHEN r.shop = pay.shop THEN 2 ELSE 3 END AS tier FROM r JOIN pay ON pay.card = r.card AND pay.cents >= r.cents
+  AND (CASE WHEN r.emi THEN NOT pay.emi AND pay.cents = r.cents ELSE coalesce(r.ref = pay.ref, false) OR r.shop = pay.shop OR r.cents = pay.cents END) AND ((NOT r.emi AND coalesce(r.ref = pay.ref, false)) OR (pay.ts <= r.ts AND pay.ts >= r.ts - INTERVAL 180 DAY))),
+g AS (SELECT DISTINCT card, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS rs, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS cs, CAST([] AS INT[]) AS ts FROM r UNION ALL
+  SELECT x.card, x.n, CASE WHEN b IS NULL THEN rs ELSE list_append(rs, b.refund) END, CASE WHEN b IS NULL THEN ps ELSE list_append(ps, b.payment) END, CASE WHEN b IS NULL THEN cs ELSE list_append(cs, b.cents) END, CASE WHEN b IS NULL THEN ts ELSE list_append(ts, b.tier) END
+  FROM (SELECT r.card, r.n, any_value(g.rs) AS rs, any_value(g.ps) AS ps, any_value(g.cs) AS cs, any_value(g.ts) AS ts,
+    arg_min({'refund': c.refund, 'payment': c.payment, 'cents': c.cents, 'tier': c.tier}, {'a': c.tier, 'b': c.cents <> c.budget, 'c': -epoch_us(c.paid), 'd': c.payment}) FILTER (c.budget - coalesce(list_sum(list_transform(list_filter(list_zip(g.ps, g.cs), lambda x: x[1] = c.payment), lambda x: x[2])), 0) >= c.cents) AS b
+    FROM g JOIN r ON r.card = g.card AND r.n = g.n + 1 LEFT JOIN c ON c.refund = r.id GROUP BY r.card, r.n) x),
+z AS (SELECT card, max_by(rs, n) AS rs, max_by(ps, n) AS ps, max_by(ts, n) AS ts FROM g GROUP BY card), a AS (SELECT card, unnest(rs) AS refund, unnest(ps) AS payment, unnest(ts) AS tier FROM z)"""
+query("refund_assignment_greedy", f"{REFUNDS_SQL} SELECT refund, payment, tier FROM a")(lambda s, d: matching.assign_refunds(*_refund_sides(s, d)))
 query("bill_link_greedy")(lambda s, d: matching.link_bills(*_payments_and_bills(s, d)))
 query("row_multiset_equality", """WITH a AS (SELECT l_orderkey, l_linenumber FROM lineitem), b AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 10 <> 0),
 x AS (SELECT count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)), y AS (SELECT count(*) AS n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))

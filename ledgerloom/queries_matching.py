@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cascade, ladder, matching, rules
-from .queries import ORACLE_SQL, query
+from .queries import ORACLE_SQL, REFUNDS_SQL, _refund_sides, query
 from .queries_text import _NORMAL, _case, _one_of
 from .sources import movements as src
 
@@ -95,25 +95,25 @@ g AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGI
 z AS (SELECT ps, bs FROM g ORDER BY n DESC LIMIT 1) SELECT unnest(ps) AS payment, unnest(bs) AS bill FROM z"""
 
 
-def _refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As refund_assignment_greedy, over the refunds of a few users, so that SQL can follow: assignments never cross shops, cards and
-    references of users whose numbers differ modulo 50."""
-    from .queries import _refund_sides
+def _by_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payments, refunds = _refund_sides(spark, sf_dir)
+    found = matching.assign_refunds(payments, refunds).join(refunds.select(F.col("id").alias("refund"), "card", "cents"), "refund")
+    return found.groupBy("card", "tier").agg(F.count(F.lit(1)).alias("refunds"), F.sum("cents").alias("cents"))
+
+
+query("refund_assignment_by_card", f"{REFUNDS_SQL} SELECT CAST(a.card AS VARCHAR) AS card, tier, count(*) AS refunds, CAST(sum(r.cents) AS BIGINT) AS cents FROM a JOIN r ON r.id = refund GROUP BY 1, 2")(_by_card)
 
+
+# Refunds filed: purchases have the category of their user, refunds one of their own, told by a user, by rule or with a payment before.
+def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
     payments, refunds = _refund_sides(spark, sf_dir)
-    few = lambda d: d.filter("card in ('7', '8', '9')")
-    return matching.assign_refunds(few(payments), few(refunds))
-
-
-query("refund_assignment_by_card", f"""WITH RECURSIVE {_EVENTS}, pay AS (SELECT id, ts, cents, user_id AS shop, user_id % 50 AS card, CASE WHEN id % 9 = 0 THEN user_id END AS ref FROM e WHERE event_type = 'purchase' AND user_id % 50 IN (7, 8, 9)),
-r AS (SELECT id, ts, (cents + 2) // 3 AS cents, user_id AS shop, user_id % 50 AS card, CASE WHEN id % 9 = 0 THEN user_id END AS ref, row_number() OVER (ORDER BY ts, id) AS n FROM e WHERE event_type = 'error' AND user_id % 50 IN (7, 8, 9)),
-c AS (SELECT r.n, r.id AS refund, r.cents, pay.id AS payment, pay.cents AS budget, pay.ts AS paid, CASE WHEN r.ref = pay.ref THEN 1 WHEN r.shop = pay.shop THEN 2 ELSE 3 END AS tier FROM r JOIN pay ON pay.cents >= r.cents AND (r.ref = pay.ref OR ((r.shop = pay.shop OR (r.card = pay.card AND r.cents = pay.cents)) AND pay.ts <= r.ts AND pay.ts >= r.ts - INTERVAL 180 DAY))),
-g AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS rs, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS cs, CAST([] AS INT[]) AS ts UNION ALL
-  SELECT x.n, CASE WHEN b IS NULL THEN rs ELSE list_append(rs, b.refund) END, CASE WHEN b IS NULL THEN ps ELSE list_append(ps, b.payment) END, CASE WHEN b IS NULL THEN cs ELSE list_append(cs, b.cents) END, CASE WHEN b IS NULL THEN ts ELSE list_append(ts, b.tier) END
-  FROM (SELECT r.n, any_value(g.rs) AS rs, any_value(g.ps) AS ps, any_value(g.cs) AS cs, any_value(g.ts) AS ts,
-    arg_min({{'refund': c.refund, 'payment': c.payment, 'cents': c.cents, 'tier': c.tier}}, {{'a': c.tier, 'b': c.cents <> c.budget, 'c': -epoch_us(c.paid), 'd': c.payment}}) FILTER (c.budget - coalesce(list_sum(list_transform(list_filter(list_zip(g.ps, g.cs), lambda x: x[1] = c.payment), lambda x: x[2])), 0) >= c.cents) AS b
-    FROM g JOIN r ON r.n = g.n + 1 LEFT JOIN c ON c.n = r.n GROUP BY r.n) x),
-z AS (SELECT rs, ps, ts FROM g ORDER BY n DESC LIMIT 1) SELECT unnest(rs) AS refund, unnest(ps) AS payment, unnest(ts) AS tier FROM z""")(_refunds)
+    k = F.col("id")
+    told = refunds.withColumns({"category": F.lit("was"), "decided_by": F.when(k % 7 == 0, "user").when(k % 7 == 1, "refund").otherwise("rule"), "confidence": F.lit(0.5), "needs_review": k % 2 == 0})
+    return matching.refunds_placed(payments.withColumn("category", F.concat(F.lit("c"), "card")), told, matching.assign_refunds(payments, refunds))
+
+
+query("refunds_filed", f"""{REFUNDS_SQL} SELECT r.id, payment AS refund_of, CASE WHEN r.id % 7 = 0 THEN 'was' WHEN payment IS NOT NULL THEN 'c' || r.card WHEN emi THEN 'ignored' WHEN r.id % 7 = 1 THEN 'income.refund' ELSE 'was' END AS category, CASE WHEN r.id % 7 = 0 THEN 'user' WHEN payment IS NOT NULL THEN 'refund' WHEN emi THEN 'rule' WHEN r.id % 7 = 1 THEN 'heuristic' ELSE 'rule' END AS decided_by,
+CASE WHEN r.id % 7 = 0 THEN 0.5 WHEN payment IS NOT NULL THEN 1.0 WHEN emi OR r.id % 7 = 1 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN r.id % 7 > 0 AND (payment IS NOT NULL OR emi OR r.id % 7 = 1) THEN false ELSE r.id % 2 = 0 END AS needs_review FROM r LEFT JOIN a ON a.refund = r.id""")(_filed)
 
 
 # A batch whose rows find one another: each movement twice in one import, the second of each two minutes later.
