@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from ..functions.dates import read_date
 from ..functions.money import signed_cents
 from .components import cut
-from .lines import DATE, FIGURES, MONEY, figures, outside_terms, rows_by_header, without_page_numbers
+from .lines import DATE, FIGURES, MONEY, figures, outside_terms
 from .proof import TABLE, decide
+from .wrapped import GIVE, figures_wrapped, headed, rows_wrapped
 
-#: Edges so near line up; a table may be printed so far to one side of another (in characters).
-GIVE, SHIFT = 1, 4
+#: A table may be printed so far to one side of another (in characters).
+SHIFT = 4
 #: Rows that use two columns, of those that use either, from which these are an amount and its balance.
 BESIDE = 0.6
 
@@ -171,21 +172,21 @@ def shape_readings(rows: DataFrame) -> DataFrame:
     return out.filter("cents > 0")
 
 
-def header_readings(lines: DataFrame) -> DataFrame:
-    """The rows under headers, in the form of shape_readings(), as one reading called `table`."""
-    rows = rows_by_header(lines)
+def header_readings(rows: DataFrame) -> DataFrame:
+    """Rows under headers, in the form of shape_readings(), as one reading called `table`."""
     cents = F.coalesce(F.nullif("debit", F.lit(0)), F.nullif("credit", F.lit(0)), F.col("amount"))
     mark = F.when(F.coalesce("debit", F.lit(0)) != 0, "dr").when(F.coalesce("credit", F.lit(0)) != 0, "cr").when(F.col("amount") < 0, "cr")
-    out = rows.select(F.col("file").alias("statement"), F.lit(TABLE).alias("reading"), "line", "day", "details", F.abs(cents).alias("cents"), mark.alias("mark"), F.lit(None).cast("string").alias("sign"), "balance")
+    out = rows.select(F.col("file").alias("statement"), F.lit(TABLE).alias("reading"), F.col("line").cast("bigint").alias("line"), "day", "details", F.abs(cents).alias("cents"), mark.alias("mark"), F.lit(None).cast("string").alias("sign"), "balance")
     return out.filter("cents > 0")
 
 
 def statements_read(lines: DataFrame) -> DataFrame:
     """(statement, status, proof, reading, convention, debits, credits) of every file, from its lines alone: the rows under its headers
     and the rows by shape under every layout of its columns are candidates of one proof, by the figures it prints or by
-    its running balance. Lines between headings of terms, and page numbers, count for nothing; a file without rows or
-    without figures is told so."""
-    body = outside_terms(lines)
-    rows = cut(shape_readings(placed(body)).unionByName(header_readings(without_page_numbers(body).select("file", "line", "text"))))
-    printed = figures(body).select(F.col("file").alias("statement"), *[c for c in FIGURES if c != "minimum"])
+    its running balance. Rows, labels and headers may be broken over lines. Lines between headings of terms, and page
+    numbers, count for nothing; a file without rows or without figures is told so."""
+    body = cut(outside_terms(lines).select("file", F.col("line").cast("bigint").alias("line"), "text"))
+    rows = cut(shape_readings(rows_wrapped(body)).unionByName(header_readings(headed(body))))
+    wrapped = figures_wrapped(body).select("file", *[F.col(c).alias(f"_{c}") for c in FIGURES])
+    printed = figures(body).join(wrapped, "file", "left").select(F.col("file").alias("statement"), *[F.coalesce(c, f"_{c}").alias(c) for c in FIGURES if c != "minimum"])
     return decide(rows, printed)

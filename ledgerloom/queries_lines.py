@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.money import cents
 from .operators import columns
 from .operators import lines as op
-from .operators import proof
+from .operators import proof, wrapped
 from .queries import query
 from .sources import movements as src
 
@@ -188,3 +188,31 @@ h AS (SELECT *, CASE WHEN f % 7 = 0 THEN CASE WHEN n >= 2 THEN 'balance' WHEN k
 SELECT f AS statement, CASE how WHEN 'none' THEN 'nothing to check by' WHEN 'open' THEN 'unproven' ELSE 'proven' END AS status, CASE how WHEN 'balance' THEN 'running balance' WHEN 'figures' THEN 'figures' END AS proof,
 CASE how WHEN 'balance' THEN 'shape:amount@0+balance@1' WHEN 'figures' THEN CASE WHEN k = 0 THEN 'shape:amount@0' WHEN f % 3 = 0 THEN 'shape:credit@0+debit@1' ELSE 'shape:debit@0+credit@1' END END AS reading, CASE WHEN how IN ('balance', 'figures') THEN d END AS debits, CASE WHEN how IN ('balance', 'figures') THEN r END AS credits FROM h""")(
     lambda s, d: columns.statements_read(_columned(s, d)).drop("convention"))
+
+
+# Text broken over lines: each order as a row of its own way by remainders of its key: details on the next line, the amount there, an
+# undated row below, a clock; a summary box above with labels of two lines, a header of two lines, and a part that ends the last row.
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    o = src.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("d"), cents("o_totalprice").alias("c"), F.lower("o_orderpriority").alias("p"))
+    at = lambda *parts: F.concat(*[F.rpad(F.lit(x) if isinstance(x, str) else x, w, " ") if w else x for x, w in parts])
+    day, amount = F.date_format("d", "dd/MM/yyyy"), F.lpad(_amount(F.col("c")), 14, " ")
+    plain, more = at((day, 12), (F.col("p"), 30), (amount, 0)), at(("", 12), (F.lit("of the town"), 0))
+    texts = (
+        F.when(k % 4 == 0, F.array(plain, more)).when(k % 4 == 1, F.array(at((day, 12), (F.col("p"), 0)), at(("", 12), (F.lit("next line"), 30), (amount, 0))))
+        .when(k % 4 == 2, F.array(plain, at(("", 12), (F.lit("igst"), 30), (F.lpad(F.lit("18.00"), 14, " "), 0)))).otherwise(F.array(plain, F.lit("10:15 am"), F.lit(""), F.lit("            no details")))
+    )
+    body = o.select("file", F.posexplode(texts).alias("i", "text"), "k").select("file", (k * 10 + F.col("i")).alias("line"), "text")
+    total = o.groupBy("file").agg(F.sum(F.col("c") + F.when(k % 4 == 2, 1800).otherwise(0)).alias("t"))
+    box = ["Previous            Total amount", "balance             due", None, "", "Txn         Transaction                     Amount", "Date        Details                         (in Rs)"]
+    figures = at(("5000.00", 20), (_amount(F.col("t") + 500_000), 0))
+    heads = F.array(*[F.struct(F.lit(i - 100).cast("bigint").alias("line"), (figures if x is None else F.lit(x)).alias("text")) for i, x in enumerate(box)], F.struct(F.lit(10**15).alias("line"), F.lit("Total credits: 0.00").alias("text")))
+    return body.unionByName(total.select("file", F.inline(heads)))
+
+
+_BROKEN = """WITH o AS (SELECT o_custkey AS file, o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS c, lower(o_orderpriority) AS p FROM orders), t AS (SELECT file, CAST(sum(c + CASE WHEN k % 4 = 2 THEN 1800 ELSE 0 END) AS BIGINT) AS t FROM o GROUP BY 1)"""
+query("rows_of_broken_lines", f"""{_BROKEN} SELECT file, k * 10 AS line, d AS day, CASE WHEN k % 4 = 3 THEN '10:15 am' END AS clock, p || CASE k % 4 WHEN 0 THEN ' of the town' WHEN 1 THEN ' next line' ELSE '' END AS details, {_A.format(c='c')} AS amounts FROM o UNION ALL SELECT file, k * 10 + 1, d, NULL, 'igst', '18.00' FROM o WHERE k % 4 = 2""")(
+    lambda s, d: wrapped.rows_wrapped(_broken(s, d)).select("file", "line", "day", "clock", "details", F.array_join(F.transform("amounts", lambda a: a["text"]), ",").alias("amounts")))
+query("figures_of_broken_labels", f"{_BROKEN} SELECT file, CAST(500000 AS BIGINT) AS previous, t + 500000 AS due, CAST(NULL AS BIGINT) AS printed_debits, CAST(NULL AS BIGINT) AS printed_credits, CAST(NULL AS BIGINT) AS minimum FROM t")(lambda s, d: wrapped.figures_wrapped(_broken(s, d)))
+query("rows_below_broken_headers", f"{_BROKEN} SELECT file, d AS day, p AS details, c AS amount FROM o WHERE k % 4 <> 1")(lambda s, d: wrapped.headed(_broken(s, d)).select("file", "day", "details", "amount"))
+query("broken_statements_read", f"{_BROKEN} SELECT file AS statement, 'proven' AS status, 'figures' AS proof, t AS debits, CAST(0 AS BIGINT) AS credits FROM t")(lambda s, d: columns.statements_read(_broken(s, d)).select("statement", "status", "proof", "debits", "credits"))
