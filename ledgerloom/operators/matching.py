@@ -137,6 +137,28 @@ def assign_refunds(payments: DataFrame, refunds: DataFrame, days: int = REFUND_D
         pairs = pairs.withColumn("left", F.col("left") - F.coalesce("_debit", F.lit(0))).drop("_debit").filter("left >= cents")
 
 
+def reassigned(payments: DataFrame, refunds: DataFrame, assigned: DataFrame, gone: DataFrame, days: int = REFUND_DAYS) -> DataFrame:
+    """(refund, payment, tier) after records (id) have gone, as a file's do that is forgotten: what assign_refunds() gives for the rest.
+
+    Only what could have met a record that is gone is decided anew: the refunds and payments that chains of candidates reach
+    from it. All other links are taken from `assigned` as they are. `payments` and `refunds` still hold what is gone; ids are
+    distinct over both.
+    """
+    pairs = cut(refund_candidates(payments, refunds, days).select("refund", "payment").distinct())
+    # From what is gone outwards, a step at a time: refunds by their payments and payments by their refunds.
+    reached = cut(gone.select("id").distinct())
+    edge = reached
+    while True:
+        beside = pairs.join(edge, F.col("refund") == F.col("id"), "left_semi").select(F.col("payment").alias("id")).unionByName(pairs.join(edge, F.col("payment") == F.col("id"), "left_semi").select(F.col("refund").alias("id")))
+        edge = cut(beside.distinct().join(reached, "id", "left_anti"))
+        if edge.isEmpty():
+            break
+        reached = cut(reached.unionByName(edge))
+    again = lambda d: d.join(reached, "id", "left_semi").join(gone.select("id"), "id", "left_anti")
+    kept = assigned.join(reached.select(F.col("id").alias("refund")), "refund", "left_anti")
+    return kept.select("refund", "payment", "tier").unionByName(assign_refunds(again(payments), again(refunds), days))
+
+
 def refunds_placed(payments: DataFrame, refunds: DataFrame, assigned: DataFrame) -> DataFrame:
     """(id, refund_of, category, decided_by, confidence, needs_review) of refunds (id, category, decided_by, emi if at hand) after
     assign_refunds(): one with a payment is filed with the payment's category; an instalments' credit without its purchase is

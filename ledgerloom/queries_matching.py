@@ -116,6 +116,16 @@ query("refunds_filed", f"""{REFUNDS_SQL} SELECT r.id, payment AS refund_of, CASE
 CASE WHEN r.id % 7 = 0 THEN 0.5 WHEN payment IS NOT NULL THEN 1.0 WHEN emi OR r.id % 7 = 1 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN r.id % 7 > 0 AND (payment IS NOT NULL OR emi OR r.id % 7 = 1) THEN false ELSE r.id % 2 = 0 END AS needs_review FROM r LEFT JOIN a ON a.refund = r.id""")(_filed)
 
 
+# Forgetting: purchases and errors of every 40th number go; what is left is linked as if they had never been there.
+def _after_forgetting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payments, refunds = _refund_sides(spark, sf_dir)
+    gone = payments.select("id").unionByName(refunds.select("id")).filter("id % 40 = 7")
+    return matching.reassigned(payments, refunds, matching.assign_refunds(payments, refunds), gone)
+
+
+query("refunds_after_forgetting", REFUNDS_SQL.replace("FROM events)", "FROM events WHERE event_id % 40 <> 7)") + " SELECT refund, payment, tier FROM a")(_after_forgetting)
+
+
 # A batch whose rows find one another: each movement twice in one import, the second of each two minutes later.
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = src.movements(spark, sf_dir).filter("refund_of is null")

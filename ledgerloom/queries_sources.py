@@ -94,6 +94,21 @@ query("export_entries", f"WITH {_ACT}, {_ENT} SELECT id, ts, cents, direction, k
 query("export_folders_merged", f"""WITH {_ACT}, {_ENT}, h AS (SELECT e.id AS other, a.id AS entry, row_number() OVER (PARTITION BY e.id ORDER BY abs(epoch(a.ts)::BIGINT - epoch(e.ts)::BIGINT), a.id) AS n FROM e JOIN a ON a.direction = e.direction AND a.cents = e.cents AND abs(epoch(a.ts)::BIGINT - epoch(e.ts)::BIGINT) <= CASE WHEN source = 'rewards' THEN 172800 ELSE 300 END
 AND (source = 'rewards' OR contains(regexp_replace(lower(a.payee), '[^a-z0-9]', '', 'g'), regexp_replace(lower(e.payee), '[^a-z0-9]', '', 'g')) OR contains(regexp_replace(lower(e.payee), '[^a-z0-9]', '', 'g'), regexp_replace(lower(a.payee), '[^a-z0-9]', '', 'g'))))
 SELECT e.id AS other, h.entry FROM e LEFT JOIN h ON h.other = e.id AND n = 1""")(lambda s, d: exports.merged(exports.activity(_items(s, d)), _sends(s, d)))
+# The merged list: a third of the entries have a name that stands for any, and rows another one; both sides have references.
+def _merge_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    number, odd = F.col("id").cast("string"), F.col("id") % 3 == 0
+    main = exports.activity(_items(spark, sf_dir))
+    main = main.withColumns({"payee": F.when(odd, F.when(F.col("id") % 2 == 0, "Google Pay").otherwise("Unknown")).otherwise(F.col("payee")), "refs": F.create_map(F.lit("utr"), number)})
+    others = _sends(spark, sf_dir).withColumns({"payee": F.when(F.col("source") == "sends", "zz top").otherwise(F.col("payee")), "refs": F.create_map(F.lit("txnId"), number, F.lit("utr"), F.lit("other"))})
+    return main, others
+
+
+_MERGED = f"""WITH {_ACT}, {_ENT}, m AS (SELECT * REPLACE (CASE WHEN id % 6 = 0 THEN 'Google Pay' WHEN id % 3 = 0 THEN 'Unknown' ELSE payee END AS payee) FROM a), f AS (SELECT * REPLACE (CASE source WHEN 'sends' THEN 'zz top' ELSE payee END AS payee) FROM e),
+h AS (SELECT f.id AS other, m.id AS entry, f.source, f.note AS memo, f.payee AS named, row_number() OVER (PARTITION BY f.id ORDER BY abs(epoch(m.ts)::BIGINT - epoch(f.ts)::BIGINT), m.id) AS n FROM f JOIN m ON m.direction = f.direction AND m.cents = f.cents AND abs(epoch(m.ts)::BIGINT - epoch(f.ts)::BIGINT) <= CASE WHEN source = 'rewards' THEN 172800 ELSE 300 END AND (source = 'rewards' OR m.id % 3 = 0))"""
+query("export_list_merged", f"""{_MERGED} SELECT m.id, ts, cents, direction, CASE WHEN h.source = 'rewards' THEN 'cashback' ELSE kind END AS kind, CASE WHEN h.source = 'rewards' AND m.id % 3 = 0 THEN named ELSE payee END AS payee, coalesce(memo, '') AS note, 'activity' AS source, CASE WHEN other IS NULL THEN '' ELSE 'txnId=' || other || ' ' END || 'utr=' || m.id AS refs FROM m LEFT JOIN h ON entry = m.id AND n = 1
+UNION ALL SELECT id, ts, cents, direction, kind, payee, note, source, 'txnId=' || id || ' utr=other' FROM f WHERE id NOT IN (SELECT other FROM h)""")(
+    lambda s, d: exports.merged_list(*_merge_sides(s, d)).drop("paid_from").withColumn("refs", F.array_join(F.array_sort(F.transform(F.map_entries("refs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), " ")))
+query("export_merge_counts", f"{_MERGED} SELECT source, count(*) FILTER (id IN (SELECT other FROM h)) AS merged, count(*) FILTER (id NOT IN (SELECT other FROM h)) AS added FROM f GROUP BY 1")(lambda s, d: exports.merge_counts(*_merge_sides(s, d)))
 query("split_bill_items", f"WITH o AS ({_O}) SELECT cu AS file, 'item ' || k AS item, p AS payer, c AS cents FROM o")(
     lambda s, d: exports.split_bills(_orders(s, d).groupBy(F.col("cu").alias("group")).agg(F.collect_list(F.struct(F.concat(F.lit("item "), F.col("k").cast("string")).alias("title"), F.col("p").alias("payer"), _printed("c").alias("amount"))).alias("items"))).withColumnRenamed("group", "file"))
 _KINDS = "CASE o_orderkey % 5 WHEN 0 THEN 'Transaction ID 1 UTR 2 paid to x DEBIT' WHEN 1 THEN 'Total Due, minimum due' WHEN 2 THEN 'hello' WHEN 3 THEN 'withdrawal deposit narration' ELSE 'bill payment paid with card ending 9' END"

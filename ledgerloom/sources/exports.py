@@ -9,6 +9,7 @@ from ..functions.labels import method_mask, read_time, status_of
 from ..functions.money import signed_cents
 from ..functions.text import compact
 from ..operators.cards import in_turn
+from ..operators.components import cut
 from .files import records
 
 #: What a sentence of the activity list begins with, and what it means: direction and kind (fixed values).
@@ -57,9 +58,13 @@ def split_bills(groups: DataFrame) -> DataFrame:
     return groups.select("group", F.explode("items").alias("i")).select("group", F.col("i.title").alias("item"), F.col("i.payer").alias("payer"), signed_cents("i.amount").alias("cents"))
 
 
+#: Parties that stand for any: the app itself, and a name that an app could not tell (fixed values, as compact keys).
+ANY_PARTY = ["", "googlepay", "unknown"]
+
+
 def _same_party(a: Column, b: Column) -> Column:
     x, y = compact(F.coalesce(a, F.lit(""))), compact(F.coalesce(b, F.lit("")))
-    return (x == "") | (y == "") | x.contains(y) | y.contains(x)
+    return x.isin(ANY_PARTY) | y.isin(ANY_PARTY) | x.contains(y) | y.contains(x)
 
 
 def merged(main: DataFrame, others: DataFrame) -> DataFrame:
@@ -81,6 +86,37 @@ def merged(main: DataFrame, others: DataFrame) -> DataFrame:
     return others.select(F.col("id").alias("other")).join(taken, "other", "left")
 
 
+def merged_list(main: DataFrame, others: DataFrame) -> DataFrame:
+    """(id, ts, cents, direction, kind, payee, paid_from, note, refs, source) of everything that moved: the entries of the activity list
+    as the rows of other folders complete them, and the rows that the list does not have.
+
+    `main` and `others` as activity() and entries() give them, with `refs` (a map) if at hand. A row that is an entry of the list
+    adds its references, of which the entry's own go before, and its memo, if the entry has none; a reward makes the entry
+    cashback and names it, if its own name stands for any. Each entry takes one row; ids are distinct within each table.
+    """
+    text = lambda d, c: F.col(c) if c in d.columns else F.lit(None).cast("string")
+    refs = lambda d: F.coalesce(F.col("refs"), F.create_map().cast("map<string,string>")) if "refs" in d.columns else F.create_map().cast("map<string,string>")
+    shape = lambda d, source: d.select("id", "ts", "cents", "direction", "kind", "payee", text(d, "paid_from").alias("paid_from"), F.coalesce(F.nullif(text(d, "note"), F.lit("")), F.lit("")).alias("note"), refs(d).alias("refs"), source.alias("source"))
+    links = cut(merged(main, others))
+    a, b = shape(main, F.lit("activity")), shape(others, F.col("source"))
+    more = b.join(links.filter("entry IS NOT NULL"), b["id"] == links["other"]).select("entry", *[F.col(c).alias(f"_{c}") for c in ("payee", "note", "refs", "source")])
+    both = a.join(more, a["id"] == more["entry"], "left")
+    reward = F.coalesce(F.col("_source") == "rewards", F.lit(False))
+    unnamed = compact(F.coalesce("payee", F.lit(""))).isin([k for k in ANY_PARTY if k])
+    own = F.map_filter(F.coalesce("_refs", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key("refs", k))
+    out = both.select(
+        "id", "ts", "cents", "direction", F.when(reward, "cashback").otherwise(F.col("kind")).alias("kind"), F.when(reward & unnamed, F.col("_payee")).otherwise(F.col("payee")).alias("payee"), "paid_from",
+        F.when(F.col("note") != "", F.col("note")).otherwise(F.coalesce("_note", F.lit(""))).alias("note"), F.map_concat("refs", own).alias("refs"), "source",
+    )
+    return out.unionByName(b.join(links.filter("entry IS NULL").select(F.col("other").alias("id")), "id", "left_semi"))
+
+
+def merge_counts(main: DataFrame, others: DataFrame) -> DataFrame:
+    """(source, merged, added): of each other folder, how many rows were entries of the list and how many were added to it."""
+    links = merged(main, others).join(others.select(F.col("id").alias("other"), "source"), "other")
+    return links.groupBy("source").agg(F.count("entry").alias("merged"), F.count(F.when(F.col("entry").isNull(), 1)).alias("added"))
+
+
 #: A bill's payment in a history of bills (fixed patterns): its day begins a record, and the amount is printed twice.
 BILL_START = r"^[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}$"
 BILL_FIELDS = {"day": r"^([0-9]{1,2} [A-Z][a-z]{2} [0-9]{4})$", "clock": r"^([0-9]{1,2}:[0-9]{2} ?[APap][Mm])$", "title": r"^(.*(?:XX|ending )[0-9]{4}.*)$", "txn": r"^Transaction ID:? (\S+)$", "utr": r"^UTR:? (\S+)$", "amount": r"^(₹[0-9,.]+)$", "again": r"^Amount paid:? (₹[0-9,.]+)$"}

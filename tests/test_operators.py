@@ -295,3 +295,15 @@ def test_a_folder_is_shared_only_where_machines_share_it():
     assert own and own == components.shared_folder(Session(master="local[2]"))
     with pytest.raises(ValueError):
         components.shared_folder(Session(master="yarn"))
+
+
+def test_forgetting_touches_only_what_it_reaches(spark):
+    """Links out of reach of what is gone are taken as they are, even where they are not what would be decided today."""
+    schema = "id bigint, ts timestamp_ntz, cents bigint, shop string, card string, ref string"
+    day = lambda n: dt.datetime(2024, 1, n)
+    payments = spark.createDataFrame([(1, day(1), 500, "a", "c", None), (2, day(2), 500, "a", "c", None), (3, day(1), 700, "b", "d", None), (4, day(2), 700, "b", "d", None)], schema)
+    refunds = spark.createDataFrame([(11, day(5), 500, "a", "c", None), (12, day(6), 700, "b", "d", None)], schema)
+    before = spark.createDataFrame([(11, 2, 2), (12, 3, 2)], "refund bigint, payment bigint, tier int")
+    got = {r["refund"]: r["payment"] for r in matching.reassigned(payments, refunds, before, spark.createDataFrame([(2,)], "id bigint")).collect()}
+    assert got == {11: 1, 12: 3}
+    assert {r["refund"] for r in matching.reassigned(payments, refunds, before, spark.createDataFrame([(12,)], "id bigint")).collect()} == {11}
