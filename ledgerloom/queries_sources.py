@@ -7,18 +7,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.money import cents
 from .operators.components import shared_folder
 from .queries import query
 from .queries_lines import _amount
-from .sources import exports, files
+from .sources import exports, files, untidy
 from .sources import movements as src
 
 _O = "SELECT o_orderkey AS k, o_custkey AS cu, o_orderdate AS ts, CAST(o_orderdate AS DATE) AS d, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS c, o_orderpriority AS p FROM orders"
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .functions.money import cents
-
     return src.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cu"), F.col("o_orderdate").alias("ts"), F.to_date("o_orderdate").alias("d"), cents("o_totalprice").alias("c"), F.col("o_orderpriority").alias("p"))
 
 
@@ -128,3 +127,29 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.save_by_year(rows, path)
     files.save_by_year(rows.filter("year(ts) = 1997").withColumn("cents", F.col("cents") + 1), path)
     return files.load_by_year(spark, path).groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.sum("cents").alias("cents"))
+
+
+# A folder of exports in three dialects and two encodings, a file for each two hundred customers: commas with quotes, semicolons with
+# debit and credit columns in Western letters, tabs with a column of marks; each below a title.
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    o = src.table(spark, sf_dir, "orders").select((F.col("o_custkey") / 200).cast("bigint").alias("f"), F.col("o_orderkey").alias("k"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("d"), cents("o_totalprice").alias("c"))
+    amount = _amount(F.col("c"))
+    credit, shop = F.col("k") % 4 == 0, F.concat(F.lit("Café, no. "), F.col("k").cast("string"))
+    ways = [
+        ("utf-8", "Txn Date,Narration,Amount", F.concat("d", F.lit(',"'), shop, F.lit('",'), amount, F.when(credit, " Cr").otherwise(""))),
+        ("ISO-8859-1", "Date;Details;Debit;Credit", F.concat_ws(";", "d", shop, F.when(credit, "").otherwise(amount), F.when(credit, amount).otherwise(""))),
+        ("utf-8", "Date\tDescription\tDr/Cr\tAmount", F.concat_ws("\t", "d", shop, F.when(credit, "CR").otherwise("DR"), amount)),
+    ]
+    path = f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}"
+    for i, (encoding, head, line) in enumerate(ways):
+        own = o.filter(F.col("f") % 3 == i)
+        heads = own.select("f").distinct().select("f", F.explode(F.array(*[F.struct(F.lit(n).cast("bigint").alias("k"), F.lit(t).alias("value")) for n, t in ((-2, "Statement of account"), (-1, head))])).alias("h")).select("f", "h.*")
+        lines = own.select("f", "k", line.alias("value")).unionByName(heads)
+        lines.repartition("f").sortWithinPartitions("f", "k").select("f", "value").write.partitionBy("f").option("encoding", encoding).text(f"{path}/{i}")
+    return f"{path}/*/*"
+
+
+_EXPORTED = "WITH o AS (SELECT o_custkey // 200 AS f, o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS c FROM orders)"
+query("untidy_exports_read", f"{_EXPORTED} SELECT day, 'Café, no. ' || k AS details, c AS cents, k % 4 = 0 AS credit FROM o")(lambda s, d: untidy.card_exports(s, _folder(s, d))[0].select("day", "details", "cents", "credit"))
+query("untidy_exports_told", f"{_EXPORTED} SELECT f AS file, 'read' AS state, CAST(1 AS INT) AS header, count(*) AS rows FROM o GROUP BY 1")(
+    lambda s, d: untidy.card_exports(s, _folder(s, d))[1].select(F.regexp_extract("file", "/f=([0-9]+)/", 1).cast("bigint").alias("file"), "state", "header", "rows"))
