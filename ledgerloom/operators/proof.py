@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How the sign of a row can be meant, where no mark or column says it (fixed values): not at all; a minus is a credit; a plus
-#: is; a wording of money back is, for rows with details.
-CONVENTIONS = ["marked", "minus", "plus", "words"]
+#: How the sign of a row can be meant, where no mark or column says it (fixed values): not at all; a minus is a credit; a plus is.
+CONVENTIONS = ["marked", "minus", "plus"]
+#: For rows with details: a wording of money back is a credit.
+BY_WORDS = "words"
 #: Wordings of payments of a bill and of money back.
 CREDIT_WORDS = r"(?i)\b(?:payment (?:received|thank)|autopay|bill ?pay|cash ?back|reward|payment|refund|reversal|reversed|rev)\b"
 #: The reading of rows under a header is taken before those by shape, where several prove the same.
@@ -23,16 +24,16 @@ def _said(rows: DataFrame) -> Column:
 def signed_rows(rows: DataFrame) -> DataFrame:
     """Rows (statement, reading, day, cents, mark, sign; details if at hand) once for each convention, with credit true or false. A mark
     of its own (cr, dr), printed or of its column, goes before any sign."""
-    known = CONVENTIONS if "details" in rows.columns else CONVENTIONS[:-1]
+    known = [*CONVENTIONS, BY_WORDS] if "details" in rows.columns else CONVENTIONS
     each = rows.withColumn("convention", F.explode(F.array(*[F.lit(c) for c in known])))
     mark, sign, how = F.lower(F.coalesce("mark", F.lit(""))), F.coalesce("sign", F.lit("")), F.col("convention")
-    credit = F.when(mark == "cr", True).when(mark == "dr", False).when(how == "minus", sign == "-").when(how == "plus", sign == "+").when(how == "words", _said(rows)).otherwise(False)
+    credit = F.when(mark == "cr", True).when(mark == "dr", False).when(how == "minus", sign == "-").when(how == "plus", sign == "+").when(how == BY_WORDS, _said(rows)).otherwise(False)
     return each.withColumn("credit", credit)
 
 
 def _order(*more: str) -> Column:
     """Of several readings that prove the same: the header's, the plain convention, then by name."""
-    return F.struct((F.col("reading") != TABLE).alias("_1"), F.array_position(F.array(*[F.lit(c) for c in CONVENTIONS]), F.col("convention")).alias("_2"), *more, "reading")
+    return F.struct((F.col("reading") != TABLE).alias("_1"), F.array_position(F.array(*[F.lit(c) for c in [*CONVENTIONS, BY_WORDS]]), F.col("convention")).alias("_2"), *more, "reading")
 
 
 def prove(rows: DataFrame, statements: DataFrame) -> DataFrame:
