@@ -55,9 +55,21 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return shift + (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / z
 
 
+#: log Gamma at k + 1/2 and at k + 1 of the counts k that nearly all contexts have.
+_HALVES, _WHOLES = (log_gamma(np.arange(1 << 12) + x) for x in (0.5, 1.0))
+
+
+def _log_gamma_at(count: np.ndarray, table: np.ndarray, add: float) -> np.ndarray:
+    """log Gamma of whole numbers plus `add`."""
+    out = table[np.minimum(count, len(table) - 1).astype(np.int64)]
+    large = np.flatnonzero(count >= len(table))
+    out[large] = log_gamma(count[large] + add)
+    return out
+
+
 def log_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
+    return _log_gamma_at(a, _HALVES, 0.5) + _log_gamma_at(b, _HALVES, 0.5) - _log_gamma_at(a + b, _WHOLES, 1.0) - np.log(np.pi)
 
 
 def pairs_in(lines: Sequence[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -65,15 +77,15 @@ def pairs_in(lines: Sequence[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np
 
     A pair is one number: the next byte in the low 8 bits, above it the context with the nearest byte lowest.
     """
-    gap = bytes([END]) * depth
-    line = np.frombuffer(gap + b"".join([x + gap for x in lines]), np.uint8).astype(np.int64)
-    size = max(0, len(line) - depth)
-    pair = line[depth:].copy()
-    for j in range(depth):
-        pair |= line[depth - 1 - j : depth - 1 - j + size] << (8 * j + 8)
+    gap, width = bytes([END]) * depth, 8
+    line = bytes([END]) * (width - 1) + b"".join([x + gap for x in lines])
     n = np.fromiter((len(x) + 1 for x in lines), np.int64, len(lines))
-    first = np.cumsum(n + depth - 1) - (n + depth - 1)
-    return pair[np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)], n
+    # The eight bytes up to each position are one number; that of a position holds its context, nearest byte lowest.
+    every = np.ndarray(max(0, len(line) - width + 1), ">i8", line, strides=(1,))
+    wanted = np.ones(len(every), bool)
+    after = np.cumsum(n + depth - 1) - (depth - 1)
+    wanted[after[:, None] + np.arange(depth - 1)] = False
+    return every[wanted].astype(np.int64) & ((np.int64(1) << (8 * depth + 8)) - 1), n
 
 
 def vocabulary(docs: DataFrame, train: Column) -> DataFrame:
@@ -135,13 +147,6 @@ def pairs_of(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame:
     return parts.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def _nodes(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, bit) of the eight steps to each byte; the first node is 1, and those below node k are 2k and 2k + 1."""
-    steps = np.arange(7, -1, -1)
-    whole = byte.astype(np.int64)[:, None] | 256
-    return whole >> (steps + 1), (whole >> steps) & 1
-
-
 def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     key, at = np.unique(key, return_inverse=True)
     return key, *(np.bincount(at, v, len(key)) for v in values)
@@ -161,30 +166,75 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[first], np.add.reduceat(n, first) if len(key) else n
 
 
+class Level:
+    """Contexts of one length at the nodes that their pairs have reached, from pairs of which those of one context lie together
+    in order of the next byte. `of` gives the place of each pair's node at each of its eight steps; `first` is a pair of each node."""
+
+    def __init__(self, pair: np.ndarray, n: np.ndarray):
+        self.pair, self.n, size = pair, n, len(pair)
+        self.of, firsts, a, b = np.zeros((8, size), np.int32), [], [], []
+        total = 0
+        for step in range(8):
+            new = np.ones(size, bool)
+            np.not_equal(pair[1:] >> (step + 1), pair[:-1] >> (step + 1), out=new[1:])
+            first = np.flatnonzero(new)
+            ones = np.add.reduceat(n * ((pair >> step) & 1), first) if size else n
+            firsts.append(first)
+            b.append(ones)
+            a.append((np.add.reduceat(n, first) if size else n) - ones)
+            self.of[step] = np.cumsum(new, dtype=np.int32) + (total - 1)
+            total += len(first)
+        self.first, self.a, self.b = np.concatenate(firsts), np.concatenate(a).astype(np.float64), np.concatenate(b).astype(np.float64)
+        self.step = np.repeat(np.arange(8), [len(x) for x in firsts])
+
+    def key(self) -> np.ndarray:
+        """(context, node) of each node as one number."""
+        pair = self.pair[self.first]
+        return (pair >> 8 << 8) | (((pair & 255) | 256) >> (self.step + 1))
+
+    def shorter(self, depth: int) -> tuple[Level, np.ndarray]:
+        """The level of the `depth` nearest bytes, and the place there of each node here."""
+        pair, at = np.unique(self.pair & ((np.int64(1) << (8 * depth + 8)) - 1), return_inverse=True)
+        above = Level(pair, np.bincount(at, self.n, len(pair)).astype(np.int64))
+        return above, above.of[self.step, at[self.first]]
+
+
 class Subtree:
     """All contexts that end in the same bytes, from length 3 to the longest: counts, weighted probabilities and predictions
     by (context, node). Any number of whole subtrees can be gone through together."""
 
     def __init__(self, pair: np.ndarray, n: np.ndarray, depth: int):
-        node, bit = _nodes(pair & 255)
-        key, a, b = _summed((((pair >> 8)[:, None] << 8) | node).ravel(), ((1 - bit) * n[:, None]).ravel(), (bit * n[:, None]).ravel())
-        #: A longest context has no children: its estimate is all there is.
-        self.levels = {depth: {"key": key, "a": a, "b": b, "weighted": log_block(a, b), "share": np.ones(len(key))}}
+        self.longest = level = Level(pair, n)
+        weighted = log_block(level.a, level.b)
+        #: From the longest on: a, b, share and the places of nodes in the next. A longest context has no children: its estimate is all there is.
+        self.levels, share = [], np.ones(len(level.a))
         for d in range(depth - 1, 1, -1):
-            level = self.levels[d + 1]
-            parts = _summed(_parent(level["key"], d), level["a"], level["b"], level["weighted"])
+            above, at = level.shorter(d)
+            self.levels.append({"a": level.a, "b": level.b, "share": share, "at": at})
+            children = np.bincount(at, weighted, len(above.a))
             if d == 2:
-                self.rest = parts  # what the contexts of two bytes get from here
+                self.rest = (above.key(), above.a, above.b, children)  # what the contexts of two bytes get from here
             else:
-                self.levels[d] = weighed(*parts)
-
-    def descend(self, above: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """The longest contexts with their final prediction `one` (of a set bit), given those of two bytes."""
-        for d in sorted(self.levels):
-            level = self.levels[d]
-            level |= below(level, _parent(level["key"], d - 1), above)
-            above = level
-        return above
+                up = weighed(np.zeros(0), above.a, above.b, children)
+                weighted, share = up["weighted"], up["share"]
+            level = above
+
+    def descend(self, above: dict[str, np.ndarray]) -> np.ndarray:
+        """The final prediction of a set bit at each node of the longest contexts, given those of two bytes by sorted key."""
+        at = np.searchsorted(above["key"], self.rest[0])
+        above = {c: above[c][at] for c in ("next_fixed", "next_times", "one")}
+        for level in reversed(self.levels):
+            above = mixed(level, *(above[c][level["at"]] for c in ("next_fixed", "next_times", "one")))
+        return above["one"]
+
+    def log_of_pairs(self, above: dict[str, np.ndarray]) -> np.ndarray:
+        """The natural log probability of each pair's next byte."""
+        one, pair = self.descend(above), self.longest.pair
+        p = np.ones(len(pair))  # of eight bits, each of 1e-20 at least: far from the least float
+        for step in range(8):
+            bit = one[self.longest.of[step]]
+            p *= np.where((pair >> step) & 1 == 1, bit, 1 - bit)
+        return np.log(p)
 
 
 def weighed(key: np.ndarray, a: np.ndarray, b: np.ndarray, children: np.ndarray) -> dict[str, np.ndarray]:
@@ -294,11 +344,8 @@ def predicted(pairs: DataFrame, depth: int = DEPTH) -> DataFrame:
             if not len(rows):
                 continue
             pair, n = rows["pair"].to_numpy(np.int64), rows["n"].to_numpy().astype(np.int64)
-            tree = Subtree(pair, n, depth)
-            leaf = tree.descend({"key": known["pair"].to_numpy(np.int64)} | {c: known[c].to_numpy(np.float64) for c in ("next_fixed", "next_times", "one")})
-            node, bit = _nodes(pair & 255)
-            one = leaf["one"][np.searchsorted(leaf["key"], ((pair >> 8)[:, None] << 8) | node)]
-            yield pd.DataFrame({"pair": pair, "n": n, "lp": np.log(np.where(bit == 1, one, 1 - one)).sum(1)})
+            lp = Subtree(pair, n, depth).log_of_pairs({"key": known["pair"].to_numpy(np.int64)} | {c: known[c].to_numpy(np.float64) for c in ("next_fixed", "next_times", "one")})
+            yield pd.DataFrame({"pair": pair, "n": n, "lp": lp})
 
     return _in_order(pairs, above).mapInPandas(down, "pair bigint, n bigint, lp double")
 
