@@ -355,4 +355,4 @@ query("payee_aliases", "SELECT s_suppkey, 'first' AS person FROM supplier")(
     lambda s, d: bills.matched_payees(src.table(s, d, "supplier").select("s_suppkey", F.col("s_name").alias("payee")), _aliases(s)).select("s_suppkey", "person"))
 
 
-from . import queries_cards, queries_lines, queries_matching, queries_sources, queries_text, queries_upkeep  # noqa: E402, F401  (they register with query() above)
+from . import queries_answers, queries_cards, queries_lines, queries_matching, queries_sources, queries_text, queries_upkeep  # noqa: E402, F401  (they register with query() above)
