@@ -1,5 +1,6 @@
 """Statements whose amounts stand in columns: where these are, what they mean, and what the arithmetic proves."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -148,3 +149,18 @@ def test_running_balances_against_trying_everything(spark, seed):
     for r in proof.running_balances(frame, heads).orderBy("statement", "line").collect():
         got.setdefault(r["statement"], []).append(r["credit"])
     assert got == want and len(want) > 15
+
+
+def test_the_sql_of_decided_statements_tells_what_is_owed_where_no_row_speaks(spark, tmp_path):
+    """Two debits and a balance that falls: no row is marked, so what is owed goes first; a third row, which is marked, decides otherwise."""
+    import duckdb
+
+    from ledgerloom.queries import ORACLE_SQL, QUERIES
+
+    orders = [(k, customer, dt.datetime(1996, 1, k), 10.0 * k) for customer, keys in ((2, (1, 2)), (7, (3, 5, 6)), (12, (9, 12))) for k in keys]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["statements_decided"](spark, str(tmp_path)).orderBy("statement").select("statement", "status", "debits", "credits").collect()
+    assert [tuple(r) for r in got] == [(2, "proven", 0, 3000), (7, "proven", 14000, 0), (12, "proven", 9000, 12000)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert con.execute(f"SELECT statement, status, debits, credits FROM ({ORACLE_SQL['statements_decided']}) ORDER BY statement").fetchall() == [tuple(r) for r in got]
