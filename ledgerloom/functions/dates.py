@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,10 +27,25 @@ def fiscal_year(day: Column | str, first_month: int = 4) -> Column:
 DATE_STYLES = ["dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy-MM-dd", "dd MMM yyyy", "dd-MMM-yyyy", "MMM dd, yyyy"]
 
 
+def shape_of(style: str) -> str:
+    """A pattern that every text of a style fits: its letters stand for anything, its marks for themselves.
+
+    >>> shape_of("MMM dd, yyyy")
+    '^.+ .+, .+$'
+    """
+    return "^" + re.sub("[A-Za-z]+", ".+", style.replace(".", "[.]")) + "$"
+
+
+def read_styled(t: Column, styles: list[str]) -> Column:
+    """A time in the first style that a text is in, else null. A text that is not of a style's shape is not tried: to fail costs many
+    times more than to look."""
+    return F.coalesce(*[F.when(t.rlike(shape_of(s)), F.try_to_timestamp(t, F.lit(s))) for s in styles])
+
+
 def read_date(text: Column | str) -> Column:
     """A date in any of the known styles; null for others and for days that do not exist."""
-    t = F.trim(_col(text))
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(s)).cast("date") for s in DATE_STYLES])
+    # Once for all styles: a lambda's variable is worked out before its body.
+    return F.transform(F.array(F.trim(_col(text))), lambda t: F.when(t != "", read_styled(t, DATE_STYLES)).cast("date"))[0]
 
 
 def roll_back(day: Column | str, anchor: Column | str, slack: int = 5) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import read_date
+from .dates import read_date, read_styled
 from .text import _col, normal_name, place_key, place_name
 
 #: How a purchase is printed on a card statement: parts with marks between them, of which one is the shop. Samples:
@@ -238,7 +238,11 @@ MONTH_ENDS = r"\b(Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)(?:uary|ruary|ch|i
 def read_time(c: Column | str) -> Column:
     """A local time in any of the known styles, or as ISO 8601 has it with a T; a zone behind it or none (then it is local, as it is
     behind a zone of an unknown name); seconds or milliseconds since 1970 too; null for others."""
-    t = F.trim(F.regexp_replace(_col(c), r"\s+", " "))
+    # The text, and later what of it is not its zone, are worked out once: a lambda's variable is, before its body.
+    return F.transform(F.array(F.trim(F.regexp_replace(_col(c), r"\s+", " "))), _time_of)[0]
+
+
+def _time_of(t: Column) -> Column:
     minutes_of = lambda sign, hours, minutes: F.when(sign == "-", -1).otherwise(1) * (hours.try_cast("int") * 60 + F.coalesce(minutes.try_cast("int"), F.lit(0)))
     shifted = lambda local, zone: local + F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(F.lit(LOCAL_MINUTES) - zone, F.lit(0)))
     # In words: the zone's offset, a known zone's name, or a name that says nothing, is taken off the end.
@@ -248,7 +252,7 @@ def read_time(c: Column | str) -> Column:
     zone = F.coalesce(F.when(sign != "", minutes_of(sign, hours, minutes)), known)
     bare = F.when(sign != "", F.regexp_replace(t, r" ?(?:GMT|UTC) ?[+-][0-9:]+$", "")).when((name != "") & ~name.isin("am", "pm"), F.regexp_replace(t, " [A-Za-z]{1,5}$", "")).otherwise(t)
     bare = F.regexp_replace(F.regexp_replace(bare, "[, ]+$", ""), MONTH_ENDS, "$1")
-    read = F.coalesce(*[F.try_to_timestamp(bare, F.lit(style)) for style in TIME_STYLES]).cast("timestamp_ntz")
+    read = F.transform(F.array(bare), lambda b: read_styled(b, TIME_STYLES).cast("timestamp_ntz"))[0]
     # ISO.
     day, clock, seconds, part, off = (F.regexp_extract(t, ISO_TIME, i) for i in range(1, 6))
     iso = F.try_to_timestamp(F.concat(day, F.lit(" "), clock, F.when(seconds == "", ":00").otherwise(seconds)), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")

@@ -18,6 +18,11 @@ ACTIONS = [("paid", "debit", "spend"), ("sent", "debit", "spend"), ("received",
 MERGE_MINUTES, REWARD_DAYS = 5, 2
 
 
+def _once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """The columns, worked out once a row: a filter on them does not work them out again, as it would below a plain select."""
+    return rows.select(F.inline(F.array(F.struct(*columns))))
+
+
 def activity(items: DataFrame) -> DataFrame:
     """(id, ts, cents, direction, kind, payee, paid_from) of items (id, sentence, at, status): "Paid ₹120.00 to Ann using Bank
     1234"; items that were not completed, and sentences without an amount, give none."""
@@ -30,7 +35,7 @@ def activity(items: DataFrame) -> DataFrame:
     cents = F.abs(signed_cents(F.regexp_extract(t, r"((?:₹|Rs\.? ?|INR ?)[0-9][0-9,]*(?:\.[0-9]{1,2})?)", 1)))
     payee = F.regexp_extract(t, r"(?i)\b(?:to|from) (.+?)(?: using .*)?$", 1)
     paid = F.regexp_extract(t, r"(?i)\busing (.+)$", 1)
-    rows = items.filter(status_of("status") == "completed").select("id", read_time("at").alias("ts"), cents.alias("cents"), direction.alias("direction"), kind.alias("kind"), payee.alias("payee"), method_mask(paid).alias("paid_from"))
+    rows = _once(items.filter(status_of("status") == "completed"), F.col("id").alias("id"), read_time("at").alias("ts"), cents.alias("cents"), direction.alias("direction"), kind.alias("kind"), payee.alias("payee"), method_mask(paid).alias("paid_from"))
     return rows.filter("ts is not null and cents is not null and direction is not null")
 
 
@@ -49,7 +54,7 @@ def entries(rows: DataFrame, source: str, default: str | None = None) -> DataFra
     cents = F.abs(signed_cents(F.regexp_replace(F.trim("amount"), r"^\+\s*", "")))
     came = F.trim("amount").startswith("+") | F.lit(source == "rewards")
     party = F.coalesce(F.nullif(F.regexp_extract("description", r"(?i)\b(?:to|from)\s+(.+)$", 1), F.lit("")), F.col("description"))
-    out = rows.filter(status == "completed").select("id", read_time("at").alias("ts"), cents.alias("cents"), F.when(came, "credit").otherwise("debit").alias("direction"), F.when(F.lit(source == "rewards"), "cashback").when(came, "income").otherwise("spend").alias("kind"), F.trim(party).alias("payee"), F.coalesce("memo", F.lit("")).alias("note"), F.lit(source).alias("source"))
+    out = _once(rows.filter(status == "completed"), F.col("id").alias("id"), read_time("at").alias("ts"), cents.alias("cents"), F.when(came, "credit").otherwise("debit").alias("direction"), F.when(F.lit(source == "rewards"), "cashback").when(came, "income").otherwise("spend").alias("kind"), F.trim(party).alias("payee"), F.coalesce("memo", F.lit("")).alias("note"), F.lit(source).alias("source"))
     return out.filter("ts is not null and cents is not null")
 
 
@@ -73,17 +78,19 @@ def merged(main: DataFrame, others: DataFrame) -> DataFrame:
     rows that the list does not have."""
     width = REWARD_DAYS * 86400
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    a = main.select(F.col("id").alias("entry"), "direction", "cents", seconds("ts").alias("_a"), F.col("payee").alias("_pa"))
-    b = others.select(F.col("id").alias("other"), "direction", "cents", seconds("ts").alias("_b"), F.col("payee").alias("_pb"), "source")
+    # Both sides are read twice; what it takes to read them is not.
+    a = cut(main.select(F.col("id").alias("entry"), "direction", "cents", seconds("ts").alias("_a"), F.col("payee").alias("_pa")))
+    b = cut(others.select(F.col("id").alias("other"), "direction", "cents", seconds("ts").alias("_b"), F.col("payee").alias("_pb"), "source"))
 
     def near(rows: DataFrame, within: int) -> DataFrame:
+        # The rows of other folders, of which there are fewer, are spread over the spans that reach them.
         span = lambda c: F.floor(F.col(c) / within)
-        spread = a.withColumn("_span", F.explode(F.array(*[span("_a") + k for k in (-1, 0, 1)])))
-        return rows.withColumn("_span", span("_b")).join(spread, ["direction", "cents", "_span"]).filter(F.abs(F.col("_a") - F.col("_b")) <= within)
+        spread = rows.withColumn("_span", F.explode(F.array(*[span("_b") + k for k in (-1, 0, 1)])))
+        return spread.join(a.withColumn("_span", span("_a")), ["direction", "cents", "_span"]).filter(F.abs(F.col("_a") - F.col("_b")) <= within)
 
     pairs = near(b.filter("source = 'rewards'"), width).unionByName(near(b.filter("source <> 'rewards'"), MERGE_MINUTES * 60).filter(_same_party(F.col("_pa"), F.col("_pb"))))
     taken = in_turn(pairs.select("other", "entry", F.col("_b").alias("at"), F.abs(F.col("_a") - F.col("_b")).alias("apart")), "other", "entry", ["at"], ["apart"])
-    return others.select(F.col("id").alias("other")).join(taken, "other", "left")
+    return b.select("other").join(taken, "other", "left")
 
 
 def merged_list(main: DataFrame, others: DataFrame) -> DataFrame:
@@ -97,6 +104,7 @@ def merged_list(main: DataFrame, others: DataFrame) -> DataFrame:
     text = lambda d, c: F.col(c) if c in d.columns else F.lit(None).cast("string")
     refs = lambda d: F.coalesce(F.col("refs"), F.create_map().cast("map<string,string>")) if "refs" in d.columns else F.create_map().cast("map<string,string>")
     shape = lambda d, source: d.select("id", "ts", "cents", "direction", "kind", "payee", text(d, "paid_from").alias("paid_from"), F.coalesce(F.nullif(text(d, "note"), F.lit("")), F.lit("")).alias("note"), refs(d).alias("refs"), source.alias("source"))
+    main, others = cut(main), cut(others)
     links = cut(merged(main, others))
     a, b = shape(main, F.lit("activity")), shape(others, F.col("source"))
     more = b.join(links.filter("entry IS NOT NULL"), b["id"] == links["other"]).select("entry", *[F.col(c).alias(f"_{c}") for c in ("payee", "note", "refs", "source")])
@@ -113,6 +121,7 @@ def merged_list(main: DataFrame, others: DataFrame) -> DataFrame:
 
 def merge_counts(main: DataFrame, others: DataFrame) -> DataFrame:
     """(source, merged, added): of each other folder, how many rows were entries of the list and how many were added to it."""
+    others = cut(others)
     links = merged(main, others).join(others.select(F.col("id").alias("other"), "source"), "other")
     return links.groupBy("source").agg(F.count("entry").alias("merged"), F.count(F.when(F.col("entry").isNull(), 1)).alias("added"))
 
