@@ -78,15 +78,37 @@ def file_overlaps(old: DataFrame, new: DataFrame, days: int = FILE_DAYS) -> Data
 def mutually_unique(payments: DataFrame, bills: DataFrame, tolerance: int = 100, days: int = POSTING_DAYS) -> DataFrame:
     """(payment, bill): within `tolerance` cents and 0 to `days` days after the bill, if neither has any other candidate.
 
-    Amounts are cut into bands of the tolerance and days into spans of the window; the join is on both (or the neighbours
-    that a pair may lie in), not on ranges.
+    Nothing is paired that cannot be unique. Records of one day and amount are counted as one, as they have the same candidates,
+    and two of them spoil each other. Bands half as wide as the tolerance and days make cells; all of a cell are candidates
+    of one another's cells within a band and the window, so these counts alone rule out whoever has two there. Who is left
+    meets the days and amounts within reach, counted: at most (days + 1) * (2 * tolerance + 1) of them, however many records.
     """
-    band, span = F.floor(F.col("cents") / tolerance), F.floor(F.unix_date("day") / (days + 1))
-    a = payments.select(F.col("id").alias("payment"), F.col("cents").alias("_pc"), F.col("day").alias("_pd"), band.alias("_band"), span.alias("_span"))
-    b = bills.select(F.col("id").alias("bill"), F.col("cents").alias("_bc"), F.col("day").alias("_bd"), F.explode(F.array(*[F.struct((band + i).alias("_band"), (span + j).alias("_span")) for i in (-1, 0, 1) for j in (0, 1)])).alias("_at"))
-    pairs = a.join(b.select("bill", "_bc", "_bd", "_at.*"), ["_band", "_span"]).filter((F.abs(F.col("_pc") - F.col("_bc")) <= tolerance) & F.datediff("_pd", "_bd").between(0, days)).select("payment", "bill")
-    alone = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) == 1
-    return pairs.withColumns({"_p": alone("payment"), "_b": alone("bill")}).filter("_p and _b").select("payment", "bill")
+    if tolerance < 2:
+        raise ValueError("a tolerance of two cents at least makes cells")
+    half = tolerance // 2
+    place = ["_day", "_band"]
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """One row for each day and amount, with the number of records and the smallest id."""
+        each = rows.filter("id IS NOT NULL AND day IS NOT NULL AND cents IS NOT NULL").groupBy("day", "cents").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+        return cut(each.select("id", "n", "cents", F.unix_date("day").alias("_day"), F.floor(F.col("cents") / half).alias("_band")))
+
+    def near(rows: DataFrame, first: int, bands: int) -> DataFrame:
+        """Rows once for each cell within `bands`, and from `first` days on."""
+        cells = F.array(*[F.struct((F.col("_day") + first + i).alias("_day"), (F.col("_band") + j).alias("_band")) for i in range(days + 1) for j in range(-bands, bands + 1)])
+        return rows.withColumn("_at", F.explode(cells)).drop(*place).select("*", "_at.*").drop("_at")
+
+    def only(own: DataFrame, other: DataFrame, first: int) -> DataFrame:
+        """(id, other): those of `own` with one candidate among `other`, whose days lie from `first` on from their own."""
+        sums = other.groupBy(*place).agg(F.sum("n").alias("_c"))
+        full = near(sums, -first - days, 1).groupBy(*place).agg(F.sum("_c").alias("_c")).filter("_c > 1").select(*place)
+        left = own.filter("n = 1").join(full, place, "left_anti").select("id", F.col("cents").alias("_own"), *place)
+        met = near(left, first, 3).join(other.select(F.col("id").alias("other"), "n", "cents", *place), place).filter(F.abs(F.col("cents") - F.col("_own")) <= tolerance)
+        return met.groupBy("id").agg(F.sum("n").alias("_n"), F.min("other").alias("other")).filter("_n = 1").select("id", "other")
+
+    a, b = counted(payments), counted(bills)
+    paid, billed = only(a, b, -days), only(b, a, 0)
+    return paid.select(F.col("id").alias("payment"), F.col("other").alias("bill")).join(billed.select(F.col("id").alias("bill"), F.col("other").alias("payment")), ["payment", "bill"])
 
 
 def refund_candidates(payments: DataFrame, refunds: DataFrame, days: int = REFUND_DAYS) -> DataFrame:

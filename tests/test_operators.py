@@ -307,3 +307,22 @@ def test_forgetting_touches_only_what_it_reaches(spark):
     got = {r["refund"]: r["payment"] for r in matching.reassigned(payments, refunds, before, spark.createDataFrame([(2,)], "id bigint")).collect()}
     assert got == {11: 1, 12: 3}
     assert {r["refund"] for r in matching.reassigned(payments, refunds, before, spark.createDataFrame([(12,)], "id bigint")).collect()} == {11}
+
+
+@pytest.mark.parametrize("tolerance, spread", [(100, 300), (100, 12_000), (7, 60), (3, 40), (2, 30)])
+def test_mutually_unique_against_all_pairs(spark, tolerance, spread):
+    """Dense and sparse amounts, equal ones, amounts at the edges of cells, and days at both ends of the window."""
+    rng = random.Random(tolerance * spread)
+    sides = [[(i + 1000 * k, DAY + dt.timedelta(rng.randrange(12)), rng.choice([rng.randrange(spread), rng.randrange(spread // 10 + 1) * (tolerance // 2)])) for i in range(60)] for k in (0, 1)]
+    payments, bills = (spark.createDataFrame(s, "id bigint, day date, cents bigint") for s in sides)
+    pairs = [(p[0], b[0]) for p in sides[0] for b in sides[1] if abs(p[2] - b[2]) <= tolerance and 0 <= (p[1] - b[1]).days <= 5]
+    want = [x for x in pairs if sum(y[0] == x[0] for y in pairs) == 1 and sum(y[1] == x[1] for y in pairs) == 1]
+    assert sorted(map(tuple, matching.mutually_unique(payments, bills, tolerance).collect())) == sorted(want)
+
+
+def test_mutually_unique_pairs_no_crowds(spark):
+    """Thirty thousand payments and bills of one day and amount are two rows, not 900 million pairs; a pair apart is still found."""
+    crowd = spark.range(30_000).select("id", F.lit(DAY).alias("day"), F.lit(5000).cast("bigint").alias("cents"))
+    two = lambda i: spark.createDataFrame([(i, DAY, 9000)], "id bigint, day date, cents bigint")
+    out = matching.mutually_unique(crowd.unionByName(two(40_000)), crowd.unionByName(two(40_001)))
+    assert [tuple(r) for r in out.collect()] == [(40_000, 40_001)]
