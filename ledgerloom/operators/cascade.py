@@ -9,6 +9,8 @@ meet are folded anew as one, until none do. The result is that of one fold over
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -256,27 +258,47 @@ def fold(rows: list[dict]) -> tuple[list[tuple], list[tuple[int, dict]]]:
     return links, steps
 
 
+#: Groups that are Python rows at a time.
+AT_ONCE = 256
+
+
+def _by_group(rows: DataFrame, key: str, run: Callable[[object, list[dict]], list[dict]], schema: StructType) -> DataFrame:
+    """What `run` makes of the rows of each key. Groups are a few rows each and very many, so a batch of them goes to Python at once."""
+    arrow = to_arrow_schema(schema)
+    own = [c for c in rows.columns if c != key]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                out = []
+                for k, group in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    out += run(k, [r | {key: k} for r in group])
+                yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return rows.groupBy(key).agg(F.collect_list(F.struct(*own)).alias("_rows")).mapInArrow(each, schema)
+
+
 def _folded(every: DataFrame, group: DataFrame) -> DataFrame:
     """Rows (part 0: id, root, tier) and states (part 1: the record as it is from _seq on) of all components."""
     schema = StructType([*every.drop("_keys", "file").schema.fields, *StructType.fromDDL("_part int, _c " + group.schema["root"].dataType.simpleString() + ", root " + every.schema["id"].dataType.simpleString() + ", tier int").fields])
     for f in schema.fields:
         f.nullable = True
-    arrow = to_arrow_schema(schema)
+    names = set(schema.names)
 
-    def run(key, table):
-        rows = table.to_pylist()
+    def run(key, rows):
         for r in rows:
             r["refs"] = dict(r["refs"])
         # Old ones in order of time, then new ones as they arrived.
         rows.sort(key=lambda r: (r["_seq"] >= 0, r["_seq"], r["ts"], r["id"]) if r["ts"] is not None else (r["_seq"] >= 0, r["_seq"]))
         links, steps = fold(rows)
         at = {r["id"]: r["_seq"] for r in rows}
-        out = [{"id": i, "root": root, "tier": tier, "_part": 0, "_c": key[0].as_py(), "_seq": at[i]} for i, root, tier in links]
-        out += [{**{k: v for k, v in state.items() if k in arrow.names}, "_seq": seq, "_part": 1, "_c": key[0].as_py(), "refs": list(state["refs"].items())} for seq, state in steps]
-        return pa.Table.from_pylist(out, arrow)
+        out = [{"id": i, "root": root, "tier": tier, "_part": 0, "_c": key, "_seq": at[i]} for i, root, tier in links]
+        out += [{**{k: v for k, v in state.items() if k in names}, "_seq": seq, "_part": 1, "_c": key, "refs": list(state["refs"].items())} for seq, state in steps]
+        return out
 
     grouped = every.drop("file").join(group.select(F.col("v").alias("id"), F.col("root").alias("_c")), "id")
-    return grouped.groupBy("_c").applyInArrow(run, schema)
+    return _by_group(grouped, "_c", run, schema)
 
 
 def imported(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -325,14 +347,13 @@ def folded(rows: DataFrame) -> DataFrame:
     schema = StructType([*more.select(*names).schema.fields, *StructType.fromDDL("records bigint").fields])
     for f in schema.fields:
         f.nullable = True
-    arrow = to_arrow_schema(schema)
 
-    def run(key, table):
-        todo = [r | {"refs": {k: v for k, v in r["refs"] or () if v is not None}, "sources": r["sources"] or [], **dict.fromkeys(("_at", "_day", "_key", "_words", "_noted"))} for r in table.to_pylist()]
+    def run(key, rows):
+        todo = [r | {"refs": {k: v for k, v in r["refs"] or () if v is not None}, "sources": r["sources"] or [], **dict.fromkeys(("_at", "_day", "_key", "_words", "_noted"))} for r in rows]
         todo.sort(key=lambda r: (r["id"] != r["root"], r["id"]))
         state = todo[0]
         for row in todo[1:]:
             state = absorbed(state, row)
-        return pa.Table.from_pylist([{c: state[c] for c in names} | {"id": key[0].as_py(), "refs": list(state["refs"].items()), "records": len(todo)}], arrow)
+        return [{c: state[c] for c in names} | {"id": key, "refs": list(state["refs"].items()), "records": len(todo)}]
 
-    return more.groupBy("root").applyInArrow(run, schema)
+    return _by_group(more.select("root", *dict.fromkeys([*names, *MORE])), "root", run, schema)

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import cascade
 
@@ -194,3 +195,15 @@ def test_the_first_to_come_takes_the_record(spark, order):
     new = [row(i, 5, "Acme", {"txnId": f"t{i}"}, order.index(i)) for i in order]
     got, _ = run(spark, [row(1)], new)
     assert got[order[0]] == (1, 2) and got[order[1]] == (order[1], None)
+
+
+def test_many_small_groups_go_to_python_together(spark):
+    """Groups beside each other, a null key's among them, and more than go at once: each is given whole, and none is its own call."""
+    from pyspark.sql.types import StructType
+
+    rows = spark.range(3000).select(F.when(F.col("id") >= 5, F.col("id") % 700).alias("k"), "id")
+    run = lambda k, rows: [{"k": k, "n": len(rows), "ids": sum(r["id"] for r in rows)}]
+    out = cascade._by_group(rows, "k", run, StructType.fromDDL("k bigint, n bigint, ids bigint"))
+    want = rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
