@@ -50,12 +50,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences.
+    """The pieces of all documents with their places in sequences, which are numbered in the order of the mix: that in which the
+    files of `docs` hold the rows.
 
     Null and empty texts have a piece of one id; repeated rows are packed each, a null id stays null; other columns are
     left out; an empty table gives an empty result.
     """
-    return packing.pack_documents(docs)
+    return packing.pack_in_order(docs)
 
 
 STAGES = [

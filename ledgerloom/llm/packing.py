@@ -15,6 +15,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,9 +121,20 @@ def ids_of(path: str | None = None) -> Ids:
 _PIECE = "start: bigint, length: bigint, ids_crc32: bigint, doc_tokens: bigint"
 
 
-def cut(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
+def numbered_as_read(docs: DataFrame) -> DataFrame:
+    """Adds _at: a row's number, from 0, in the order in which its Parquet files hold the rows; null for rows of no file."""
+    try:
+        rows = docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return docs.withColumn("_at", F.lit(None).cast("bigint"))
+    files = rows.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
+    before = files.select("_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a file
+    return rows.join(F.broadcast(before), "_file").withColumn("_at", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
+def cut(docs: DataFrame, window: int = WINDOW, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The pieces of all documents: full windows from the front, then the rest. Every document has a last id of its own,
-    so null and empty texts have one piece of length 1."""
+    so null and empty texts have one piece of length 1. The columns of `keep` come with them."""
     end = np.array([END_ID], "<u4").tobytes()
 
     def compute(texts: list[str]) -> dict:
@@ -133,8 +145,8 @@ def cut(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataF
             out.append([{"start": k * window, "length": len(part) // 4, "ids_crc32": zlib.crc32(part), "doc_tokens": len(data) // 4} for k, part in enumerate(parts)])
         return {"_pieces": out}
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return map_texts(narrow, ("doc_id",), "text", f"_pieces array<struct<{_PIECE}>>", compute).select("doc_id", F.inline("_pieces"))
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep)
+    return map_texts(narrow, ("doc_id", *keep), "text", f"_pieces array<struct<{_PIECE}>>", compute).select("doc_id", *keep, F.inline("_pieces"))
 
 
 class Capacities:
@@ -237,14 +249,20 @@ def best_fit_decreasing(histogram: dict[int, int], window: int = WINDOW) -> list
     return out
 
 
-def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
+def pack(pieces: DataFrame, window: int = WINDOW, order: str | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, start, length, ...). Every piece lies in one sequence, and the
     offsets of a sequence are gapless from 0.
 
     Pieces of full length have sequences of their own, numbered after those of the packed ones. `pieces` is read
     several times; give it written. Rows that are equal in all columns are interchangeable. An empty table stays empty.
+
+    With `order`, a column of numbers from 0, pieces of a length take their places in that order, and sequences, full ones too,
+    are numbered by the first of their pieces: as many sequences with as little padding, in the order of the documents.
     """
     spark = pieces.sparkSession
+    total = pieces.agg(F.max(order)).first()[0] if order else None
+    if total is None:
+        order = None
     # At most `window` rows.
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     runs = best_fit_decreasing({length: n for length, n in histogram.items() if length < window}, window)
@@ -252,10 +270,11 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     # Ranks within a length: a count per (length, salt), its running sum over the salts, and a number within each. A length has
     # a salt for each RANKED of its pieces, so there are `window` salts and one more for each RANKED pieces at most.
     salts = spark.createDataFrame([(length, -(-n // RANKED)) for length, n in histogram.items()], "length bigint, _salts bigint")
-    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("_salts")).cast("int")).drop("_salts")
+    salt = F.floor(F.col(order) * F.col("_salts") / (total + 1)) if order else F.pmod(F.xxhash64("doc_id", "start"), F.col("_salts"))
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", salt.cast("int")).drop("_salts")
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    number = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")) - 1
+    number = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*[order] * bool(order), "doc_id", "start", "ids_crc32")) - 1
     ranked = salted.withColumn("_number", number).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_number")).drop("_salt", "_number", "_before")
     by_length: dict[int, list] = defaultdict(list)
     for length, a, b, first, offset in runs:
@@ -267,10 +286,24 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     placed = ranked.join(F.broadcast(table), "length")
     # The last run whose start is not above the rank; a length has few runs, whatever the number of pieces.
     at = F.size(F.filter("_from", lambda a: a <= F.col("_rank"))) - 1
-    placed = placed.withColumn("_at", at)
-    return placed.select(
-        *pieces.columns, (F.get("_first", F.col("_at")) + F.col("_rank") - F.get("_from", F.col("_at"))).alias("sequence_id"), F.get("_offset", F.col("_at")).alias("offset"),
+    placed = placed.withColumn("_run", at)
+    placed = placed.select(
+        *pieces.columns, (F.get("_first", F.col("_run")) + F.col("_rank") - F.get("_from", F.col("_run"))).alias("sequence_id"), F.get("_offset", F.col("_run")).alias("offset"),
     )
+    return in_order(placed, order, total, -(-(windows + histogram.get(window, 0)) // RANKED)) if order else placed
+
+
+def in_order(placed: DataFrame, order: str, total: int, ranges: int) -> DataFrame:
+    """The sequences numbered anew, from 0, by the smallest `order` (up to `total`) of their pieces: ranked in so many ranges of it,
+    each shifted by those before."""
+    placed = written(placed, "placed")
+    first = placed.groupBy("sequence_id").agg(F.min(order).alias("_first")).withColumn("_range", F.floor(F.col("_first") * ranges / (total + 1)).cast("int"))
+    first = written(first, "firsts")
+    counts = first.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # `ranges` rows
+    number = F.row_number().over(Window.partitionBy("_range").orderBy("_first", "sequence_id")) - 1
+    named = first.withColumn("_number", number).join(F.broadcast(before), "_range").select("sequence_id", (F.col("_before") + F.col("_number")).alias("_new"))
+    return placed.join(named, "sequence_id").select(*[F.col("_new").alias(c) if c == "sequence_id" else F.col(c) for c in placed.columns])
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
@@ -282,6 +315,11 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, path: str | None = Non
     return pack(written(cut(docs, window, path), "pieces"), window)
 
 
+def pack_in_order(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
+    """As pack_documents(), for documents read from files in whose order they are meant to be seen: sequences are numbered so."""
+    return pack(written(cut(numbered_as_read(docs), window, path, ("_at",)), "pieces"), window, "_at").drop("_at")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of all documents with their places."""
     return pack_documents(read_table(spark, sf_dir, "documents"))
