@@ -8,8 +8,8 @@ import pytest
 from ledgerloom.functions import dates, labels
 from ledgerloom.queries import ORACLE_SQL, QUERIES
 
-#: Two sends minutes after two entries of one amount and time, and two rewards of which one has no entry left.
-ORDERS = [(33, 7, "1997-03-01"), (57, 7, "1997-03-01"), (12, 9, "1997-05-01"), (24, 9, "1997-05-01"), (36, 9, "1997-05-02"), (3, 5, "1997-06-01")]
+#: Two sends minutes after two entries of one amount and time, and three rewards for two entries.
+ORDERS = [(33, 7, "1997-03-01"), (57, 7, "1997-03-01"), (12, 9, "1997-05-01"), (24, 9, "1997-05-01"), (36, 9, "1997-05-01"), (3, 5, "1997-06-01")]
 
 
 @pytest.mark.parametrize("name", ["export_list_merged", "export_merge_counts"])
