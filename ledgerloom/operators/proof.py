@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import cut
+
 #: How the sign of a row can be meant, where no mark or column says it (fixed values): not at all; a minus is a credit; a plus is.
 CONVENTIONS = ["marked", "minus", "plus"]
 #: For rows with details: a wording of money back is a credit.
@@ -103,8 +105,8 @@ def running_balances(rows: DataFrame, statements: DataFrame) -> DataFrame:
 def decide(rows: DataFrame, statements: DataFrame) -> DataFrame:
     """As prove(), with a third proof for statements that no figure proves or that print none: a running balance. Adds `proof`:
     figures or running balance. Of several readings whose balances run the header's is taken, then the first by name."""
-    told = prove(rows, statements)
-    # `rows` are read twice; statements that figures decide are left out before any ordering.
+    # Written once, as it is read for what is open and for the answer; statements that figures decide are left out before any ordering.
+    told = cut(prove(rows, statements))
     open_ = told.filter(F.col("status").isin("unproven", "nothing to check by")).select("statement")
     left = rows.join(open_, "statement", "left_semi")
     run = running_balances(left, statements).join(left.select("statement", "reading", "line", "cents"), ["statement", "reading", "line"])

@@ -26,11 +26,15 @@ _SECTION = "(?i)^(?:" + "|".join([TERMS, BACK, "debits?$", "credits?$", *FIGURES
 
 
 def _placed(text: Column, pattern: str) -> Column:
-    """Structs of x0, x1 (behind the last character) and text of all finds of a pattern."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    until = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, s: a + F.length(s))
-    start = lambda i: until(between, i + 1) + until(found, i)
-    return F.transform(found, lambda t, i: F.struct(start(i).alias("x0"), (start(i) + F.length(t)).alias("x1"), t.alias("text")))
+    """Structs of x0, x1 (behind the last character) and text of all finds of a pattern that looks at nothing before a find: each stands
+    where its text is first met behind the find before it, so the pattern is tried once."""
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+
+    def add(out: Column, t: Column) -> Column:
+        x0 = F.call_function("locate", t, text, F.coalesce(F.try_element_at(out, F.lit(-1))["x1"], F.lit(0)) + 1) - 1
+        return F.array_append(out, F.struct(x0.alias("x0"), (x0 + F.length(t)).alias("x1"), t.alias("text")))
+
+    return F.aggregate(found, F.array().cast("array<struct<x0:int,x1:int,text:string>>"), lambda out, t: add(out, t).cast("array<struct<x0:int,x1:int,text:string>>"))
 
 
 def rows_wrapped(lines: DataFrame) -> DataFrame:
@@ -86,10 +90,17 @@ def rows_wrapped(lines: DataFrame) -> DataFrame:
     return out.filter(F.size("amounts") > 0)
 
 
-def cells(lines: DataFrame) -> DataFrame:
-    """(file, line, x0, x1, text): parts of lines between which two spaces or more stand; lines are numbered anew from 1, without gaps."""
+def celled(lines: DataFrame) -> DataFrame:
+    """(file, line, cells, digits): the cells of each line that has any, from the left, as structs of x0, x1 and text, and whether there is
+    a digit among them. A cell is a part of a line between two spaces or more; lines are numbered anew from 1, without gaps."""
     number = F.row_number().over(Window.partitionBy("file").orderBy("line"))
-    return lines.select("file", number.alias("line"), "text").select("file", "line", F.inline(_placed(F.col("text"), r"[^ ]+(?: [^ ]+)*")))
+    each = lines.select("file", number.alias("line"), "text").filter(F.trim("text") != "")
+    return each.select("file", "line", _placed(F.col("text"), r"[^ ]+(?: [^ ]+)*").alias("cells"), F.col("text").rlike("[0-9]").alias("digits"))
+
+
+def cells(lines: DataFrame) -> DataFrame:
+    """(file, line, x0, x1, text): the cells of celled(), a row each."""
+    return celled(lines).select("file", "line", F.inline("cells"))
 
 
 def _under(upper: DataFrame, parts: DataFrame, depth: Column | int = 1, reach: int = 2) -> DataFrame:
@@ -106,10 +117,14 @@ def figures_wrapped(lines: DataFrame) -> DataFrame:
     A row of labels has several cells of at most four words; what stands under one of them, of up to three words without
     digits, is more of it. A label that is whole on one line is no matter of this, nor is prose.
     """
-    parts = cut(cells(lines))
-    many = Window.partitionBy("file", "line")
-    short = F.size(F.split("text", " ")) <= LABEL_WORDS
-    box = parts.withColumns({"_n": F.count(F.lit(1)).over(many), "_short": F.min(short.cast("int")).over(many)}).filter("_n >= 2 and _short = 1")
+    return labels_wrapped(lines, cut(celled(lines)))
+
+
+def labels_wrapped(lines: DataFrame, each: DataFrame) -> DataFrame:
+    """figures_wrapped() of lines whose celled() are at hand."""
+    parts = each.select("file", "line", F.inline("cells"))
+    short = F.forall("cells", lambda c: F.size(F.split(c["text"], " ")) <= LABEL_WORDS)
+    box = each.filter((F.size("cells") >= 2) & short).select("file", "line", F.inline("cells"))
     label = box.select("file", "x0", "x1", "text", F.col("line").alias("_end"), F.lit(0).alias("_deep"))
     grown = None
     for _ in range(2):
@@ -134,7 +149,11 @@ def headed(lines: DataFrame) -> DataFrame:
     line that stand under it complete it. Amounts are right under their header's, or end nearest to its end. Lines are
     numbered anew from 1.
     """
-    parts = cut(cells(lines))
+    return rows_below(cut(celled(lines)))
+
+
+def rows_below(each: DataFrame) -> DataFrame:
+    """headed() of lines whose celled() are at hand."""
 
     def what(text: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -142,8 +161,7 @@ def headed(lines: DataFrame) -> DataFrame:
             out = F.when(F.lower(text).rlike(rf"\b(?:{words})"), F.lit(name)).otherwise(out)
         return out
 
-    digits = F.col("text").rlike("[0-9]")
-    plain = parts.withColumn("_d", F.max(digits.cast("int")).over(Window.partitionBy("file", "line"))).filter("_d = 0").drop("_d")
+    plain = each.filter("not digits").select("file", "line", F.inline("cells"))
     one = plain.select("file", F.col("line").alias("_from"), F.col("line").alias("_end"), "x0", "x1", "text")
     low = plain.select("file", F.col("line").alias("_line"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("text").alias("_text"))
     both = one.join(low.select("file", "_line").distinct(), (one["file"] == low["file"]) & (one["_end"] + 1 == low["_line"]), "left_semi")
@@ -154,19 +172,18 @@ def headed(lines: DataFrame) -> DataFrame:
     whole = head.groupBy("file", "_from", "_end").agg(F.max((F.col("name") == "date").cast("int")).alias("_date"), F.count_distinct("name").alias("_n"), F.array_sort(F.collect_list(F.struct("x0", "x1", "name"))).alias("_cols"))
     # One line goes before two; a header's second line is no header of its own.
     whole = cut(whole.filter("_date = 1 and _n >= 3").withColumn("_k", F.row_number().over(Window.partitionBy("file", "_from").orderBy("_end"))).filter("_k = 1"))
-    lines_ = parts.groupBy("file", "line").agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))).alias("_cells"))
+    lines_ = each.select("file", "line", F.col("cells").alias("_cells"))
     marks = lines_.join(whole.select("file", F.col("_end").alias("line"), F.col("_from"), "_cols"), ["file", "line"], "left")
     above = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     rows = marks.withColumns({"header": F.last("_from", ignorenulls=True).over(above), "_above": F.last("_cols", ignorenulls=True).over(above)}).filter("_above is not null and _cols is null")
 
-    def cell(name: str) -> Column:
-        """The cell in the header's place for that name where the line has a cell for each of the header's, else the first that shares
-        most with the header's cell of that name."""
-        near = lambda c, h: F.greatest(c["x0"], h["x0"]) - F.least(c["x1"], h["x1"])
-        best = lambda c: F.array_min(F.transform("_above", lambda h: F.struct(near(c, h).alias("d"), F.abs(c["x1"] - h["x1"]).alias("e"), h["name"].alias("name"))))["name"]
-        at = F.array_position(F.transform("_above", lambda h: h["name"]), name) - 1
-        whole = (F.size("_cells") == F.size("_above")) & (at >= 0)
-        return F.when(whole, F.get("_cells", at.cast("int"))["text"]).when(F.size("_cells") != F.size("_above"), F.get(F.filter("_cells", lambda c: best(c) == name), F.lit(0))["text"])
-
-    out = rows.select("file", "line", "header", read_date(cell("date")).alias("day"), cell("details").alias("details"), *[signed_cents(cell(c)).alias(c) for c in ("debit", "credit", "amount", "balance")])
+    # A line with a cell for each of the header's has them in its order; of any other a cell is under the header's cell that it shares most with.
+    near = lambda c, h: F.greatest(c["x0"], h["x0"]) - F.least(c["x1"], h["x1"])
+    best = lambda c: F.array_min(F.transform("_above", lambda h: F.struct(near(c, h).alias("d"), F.abs(c["x1"] - h["x1"]).alias("e"), h["name"].alias("name"))))["name"]
+    names = F.when(F.size("_cells") == F.size("_above"), F.transform("_above", lambda h: h["name"])).otherwise(F.transform("_cells", best))
+    rows = rows.select("file", "line", "header", "_cells", F.inline(F.array(F.struct(names.alias("_names")))))
+    cell = lambda name: F.get("_cells", (F.array_position("_names", name) - 1).cast("int"))["text"]
+    # Read as one array of a struct, so that the filter looks at what was read and does not read it again.
+    read = F.struct(read_date(cell("date")).alias("day"), cell("details").alias("details"), *[signed_cents(cell(c)).alias(c) for c in ("debit", "credit", "amount", "balance")])
+    out = rows.select("file", "line", "header", F.inline(F.array(read)))
     return out.filter("day is not null and coalesce(debit, credit, amount) is not null")
