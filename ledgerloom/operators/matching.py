@@ -8,7 +8,6 @@ goes. Rounds are joins, so a component of candidates of any size needs no task o
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterable
 
@@ -111,72 +110,125 @@ def mutually_unique(payments: DataFrame, bills: DataFrame, tolerance: int = 100,
     return paid.select(F.col("id").alias("payment"), F.col("other").alias("bill")).join(billed.select(F.col("id").alias("bill"), F.col("other").alias("payment")), ["payment", "bill"])
 
 
-def refund_candidates(payments: DataFrame, refunds: DataFrame, days: int = REFUND_DAYS) -> DataFrame:
-    """(refund, payment, tier, ...): payments that a refund may belong to, by reference (1), shop (2), or card and exact
-    amount (3), not later than the refund and at most `days` before it. A purchase turned into instalments (`emi`, a column
-    that both may have) is credited back whole and without its shop's name: such a credit may only belong to a purchase of
-    exactly its amount on its card that is no instalment itself (4)."""
-    has = lambda d: (F.coalesce("emi", F.lit(False)) if "emi" in d.columns else F.lit(False)).alias("emi")
+def _refund_sides(payments: DataFrame, refunds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides under names of their own: payments, refunds."""
+    has = lambda d: F.coalesce("emi", F.lit(False)) if "emi" in d.columns else F.lit(False)
     p = payments.select(has(payments).alias("_emi"), F.col("id").alias("payment"), F.col("ts").alias("paid_at"), F.col("cents").alias("budget"), F.col("shop").alias("_shop"), F.col("card").alias("_card"), F.col("ref").alias("_ref"))
-    r = refunds.select(F.col("id").alias("refund"), F.col("ts").alias("back_at"), F.col("cents"), "shop", "card", "ref", has(refunds))
-    r, whole = r.filter("NOT emi"), r.filter("emi")
+    return p, refunds.select(F.col("id").alias("refund"), F.col("ts").alias("back_at"), F.col("cents"), "shop", "card", "ref", has(refunds).alias("emi"))
+
+
+def _refund_span(c: str, days: int) -> Column:
+    """Time is cut into spans of the window: a refund lies in its payment's span or in the next."""
+    return F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (days * 86400))
+
+
+def _named_candidates(p: DataFrame, r: DataFrame, days: int) -> DataFrame:
+    """(refund, payment, tier, ...) by reference (1) and by shop (2)."""
+    r = r.filter("NOT emi")
     in_time = (F.col("paid_at") <= F.col("back_at")) & (F.col("paid_at") >= F.col("back_at") - F.expr(f"interval {days} days")) & (F.col("budget") >= F.col("cents"))
-    # Time is cut into spans of the window: a refund lies in its payment's span or in the next.
-    span = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (days * 86400))
-    later = p.withColumn("_span", F.explode(F.array(span("paid_at"), span("paid_at") + 1)))
-    keep = ["refund", "payment", "back_at", "paid_at", "cents", "budget", F.col("_shop").alias("owner_shop")]
-    tiers = [
-        r.join(p, F.col("ref") == F.col("_ref")).filter("budget >= cents").select(*keep, F.lit(1).alias("tier")),
-        r.withColumns({"_span": span("back_at"), "_shop": F.col("shop")}).join(later, ["_shop", "_span"]).filter(in_time).select(*keep, F.lit(2).alias("tier")),
-        r.join(p, (F.col("card") == F.col("_card")) & (F.col("cents") == F.col("budget"))).filter(in_time).select(*keep, F.lit(3).alias("tier")),
-        whole.join(p.filter("NOT _emi"), (F.col("card") == F.col("_card")) & (F.col("cents") == F.col("budget"))).filter(in_time).select(*keep, F.lit(4).alias("tier")),
-    ]
-    return functools.reduce(DataFrame.unionByName, tiers)
+    later = p.withColumn("_span", F.explode(F.array(_refund_span("paid_at", days), _refund_span("paid_at", days) + 1)))
+    keep = ["refund", "payment", "back_at", "paid_at", "cents", "budget"]
+    by_ref = r.join(p, F.col("ref") == F.col("_ref")).filter("budget >= cents").select(*keep, F.lit(1).alias("tier"))
+    by_shop = r.withColumns({"_span": _refund_span("back_at", days), "_shop": F.col("shop")}).join(later, ["_shop", "_span"]).filter(in_time).select(*keep, F.lit(2).alias("tier"))
+    return by_ref.unionByName(by_shop)
 
 
 def assign_refunds(payments: DataFrame, refunds: DataFrame, days: int = REFUND_DAYS) -> DataFrame:
-    """(refund, payment, tier): refunds in order of time each take a payment that can still cover them: the one of their
-    reference, else of their shop (the exact amount first, then the latest), else of their card and exact amount; credits of
-    purchases turned into instalments the latest purchase of exactly their amount on their card.
-
-    A payment is used up as refunds take from it, whichever way they found it, so all ways are decided together.
+    """(refund, payment, tier): refunds in order of time each take a payment that can still cover them, not later than the refund and at
+    most `days` before it: the one of their reference (1; at any time), else of their shop (2; the exact amount first, then the
+    latest), else of their card and exact amount (3, the latest). A purchase turned into instalments (`emi`, a column that both
+    may have) is credited back whole and without its shop's name: such a credit may only take the latest purchase of exactly
+    its amount on its card that is no instalment itself (4).
+
+    A payment is used up as refunds take from it, whichever way they found it, so all ways are decided together. References and
+    shops are pairs; payments and refunds of one amount on one card are never paired: they stand in one order of time, in which
+    a refund sees the last payment before it that nothing was taken from.
     """
+    p, r = _refund_sides(payments, refunds)
     same = ["refund", "payment", "back_at", "paid_at", "cents", F.col("budget").alias("left"), (F.col("cents") != F.col("budget")).alias("inexact")]
-    pairs = refund_candidates(payments, refunds, days).groupBy(*same).agg(F.min("tier").alias("tier"))
+    pairs = _named_candidates(p, r, days).groupBy(*same).agg(F.min("tier").alias("tier"))
+    # One order for each card and amount: payments before refunds of the same time, of equal payments the smaller number last.
+    whole = p.select(F.col("_card").alias("card"), F.col("budget").alias("cents"), F.col("paid_at").alias("at"), F.lit(0).alias("kind"), F.col("payment").alias("id"), F.col("_emi").alias("emi"))
+    back = r.select("card", "cents", F.col("back_at").alias("at"), F.lit(1).alias("kind"), F.col("refund").alias("id"), "emi")
+    group = ["card", "cents"]
+    told = lambda d, other: d.filter("card is not null and cents is not null and at is not null").join(other.select(*group).distinct(), group, "left_semi")
+    order = told(whole, back).unionByName(told(back, whole))
     own = Window.partitionBy("refund").orderBy("tier", "inexact", F.desc("paid_at"), "payment")
     # A refund's first payment that can cover it is its own for sure if it can cover all earlier ones besides.
     earlier = Window.partitionBy("payment").orderBy(F.asc_nulls_last("back_at"), "refund").rowsBetween(Window.unboundedPreceding, 0)
+    paid, credit = F.col("kind") == 0, F.col("kind") == 1
+    paid_id, credit_id = F.when(paid, F.col("id")), F.when(credit, F.col("id"))
+    line = Window.partitionBy(*group).orderBy("at", "kind", paid_id.desc(), credit_id.asc())
+    above = line.rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*group).orderBy(F.desc("at"), F.desc("kind"), paid_id.asc(), credit_id.desc()).rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c, value, over: F.last(F.when(c, value), ignorenulls=True).over(over)
+    when = lambda at, id_: F.struct(F.col(at).isNull().alias("_0"), F.col(at).alias("_1"), F.col(id_).alias("_2"))
+    it, spot = F.struct(F.col("id").alias("payment"), F.col("at").alias("paid_at"), F.col("emi").alias("emi"), F.col("_k").alias("k")), when("at", "id")
     out = None
     while True:
         pairs = cut(pairs.withColumns({"_n": F.row_number().over(own), "_taken": F.sum("cents").over(earlier)}))
-        accepted = pairs.filter("_n = 1 and _taken <= left")
+        seen = order.withColumn("_k", F.row_number().over(line))
+        seen = seen.withColumns({"_any": last(paid, it, above), "_plain": last(paid & ~F.col("emi"), it, above), "_r": last(credit, F.col("_k"), above), "_rp": last(credit & ~F.col("emi"), F.col("_k"), above)})
+        seen = cut(seen.withColumns({"_next": last(credit, spot, below), "_nextp": last(credit & ~F.col("emi"), spot, below)}))
+        # By reference or shop: also, no earlier refund may want the payment for its amount.
+        wanted = seen.filter(paid).select(F.col("id").alias("payment"), "at", F.when(F.col("emi"), F.col("_nextp")).otherwise(F.col("_next")).alias("_want"))
+        wanted = wanted.filter(F.col("_want._1") - F.expr(f"interval {days} days") <= F.col("at")).drop("at")
+        named = pairs.filter("_n = 1 and _taken <= left").join(wanted, "payment", "left").filter((F.col("cents") <= 0) | F.col("_want").isNull() | (F.col("_want") >= when("back_at", "refund")))
+        # By amount: refunds without another choice, of which the first behind a payment has it for sure, unless an earlier one wants it by name.
+        pick = F.when(F.col("emi"), F.col("_plain")).otherwise(F.col("_any"))
+        free = seen.filter(credit).select("card", "cents", "at", "emi", "id", "_r", "_rp", pick.alias("_p")).join(pairs.select(F.col("refund").alias("id")).distinct(), "id", "left_anti")
+        free = free.filter(F.col("_p").isNotNull() & (F.col("_p.paid_at") >= F.col("at") - F.expr(f"interval {days} days")))
+        held = pairs.groupBy("payment").agg(F.min(when("back_at", "refund")).alias("_held"))
+        between = F.when(F.col("_p.emi"), F.col("_rp")).otherwise(F.col("_r"))
+        open_ = free.withColumn("payment", F.col("_p.payment")).join(held, "payment", "left")
+        first = (F.coalesce(between, F.lit(0)) < F.col("_p.k")) & (F.col("_held").isNull() | (F.col("_held") >= spot))
+        exact = open_.filter((F.col("cents") <= 0) | first).select(F.col("id").alias("refund"), "payment", F.when(F.col("emi"), 4).otherwise(3).alias("tier"), "cents")
+        accepted = cut(named.select("refund", "payment", "tier", "cents").unionByName(exact))
         taken = accepted.select("refund", "payment", "tier")
         out = taken if out is None else out.unionByName(taken)
-        if pairs.isEmpty():
+        if accepted.isEmpty():
             return out
         debits = accepted.groupBy("payment").agg(F.sum("cents").alias("_debit"))
         pairs = pairs.drop("_n", "_taken").join(accepted.select("refund"), "refund", "left_anti").join(debits, "payment", "left")
         pairs = pairs.withColumn("left", F.col("left") - F.coalesce("_debit", F.lit(0))).drop("_debit").filter("left >= cents")
+        # What is decided leaves the order, and so do payments behind which no refund is left, and refunds before which no payment is.
+        gone = accepted.select(F.lit(1).alias("kind"), F.col("refund").alias("id")).unionByName(debits.filter("_debit > 0").select(F.lit(0).alias("kind"), F.col("payment").alias("id")))
+        span = F.expr(f"interval {days} days")
+        met = F.when(paid, F.col("_next._1") - span <= F.col("at")).otherwise(F.col("_any.paid_at") >= F.col("at") - span)
+        order = seen.filter(met).select(*order.columns).join(gone, ["kind", "id"], "left_anti").select(*order.columns)
 
 
 def reassigned(payments: DataFrame, refunds: DataFrame, assigned: DataFrame, gone: DataFrame, days: int = REFUND_DAYS) -> DataFrame:
     """(refund, payment, tier) after records (id) have gone, as a file's do that is forgotten: what assign_refunds() gives for the rest.
 
-    Only what could have met a record that is gone is decided anew: the refunds and payments that chains of candidates reach
-    from it. All other links are taken from `assigned` as they are. `payments` and `refunds` still hold what is gone; ids are
+    Only what chains of references, of shops, or of amounts on a card (both within a span of time) reach from a record that is
+    gone is decided anew: all that could have met it is among these. Records are held against such keys, never against each
+    other. All other links are taken from `assigned` as they are. `payments` and `refunds` still hold what is gone; ids are
     distinct over both.
     """
-    pairs = cut(refund_candidates(payments, refunds, days).select("refund", "payment").distinct())
-    # From what is gone outwards, a step at a time: refunds by their payments and payments by their refunds.
-    reached = cut(gone.select("id").distinct())
-    edge = reached
+    p, r = _refund_sides(payments, refunds)
+    text, none = lambda c: F.col(c).cast("string"), F.lit(None).cast("bigint")
+    key = lambda kind, name, cents, span: F.struct(F.lit(kind).alias("kind"), name.alias("name"), cents.cast("bigint").alias("cents"), span.cast("bigint").alias("span"))
+    at = _refund_span("paid_at", days)
+    paid = p.select(F.col("payment").alias("id"), F.lit(False).alias("_back"), F.inline(F.array(key("ref", text("_ref"), none, F.lit(0)), *[k for i in (0, 1) for k in (key("shop", text("_shop"), none, at + i), key("card", text("_card"), F.col("budget"), at + i))])))
+    named, back = F.when(~F.col("emi"), F.lit(True)), _refund_span("back_at", days)
+    credit = r.select(F.col("refund").alias("id"), F.lit(True).alias("_back"), F.inline(F.array(key("ref", F.when(named, text("ref")), none, F.lit(0)), key("shop", F.when(named, text("shop")), none, back), key("card", text("card"), F.col("cents"), back))))
+    keys = paid.unionByName(credit).filter("name is not null and span is not null and (kind <> 'card' or cents is not null)")
+    keys = keys.select("id", "_back", F.xxhash64("kind", "name", "cents", "span").alias("key"))
+    both = keys.groupBy("key").agg(F.count_distinct("_back").alias("_n")).filter("_n = 2").select("key")
+    keys = cut(keys.select("id", "key").join(both, "key", "left_semi"))
+    # From what is gone outwards, a step at a time: keys by their records and records by their keys.
+    reached = edge = cut(gone.select("id").distinct())
+    met = None
     while True:
-        beside = pairs.join(edge, F.col("refund") == F.col("id"), "left_semi").select(F.col("payment").alias("id")).unionByName(pairs.join(edge, F.col("payment") == F.col("id"), "left_semi").select(F.col("refund").alias("id")))
-        edge = cut(beside.distinct().join(reached, "id", "left_anti"))
+        near = keys.join(edge, "id", "left_semi").select("key").distinct()
+        near = cut(near if met is None else near.join(met, "key", "left_anti"))
+        met = near if met is None else met.unionByName(near)
+        edge = cut(keys.join(near, "key", "left_semi").select("id").distinct().join(reached, "id", "left_anti"))
         if edge.isEmpty():
             break
         reached = cut(reached.unionByName(edge))
-    again = lambda d: d.join(reached, "id", "left_semi").join(gone.select("id"), "id", "left_anti")
+    again = lambda d: cut(d.join(reached, "id", "left_semi").join(gone.select("id"), "id", "left_anti"))
     kept = assigned.join(reached.select(F.col("id").alias("refund")), "refund", "left_anti")
     return kept.select("refund", "payment", "tier").unionByName(assign_refunds(again(payments), again(refunds), days))
 

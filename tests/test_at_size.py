@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import columns, proof, wrapped
+from ledgerloom.operators import columns, matching, proof, wrapped
 
 from .test_columns import frame
 
@@ -30,3 +30,45 @@ def test_what_figures_prove_is_worked_out_once(spark):
     heads = spark.sql("SELECT 's' AS statement, 0L AS previous, 500L AS due, CAST(NULL AS BIGINT) AS printed_debits, CAST(NULL AS BIGINT) AS printed_credits")
     out = proof.decide(rows, heads)
     assert [tuple(r)[:3] for r in out.collect()] == [("s", "proven", "figures")] and "xxhash64" not in plan(out)
+
+
+def _alike(n):
+    """A payment and a refund of one amount on one card in turn, of shops of their own; every fourth credit is one of instalments."""
+    at = lambda i: f"2024-03-01 00:{i // 60:02d}:{i % 60:02d}"
+    row = lambda i: (i, at(i), 500, f"s{i}", "c", None, i % 8 == 7)
+    return [row(i) for i in range(0, 2 * n, 2)], [row(i) for i in range(1, 2 * n, 2)]
+
+
+def _written(monkeypatch):
+    """How many rows each table has that matching writes."""
+    rows, cut = [], matching.cut
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(matching, "cut", counted)
+    return rows
+
+
+def _sides(spark, n):
+    schema = "id bigint, ts string, cents bigint, shop string, card string, ref string, emi boolean"
+    return [spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("ts")) for rows in _alike(n)]
+
+
+def test_payments_and_refunds_of_one_amount_are_never_paired(spark, monkeypatch):
+    rows = _written(monkeypatch)
+    got = matching.assign_refunds(*_sides(spark, 200)).collect()
+    assert {(r["refund"], r["payment"], r["tier"]) for r in got} == {(i, i - 1, 4 if i % 8 == 7 else 3) for i in range(1, 400, 2)}
+    assert max(rows) <= 400
+
+
+def test_forgetting_holds_records_against_keys(spark, monkeypatch):
+    payments, refunds = _sides(spark, 100)
+    before = matching.assign_refunds(payments, refunds)
+    rows = _written(monkeypatch)
+    gone = spark.createDataFrame([(0,), (7,)], "id bigint")
+    got = {r["refund"]: r["payment"] for r in matching.reassigned(payments, refunds, before, gone).collect()}
+    assert got == {i: i - 1 for i in range(3, 200, 2) if i != 7} | {9: 8}
+    assert max(rows) <= 1000
