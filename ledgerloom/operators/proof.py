@@ -128,30 +128,35 @@ def over_cycles(rows: DataFrame, spans: DataFrame, give: int = 3) -> DataFrame:
     reading, the plain convention and the nearest window; else it is `ambiguous`. `inside` and `beyond` count the rows. What
     fits nowhere has no row here.
 
-    Days of an option (statement, reading, convention) are summed once and ordered with its 2 (2 give + 1) probes, so the
-    sums before each start and up to each end are running sums; windows are differences of these inside one row.
+    Rows of an option (statement, reading, convention) are summed by how their day lies to both ends of the span, all that is
+    further off than `give` days being one; sums before each start and up to each end follow inside the option's one row.
     """
-    signed = signed_rows(rows)
-    option = ["statement", "reading", "convention"]
-    parts = ("_d", "_c", "_n", "_p")
+    option, span = ["statement", "reading", "convention"], ["first", "last", "debits", "credits"]
+    kinds = {"_d": "bigint", "_c": "bigint", "_n": "bigint", "_p": "decimal(38,0)"}
     print_ = F.xxhash64("day", "cents", "credit").cast("decimal(38,0)")
-    days = signed.groupBy(*option, "day").agg(
-        F.sum(F.when(F.col("credit"), 0).otherwise(F.col("cents"))).alias("_d"), F.sum(F.when(F.col("credit"), F.col("cents")).otherwise(0)).alias("_c"), F.count(F.lit(1)).alias("_n"), F.sum(print_).alias("_p"))
-    # A start asks for what lies before its day, an end for what lies up to it: they stand before and after the day's own row.
-    shifts = F.array(*[F.struct(F.lit(k).alias("shift"), F.lit(e).alias("at")) for k in range(-give, give + 1) for e in (-1, 1)])
-    probes = spans.withColumn("_s", F.explode(shifts)).select("statement", F.date_add(F.when(F.col("_s.at") < 0, F.col("first")).otherwise(F.col("last")), F.col("_s.shift")).alias("day"), F.col("_s.shift").alias("shift"), F.col("_s.at").alias("at"))
-    probes = probes.join(days.select(*option).distinct(), "statement")
-    laid = days.withColumns({"shift": F.lit(None).cast("int"), "at": F.lit(0)}).unionByName(probes, allowMissingColumns=True)
-    before = Window.partitionBy(*option).orderBy("day", "at").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*option)
-    zero = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0)).alias(c)
-    run = laid.select(*option, "day", "shift", "at", *[zero(c, before) for c in parts], *[F.sum(c).over(whole).alias(f"{c}t") for c in ("_n", "_p")]).filter("at <> 0")
-    probe = F.struct("shift", "day", *parts)
-    ends = run.groupBy(*option).agg(*[F.collect_list(F.when(F.col("at") == e, probe)).alias(n) for e, n in ((-1, "_from"), (1, "_to"))], F.first("_nt").alias("_nt"), F.first("_pt").alias("_pt"))
+    # Rows may come from a small file and be many; neither side is sent to all machines.
+    each = signed_rows(rows).select(*option, "day", "cents", "credit", print_.alias("_print")).join(spans.select("statement", *span).hint("merge"), "statement")
+    near = lambda end, low, high: F.greatest(F.lit(low), F.least(F.lit(high), F.datediff("day", end)))
+    # A row without a day lies before all days, and so does an end without one.
+    of_start = F.when(F.col("first").isNull(), give).when(F.col("day").isNull(), -give - 1).otherwise(near("first", -give - 1, give))
+    of_end = F.when(F.col("day").isNull(), -give).when(F.col("last").isNull(), give + 1).otherwise(near("last", -give, give + 1))
+    slots = each.groupBy(*option, *span, of_start.alias("_s"), of_end.alias("_e")).agg(
+        F.sum(F.when(F.col("credit"), 0).otherwise(F.col("cents"))).cast("bigint").alias("_d"), F.sum(F.when(F.col("credit"), F.col("cents")).otherwise(0)).cast("bigint").alias("_c"), F.count(F.lit(1)).alias("_n"), F.sum("_print").alias("_p"))
+    laid = slots.groupBy(*option, *span).agg(F.collect_list(F.struct("_s", "_e", *kinds)).alias("_slots"), F.sum("_n").alias("_nt"), F.sum("_p").alias("_pt"))
+    shifts = F.array(*[F.lit(k) for k in range(-give, give + 1)])
+
+    def sums(end: str, inside) -> Column:
+        """The end under each shift, with the sums of what lies before it (a start) or up to it (an end)."""
+        total = lambda k, c: F.aggregate(F.filter("_slots", lambda x: inside(x, k)), F.lit(0).cast(kinds[c]), lambda t, x: (t + x[c]).cast(kinds[c])).alias(c)
+        return F.transform(shifts, lambda k: F.struct(k.alias("shift"), F.date_add(F.col(end), k).alias("day"), *[total(k, c) for c in kinds]))
+
+    ends = laid.select(*option, "debits", "credits", "_nt", "_pt", F.inline(F.array(F.struct(sums("first", lambda x, k: x["_s"] < k).alias("_from"), sums("last", lambda x, k: x["_e"] <= k).alias("_to")))))
     # (2 give + 1)^2 windows of an option, beside each other in its row; most fit nothing and are gone at once.
-    ends = ends.join(spans.select("statement", "debits", "credits"), "statement")
-    pairs = F.flatten(F.transform("_from", lambda a: F.transform("_to", lambda b: F.struct(a["day"].alias("first"), b["day"].alias("last"), (F.abs(a["shift"]) + F.abs(b["shift"])).alias("apart"), *[F.when(b["day"] < a["day"], F.lit(0)).otherwise(b[c] - a[c]).alias(c) for c in parts]))))
-    fits = ends.withColumn("_w", F.explode(F.filter(pairs, lambda w: (w["_d"] == F.col("debits")) & (w["_c"] == F.col("credits"))))).select(*option, "_w.*", "_nt", "_pt")
+    within = lambda a, b, c: F.when(b["day"] < a["day"], F.lit(0).cast(kinds[c])).otherwise(b[c] - a[c])
+    window = lambda a, b: F.struct(a["day"].alias("first"), b["day"].alias("last"), (F.abs(a["shift"]) + F.abs(b["shift"])).alias("apart"), *[within(a, b, c).alias(c) for c in kinds])
+    pairs = F.flatten(F.transform("_from", lambda a: F.transform(F.filter("_to", lambda b: (within(a, b, "_d") == F.col("debits")) & (within(a, b, "_c") == F.col("credits"))), lambda b: window(a, b))))
+    # Generated as one value first: exploded as it stands it would be worked out for the filter of empty arrays too.
+    fits = ends.select(*option, "_nt", "_pt", F.inline(F.array(F.struct(pairs.alias("_w"))))).select(*option, F.inline("_w"), "_nt", "_pt")
     sets = F.count_distinct(F.struct("_n", "_p", F.col("_nt") - F.col("_n"), F.col("_pt") - F.col("_p")))
     chosen = F.struct("reading", "convention", "first", "last", F.col("_n").alias("inside"), (F.col("_nt") - F.col("_n")).alias("beyond"))
     out = fits.groupBy("statement").agg(sets.alias("_sets"), F.min_by(chosen, _order("apart", "first", "last")).alias("_b"))

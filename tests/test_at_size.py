@@ -72,3 +72,12 @@ def test_forgetting_holds_records_against_keys(spark, monkeypatch):
     got = {r["refund"]: r["payment"] for r in matching.reassigned(payments, refunds, before, gone).collect()}
     assert got == {i: i - 1 for i in range(3, 200, 2) if i != 7} | {9: 8}
     assert max(rows) <= 1000
+
+
+def test_cycles_are_summed_without_an_order_of_days(spark):
+    rows = spark.sql("SELECT 's' AS statement, 'wide' AS reading, DATE '2024-03-01' + CAST(id AS INT) AS day, 100L + id AS cents, 'dr' AS mark, '' AS sign FROM range(60)")
+    span = spark.sql("SELECT 's' AS statement, DATE '2024-03-12' AS first, DATE '2024-04-09' AS last, CAST(sum(100 + id) AS BIGINT) AS debits, 0L AS credits FROM range(10, 40)")
+    out = proof.over_cycles(rows, span)
+    got = out.collect()
+    assert [(r["status"], str(r["first"]), str(r["last"]), r["inside"], r["beyond"]) for r in got] == [("proven", "2024-03-11", "2024-04-09", 30, 30)]
+    assert "Window [" not in plan(out)
