@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,18 +29,22 @@ DATE_STYLES = ["dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy-MM-dd", "dd MMM y
 
 
 def shape_of(style: str) -> str:
-    """A pattern that every text of a style fits: its letters stand for anything, its marks for themselves.
+    """A pattern that every text of a style fits: names of months and halves of days are letters, the other letters stand for numbers
+    (signs among them), marks for themselves. A text of another shape fails at its first letters.
 
     >>> shape_of("MMM dd, yyyy")
-    '^.+ .+, .+$'
+    '^[A-Za-z]+ [-+0-9]+, [-+0-9]+$'
     """
-    return "^" + re.sub("[A-Za-z]+", ".+", style.replace(".", "[.]")) + "$"
+    return "^" + re.sub("[A-Za-z]+", lambda m: "[A-Za-z]+" if m[0] in ("MMM", "a") else "[-+0-9]+", style.replace(".", "[.]")) + "$"
 
 
 def read_styled(t: Column, styles: list[str]) -> Column:
     """A time in the first style that a text is in, else null. A text that is not of a style's shape is not tried: to fail costs many
-    times more than to look."""
-    return F.coalesce(*[F.when(t.rlike(shape_of(s)), F.try_to_timestamp(t, F.lit(s))) for s in styles])
+    times more than to look. Its first letter and the style's marks are looked at before that."""
+    begins = lambda s: t >= "A" if s.startswith("MMM") else t < "A"
+    marks = lambda s: [t.contains(m) for m in dict.fromkeys(re.sub("[A-Za-z ]", "", s))]
+    fits = lambda s: reduce(Column.__and__, [begins(s), *marks(s), t.rlike(shape_of(s))])
+    return F.coalesce(*[F.when(fits(s), F.try_to_timestamp(t, F.lit(s))) for s in styles])
 
 
 def read_date(text: Column | str) -> Column:

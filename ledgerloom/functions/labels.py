@@ -131,7 +131,8 @@ def _first(text: Column, rules: Sequence[tuple[str, str]], otherwise: str | None
 
 def status_of(c: Column | str) -> Column:
     """The state that a text tells; no text, or one that tells none, means completed."""
-    return _first(F.lower(F.coalesce(_col(c), F.lit(""))), STATUS_WORDS, "completed")
+    t = F.lower(F.coalesce(_col(c), F.lit("")))
+    return F.when(t.isin("", "completed"), "completed").otherwise(_first(t, STATUS_WORDS, "completed"))
 
 
 #: Ways of paying that have a number: (words, digits that it must have, mask, digits shown), the first that fits; and those that
@@ -143,12 +144,19 @@ NAMED_METHODS = ["UPI Lite"]
 def method_mask(c: Column | str) -> Column:
     """How something was paid, by the tables above: a mask and the last digits of the last number, or a name; the text itself,
     squeezed, where none fits; null for an empty text."""
-    t = F.trim(F.regexp_replace(_col(c), r"\s+", " "))
+    # The text is squeezed once: a lambda's variable is worked out before its body.
+    return F.transform(F.array(F.trim(F.regexp_replace(_col(c), r"\s+", " "))), _mask_of)[0]
+
+
+def _mask_of(t: Column) -> Column:
     low = F.lower(t)
-    number = F.coalesce(F.try_element_at(F.regexp_extract_all(t, F.lit("([0-9]+)"), F.lit(1)), F.lit(-1)), F.lit(""))
     named = [F.when(low.contains(name.lower()), F.lit(name)) for name in NAMED_METHODS]
-    numbered = [F.when(low.rlike(words) & (F.length(number) >= least), F.concat(F.lit(mask), F.right(number, F.lit(shown)))) for words, least, mask, shown in NUMBERED_METHODS]
-    return F.coalesce(*named, *numbered, F.nullif(t, F.lit("")))
+
+    def numbered(number: Column) -> Column:
+        return F.coalesce(*[F.when((F.length(number) >= least) & low.rlike(words), F.concat(F.lit(mask), F.right(number, F.lit(shown)))) for words, least, mask, shown in NUMBERED_METHODS])
+
+    last = F.regexp_extract(t, r"([0-9]+)[^0-9]*$", 1)
+    return F.coalesce(*named, F.transform(F.array(last), numbered)[0], F.nullif(t, F.lit("")))
 
 
 #: What card statements charge besides purchases, by the words they print for it, in order of what is looked for first; and what
@@ -246,20 +254,22 @@ def _time_of(t: Column) -> Column:
     minutes_of = lambda sign, hours, minutes: F.when(sign == "-", -1).otherwise(1) * (hours.try_cast("int") * 60 + F.coalesce(minutes.try_cast("int"), F.lit(0)))
     shifted = lambda local, zone: local + F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(F.lit(LOCAL_MINUTES) - zone, F.lit(0)))
     # In words: the zone's offset, a known zone's name, or a name that says nothing, is taken off the end.
-    sign, hours, minutes = (F.regexp_extract(t, r"(?:GMT|UTC) ?([+-])([0-9]{1,2}):?([0-9]{2})?$", i) for i in (1, 2, 3))
-    name = F.lower(F.regexp_extract(t, r" ([A-Za-z]{1,5})$", 1))
-    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair]), name)
-    zone = F.coalesce(F.when(sign != "", minutes_of(sign, hours, minutes)), known)
-    bare = F.when(sign != "", F.regexp_replace(t, r" ?(?:GMT|UTC) ?[+-][0-9:]+$", "")).when((name != "") & ~name.isin("am", "pm"), F.regexp_replace(t, " [A-Za-z]{1,5}$", "")).otherwise(t)
-    bare = F.regexp_replace(F.regexp_replace(bare, "[, ]+$", ""), MONTH_ENDS, "$1")
-    read = F.transform(F.array(bare), lambda b: read_styled(b, TIME_STYLES).cast("timestamp_ntz"))[0]
+    of_zone = lambda i: F.when(t.contains("GMT") | t.contains("UTC"), F.regexp_extract(t, r"(?:GMT|UTC) ?([+-])([0-9]{1,2}):?([0-9]{2})?$", i)).otherwise("")
+    sign, hours, minutes = (of_zone(i) for i in (1, 2, 3))
+    known = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
+    cut_at = lambda name: F.when(sign != "", F.regexp_replace(t, r" ?(?:GMT|UTC) ?[+-][0-9:]+$", "")).when((name != "") & ~name.isin("am", "pm"), F.left(t, F.length(t) - F.length(name) - 1)).otherwise(t)
+    # A month's name is shortened only where a word goes on behind three letters.
+    short = lambda b: F.when(b.rlike("[A-Za-z]{4}"), F.regexp_replace(b, MONTH_ENDS, "$1")).otherwise(b)
+    named = F.transform(F.array(F.lower(F.regexp_extract(t, r" ([A-Za-z]{1,5})$", 1))), lambda name: F.struct(F.try_element_at(known, name).alias("zone"), F.rtrim(cut_at(name), F.lit(", ")).alias("bare")))
+    both = F.transform(named, lambda n: F.struct(F.coalesce(F.when(sign != "", minutes_of(sign, hours, minutes)), n["zone"]).alias("zone"), read_styled(short(n["bare"]), TIME_STYLES).cast("timestamp_ntz").alias("read")))
     # ISO.
     day, clock, seconds, part, off = (F.regexp_extract(t, ISO_TIME, i) for i in range(1, 6))
     iso = F.try_to_timestamp(F.concat(day, F.lit(" "), clock, F.when(seconds == "", ":00").otherwise(seconds)), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
     iso = iso + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.coalesce(F.concat(F.lit("0"), F.left(part, F.lit(7))).try_cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)")))
     behind = F.when(off == "Z", 0).when(off != "", minutes_of(F.left(off, F.lit(1)), F.substring(off, 2, 2), F.right(off, F.lit(2))))
     since = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(LOCAL_MINUTES), F.left(t, F.lit(10)).try_cast("bigint").cast("decimal(18,6)"))
-    return F.when(t.rlike("^[0-9]{10}([0-9]{3})?$"), since).when(t.rlike(ISO_TIME), shifted(iso, behind)).otherwise(shifted(read, zone))
+    in_words = F.transform(both, lambda x: shifted(x["read"], x["zone"]))[0]
+    return F.when(F.length(t).isin(10, 13) & t.rlike("^[0-9]{10}([0-9]{3})?$"), since).when(t.contains("T") & t.rlike(ISO_TIME), shifted(iso, behind)).otherwise(in_words)
 
 
 def at_clock(day: Column | str, clock: Column | str) -> Column:

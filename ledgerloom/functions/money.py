@@ -38,10 +38,19 @@ def share(part: Column | str, whole: Column | str) -> Column:
 AMOUNT = r"^\s*([-+(]?)\s*(?:₹|Rs\.?|INR)?\s*([-+]?)\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)\s*\)?\s*(?i:(Cr|Dr)\.?)?\s*$"
 
 
+#: What stands between the parts of an amount once these are told apart; no amount has it.
+_PART = "\x01"
+
+
 def signed_cents(text: Column | str) -> Column:
     """Cents of a printed amount, negative for a credit (brackets, a minus, or Cr); null if the text is no amount."""
     t = _col(text)
-    digits = F.regexp_replace(F.regexp_extract(t, AMOUNT, 3), ",", "")
-    value = F.when(digits != "", F.round(digits.cast("decimal(18,2)") * 100).cast("bigint"))
-    credit = F.regexp_extract(t, AMOUNT, 1).isin("-", "(") | (F.regexp_extract(t, AMOUNT, 2) == "-") | (F.lower(F.regexp_extract(t, AMOUNT, 4)) == "cr")
-    return F.when(credit, -value).otherwise(value)
+    # Every step is worked out once, as a lambda's variable is before its body. A text that is no amount is left as it is.
+    told = lambda x: F.struct(x.alias("x"), F.regexp_replace(x, AMOUNT, _PART + _PART.join(["$1", "$2", "$3", "$4"]) + _PART).alias("told"))
+    parts = F.transform(F.transform(F.array(t), told), lambda s: F.when(s["told"] != s["x"], F.split(s["told"], _PART)))
+
+    def value(p: Column) -> Column:
+        amount = F.round(F.translate(p[3], ",", "").cast("decimal(18,2)") * 100).cast("bigint")
+        return F.when(p[1].isin("-", "(") | (p[2] == "-") | (F.lower(p[4]) == "cr"), -amount).otherwise(amount)
+
+    return F.transform(parts, value)[0]

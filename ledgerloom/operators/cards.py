@@ -61,6 +61,27 @@ def in_turn(pairs: DataFrame, left: str, right: str, turn: list, wish: list) ->
         pairs = cut(pairs.join(taken.select(left), left, "left_anti").join(taken.select(right), right, "left_anti"))
 
 
+def in_turn_by_runs(pairs: DataFrame, left: str, right: str, turn: list, wish: list) -> DataFrame:
+    """(left, right, from_left, from_right, n): as in_turn(), for runs of alike rows that stand next to each other in the order of turns
+    and in that of wishes. `pairs` have how many rows each is (n_left, n_right); n of them from the given places on, counted
+    from 0, are one another's. Rounds depend on how runs meet, not on how many rows a run is.
+    """
+    pairs, out = cut(pairs.withColumns({"_fl": F.lit(0).cast("bigint"), "_fr": F.lit(0).cast("bigint")})), None
+    while True:
+        own, other = Window.partitionBy(left).orderBy(*wish, right), Window.partitionBy(right).orderBy(*turn, left)
+        first = pairs.withColumns({"_w": F.row_number().over(own), "_t": F.row_number().over(other)}).filter("_w = 1 and _t = 1")
+        n = F.least(F.col("n_left") - F.col("_fl"), F.col("n_right") - F.col("_fr"))
+        taken = cut(first.select(left, right, F.col("_fl").alias("from_left"), F.col("_fr").alias("from_right"), n.alias("n")))
+        out = taken if out is None else out.unionByName(taken)
+        if taken.isEmpty():
+            return out
+        # In a round each run gives or takes once at most.
+        used = lambda side, name: taken.select(side, F.col("n").alias(name))
+        left_over = pairs.join(used(left, "_nl"), left, "left").join(used(right, "_nr"), right, "left")
+        left_over = left_over.withColumns({"_fl": F.col("_fl") + F.coalesce("_nl", F.lit(0)), "_fr": F.col("_fr") + F.coalesce("_nr", F.lit(0))}).drop("_nl", "_nr")
+        pairs = cut(left_over.filter("_fl < n_left and _fr < n_right"))
+
+
 def settled(rows: DataFrame, bills: DataFrame, percent: int = BILL_PERCENT, days: int = POSTING_DAYS) -> DataFrame:
     """(row, bill): rows of statements that pay a card (id, ts, day, card, cents), in order of time, with the app's bill (id, day,
     card, cents) that each is: of the card, within percent and days, the exact amount first, then the nearest day; a row

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import method_mask, read_time, status_of
 from ..functions.money import signed_cents
 from ..functions.text import compact
-from ..operators.cards import in_turn
+from ..operators.cards import in_turn_by_runs
 from ..operators.components import cut
 from .files import records
 
@@ -26,17 +28,15 @@ def _once(rows: DataFrame, *columns: Column) -> DataFrame:
 def activity(items: DataFrame) -> DataFrame:
     """(id, ts, cents, direction, kind, payee, paid_from) of items (id, sentence, at, status): "Paid ₹120.00 to Ann using Bank
     1234"; items that were not completed, and sentences without an amount, give none."""
-    t = F.trim(F.regexp_replace("sentence", r"\s+", " "))
-    low = F.lower(t)
-    direction, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for word, d, k in reversed(ACTIONS):
-        begins = low.rlike(f"^(?:{word})")
-        direction, kind = F.when(begins, d).otherwise(direction), F.when(begins, k).otherwise(kind)
-    cents = F.abs(signed_cents(F.regexp_extract(t, r"((?:₹|Rs\.? ?|INR ?)[0-9][0-9,]*(?:\.[0-9]{1,2})?)", 1)))
-    payee = F.regexp_extract(t, r"(?i)\b(?:to|from) (.+?)(?: using .*)?$", 1)
-    paid = F.regexp_extract(t, r"(?i)\busing (.+)$", 1)
-    rows = _once(items.filter(status_of("status") == "completed"), F.col("id").alias("id"), read_time("at").alias("ts"), cents.alias("cents"), direction.alias("direction"), kind.alias("kind"), payee.alias("payee"), method_mask(paid).alias("paid_from"))
-    return rows.filter("ts is not null and cents is not null and direction is not null")
+    done = _once(items.filter(status_of("status") == "completed"), F.col("id").alias("id"), F.col("at").alias("at"), F.trim(F.regexp_replace("sentence", r"\s+", " ")).alias("_t"))
+    low = F.lower("_t")
+    action = F.coalesce(*[F.when(low.rlike(f"^(?:{word})"), F.struct(F.lit(d).alias("direction"), F.lit(k).alias("kind"))) for word, d, k in ACTIONS])
+    amount = F.regexp_extract("_t", r"((?:₹|Rs\.? ?|INR ?)[0-9][0-9,]*(?:\.[0-9]{1,2})?)", 1)
+    payee = F.regexp_extract("_t", r"(?i)\b(?:to|from) (.+?)(?: using .*)?$", 1)
+    rows = _once(done, F.col("id").alias("id"), read_time("at").alias("ts"), F.abs(signed_cents(amount)).alias("cents"), action.alias("_a"), F.col("_t").alias("_t"))
+    # Behind the filter, so that names and ways of paying are read only where they are asked for.
+    paid = F.regexp_extract("_t", r"(?i)\busing (.+)$", 1)
+    return rows.filter("ts is not null and cents is not null and _a is not null").select("id", "ts", "cents", "_a.direction", "_a.kind", payee.alias("payee"), method_mask(paid).alias("paid_from"))
 
 
 def read_activity_html(spark: SparkSession, path: str) -> DataFrame:
@@ -72,25 +72,49 @@ def _same_party(a: Column, b: Column) -> Column:
     return x.isin(ANY_PARTY) | y.isin(ANY_PARTY) | x.contains(y) | y.contains(x)
 
 
+def _in_runs(rows: DataFrame, within: list[str], order: list[str], alike: list[str], key: str) -> DataFrame:
+    """Adds _run (the first key of the run) and _place (from 0) to rows: those of equal `alike` that follow each other are a run."""
+    line = Window.partitionBy(*within).orderBy(*order)
+    same = [F.col(c).eqNullSafe(F.lag(c).over(line)) for c in alike]
+    new = (F.lag(key).over(line).isNull() | ~reduce(Column.__and__, same)).cast("int")
+    each = rows.withColumn("_new", new).withColumn("_i", F.sum("_new").over(line))
+    run = Window.partitionBy(*within, "_i").orderBy(*order)
+    return each.withColumns({"_run": F.first(key).over(run), "_place": (F.row_number().over(run) - 1).cast("bigint")}).drop("_new", "_i")
+
+
 def merged(main: DataFrame, others: DataFrame) -> DataFrame:
     """(other, entry): rows of other folders, in order of time, with the entry of the activity list that each is: equal direction
     and cents, within minutes (rewards: days), a party inside the other or none; the nearest in time, each entry once; null for
-    rows that the list does not have."""
+    rows that the list does not have.
+
+    Rows that tell the same and choose (or are wished for) one after the other are a run, and runs are paired, not rows: many
+    copies of a payment make as many pairs as one. Entries that could be equally near to a row stand in order of their ids.
+    """
     width = REWARD_DAYS * 86400
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    # Both sides are read twice; what it takes to read them is not.
-    a = cut(main.select(F.col("id").alias("entry"), "direction", "cents", seconds("ts").alias("_a"), F.col("payee").alias("_pa")))
-    b = cut(others.select(F.col("id").alias("other"), "direction", "cents", seconds("ts").alias("_b"), F.col("payee").alias("_pb"), "source"))
+    # Both sides are read several times; what it takes to read them is not.
+    a = main.select(F.col("id").alias("entry"), "direction", "cents", seconds("ts").alias("_a"), F.col("payee").alias("_pa"))
+    # Entries further apart than twice the width are never equally near.
+    far = F.coalesce(F.col("_a") - F.lag("_a").over(Window.partitionBy("direction", "cents").orderBy("_a", "entry")) > 2 * width, F.lit(False))
+    a = a.withColumn("_far", far.cast("int")).withColumn("_near", F.sum("_far").over(Window.partitionBy("direction", "cents").orderBy("_a", "entry"))).drop("_far")
+    a = cut(_in_runs(a, ["direction", "cents", "_near"], ["entry"], ["_a", "_pa"], "entry"))
+    b = others.select(F.col("id").alias("other"), "direction", "cents", seconds("ts").alias("_b"), F.col("payee").alias("_pb"), "source")
+    b = cut(_in_runs(b, ["direction", "cents"], ["_b", "other"], ["_b", "_pb", "source"], "other"))
+    of = lambda rows, run, n, *more: rows.groupBy(F.col("_run").alias(run), "direction", "cents", *more).agg(F.count(F.lit(1)).alias(n))
+    entries_, rows = cut(of(a, "run_entry", "n_right", "_a", "_pa")), cut(of(b, "run_other", "n_left", "_b", "_pb", "source"))
 
     def near(rows: DataFrame, within: int) -> DataFrame:
         # The rows of other folders, of which there are fewer, are spread over the spans that reach them.
         span = lambda c: F.floor(F.col(c) / within)
         spread = rows.withColumn("_span", F.explode(F.array(*[span("_b") + k for k in (-1, 0, 1)])))
-        return spread.join(a.withColumn("_span", span("_a")), ["direction", "cents", "_span"]).filter(F.abs(F.col("_a") - F.col("_b")) <= within)
-
-    pairs = near(b.filter("source = 'rewards'"), width).unionByName(near(b.filter("source <> 'rewards'"), MERGE_MINUTES * 60).filter(_same_party(F.col("_pa"), F.col("_pb"))))
-    taken = in_turn(pairs.select("other", "entry", F.col("_b").alias("at"), F.abs(F.col("_a") - F.col("_b")).alias("apart")), "other", "entry", ["at"], ["apart"])
-    return b.select("other").join(taken, "other", "left")
+        return spread.join(entries_.withColumn("_span", span("_a")), ["direction", "cents", "_span"]).filter(F.abs(F.col("_a") - F.col("_b")) <= within)
+
+    pairs = near(rows.filter("source = 'rewards'"), width).unionByName(near(rows.filter("source <> 'rewards'"), MERGE_MINUTES * 60).filter(_same_party(F.col("_pa"), F.col("_pb"))))
+    pairs = pairs.select("run_other", "run_entry", "n_left", "n_right", F.col("_b").alias("at"), F.abs(F.col("_a") - F.col("_b")).alias("apart"))
+    taken = in_turn_by_runs(pairs, "run_other", "run_entry", ["at"], ["apart"])
+    met = b.select("other", F.col("_run").alias("run_other"), "_place").join(taken, "run_other").filter((F.col("_place") >= F.col("from_left")) & (F.col("_place") < F.col("from_left") + F.col("n")))
+    met = met.select("other", F.col("run_entry").alias("_run"), (F.col("from_right") + F.col("_place") - F.col("from_left")).alias("_place")).join(a.select("entry", "_run", "_place"), ["_run", "_place"])
+    return b.select("other").join(met.select("other", "entry"), "other", "left")
 
 
 def merged_list(main: DataFrame, others: DataFrame) -> DataFrame:
