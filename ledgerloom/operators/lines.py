@@ -31,11 +31,13 @@ def tokens(lines: DataFrame) -> DataFrame:
 def rows_by_shape(lines: DataFrame) -> DataFrame:
     """(file, line, day, details, amounts): lines that begin with a date and have amounts of money behind; the text between is
     the details, and amounts keep their marks."""
-    found = F.regexp_extract_all("text", F.lit(f"({MONEY})"), F.lit(1))
+    # Generated as one value each: below a plain select a filter would have them worked out twice. Lines without a day go first.
     day = read_date(F.regexp_extract("text", rf"^\s*({DATE})\b", 1))
+    dated = lines.select("file", "line", "text", F.inline(F.array(F.struct(day.alias("day"))))).filter("day is not null")
+    found = F.regexp_extract_all("text", F.lit(f"({MONEY})"), F.lit(1))
+    rows = dated.select("file", "line", "text", "day", F.inline(F.array(F.struct(found.alias("amounts"))))).filter(F.size("amounts") > 0)
     rest = F.regexp_replace(F.regexp_replace("text", rf"^\s*(?:{DATE})\b", ""), MONEY, " ")
-    rows = lines.select("file", "line", day.alias("day"), F.trim(F.regexp_replace(rest, r"\s+", " ")).alias("details"), found.alias("amounts"))
-    return rows.filter((F.col("day").isNotNull()) & (F.size("amounts") > 0))
+    return rows.select("file", "line", "day", F.trim(F.regexp_replace(rest, r"\s+", " ")).alias("details"), "amounts")
 
 
 #: Ways in which the amounts of a row can be meant, and the columns of each from the right.
@@ -45,16 +47,19 @@ LAYOUTS = {"amount": 1, "debit+credit": 2, "amount+balance": 2}
 def readings(rows: DataFrame) -> DataFrame:
     """(statement, reading, line, day, details, cents, mark, sign, balance): rows by shape under each layout that has its columns
     in them: the last amount; the last two as debit and credit, of which one is zero; the last two as amount and balance."""
-    each = rows.select("file", "line", "day", "details", "amounts", F.explode(F.array(*[F.lit(x) for x in LAYOUTS])).alias("reading"))
-    last, before = F.try_element_at("amounts", F.lit(-1)), F.try_element_at("amounts", F.lit(-2))
-    by_columns = F.abs(signed_cents(before)) > 0
-    text = F.when(F.col("reading") == "amount", last).when(F.col("reading") == "amount+balance", before).otherwise(F.when(by_columns, before).otherwise(last))
-    one = F.col("reading") != "debit+credit"
-    mark = F.when(one, F.nullif(F.lower(F.regexp_extract(text, r"(?i)(cr|dr)$", 1)), F.lit(""))).otherwise(F.when(by_columns, "dr").otherwise("cr"))
-    sign = F.when(one, F.nullif(F.regexp_extract(text, r"^([-+])", 1), F.lit("")))
-    fits = (F.col("reading") == "amount") | ((F.size("amounts") >= 2) & ((F.col("reading") != "debit+credit") | ((signed_cents(before) == 0) != (signed_cents(last) == 0))))
-    out = each.filter(fits).select(F.col("file").alias("statement"), "reading", "line", "day", "details", F.abs(signed_cents(text)).alias("cents"), mark.alias("mark"), sign.alias("sign"), F.when(F.col("reading") == "amount+balance", signed_cents(last)).alias("balance"))
-    return out
+    # What an amount says is read once, before its row is read under every layout.
+    mark = lambda t: F.nullif(F.lower(F.regexp_extract(t, r"(?i)(cr|dr)$", 1)), F.lit(""))
+    said = F.transform(F.slice("amounts", -F.least(F.size("amounts"), F.lit(2)), 2), lambda t: F.struct(signed_cents(t).alias("cents"), mark(t).alias("mark"), F.nullif(F.regexp_extract(t, r"^([-+])", 1), F.lit("")).alias("sign")))
+    each = rows.filter(F.size("amounts") > 0).select("file", "line", "day", "details", F.inline(F.array(F.struct(said.alias("_said")))))
+    each = each.select("*", F.explode(F.array(*[F.lit(x) for x in LAYOUTS])).alias("reading"))
+    last, before = F.try_element_at("_said", F.lit(-1)), F.try_element_at("_said", F.lit(-2))
+    by_columns = F.abs(before["cents"]) > 0
+    is_ = lambda name: F.col("reading") == name
+    one = F.when(is_("amount"), last).when(is_("amount+balance"), before).otherwise(F.when(by_columns, before).otherwise(last))
+    fits = is_("amount") | ((F.size("_said") >= 2) & (~is_("debit+credit") | ((before["cents"] == 0) != (last["cents"] == 0))))
+    marked = F.when(~is_("debit+credit"), one["mark"]).otherwise(F.when(by_columns, "dr").otherwise("cr"))
+    sign = F.when(~is_("debit+credit"), one["sign"])
+    return each.filter(fits).select(F.col("file").alias("statement"), "reading", "line", "day", "details", F.abs(one["cents"]).alias("cents"), marked.alias("mark"), sign.alias("sign"), F.when(is_("amount+balance"), last["cents"]).alias("balance"))
 
 
 #: Words of a header and what stands below them (fixed values).
