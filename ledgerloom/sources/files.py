@@ -80,13 +80,19 @@ def records(lines: DataFrame, starts: str, fields: dict[str, str]) -> DataFrame:
 
     Records are numbered by a running count inside their file, so files are read in parallel.
     """
-    line = Window.partitionBy("file").orderBy("line")
-    numbered = lines.withColumn("record", F.sum(F.col("text").rlike(starts).cast("int")).over(line)).filter("record > 0")
-    found: list[Column] = []
-    for name, pattern in fields.items():
-        got = F.when(F.col("text").rlike(pattern), F.regexp_extract("text", pattern, 1))
-        found.append(F.min_by(got, F.when(got.isNotNull(), F.col("line"))).alias(name))
-    return numbered.groupBy("file", "record").agg(*found)
+    text = F.col("text")
+    # From the last line up: where a record starts, the last find of a field is its first one, and its own if it stands above the next
+    # start. One order of a file's lines serves all, its records among them; nothing is grouped. Lines are ordered as they are, and
+    # what is found in them is looked for behind that, so that what is shuffled and sorted is no wider than they are.
+    up = Window.partitionBy("file").orderBy(F.col("line").desc())
+    so_far, below = up.rowsBetween(Window.unboundedPreceding, Window.currentRow), up.rowsBetween(Window.unboundedPreceding, -1)
+    begins = text.rlike(starts)
+    got = {f"_{i}": F.last(F.when(text.rlike(p), F.struct("line", F.regexp_extract("text", p, 1).alias("got"))), ignorenulls=True).over(so_far) for i, p in enumerate(fields.values())}
+    ordered = lines.select("file", "line", "text").repartition("file").sortWithinPartitions("file", F.col("line").desc())
+    heads = ordered.withColumns({"_start": begins, "_next": F.last(F.when(begins, F.col("line")), ignorenulls=True).over(below), **got}).filter("_start").drop("text", "_start")
+    record = F.count(F.lit(1)).over(Window.partitionBy("file")) - F.row_number().over(up) + 1
+    own = lambda i: F.when(F.col("_next").isNull() | (F.col(f"_{i}.line") < F.col("_next")), F.col(f"_{i}.got"))
+    return heads.select("file", record.alias("record"), *[own(i).alias(name) for i, name in enumerate(fields)])
 
 
 #: A payment of an activity statement: day and time begin it, the other lines follow (fixed patterns).
