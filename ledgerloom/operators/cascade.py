@@ -63,7 +63,8 @@ def candidates(old: DataFrame, new: DataFrame) -> DataFrame:
     the other; 3: a statement's row and the app's record of a payment by that card, a day apart by UPI, else three; 4: rows
     of two files of a card, three days apart, payees alike. `apart` is in seconds.
     """
-    a, b = _side(old, "old"), _side(new, "new")
+    # Every tier reads both sides; what it takes to make them is done once.
+    a, b = cut(_side(old, "old")), cut(_side(new, "new"))
     apart = F.abs(F.col("old_at") - F.col("new_at"))
     keep = lambda pairs, tier: pairs.select("new_id", "old_id", F.lit(tier).alias("tier"), (F.col("rank") if tier == 1 else F.lit(0)).alias("rank"), apart.alias("apart"))
     keyed = match_keys(new).withColumnRenamed("id", "new_id").join(match_keys(old).select(F.col("id").alias("old_id"), "key"), "key").groupBy("new_id", "old_id").agg(F.min("rank").alias("rank"))
