@@ -37,6 +37,11 @@ def _placed(text: Column, pattern: str) -> Column:
     return F.aggregate(found, F.array().cast("array<struct<x0:int,x1:int,text:string>>"), lambda out, t: add(out, t).cast("array<struct<x0:int,x1:int,text:string>>"))
 
 
+def _amounts(text: str) -> Column:
+    """The amounts of a line, as _placed() gives them; a line without a point has none."""
+    return F.when(F.col(text).contains("."), _placed(F.col(text), MONEY)).otherwise(F.array().cast("array<struct<x0:int,x1:int,text:string>>"))
+
+
 def rows_wrapped(lines: DataFrame) -> DataFrame:
     """(file, line, table, day, clock, details, amounts), as placed() of columns has them, of dated lines with what follows them.
 
@@ -49,12 +54,16 @@ def rows_wrapped(lines: DataFrame) -> DataFrame:
     line = Window.partitionBy("file").orderBy("line")
     low = F.lower("text")
     head = low.rlike(r"^\s*date\b") & low.rlike("amount|debit|credit|withdrawal|deposit|balance")
-    date = F.regexp_extract("text", rf"^(\s*(?:{DATE}))(?![0-9])", 1)
-    day = read_date(F.trim(date))
+    # What a pattern needs is looked for first: most lines have no date, and many no amount.
+    numbered = F.substr(F.ltrim("text", F.lit(" \t\n\x0b\f\r")), F.lit(1), F.lit(1)).between("0", "9")
+    date = F.when(numbered, F.regexp_extract("text", rf"^(\s*(?:{DATE}))(?![0-9])", 1)).otherwise("")
+    day = read_date(F.trim("_date"))
     rest = F.when(day.isNotNull(), F.expr("substr(text, length(_date) + 1)")).otherwise(F.col("text"))
-    each = lines.select("file", "line", "text").withColumns({"_date": date, "_head": head.cast("int")}).withColumns({"day": day, "_rest": rest})
-    words = F.trim(F.regexp_replace(F.regexp_replace("_rest", MONEY, " "), r"\s+", " "))
-    each = each.withColumns({"money": _placed(F.col("text"), MONEY), "_words": words, "_starts": F.col("day").isNotNull().cast("int")})
+    # Lines are ordered as they are and read behind that: what is shuffled is no wider than they are, and every file's task reads its own.
+    ordered = lines.select("file", "line", "text").repartition("file").sortWithinPartitions("file", "line")
+    each = ordered.withColumns({"_date": date, "_head": head.cast("int")}).withColumns({"day": day}).withColumn("_rest", rest)
+    words = F.trim(F.regexp_replace(F.when(F.col("_rest").contains("."), F.regexp_replace("_rest", MONEY, " ")).otherwise(F.col("_rest")), r"\s+", " "))
+    each = each.withColumns({"money": _amounts("text"), "_words": words, "_starts": F.col("day").isNotNull().cast("int")})
     each = each.withColumn("_x", F.length("text") - F.length(F.ltrim("_rest")))
     each = each.withColumns({"table": F.sum("_head").over(line), "_row": F.sum("_starts").over(line)}).filter("_row > 0")
     island = Window.partitionBy("file", "_row").orderBy("line")
@@ -66,10 +75,10 @@ def rows_wrapped(lines: DataFrame) -> DataFrame:
     has = F.size("money") > 0
     under = F.exists("money", lambda t: F.exists("_money", lambda m: F.abs(t["x1"] - m["x1"]) <= GIVE))
     kind = (
-        F.when(F.col("_k") == 0, "row").when((F.trim("text") == "") | F.trim("text").rlike(_SECTION) | (F.col("_head") == 1), "end").when(F.trim("text").rlike(f"^{TIME}$"), "clock")
+        F.when(F.col("_k") == 0, "row").when((F.trim("text") == "") | F.trim("text").rlike(_SECTION) | (F.col("_head") == 1), "end").when(F.col("text").contains(":") & F.trim("text").rlike(f"^{TIME}$"), "clock")
         .when(has & under, "undated").when(has, "amounts").when(F.col("_x") >= F.col("_at") - GIVE, "details").otherwise("end")
     )
-    each = cut(each.select("file", "line", "table", "_row", "_k", "day", "text", "money", "_words", kind.alias("_kind")))
+    each = each.select("file", "line", "table", "_row", "_k", "day", "text", "money", "_words", F.inline(F.array(F.struct(kind.alias("_kind")))))
     adds = (F.col("_kind").isin("amounts", "details") & (F.col("_words") != "")).cast("int")
     before = island.rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum(adds).over(before), F.lit(0))
@@ -78,7 +87,7 @@ def rows_wrapped(lines: DataFrame) -> DataFrame:
     over = F.max("_ends").over(island) + F.coalesce(F.max((F.col("_kind") == "undated").cast("int")).over(before), F.lit(0))
     each = each.withColumn("_over", over).filter("_over = 0")
     each = each.withColumn("_says", F.when((F.col("_kind") != "amounts") | (F.col("_earlier") < MORE_DETAILS), F.nullif("_words", F.lit(""))))
-    part = F.struct("_k", "line", "_kind", "money", "_says", F.regexp_replace(F.trim("text"), r"\s+", " ").alias("text"))
+    part = F.struct("_k", "line", "_kind", "money", "_says", F.when(F.col("_kind") == "clock", F.regexp_replace(F.trim("text"), r"\s+", " ")).alias("text"))
     rows = each.groupBy("file", "_row").agg(F.min("table").alias("table"), F.max("day").alias("day"), F.array_sort(F.collect_list(part)).alias("_p"))
     own_lines = F.filter("_p", lambda p: ~p["_kind"].isin("undated", "clock"))
     whole = F.struct(
@@ -172,9 +181,11 @@ def rows_below(each: DataFrame) -> DataFrame:
     whole = head.groupBy("file", "_from", "_end").agg(F.max((F.col("name") == "date").cast("int")).alias("_date"), F.count_distinct("name").alias("_n"), F.array_sort(F.collect_list(F.struct("x0", "x1", "name"))).alias("_cols"))
     # One line goes before two; a header's second line is no header of its own.
     whole = cut(whole.filter("_date = 1 and _n >= 3").withColumn("_k", F.row_number().over(Window.partitionBy("file", "_from").orderBy("_end"))).filter("_k = 1"))
-    lines_ = each.select("file", "line", F.col("cells").alias("_cells"))
-    marks = lines_.join(whole.select("file", F.col("_end").alias("line"), F.col("_from"), "_cols"), ["file", "line"], "left")
-    above = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    # Headers have no digits and rows do, so they are stacked and not joined; of two headers that end on a line the longer counts.
+    kind = whole.schema["_cols"].dataType
+    rows = each.filter("digits").select("file", "line", F.col("cells").alias("_cells"), F.lit(None).cast("int").alias("_from"), F.lit(None).cast(kind).alias("_cols"))
+    marks = rows.unionByName(whole.select("file", F.col("_end").alias("line"), F.lit(None).cast(each.schema["cells"].dataType).alias("_cells"), "_from", "_cols"))
+    above = Window.partitionBy("file").orderBy("line", F.col("_from").desc()).rowsBetween(Window.unboundedPreceding, -1)
     rows = marks.withColumns({"header": F.last("_from", ignorenulls=True).over(above), "_above": F.last("_cols", ignorenulls=True).over(above)}).filter("_above is not null and _cols is null")
 
     # A line with a cell for each of the header's has them in its order; of any other a cell is under the header's cell that it shares most with.
@@ -183,7 +194,8 @@ def rows_below(each: DataFrame) -> DataFrame:
     names = F.when(F.size("_cells") == F.size("_above"), F.transform("_above", lambda h: h["name"])).otherwise(F.transform("_cells", best))
     rows = rows.select("file", "line", "header", "_cells", F.inline(F.array(F.struct(names.alias("_names")))))
     cell = lambda name: F.get("_cells", (F.array_position("_names", name) - 1).cast("int"))["text"]
-    # Read as one array of a struct, so that the filter looks at what was read and does not read it again.
-    read = F.struct(read_date(cell("date")).alias("day"), cell("details").alias("details"), *[signed_cents(cell(c)).alias(c) for c in ("debit", "credit", "amount", "balance")])
-    out = rows.select("file", "line", "header", F.inline(F.array(read)))
-    return out.filter("day is not null and coalesce(debit, credit, amount) is not null")
+    # Read as one array of a struct, so that a filter looks at what was read and does not read it again; days first.
+    dated = rows.select("file", "line", "header", "_cells", "_names", F.inline(F.array(F.struct(read_date(cell("date")).alias("day"))))).filter("day is not null")
+    read = F.struct(cell("details").alias("details"), *[signed_cents(cell(c)).alias(c) for c in ("debit", "credit", "amount", "balance")])
+    out = dated.select("file", "line", "header", "day", F.inline(F.array(read)))
+    return out.filter("coalesce(debit, credit, amount) is not null")
