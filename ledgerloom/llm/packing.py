@@ -9,12 +9,14 @@ rank among the pieces of equal length, through a join with the list of runs. No
 
 from __future__ import annotations
 
+import itertools
 import re
-import unicodedata
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,14 +29,18 @@ END_ID = 1
 #: Pieces of one length that one task ranks, about: copies may give one length to a third of all pieces, and most pieces of a
 #: corpus of long texts are full windows.
 RANKED = 50_000
-
-#: How the vocabulary's own splitter cuts a chunk without white space, for text that is already lower case.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w]|_)+")
+#: Characters of texts whose chunks are numbered together, about: more would be fewer distinct chunks, but more memory in a worker.
+TOGETHER = 1_000_000
+
+#: What no plain chunk holds. Plain chunks have visible ASCII characters and letters of Latin-1 and Latin Extended-A, which lower-case
+#: one by one and never compose, and no special token of the vocabulary.
+_ODD = r"[^!-~À-ÖØ-öø-įı-ſ]|<\|"
+#: How the vocabulary's own splitter cuts plain chunks in lower case, here each with a line feed behind it.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|\n|[^a-zß-öø-ſ0-9\n]+")
 #: A text on which the rules here and a vocabulary's own splitter must agree; else every text is handed to the tokenizer.
 _PROBE = "It's 12 o'clock, NAÏVE café_x don't/we'll 'Re-do 3.5% \x01 é\x02 b\u00ad\u0301 <|x|> ÿ9"
-#: Characters that str.split() takes as white space and the vocabulary's normaliser does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Stands behind the ids of a chunk; no vocabulary has it.
+_MARK = 2**32 - 1
 
 
 def _byte_names() -> dict[int, str]:
@@ -48,13 +54,15 @@ def _byte_names() -> dict[int, str]:
 class Ids:
     """Token ids of texts, as the public tokenizer gives them with add_special_tokens=False.
 
-    That tokenizer works within chunks between white space, so the ids of a chunk are remembered, and those of a word
-    within it too; only new words go through the vocabulary's merges. Chunks outside the common cases (letters beyond
-    Latin, marks that compose, the vocabulary's special tokens) are handed to the tokenizer as they are.
+    That tokenizer works within chunks between white space. Arrow splits many texts at once and numbers their distinct
+    chunks; only these are cut into words, and only words not remembered go through the vocabulary's merges. Chunks
+    outside the common cases (letters beyond Latin, marks that compose, white space beyond ASCII, the vocabulary's special
+    tokens) are handed to the tokenizer as they are, and remembered too.
     """
 
-    #: Bytes that chunks and words with their ids may take, about, before they are forgotten.
-    LIMIT, ENTRY = 160 << 20, 200
+    #: Bytes that what is remembered may take, about. Half of it is what has been met since the other half was filled: words that
+    #: keep coming are never forgotten.
+    LIMIT, ENTRY = 96 << 20, 200
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
@@ -62,55 +70,87 @@ class Ids:
 
         self.whole = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.merge = self.whole.model.tokenize
-        self.names = _byte_names()
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.hidden = [(chr(b), name) for b, name in _byte_names().items() if chr(b) not in (name, "\n")]
+        self.mark = {"\n": np.array([_MARK], "<u4").tobytes()}
+        self.met, self.before = dict(self.mark), {}
         self.size = 0
         self.known = True
-        self.known = self.of(_PROBE) == self._exact(_PROBE)
-
-    def _exact(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            spelt = word if word.isascii() else "".join([self.names[b] for b in word.encode()])
-            found = self.words[word] = np.array([t.id for t in self.merge(spelt)], "<u4").tobytes()
-            self.size += len(word) + len(found) + self.ENTRY
-        return found
-
-    def _chunk(self, chunk: str) -> bytes:
-        if "<|" in chunk or not chunk.isprintable():
-            return self._exact(chunk)
-        if chunk.isascii():
-            parts = _ASCII.findall(chunk.lower())
-        else:
-            # Letters of Latin-1 and Latin Extended-A: lower-cased one by one, composed already.
-            if any(c > "ſ" or ("\x7f" <= c < "\xc0") or c in "İ\xd7\xf7" for c in chunk) or unicodedata.normalize("NFC", chunk) != chunk:
-                return self._exact(chunk)
-            parts = _LATIN.findall("".join([c.lower() for c in chunk]))
-        return b"".join([self._word(p) for p in parts])
+        self.known = self.of(_PROBE) == self._exact(_PROBE).tobytes()
+
+    def _exact(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _remember(self, keys: list[str], ids: list[bytes]) -> None:
+        self.met.update(zip(keys, ids, strict=True))
+        self.size += sum(map(len, keys)) + sum(map(len, ids)) + self.ENTRY * len(keys)
+
+    def _spelt(self, words: list[str]) -> list[str]:
+        """As byte-level vocabularies spell words without line feeds."""
+        lines = "\n".join(words)
+        if not lines.isascii():
+            lines = lines.encode().decode("latin-1")
+            for byte, name in self.hidden:
+                lines = lines.replace(byte, name)
+        return lines.split("\n")
+
+    def _meet(self, words: set[str], odd: list[str]) -> None:
+        """Have the ids of these words and odd chunks in `met`."""
+        if self.size > self.LIMIT // 2:
+            self.met, self.before, self.size = dict(self.mark), self.met, 0
+        new = words.union(odd).difference(self.met)
+        again = [w for w in new if w in self.before] if self.before else []
+        self._remember(again, [self.before[w] for w in again])
+        new.difference_update(again)
+        rest = new.intersection(odd)
+        self._remember(list(rest), [self._exact(c).tobytes() for c in rest])
+        new = list(new - rest)
+        if new:
+            tokens = [[t.id for t in self.merge(w)] for w in self._spelt(new)]
+            data = np.fromiter(itertools.chain.from_iterable(tokens), "<u4").tobytes()
+            ends = [0, *itertools.accumulate([4 * len(t) for t in tokens])]
+            self._remember(new, [data[a:b] for a, b in itertools.pairwise(ends)])
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each chunk begin among them, how many they are) of distinct chunks."""
+        odd = pc.match_substring_regex(chunks, _ODD)
+        plain = pc.filter(chunks, pc.invert(odd))
+        rest = pc.filter(chunks, odd).to_pylist()
+        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(plain)], plain), pa.scalar("\n", plain.type))[0].as_py() + "\n" if len(plain) else ""
+        parts = _PARTS.findall(lines.lower())
+        self._meet(set(parts), rest)
+        for chunk in rest:
+            parts += chunk, "\n"
+        ids = np.frombuffer(b"".join([self.met[p] for p in parts]), "<u4")
+        ends = np.flatnonzero(ids == _MARK)
+        begin, number = np.zeros((2, len(chunks)), np.int64)
+        at = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
+        begin[at] = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
+        number[at] = ends - begin[at]
+        return ids, begin, number
+
+    def of_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts behind each other, END_ID behind each text; where each text's end)."""
+        if not self.known:
+            ids = [np.append(self._exact(t), np.uint32(END_ID)) for t in texts]
+            return np.concatenate([np.zeros(0, "<u4"), *ids]), np.cumsum([len(i) for i in ids], dtype=np.int64)
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        chunks = pc.dictionary_encode(split.values)
+        ids, begin, number = self._chunks(chunks.dictionary)
+        # The end is one more chunk, behind the last of each text.
+        ends = split.offsets.to_numpy()[1:]
+        use = np.insert(chunks.indices.to_numpy(), ends, len(number))
+        ids, begin, number = np.append(ids, np.array([END_ID], "<u4")), np.append(begin, len(ids)), np.append(number, 1)
+        number = number[use]
+        upto = np.cumsum(number)
+        total = int(upto[-1]) if len(upto) else 0
+        kind = np.int32 if max(total, len(ids)) < 2**31 else np.int64
+        at = np.repeat((begin[use] - upto + number).astype(kind), number)
+        at += np.arange(total, dtype=kind)
+        return ids[at], upto[ends + np.arange(len(texts))]
 
     def of(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not self.known or _ODD_SPACE.search(text):
-            return self._exact(text)
-        chunks = text.split()
-        known = self.chunks
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if self.size > self.LIMIT:
-            known.clear()
-            self.words.clear()
-            self.size = 0
-        for c in chunks:
-            if c not in known:
-                known[c] = self._chunk(c)
-                self.size += len(c) + len(known[c]) + self.ENTRY
-        return b"".join([known[c] for c in chunks])
+        """Little-endian unsigned 32-bit ids of one text, without an end."""
+        return self.of_all([text])[0][:-1].tobytes()
 
 
 def ids_of(path: str | None = None) -> Ids:
@@ -135,18 +175,17 @@ def numbered_as_read(docs: DataFrame) -> DataFrame:
 def cut(docs: DataFrame, window: int = WINDOW, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The pieces of all documents: full windows from the front, then the rest. Every document has a last id of its own,
     so null and empty texts have one piece of length 1. The columns of `keep` come with them."""
-    end = np.array([END_ID], "<u4").tobytes()
 
     def compute(texts: list[str]) -> dict:
-        ids, out = ids_of(path), []
-        for text in texts:
-            data = memoryview(ids.of(text) + end)
-            parts = [data[4 * a : 4 * (a + window)] for a in range(0, len(data) // 4, window)]
-            out.append([{"start": k * window, "length": len(part) // 4, "ids_crc32": zlib.crc32(part), "doc_tokens": len(data) // 4} for k, part in enumerate(parts)])
+        ids, ends = ids_of(path).of_all(texts)
+        data, out = memoryview(ids).cast("B"), []
+        for begin, end in itertools.pairwise([0, *ends.tolist()]):
+            parts = [data[4 * a : 4 * min(a + window, end)] for a in range(begin, end, window)]
+            out.append([{"start": k * window, "length": len(part) // 4, "ids_crc32": zlib.crc32(part), "doc_tokens": end - begin} for k, part in enumerate(parts)])
         return {"_pieces": out}
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep)
-    return map_texts(narrow, ("doc_id", *keep), "text", f"_pieces array<struct<{_PIECE}>>", compute).select("doc_id", *keep, F.inline("_pieces"))
+    return map_texts(narrow, ("doc_id", *keep), "text", f"_pieces array<struct<{_PIECE}>>", compute, TOGETHER).select("doc_id", *keep, F.inline("_pieces"))
 
 
 class Capacities:
