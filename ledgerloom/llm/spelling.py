@@ -117,7 +117,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     # A letter beside its equal can be removed in either half; the first half then counts.
     cut = F.floor((F.char_length("word") - 1) / 2).cast("int")
     again = removal & F.col("after") & (F.left("word", cut) == F.left("other", cut))
-    pairs = found.filter("role < 2").join(right.filter("role2 <> 1"), "socket").filter((exchange | removal) & ~again & (F.levenshtein("word", "other", 1) == 1))
+    # Spark sizes the sockets by the words, of which each has some twenty, and would broadcast them: the hint keeps them apart.
+    pairs = found.filter("role < 2").join(right.filter("role2 <> 1").hint("merge"), "socket").filter((exchange | removal) & ~again & (F.levenshtein("word", "other", 1) == 1))
     both = F.array(F.struct("word", "n", "other", "other_n"), F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
     return pairs.select(F.explode(both).alias("_p")).select("_p.*")
 
@@ -127,7 +128,7 @@ def variants(words: DataFrame, times: int = TIMES) -> DataFrame:
 
     The form is the near word of largest n (ties: the smallest), if that n is at least `times` the word's; following
     forms to the last gives the root. Forms gain in n at every step, so there are no circles and chains are short; steps
-    are doubled in each round. `words` (word, n; distinct) is read several times.
+    are doubled in each round. `words` (word, n; distinct) is read several times. No join is broadcast by a guessed size.
     """
     near = near_pairs(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("_n"), "other")).alias("_best"))
     rows = words.join(near, "word", "left").withColumn("_on", -F.col("_best._n") >= times * F.col("n"))
@@ -136,11 +137,11 @@ def variants(words: DataFrame, times: int = TIMES) -> DataFrame:
     steps = rows.filter("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:
         ahead = steps.select(F.col("word").alias("root"), F.col("root").alias("_to"))
-        moved = written(steps.join(ahead, "root", "left").select("word", F.coalesce("_to", "root").alias("root"), F.col("_to").isNotNull().alias("_moved")), "roots")
+        moved = written(steps.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("_to", "root").alias("root"), F.col("_to").isNotNull().alias("_moved")), "roots")
         steps = moved.select("word", "root")
         if moved.filter("_moved").isEmpty():
             break
-    return rows.join(steps, "word", "left").select("word", "n", "form", F.coalesce("root", "word").alias("root"), "n_near", "form_n")
+    return rows.join(steps.hint("merge"), "word", "left").select("word", "n", "form", F.coalesce("root", "word").alias("root"), "n_near", "form_n")
 
 
 def misspell(doc_id: str, word: str) -> str:

@@ -85,6 +85,17 @@ def test_counts_of_words(spark):
     assert spelling.counted(docs.limit(0)).count() == 0
 
 
+def test_nothing_that_grows_with_the_words_is_broadcast(spark, tmp_path):
+    """A word has some twenty sockets, but Spark sizes these by the file of the words."""
+    spark.createDataFrame([("abcdef", 50), ("abcdeg", 5), ("abcdefz", 5)], "word string, n bigint").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    pairs = spelling.near_pairs(words)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {(r["word"], r["other"]) for r in pairs.collect()} == {("abcdef", "abcdeg"), ("abcdeg", "abcdef"), ("abcdef", "abcdefz"), ("abcdefz", "abcdef")}
+    roots = spelling.variants(words)
+    assert "Broadcast" not in roots._jdf.queryExecution().executedPlan().toString() and told(roots.collect())["abcdeg"][2] == "abcdef"
+
+
 def test_query_of_spelling_variants(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in read_table(spark, sf_dir, "documents").collect()]
     words = {w: n for w, n in plain_counts(rows).items() if n >= 5}
