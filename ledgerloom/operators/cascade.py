@@ -1,21 +1,23 @@
 """Imports: each new record finds the record of the same movement by ordered tiers, and what is found becomes one record.
 
 An import is a fold: each row is held against the records as they have become, with the references, statement rows, files,
-time and payee they have taken over from the rows before it. Rows that could ever meet are linked first (joins on equal
-keys), chains of links are the components of that graph, and each component is folded by itself, in order of arrival. What
-records have become may reach rows outside: their states are joined against all rows again, and components that would
-meet are folded anew as one, until none do. The result is that of one fold over all rows.
+time and payee they have taken over from the rows before it. Only rows of one direction and amount ever meet, so these are
+shuffled to one task and folded there, in order of arrival. Of a direction and amount with too many rows for that, rows that
+could ever meet are linked first (joins on equal keys), chains of links are the components of that graph, and each component
+is folded by itself. What records have become may reach rows outside: their states are joined against all rows again, and
+components that would meet are folded anew as one, until none do. The result is that of one fold over all rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.labels import statement_rows
 from ..functions.text import compact, long_words
@@ -93,20 +95,25 @@ def matches(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def prepared(old: DataFrame, new: DataFrame) -> DataFrame:
-    """All records with their place in the order of the fold (`_seq`: negative for old ones), every column of a record, and the
-    normal forms that tiers compare: written once."""
+    """All records with their place in the order of the fold (`_seq`: negative for old ones) and those columns of a record that
+    the tables have."""
     every = old.withColumn("arrived", F.lit(None).cast("bigint")).unionByName(new, allowMissingColumns=True)
     have = {c.lower() for c in every.columns}
-    every = every.withColumns({c: F.lit(None).cast(kind) for c, kind in MORE.items() if c not in have})
-    files = F.coalesce("sources", F.when(F.col("file").isNotNull(), F.array("file")), F.array().cast("array<string>"))
+    files = F.coalesce(*["sources"] * ("sources" in have), F.when(F.col("file").isNotNull(), F.array("file")), F.array().cast("array<string>"))
     refs = F.coalesce(F.map_filter("refs", lambda k, v: v.isNotNull()), F.create_map().cast("map<string,string>"))
-    ref = lambda name, prefix: F.concat(F.lit(prefix), refs[name])
+    return every.select(*FIELDS[:-2], *[c for c in MORE if c != "sources" and c in have], refs.alias("refs"), files.alias("sources"), F.coalesce("arrived", F.lit(-1)).alias("_seq"))
+
+
+def formed(rows: DataFrame) -> DataFrame:
+    """Prepared rows with every column of a record and the normal forms that tiers compare: put on behind a shuffle, not before."""
+    ref = lambda name, prefix: F.concat(F.lit(prefix), F.col("refs")[name])
     prints = F.concat_ws(":", F.lit("print"), F.date_format("ts", "yyyyMMddHHmm"), "cents", "direction", F.coalesce(compact("payee"), F.lit("")))
-    keys = F.array_compact(F.concat(F.array(ref("utr", "utr:"), ref("txnId", "txn:")), F.transform(statement_rows(refs), lambda r: F.concat(F.lit("row:"), r)), F.array(prints)))
+    keys = F.array_compact(F.concat(F.array(ref("utr", "utr:"), ref("txnId", "txn:")), F.transform(statement_rows("refs"), lambda r: F.concat(F.lit("row:"), r)), F.array(prints)))
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     words = lambda c: F.coalesce(long_words(c, NO_NAMES), F.array().cast("array<string>"))
-    return cut(every.select(*FIELDS[:-2], F.col("file"), *[c for c in MORE if c != "sources"], refs.alias("refs"), files.alias("sources"), F.coalesce("arrived", F.lit(-1)).alias("_seq"), seconds.alias("_at"), F.unix_date(F.to_date("ts")).alias("_day"),
-                            F.coalesce(compact("payee"), F.lit("")).alias("_key"), words("payee").alias("_words"), words("note").alias("_noted"), keys.alias("_keys")))
+    more = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in MORE.items() if c not in rows.columns})
+    return more.select(*FIELDS[:-2], *[c for c in MORE if c != "sources"], "refs", "sources", "_seq", seconds.alias("_at"), F.unix_date(F.to_date("ts")).alias("_day"),
+                       F.coalesce(compact("payee"), F.lit("")).alias("_key"), words("payee").alias("_words"), words("note").alias("_noted"), keys.alias("_keys"))
 
 
 def _reaches(states: DataFrame, rows: DataFrame, keys: bool) -> DataFrame:
@@ -168,18 +175,19 @@ def _loose(a: dict, b: dict) -> bool:
 
 
 def _on_card(a: dict, b: dict) -> bool:
-    on = [r for r in (a, b) if "cardRow" in r["refs"]]
-    if len(on) != 1:
+    if ("cardRow" in a["refs"]) == ("cardRow" in b["refs"]):
         return False
-    card, app = (a, b) if on[0] is a else (b, a)
+    card, app = (a, b) if "cardRow" in a["refs"] else (b, a)
     mask, paid = app["paid_from"] or "", card["paid_from"] or ""
     masked = len(mask) == 6 and mask.startswith("XXXX") and mask[4:].isdigit() and paid.endswith(mask[4:])
     return masked and abs(a["_day"] - b["_day"]) <= (UPI_DAYS if app["channel"] == "upi" else CARD_DAYS) and _fits(a, b)
 
 
 def _in_two_files(a: dict, b: dict) -> bool:
+    if not a["card"] or a["card"] != b["card"]:
+        return False
     p, q = _listed(a["refs"]), _listed(b["refs"])
-    if not p or not q or p & q or not a["card"] or a["card"] != b["card"] or set(a["sources"]) & set(b["sources"]) or abs(a["_day"] - b["_day"]) > FILE_DAYS:
+    if not p or not q or p & q or set(a["sources"]) & set(b["sources"]) or abs(a["_day"] - b["_day"]) > FILE_DAYS:
         return False
     if any(a["refs"].get(k) and b["refs"].get(k) and a["refs"][k] != b["refs"][k] for k in ("utr", "txnId")):
         return False
@@ -230,18 +238,19 @@ def fold(rows: list[dict]) -> tuple[list[tuple], list[tuple[int, dict]]]:
 
     for row in rows:
         group = (row["direction"], row["cents"])
-        found, tier = None, None
+        found, tier = None, 1
         if row["_seq"] >= 0:
+            found = next((i for k in row["_keys"] if (i := keyed.get((*group, k))) is not None and _fits(states[i], row)), None)
+        if found is None and row["_seq"] >= 0:
             reach = max(CARD_DAYS, FILE_DAYS)
             near = sorted(set().union(*(on_day.get((*group, row["_day"] + k), ()) for k in range(-reach, reach + 1))))
             apart = lambda i, row=row: abs(states[i]["_at"] - row["_at"])
             tries = (
-                lambda: next((i for k in row["_keys"] if (i := keyed.get((*group, k))) is not None and _fits(states[i], row)), None),
                 lambda: next((i for i in near if _loose(states[i], row)), None),
                 lambda: min((i for i in near if _on_card(states[i], row)), key=apart, default=None),
                 lambda: min((i for i in near if _in_two_files(states[i], row)), key=apart, default=None),
             )
-            for tier, look in enumerate(tries, 1):  # noqa: B007
+            for tier, look in enumerate(tries, 2):  # noqa: B007
                 found = look()
                 if found is not None:
                     break
@@ -282,7 +291,7 @@ def _by_group(rows: DataFrame, key: str, run: Callable[[object, list[dict]], lis
 
 def _folded(every: DataFrame, group: DataFrame) -> DataFrame:
     """Rows (part 0: id, root, tier) and states (part 1: the record as it is from _seq on) of all components."""
-    schema = StructType([*every.drop("_keys", "file").schema.fields, *StructType.fromDDL("_part int, _c " + group.schema["root"].dataType.simpleString() + ", root " + every.schema["id"].dataType.simpleString() + ", tier int").fields])
+    schema = StructType([*every.drop("_keys").schema.fields, *StructType.fromDDL("_part int, _c " + group.schema["root"].dataType.simpleString() + ", root " + every.schema["id"].dataType.simpleString() + ", tier int").fields])
     for f in schema.fields:
         f.nullable = True
     names = set(schema.names)
@@ -290,29 +299,114 @@ def _folded(every: DataFrame, group: DataFrame) -> DataFrame:
     def run(key, rows):
         for r in rows:
             r["refs"] = dict(r["refs"])
-        # Old ones in order of time, then new ones as they arrived.
-        rows.sort(key=lambda r: (r["_seq"] >= 0, r["_seq"], r["ts"], r["id"]) if r["ts"] is not None else (r["_seq"] >= 0, r["_seq"]))
+        rows = _ordered(rows)
         links, steps = fold(rows)
         at = {r["id"]: r["_seq"] for r in rows}
         out = [{"id": i, "root": root, "tier": tier, "_part": 0, "_c": key, "_seq": at[i]} for i, root, tier in links]
         out += [{**{k: v for k, v in state.items() if k in names}, "_seq": seq, "_part": 1, "_c": key, "refs": list(state["refs"].items())} for seq, state in steps]
         return out
 
-    grouped = every.drop("file").join(group.select(F.col("v").alias("id"), F.col("root").alias("_c")), "id")
+    grouped = every.join(group.select(F.col("v").alias("id"), F.col("root").alias("_c")), "id")
     return _by_group(grouped, "_c", run, schema)
 
 
+#: Rows of one direction and amount that a task holds, as dicts; of more rows, those that could meet are linked first.
+AT_MOST = 4096
+#: Rows of a batch that are Python rows at a time.
+ROWS_AT_ONCE = 2048
+_AMOUNT = ["direction", "cents"]
+_WHOLE = "ts IS NOT NULL AND cents IS NOT NULL AND direction IS NOT NULL"
+
+
+def _values(column: pa.Array) -> list:
+    """A column as Python values, maps as dicts; the parts of lists and maps are read in one go, which is several times as fast."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if column.null_count or not (pa.types.is_list(column.type) or pa.types.is_map(column.type)):
+        return column.to_pylist(maps_as_pydicts="strict")
+    ends = column.offsets.to_pylist()
+    part = lambda child: _values(child.slice(ends[0], ends[-1] - ends[0]))
+    runs = [(a - ends[0], b - ends[0]) for a, b in itertools.pairwise(ends)]
+    if pa.types.is_map(column.type):
+        keys, items = part(column.keys), part(column.items)
+        return [dict(zip(keys[a:b], items[a:b], strict=True)) for a, b in runs]
+    values = part(column.values)
+    return [values[a:b] for a, b in runs]
+
+
+def _dicts(batch: pa.RecordBatch) -> Iterator[dict]:
+    names = batch.schema.names
+    return (dict(zip(names, row, strict=True)) for row in zip(*map(_values, batch.columns), strict=True))
+
+
+def _amounts_folded(rows: DataFrame, schema: StructType, run: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """What `run` makes of the rows of each direction and amount, in order; a row without a time, amount or direction is given
+    alone. One shuffle of the rows, ordered by amount, of which one amount at a time is held."""
+    arrow = to_arrow_schema(schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, group, key = [], [], None
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                for row in _dicts(batch.slice(at, ROWS_AT_ONCE)):
+                    own = (row["direction"], row["cents"])
+                    if group and (own != key or None in own or row["ts"] is None or group[-1]["ts"] is None):
+                        out += run(_ordered(group))
+                        group = []
+                    key = own
+                    group.append(row)
+                if len(out) >= ROWS_AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(out, arrow)
+                    out = []
+        yield pa.RecordBatch.from_pylist(out + (run(_ordered(group)) if group else []), arrow)
+
+    # Rows that lack one are no group: they are dealt out by their ids, and stand behind those of their amount.
+    place = [*_AMOUNT, F.when(~F.expr(_WHOLE), F.col("id"))]
+    return formed(rows.repartition(*place).sortWithinPartitions(*place)).mapInArrow(each, schema)
+
+
+def _ordered(rows: list[dict]) -> list[dict]:
+    """Old ones in order of time, then new ones as they arrived."""
+    return sorted(rows, key=lambda r: (r["_seq"] >= 0, r["_seq"], r["ts"], r["id"])) if len(rows) > 1 else rows
+
+
+def _links(rows: list[dict]) -> list[dict]:
+    if len(rows) == 1:  # a record of its own, with or without a time
+        return [{"id": rows[0]["id"], "root": rows[0]["id"], "tier": None}]
+    return [{"id": i, "root": root, "tier": tier} for i, root, tier in fold(rows)[0]]
+
+
+def _records(rows: list[dict]) -> list[dict]:
+    if len(rows) > 1:
+        links, steps = fold(rows)
+        own = {i for i, root, _ in links if i == root}
+        rows = ({r["id"]: r for r in rows if r["id"] in own} | {state["id"]: state for _, state in steps}).values()
+    return [r | {"refs": list(r["refs"].items())} for r in rows]
+
+
 def imported(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, records) of an import of `new` (with `arrived`, their order) into `old`; ids are distinct over both.
 
     links: (id, root, tier) for every row of both; root is the record that a row has become part of, tier how it was found.
     records: every record as it is after the import. Null texts match nothing; a row without a time or amount is a record
-    of its own; columns of MORE that a table lacks are null; empty tables are fine. A component is folded in one task: it
-    holds rows of one direction and amount that are chained by possible matches, each of which is close to the next in
-    time or has a key in common with it.
+    of its own; columns of MORE that a table lacks are null; empty tables are fine. Nothing is written but for amounts of
+    more than AT_MOST rows: links and records are each worked out when they are read, from tables that are read again.
     """
     every = prepared(old, new)
-    whole = every.filter("ts IS NOT NULL AND cents IS NOT NULL AND direction IS NOT NULL")
+    number, record = every.schema["id"].dataType, [f for f in formed(every).schema.fields if not f.name.startswith("_")]
+    linking, keeping = StructType().add("id", number).add("root", number).add("tier", "integer"), StructType([StructField(f.name, f.dataType) for f in record])
+    many = cut(every.filter(_WHOLE).groupBy(*_AMOUNT).count().filter(F.col("count") > AT_MOST).select(*_AMOUNT))
+    if many.isEmpty():
+        return _amounts_folded(every, linking, _links), _amounts_folded(every, keeping, _records)
+    few = every.join(many, _AMOUNT, "left_anti")
+    links, records = _linked_first(cut(formed(every.join(many, _AMOUNT, "left_semi"))))
+    return _amounts_folded(few, linking, _links).unionByName(links), _amounts_folded(few, keeping, _records).unionByName(records)
+
+
+def _linked_first(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of rows with a time, amount and direction, of which very many may share these. A component is folded in one
+    task: it holds rows that are chained by possible matches, each of which is close to the next in time or has a key in
+    common with it."""
     edges = cut(_reaches(whole, whole, keys=True).distinct())
     while True:
         group = components(edges)
@@ -326,11 +420,11 @@ def imported(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         edges = cut(edges.unionByName(later))
     met = told.filter("_part = 0").select("id", "root", "tier")
-    alone = every.select("id").join(met, "id", "left_anti").select("id", F.col("id").alias("root"), F.lit(None).cast("int").alias("tier"))
-    columns = [c for c in every.columns if not c.startswith("_") and c != "file"]
+    alone = whole.select("id").join(met, "id", "left_anti").select("id", F.col("id").alias("root"), F.lit(None).cast("int").alias("tier"))
+    columns = [c for c in whole.columns if not c.startswith("_")]
     last = told.filter("_part = 1").groupBy("id").agg(F.max_by(F.struct(*columns[1:]), "_seq").alias("_s")).select("id", "_s.*")
     gone = met.filter("root <> id").select("id").unionByName(last.select("id"))
-    records = every.select(*columns).join(gone, "id", "left_anti").unionByName(last.select(*columns))
+    records = whole.select(*columns).join(gone, "id", "left_anti").unionByName(last.select(*columns))
     return met.unionByName(alone), records
 
 
