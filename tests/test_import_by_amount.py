@@ -51,3 +51,12 @@ def test_rows_without_a_time_or_amount_stay_alone_beside_others(spark):
     new = [row(2, 1, "Acme", arrived=1), row(3, 0, "Acme", arrived=2, ts=None), row(4, 0, "Acme", arrived=3, ts=None), row(5, 0, "Acme", arrived=4, cents=None), row(6, 0, "Acme", arrived=5, cents=None), row(7, 0, "Acme", arrived=6, direction=None)]
     got, kept = run(spark, [row(1), row(8, ts=None)], new)
     assert got == {1: (1, None), 2: (1, 2)} | {i: (i, None) for i in range(3, 9)} and kept.keys() == {1, *range(3, 9)}
+
+
+def test_a_batch_beside_no_records_writes_nothing(spark, monkeypatch):
+    """Rows that find one another in one import, and amounts at the end of a batch of Arrow and of a slice of it."""
+    monkeypatch.setattr(cascade, "ROWS_AT_ONCE", 2)
+    monkeypatch.setattr(cascade, "_linked_first", None)
+    new = [row(10 * c + i, i, "Acme", {"utr": f"u{c}"} if c % 2 else {}, 10 * c + i, cents=c) for c in range(1, 30) for i in range(3)]
+    got, kept = run(spark, [], new)
+    assert got == {10 * c + i: (10 * c, None if not i else 1 if c % 2 else 2) for c in range(1, 30) for i in range(3)} and len(kept) == 29
